@@ -256,8 +256,10 @@ def round_totals(rounds: DataFrame, key: str = "call_id") -> DataFrame:
 def win_table(winners: DataFrame) -> DataFrame:
     """Wins and share of all problems per technique."""
     wins = winners.groupBy(F.col("best_technique").alias("technique")).agg(F.count("*").alias("wins"))
-    total = winners.agg(F.count("*").alias("problems"))
-    return wins.crossJoin(F.broadcast(total)).select("technique", "wins", "problems", rounded(F.col("wins") * 100.0 / F.col("problems"), 1).alias("win_percent"))
+    # one row per technique by now, so the window over all of them is tiny
+    return wins.withColumn("problems", F.sum("wins").over(Window.partitionBy(F.lit(1)))).withColumn(
+        "win_percent", rounded(F.col("wins") * 100.0 / F.col("problems"), 1)
+    )
 
 
 def metric_summary(compared: DataFrame, by: list[str] | None = None, rollup: bool = False) -> DataFrame:
