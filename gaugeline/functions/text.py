@@ -94,7 +94,7 @@ def difficulty_level(value: Column) -> Column:
         .when(value == "advanced", F.lit(3.0))
         .when(number <= 0, F.lit(None).cast("double"))
         .when(number <= 3, number)
-        .otherwise(F.greatest(F.lit(1.0), F.least(F.lit(3.0), 1.0 + (number - 1.0) / 2.0)))
+        .when(number.isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(3.0), 1.0 + (number - 1.0) / 2.0)))
     )
 
 
