@@ -1,7 +1,9 @@
 """Tagging jobs: one pass over a table of problems adds label columns.
 
 Everything is a projection: no shuffle except the optional join with the
-type-to-subject map of an example bank.
+type-to-subject map of an example bank. Store the tagged table (or use
+``session.durable``) before filtering on its labels: a filter on a derived
+column is pushed below the projection and would evaluate the rules twice.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from gaugeline.functions import features as ft
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions import scope as sc
 from gaugeline.functions import text as tx
-from gaugeline.functions.basics import alias, non_empty, rx, strip
+from gaugeline.functions.basics import alias, let, strip
 
 LOW, DET = "_low", "_det"
 
@@ -136,12 +138,14 @@ def with_signals(df: DataFrame, text: str) -> DataFrame:
         " named_struct('s', -signal_counting, 'd', 'counting-probability'),"
         " named_struct('s', -signal_precalculus, 'd', 'pre-calculus')))"
     )
-    based = based.withColumn("_ranked", ranked)
-    top, gap = -F.col("_ranked")[0]["s"], F.col("_ranked")[1]["s"] - F.col("_ranked")[0]["s"]
-    return based.withColumns({
-        "signal_domain": F.when((top >= 2) & (gap >= 1), F.col("_ranked")[0]["d"]),
-        "signal_gap": F.when(top <= 0, F.lit(0)).otherwise(gap),
-    }).drop("_ranked", "_tokens", LOW)
+
+    def summary(r: Column) -> Column:
+        top, gap = -r[0]["s"], r[1]["s"] - r[0]["s"]
+        domain = F.when((top >= 2) & (gap >= 1), r[0]["d"])
+        return F.struct(domain.alias("domain"), F.when(top <= 0, F.lit(0)).otherwise(gap).alias("gap"))
+
+    based = based.withColumn("_signal", let(ranked, summary))
+    return based.withColumns({"signal_domain": F.col("_signal.domain"), "signal_gap": F.col("_signal.gap")}).drop("_signal", "_tokens", LOW)
 
 
 def resolve_domains(df: DataFrame, text: str, requested: str, type_map: DataFrame | None = None) -> DataFrame:
@@ -168,33 +172,40 @@ def resolve_domains(df: DataFrame, text: str, requested: str, type_map: DataFram
             *[F.when(F.col("_wanted") == d, F.expr(evidence[d])) for d in lx.DOMAINS], F.lit(False)
         ),
     })
-    wanted, detected, signal = F.col("_wanted"), F.col("_detected"), F.col("signal_domain")
+    facts = F.struct("_wanted_raw", "_wanted", "_detected", "signal_domain", "signal_gap", "_in_scope", "_geometry", "_outside", "_direct")
+    made = tagged.withColumn("_decision", let(facts, _decide))
+    return made.withColumns({"domain": F.col("_decision.domain"), "domain_source": F.col("_decision.source")}).withColumnRenamed(
+        "_detected", "detected_subject"
+    ).drop(
+        LOW, DET, "_tokens", "_intent", "_wanted_raw", "_wanted", "_structure", "_special", "_in_scope", "_geometry", "_outside", "_direct", "_decision"
+    )
+
+
+def _decide(f: Column) -> Column:
+    """Outcome of the gathered facts. The facts are bound once, so filters on the result stay small."""
+    wanted, detected, signal, direct = f["_wanted"], f["_detected"], f["signal_domain"], f["_direct"]
     supported = wanted.isin(*lx.DOMAINS)
     other = detected.isin(*lx.DOMAINS) & (detected != wanted)
-    clash = signal.isNotNull() & (signal != wanted) & (F.col("signal_gap") >= 2) & other & ~F.col("_direct")
-    disagrees = other & ~F.col("_direct") & ~F.coalesce(signal == wanted, F.lit(False))
-    unsure = (detected == "general") & signal.isNull() & ~F.col("_direct")
-    source = (
-        F.when((F.col("_wanted_raw") != "") & ~supported & (wanted != "general"), "explicit_subject_unsupported")
-        .when(~F.col("_in_scope"), "out_of_scope_problem")
-        .when(F.col("_geometry"), "pure_geometry_out_of_scope")
-        .when(supported & F.coalesce(clash, F.lit(False)), "subject_mismatch_signal")
-        .when(supported & disagrees, "subject_mismatch")
-        .when(supported & F.col("_outside"), "out_of_domain_math")
-        .when(supported & unsure, "ambiguous_requested_subject")
-        .when(supported, "request_subject")
-        .when(signal.isNotNull(), "auto_detected_signal")
-        .when(detected.isin(*lx.DOMAINS), "auto_detected")
-        .otherwise("unsupported_detected")
-    )
-    made = tagged.withColumn("domain_source", source)
-    domain = (
-        F.when(F.col("domain_source") == "request_subject", wanted)
-        .when(F.col("domain_source") == "auto_detected_signal", signal)
-        .when(F.col("domain_source") == "auto_detected", detected)
-    )
-    return made.withColumn("domain", domain).withColumnRenamed("_detected", "detected_subject").drop(
-        LOW, DET, "_tokens", "_intent", "_wanted_raw", "_wanted", "_structure", "_special", "_in_scope", "_geometry", "_outside", "_direct"
+    clash = signal.isNotNull() & (signal != wanted) & (f["signal_gap"] >= 2) & other & ~direct
+    disagrees = other & ~direct & ~F.coalesce(signal == wanted, F.lit(False))
+    unsure = (detected == "general") & signal.isNull() & ~direct
+    nothing = F.lit(None).cast("string")
+
+    def outcome(source: str, domain: Column = nothing) -> Column:
+        return F.struct(domain.alias("domain"), F.lit(source).alias("source"))
+
+    return (
+        F.when((f["_wanted_raw"] != "") & ~supported & (wanted != "general"), outcome("explicit_subject_unsupported"))
+        .when(~f["_in_scope"], outcome("out_of_scope_problem"))
+        .when(f["_geometry"], outcome("pure_geometry_out_of_scope"))
+        .when(supported & F.coalesce(clash, F.lit(False)), outcome("subject_mismatch_signal"))
+        .when(supported & disagrees, outcome("subject_mismatch"))
+        .when(supported & f["_outside"], outcome("out_of_domain_math"))
+        .when(supported & unsure, outcome("ambiguous_requested_subject"))
+        .when(supported, outcome("request_subject", wanted))
+        .when(signal.isNotNull(), outcome("auto_detected_signal", signal))
+        .when(detected.isin(*lx.DOMAINS), outcome("auto_detected", detected))
+        .otherwise(outcome("unsupported_detected"))
     )
 
 

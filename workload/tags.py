@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions.basics import alias, rounded
 from gaugeline.operators import tagging as tg
+from gaugeline.session import durable
 from workload import views as vw
 
 QUERIES = {}
@@ -340,7 +341,8 @@ def persistable(spark, sf):
     from gaugeline.operators.history import persistable as keep
 
     df = problems(spark, sf).withColumn("wanted", F.expr(WANTED)).withColumn("run_mode", F.when(F.col("size") % 3 == 0, "Benchmark").otherwise("normal"))
-    return keep(tg.resolve_domains(df, "problem", "wanted")).select("id")
+    # the gate filters on derived labels: store them first, or the filter would evaluate every rule again
+    return keep(durable(tg.resolve_domains(df, "problem", "wanted").select("id", "domain", "run_mode"))).select("id")
 
 
 @register("t22_p26_profile", WITH_INTENT + f""", t as (select id, intent, size, {tag_case(SQL_STRUCTURE)} s, {tag_case(CONSTRAINTS)} c from it)
