@@ -183,3 +183,119 @@ def limited(spark, sf):
     chosen = selected(spark, sf).withColumnRenamed("target_id", "problem_id")
     _, _, scores = stored(spark, sf)
     return rt.limit_comparison(scores.select(F.col("doc_id").alias("problem_id"), "technique"), chosen)
+
+
+# --- pair scores over adjacent rows (one partner per row) ------------------------------------------
+
+@register("j6_cosine", """
+with p as (select label, vec_id, embedding a, lead(embedding) over (partition by label order by vec_id) b from embeddings)
+select vec_id, round(list_cosine_similarity(a::double[], b::double[])::decimal(28,10), 6)::double cosine from p where b is not null""")
+def cosine(spark, sf):
+    from pyspark.sql import Window
+
+    near = vw.table(spark, sf, "embeddings").withColumn("b", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
+    return near.where("b is not null").select("vec_id", rounded(pr.cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
+
+
+TAGGED = f""",
+tg as (select id, {tgq.tag_case(tgq.SQL_TAGS)} tags, list_filter(list_distinct(regexp_extract_all(v, '[a-z0-9_]+')), lambda x: not list_contains({sql_list(lx.STOP_WORDS_HISTORY)}, x)) tk from low),
+ty as (select *, list_sort(list_filter(tags, lambda x: list_contains({sql_list(lx.TYPE_FEATURES_HISTORY)}, x))) ty from tg),
+nb as (select a.id, a.tags ga, b.tags gb, a.tk ta, b.tk tb, a.ty <> b.ty and len(a.tags) > 0 and len(b.tags) > 0 mis, ea.embedding va, eb.embedding vb
+  from ty a join ty b on b.id = a.id + 1 left join embeddings ea on ea.vec_id = a.id left join embeddings eb on eb.vec_id = b.id),
+sc as (select *, case when len(ta) = 0 or len(tb) = 0 then 0 else len(list_intersect(ta, tb))::double / (len(ta) + len(tb) - len(list_intersect(ta, tb))) end lex,
+ case when len(ga) = 0 and len(gb) = 0 then -1 when len(ga) = 0 or len(gb) = 0 then 0 else len(list_intersect(ga, gb))::double / (len(ga) + len(gb) - len(list_intersect(ga, gb))) * case when mis then 0.3 else 1 end end feat,
+ case when va is not null and vb is not null then list_cosine_similarity(va::double[], vb::double[]) end co from nb)"""
+
+
+@register("j3_j7_pair_scores", "with " + tgq.PROBLEMS + TAGGED + """
+select id, round(lex::decimal(28,10), 6)::double lexical, round(feat::decimal(28,10), 6)::double feature, mis type_mismatch,
+ round(greatest(0, least(1, case when co is not null and feat >= 0 then 0.6 * co + 0.25 * feat + 0.15 * lex when co is not null then 0.75 * co + 0.25 * lex when feat >= 0 then 0.55 * feat + 0.45 * lex else lex end
+  * case when mis then 0.45 else 1 end))::decimal(28,10), 6)::double hybrid from sc""")
+def pair_scores(spark, sf):
+    base = tg.with_feature_tags(tgq.problems(spark, sf), "problem", "history", "tags").withColumn("tokens", tx.tokens(F.col("problem"), lx.STOP_WORDS_HISTORY))
+    base = base.join(vw.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")), "id", "left")
+    a = base.select("id", *[F.col(c).alias(c + "_a") for c in ("tags", "type_key", "tokens", "embedding")])
+    b = base.select((F.col("id") - 1).alias("id"), *[F.col(c).alias(c + "_b") for c in ("tags", "type_key", "tokens", "embedding")])
+    c = F.col
+    both = a.join(b, "id")
+    keys = (c("tags_a"), c("tags_b"), c("type_key_a"), c("type_key_b"))
+    both = both.withColumns({
+        "lexical": pr.jaccard(c("tokens_a"), c("tokens_b")), "feature": pr.feature_similarity(*keys), "type_mismatch": pr.type_mismatch(*keys),
+        "cosine": F.when(c("embedding_a").isNotNull() & c("embedding_b").isNotNull(), pr.cosine(c("embedding_a"), c("embedding_b"))),
+    })
+    return both.select(
+        "id", rounded(c("lexical"), 6).alias("lexical"), rounded(c("feature"), 6).alias("feature"), "type_mismatch",
+        rounded(pr.hybrid(c("lexical"), c("feature"), c("type_mismatch"), c("cosine")), 6).alias("hybrid"),
+    )
+
+
+FAMILY_SQL = "case " + " ".join(f"when {{0}} in ({','.join(repr(i) for i in m)}) then '{f}'" for f, m in lx.INTENT_FAMILIES.items()) + " else {0} end"
+RELATED_SQL = ",".join(f"('{a}','{b}'),('{b}','{a}')" for a, b in lx.RELATED_INTENTS)
+
+
+@register("j11_j12_j15_intents", "with " + tgq.PROBLEMS + tgq.WITH_INTENT + f""", st as (select id sid, {tgq.tag_case(tgq.SQL_STRUCTURE)} s from low)
+select a.id, {FAMILY_SQL.format('a.intent')} = {FAMILY_SQL.format('b.intent')} compatible,
+ case when a.intent = b.intent then 1.0 when (a.intent, b.intent) in ({RELATED_SQL}) then 0.55 else 0.0 end::double intent_similarity,
+ round(coalesce(len(list_intersect(x.s, y.s))::double / nullif(len(x.s), 0), 0)::decimal(28,10), 6)::double overlap
+from it a join it b on b.id = a.id + 1 join st x on x.sid = a.id join st y on y.sid = b.id""")
+def intents(spark, sf):
+    base = tg.with_structure(tg.with_intent(tgq.problems(spark, sf), "problem"), "problem").select("id", "intent", "structure")
+    a = base.select("id", F.col("intent").alias("ia"), F.col("structure").alias("sa"))
+    b = base.select((F.col("id") - 1).alias("id"), F.col("intent").alias("ib"), F.col("structure").alias("sb"))
+    return a.join(b, "id").select(
+        "id", (pr.intent_family("ia") == pr.intent_family("ib")).alias("compatible"),
+        pr.intent_similarity(F.col("ia"), F.col("ib")).alias("intent_similarity"),
+        rounded(pr.overlap_ratio(F.col("sa"), F.col("sb")), 6).alias("overlap"),
+    )
+
+
+# --- few-shot retrieval ---------------------------------------------------------------------------------
+
+SUBJECT_OF = "case id % 8 when 2 then 'counting-probability' when 3 then 'counting-probability' when 4 then 'pre-calculus' when 6 then 'pre-calculus' else 'algebra' end"
+
+
+def bank_and_targets(spark, sf):
+    base = vw.math_problems(spark, sf).withColumn("subject", F.expr(SUBJECT_OF))
+    bank = base.select(F.col("id").alias("example_id"), F.col("id").alias("pos"), "subject", "problem", F.concat(F.lit("Answer: work it out, then "), F.col("size").cast("string")).alias("solution"))
+    targets = base.select(F.col("id").alias("target_id"), "problem", F.col("subject").alias("requested"))
+    return targets, bank
+
+
+FEW = "with " + vw.MATH + f""",
+src as (select *, id % 8 tpl, {SUBJECT_OF} subj, lower(problem) v, lower(replace(replace(problem, 'x^2', 'x²'), 'x^3', 'x³')) pv, regexp_replace(lower(problem), '[\\s?]|[.,;:!?]+$', '', 'g') canon from math_problems),
+tg as (select *, {tgq.tag_case(tgq.SQL_BANK_TAGS)} tags, list_filter(list_distinct(regexp_extract_all(v, '[a-z0-9_]+')), lambda x: not list_contains({sql_list(lx.STOP_WORDS_BANK)}, x)) tk,
+  list_filter(list_distinct(regexp_extract_all(pv, '[a-z0-9_]+')), lambda x: not list_contains({sql_list(lx.STOP_WORDS_BANK)}, x)) ptk from src),
+ty as (select *, list_sort(list_filter(tags, lambda x: list_contains({sql_list(lx.TYPE_FEATURES_BANK)}, x))) ty from tg),
+pairs as (select a.id a, b.id b, a.tpl, a.canon = b.canon same, len(list_intersect(a.tags, b.tags)) fi, len(a.tags) fa, len(b.tags) fb, len(list_intersect(a.ptk, b.tk)) ti, len(a.ptk) ta, len(b.tk) tb,
+  a.ty <> b.ty and len(a.tags) > 0 and len(b.tags) > 0 mis from ty a join ty b on a.subj = b.subj and (a.tpl = 5 or (a.tpl = b.tpl and a.canon <> b.canon))),
+sims as (select *, case when ta = 0 or tb = 0 then 0 else ti::double / (ta + tb - ti) end lex, case when fa = 0 and fb = 0 then null when fa = 0 or fb = 0 then 0 else fi::double / (fa + fb - fi) end * case when mis then 0.3 else 1 end feat from pairs),
+hyb as (select a, b, tpl, same, least(1, greatest(0, (case when feat is null then lex else 0.55::double * feat + 0.45::double * lex end) * case when mis then 0.45::double else 1 end)) h from sims),
+rk as (select *, row_number() over (partition by a order by h desc, b) k from hyb),
+used as (select * from rk where k <= 2 and not same)"""
+
+
+@register("f2_f5_few_shot_examples", FEW + " select a target_id, b example_id, k::bigint rank, round(h::decimal(28,10), 6)::double similarity from used")
+def few_shot_examples(spark, sf):
+    from gaugeline.operators import retrieval as rv
+
+    _, used = rv.few_shot(*bank_and_targets(spark, sf))
+    return used.select("target_id", "example_id", F.col("rank").cast("long").alias("rank"), rounded(F.col("similarity"), 6).alias("similarity"))
+
+
+@register("f1_f6_prompts", FEW + """,
+ex as (select a, count(*) n, string_agg('Q: ' || s.problem || chr(10) || 'A: work it out, then ' || s.size, chr(10) || chr(10) order by k) body from used join src s on s.id = b group by 1)
+select id target_id, 'zero_shot' technique, 'Solve the following math problem. ' || chr(10) || chr(10) || 'Q: ' || problem || chr(10) || 'A:' prompt, null error from src
+union all select id, 'few_shot', case when n >= 2 then 'Solve math problems like the examples below.' || chr(10) || chr(10) || body || chr(10) || chr(10) || 'Q: ' || problem || chr(10) || 'A:' end,
+ case when n is null then 'no_matching_examples' when n < 2 then 'too_few_examples' end from src left join ex on ex.a = id""")
+def prompts(spark, sf):
+    from gaugeline.operators import retrieval as rv
+
+    return rv.all_techniques(*bank_and_targets(spark, sf))
+
+
+@register("k3_diverse_examples")
+def diverse(spark, sf):
+    from gaugeline.operators import retrieval as rv
+
+    _, used = rv.few_shot(*bank_and_targets(spark, sf), max_examples=4, medium_examples=4, hard_examples=4)
+    return used.select("target_id", "example_id", F.col("rank").cast("long").alias("rank"), rounded(F.col("similarity"), 6).alias("similarity"))
