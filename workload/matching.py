@@ -188,13 +188,11 @@ def limited(spark, sf):
 # --- pair scores over adjacent rows (one partner per row) ------------------------------------------
 
 @register("j6_cosine", """
-with p as (select label, vec_id, embedding a, lead(embedding) over (partition by label order by vec_id) b from embeddings)
-select vec_id, round(list_cosine_similarity(a::double[], b::double[])::decimal(28,10), 6)::double cosine from p where b is not null""")
+select p.vec_id, round(list_cosine_similarity(p.embedding::double[], q.embedding::double[])::decimal(28,10), 6)::double cosine from embeddings p join embeddings q on q.vec_id = p.vec_id + 1""")
 def cosine(spark, sf):
-    from pyspark.sql import Window
-
-    near = vw.table(spark, sf, "embeddings").withColumn("b", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
-    return near.where("b is not null").select("vec_id", rounded(pr.cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
+    vectors = vw.table(spark, sf, "embeddings")
+    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return vectors.join(following, "vec_id").select("vec_id", rounded(pr.cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
 
 
 TAGGED = f""",
