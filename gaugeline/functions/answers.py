@@ -39,26 +39,28 @@ def lines_of(response: Column) -> Column:
     return F.filter(F.transform(F.split(response, "\n"), strip), lambda x: x != "")
 
 
+MATH_LIKE = r"(?s)\A(?:(?=.*\d)(?=.*[A-Za-z+\-*/^=()])|(?=.*[A-Za-z])(?=.*[+\-*/^=()])|\d+(?:\.\d+)?\z)"
+
+
 def math_like(text: Column) -> Column:
-    digit, letter = text.rlike(r"\d"), text.rlike("[A-Za-z]")
-    operator = text.rlike(r"[+\-*/^=()]")
-    return (digit & (operator | letter)) | (letter & operator) | text.rlike(r"\A\d+(?:\.\d+)?\z")
+    """Digits with an operator or a letter, letters with an operator, or a plain number."""
+    return text.rlike(MATH_LIKE)
 
 
 def inline_math(text: Column) -> Column:
     """The expression a sentence ends with, null when there is none."""
 
     def pick(value: Column) -> Column:
-        after_colon = _no_tail(_after(value, ":"))
-        assigned = _no_tail(strip(F.regexp_extract(value, r"(?i)\b(?:is|equals|becomes|gives)\s*[:=]\s*([^\n]+)$", 1)))
-        spoken = _no_tail(strip(F.regexp_extract(value, r"(?i)\b(?:is|equals|becomes|gives)\s+([-+]?\d[^\n]*?)$", 1)))
-        return (
-            F.when(F.contains(value, F.lit(":")) & math_like(after_colon), after_colon)
-            .when(math_like(assigned), assigned)
-            .when(math_like(spoken), spoken)
+        verb = value.rlike("(?i)is|equals|becomes|gives")
+        found = F.array(
+            F.when(F.contains(value, F.lit(":")), _after(value, ":")),
+            F.when(verb, F.regexp_extract(value, r"(?i)\b(?:is|equals|becomes|gives)\s*[:=]\s*([^\n]+)$", 1)),
+            F.when(verb, F.regexp_extract(value, r"(?i)\b(?:is|equals|becomes|gives)\s+([-+]?\d[^\n]*?)$", 1)),
         )
+        trimmed = F.transform(found, lambda x: _no_tail(strip(x)))
+        return F.get(F.filter(trimmed, lambda x: F.coalesce(math_like(x), F.lit(False))), F.lit(0))
 
-    return let(_no_tail(strip(text)), pick)
+    return let(_no_tail(strip(text)), lambda v: F.when(v.rlike("(?i):|is|equals|becomes|gives"), pick(v)))
 
 
 def has_label(response: Column) -> Column:
@@ -107,15 +109,20 @@ def answer_form(text: Column) -> Column:
         made = let(made, lambda m: F.when(F.contains(m, F.lit("=")), _after(m, "=")).otherwise(m))
         return F.regexp_replace(F.lower(_no_tail(made)), r"\s+", "")
 
-    return let(strip(F.regexp_replace(strip(text), LABEL_START, "")), build)
+    whole = let(strip(F.regexp_replace(strip(text), LABEL_START, "")), build)
+    # most candidates are bare numerals and already in their final form
+    return F.when(text.rlike(r"\A[-+]?\d+(?:\.\d+)?\z"), text).otherwise(whole)
 
 
 def _ratio(token: Column) -> Column:
     """Number of a plain or fractional numeral, null on a zero denominator."""
-    compact = F.regexp_replace(token, r"\s+", "")
-    top = F.substring_index(compact, "/", 1).try_cast("double")
-    bottom = F.substring_index(compact, "/", -1).try_cast("double")
-    return F.when(F.contains(compact, F.lit("/")), F.when(F.abs(bottom) >= 1e-12, F.try_divide(top, bottom))).otherwise(top)
+
+    def fraction(compact: Column) -> Column:
+        top = F.substring_index(compact, "/", 1).try_cast("double")
+        bottom = F.substring_index(compact, "/", -1).try_cast("double")
+        return let(bottom, lambda b: F.when(F.abs(b) >= 1e-12, F.try_divide(top, b)))
+
+    return F.when(F.contains(token, F.lit("/")), let(F.regexp_replace(token, r"\s+", ""), fraction)).otherwise(token.try_cast("double"))
 
 
 def numeric_value(text: Column) -> Column:
@@ -130,7 +137,8 @@ def numeric_value(text: Column) -> Column:
 
         return let(rhs, single)
 
-    return let(strip(F.regexp_replace(strip(text), LABEL_START, "")), parse)
+    bare = let(strip(F.regexp_replace(strip(text), LABEL_START, "")), parse)
+    return F.when(text.rlike(r"\A[-+]?\d+(?:\.\d+)?\z"), text.try_cast("double")).otherwise(F.when(text.rlike(r"\d"), bare))
 
 
 def numbers_agree(found: Column, found_text: Column, wanted: Column, wanted_text: Column) -> Column:
@@ -161,7 +169,9 @@ def value_set(text: Column) -> Column:
         distinct = F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull())))
         return let(distinct, lambda d: F.when(~algebra & (F.size(d) >= 2), d))
 
-    return let(strip(F.regexp_replace(tx.math_symbols(strip(text)), LABEL_START, "")), build)
+    made = let(strip(F.regexp_replace(tx.math_symbols(strip(text)), LABEL_START, "")), build)
+    # two values need two runs of digits, or one after a plus-minus sign
+    return F.when(text.rlike(r"[0-9](?s:.*)[^0-9](?s:.*)[0-9]|±|\+\s*/\s*-|[⁰¹²³⁴⁵⁶⁷⁸⁹]"), made)
 
 
 def _any_match(candidates: Column, expected: Column) -> Column:
@@ -171,7 +181,7 @@ def _any_match(candidates: Column, expected: Column) -> Column:
             number,
             lambda n: F.exists(
                 candidates,
-                lambda c: (answer_form(c) == form) | (n.isNotNull() & numbers_agree(numeric_value(c), c, n, expected)),
+                lambda c: (c == expected) | (n.isNotNull() & let(numeric_value(c), lambda v: numbers_agree(v, c, n, expected))) | (answer_form(c) == form),
             ),
         )
 

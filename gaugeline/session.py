@@ -25,6 +25,17 @@ def local_session(app: str = "gaugeline", cores: str = "8", memory: str = "8g")
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a costly projection over a small file.
+
+    A file of a few row groups arrives in fewer partitions than there are
+    cores; only then the rows are dealt out again. Inputs of any real size have
+    far more splits than cores and pass through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 

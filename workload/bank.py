@@ -140,7 +140,7 @@ def type_subjects(spark, sf):
 
 @register("u2_w5_distinct_texts", "select text problem, lang solution, min(doc_id) pos, count(*)::bigint copies from documents group by 1, 2")
 def distinct_texts(spark, sf):
-    docs = vw.table(spark, sf, "documents").select(F.col("text").alias("problem"), F.col("lang").alias("solution"), F.col("doc_id").alias("pos"))
+    docs = vw.texts(spark, sf).select(F.col("text").alias("problem"), F.col("lang").alias("solution"), F.col("doc_id").alias("pos"))
     return sp.distinct_examples(docs)
 
 
@@ -206,7 +206,7 @@ def bucket_report(spark, sf):
 
 @register("b6_cleaning_report", "select k.doc_id, d.text <> k.cleaned changed from (" + CLEAN.replace("LINES", "l") + ") k join documents d on d.doc_id = k.doc_id")
 def cleaning(spark, sf):
-    docs = vw.table(spark, sf, "documents").select("doc_id", F.col("text").alias("problem"), F.col("lang").alias("solution"))
+    docs = vw.texts(spark, sf).select("doc_id", F.col("text").alias("problem"), F.col("lang").alias("solution"))
     return bk.cleaning_report(docs).select("doc_id", (F.col("problem_first_change") > 0).alias("changed"))
 
 
@@ -268,7 +268,7 @@ k as (select *, list_filter(list_reverse(range(1, least(length(a), length(b), 50
 select doc_id, md5(a || substr(b, (coalesce(o, 0) + 1)::int)) digest, 2::bigint chunks from k""")
 def stitched(spark, sf):
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    docs = vw.table(spark, sf, "documents")
+    docs = vw.texts(spark, sf)
     parts = docs.select("doc_id", F.explode(F.array(
         F.struct(F.lit(1).alias("seq"), F.substr("text", F.lit(1), half + 20).alias("text")),
         F.struct(F.lit(2).alias("seq"), F.substr("text", F.greatest(half - 20, F.lit(0)) + 1).alias("text")),

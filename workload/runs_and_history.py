@@ -46,7 +46,7 @@ s as (select *,
 select doc_id, words::bigint words, used::bigint used, {r('time_score', 4)} time_score, {r('token_score', 4)} token_score, {r('conciseness', 4)} conciseness,
        {r('0.4 * time_score + 0.3 * token_score + 0.3 * conciseness', 3)} efficiency from s""")
 def efficiency(spark, sf):
-    d = vw.table(spark, sf, "documents").withColumns({
+    d = vw.texts(spark, sf).withColumns({
         "secs": F.col("doc_id") % 41, "prompt_tokens": F.col("doc_id") % 700, "completion_tokens": F.floor(F.col("n_chars") / 4),
     }).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     d = d.withColumn("words", mx.word_count(F.col("text")).cast("long"))

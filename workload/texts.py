@@ -109,7 +109,7 @@ def levels(spark, sf):
 
 @register("p11_problem_id", r"select doc_id, 'problem_' || sha1(trim(lower(regexp_replace(text, '\s+', ' ', 'g')))) problem_id from documents")
 def problem_id(spark, sf):
-    return vw.table(spark, sf, "documents").select("doc_id", tx.problem_id(F.col("text")).alias("problem_id"))
+    return vw.texts(spark, sf).select("doc_id", tx.problem_id(F.col("text")).alias("problem_id"))
 
 
 @register("p12_p16_detection_text", r"""
@@ -145,7 +145,7 @@ def signature(spark, sf):
 select doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(v, 'q:', ' '), 'a:', ' '), '\s+', '', 'g'), '[^a-z0-9^=+\-*/()\[\]{}|<>.,]', '', 'g'), '[.,;:!?]+$', '') canonical
 from (select doc_id, trim(lower(regexp_replace(regexp_replace(translate(text, '−–×÷', '--*/'), '([⁰¹²³⁴⁵⁶⁷⁸⁹])', '^\1', 'g'), '\s+', ' ', 'g'))) v from documents)""")
 def canonical(spark, sf):
-    return vw.table(spark, sf, "documents").select("doc_id", tx.canonical(F.col("text")).alias("canonical"))
+    return vw.texts(spark, sf).select("doc_id", tx.canonical(F.col("text")).alias("canonical"))
 
 
 CLEAN = r"""
@@ -159,12 +159,12 @@ select doc_id, case when n = 0 then v when n >= 6 and (short::double / n >= 0.55
 
 @register("p17_w7_example_text", CLEAN.replace("LINES", "list_filter(l, lambda x, i: i = 1 or x <> l[i - 1])"))
 def example_text(spark, sf):
-    return vw.table(spark, sf, "documents").select("doc_id", tx.example_text(F.col("text"), False).alias("cleaned"))
+    return vw.texts(spark, sf).select("doc_id", tx.example_text(F.col("text"), False).alias("cleaned"))
 
 
 @register("b6_clean_bank_text", CLEAN.replace("LINES", "l"))
 def bank_text(spark, sf):
-    return vw.table(spark, sf, "documents").select("doc_id", tx.example_text(F.col("text"), False, drop_repeats=False, keep_blocks=True).alias("cleaned"))
+    return vw.texts(spark, sf).select("doc_id", tx.example_text(F.col("text"), False, drop_repeats=False, keep_blocks=True).alias("cleaned"))
 
 
 @register("p18_p19_plain_math", r"""
@@ -188,7 +188,7 @@ u as (select doc_id, a, list_filter(a, lambda x: not list_contains({_sql_list(lx
 select doc_id, len(a)::bigint all_tokens, len(h)::bigint history_tokens, len(b)::bigint bank_tokens, md5(array_to_string(list_sort(h), ' ')) digest from u""")
 def tokens(spark, sf):
     text = F.col("text")
-    return vw.table(spark, sf, "documents").select(
+    return vw.texts(spark, sf).select(
         "doc_id", F.size(tx.tokens(text)).cast("long").alias("all_tokens"),
         F.size(tx.tokens(text, lx.STOP_WORDS_HISTORY)).cast("long").alias("history_tokens"),
         F.size(tx.tokens(text, lx.STOP_WORDS_BANK)).cast("long").alias("bank_tokens"),
