@@ -213,6 +213,9 @@ def select_examples(targets: DataFrame, bank: DataFrame, most: int, min_examples
     goals = keyed.join(links.drop("groups"), "link_text").withColumn("skip_identical", F.col("strict"))
     goals = durable(sm.prepare(goals, "ptext", "bank"))
     meets = links.select("a_group", F.explode("groups").alias("b_group")).distinct()
+    if most <= 2:  # one anchor and one support: always the two best, whatever the pool
+        best = sm.nearest(goals, bank, meets, most).join(goals.select("target_key", "wanted"), "target_key").where("place <= wanted")
+        return best.select("target_key", F.col("doc_id").alias("example_id"), F.col("place").alias("rank"), "similarity")
     ranked = sm.nearest(goals, bank, meets, 6 * most).withColumnRenamed("doc_id", "example_id")
 
     ranked = ranked.join(goals.select("target_key", "priority", "wanted"), "target_key")
@@ -225,8 +228,6 @@ def select_examples(targets: DataFrame, bank: DataFrame, most: int, min_examples
         .otherwise((F.col("similarity") > 0.3) & (F.col("place") <= 4 * F.col("wanted")))
     )
     pool = ranked.where(inside).drop("_high", "priority")
-    if most <= 2:  # one anchor and one support: the two best
-        return pool.where("place <= wanted").select("target_key", "example_id", F.col("place").alias("rank"), "similarity")
     pool = durable(pool)
     words = bank.select("example_id", tx.tokens(F.col("problem")).alias("words"))
     chosen = diversify(pool.join(words, "example_id").select("target_key", "place", "similarity", "words", "wanted"), weight)
@@ -263,11 +264,11 @@ def few_shot(
     goal = F.when(F.col("complexity") >= 3, hard_examples).when(F.col("complexity") == 2, medium_examples).otherwise(min_examples)
     wanted = F.greatest(F.lit(min_examples), F.least(goal, F.lit(max_examples)))
     resolved = resolved.withColumn("wanted", F.least(wanted, F.lit(max(min_examples, max_examples)))).withColumn("final_canonical", tx.canonical(F.col("problem")))
-    first = _target_labels(resolved.withColumn("attempt", F.lit(1)))
-    second = _target_labels(
-        resolved.where((F.col("detected") != F.col("subject")) & F.col("has_detected")).withColumns({"subject": F.col("detected"), "attempt": F.lit(2)})
-    )
-    kept = durable(first.unionByName(second).withColumn("target_key", F.concat_ws("#", F.col("target_id").cast("string"), F.col("attempt").cast("string"))))
+    # labels are stored once; the second attempt only looks at another subject
+    first = durable(_target_labels(resolved.withColumn("attempt", F.lit(1))))
+    second = first.where((F.col("detected") != F.col("subject")) & F.col("has_detected")).withColumns({"subject": F.col("detected"), "attempt": F.lit(2)})
+    second = second.withColumn("strict", tg.strict_matching(F.col("intent"), F.col("subject")))
+    kept = first.unionByName(second).withColumn("target_key", F.concat_ws("#", F.col("target_id").cast("string"), F.col("attempt").cast("string")))
     chosen = durable(select_examples(kept, examples, max(min_examples, max_examples), min_examples, weight))
 
     best = chosen.groupBy("target_key").agg(F.max("similarity").alias("best"))

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions import text as tx
-from gaugeline.functions.basics import rounded, strip
+from gaugeline.functions.basics import rounded, strip, words_literal
 from gaugeline.functions.pairs import feature_similarity, hybrid, jaccard_counts, type_mismatch
 from gaugeline.operators.tagging import with_feature_tags
-from gaugeline.session import durable
+from gaugeline.session import durable, shuffle_width
 
 CLASS = ["tag_key", "type_key", "signature", "n_tokens", "frequent"]
 SALTS = 8
@@ -42,13 +42,15 @@ def frequent_tokens(documents: DataFrame, share: float = 0.01, at_least: int = 1
     """The frequent tokens as one array value.
 
     A token is frequent when it occurs in more than ``share`` of the documents
-    (and more than ``at_least``), so the list cannot exceed the average number
-    of tokens per document divided by ``share``, whatever the table size.
+    (and more than ``at_least``). Every document holds at least one occurrence
+    per token it counts for, so the list cannot exceed the average number of
+    tokens per document divided by ``share``, whatever the table size; it is
+    small enough to travel inside the plan.
     """
     total = documents.agg(F.count("*")).scalar()
     counts = documents.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     kept = counts.where(F.col("df") > F.greatest(F.lit(at_least), total * share))
-    return kept.agg(F.collect_list("token")).scalar()
+    return words_literal(sorted(row.token for row in kept.collect()))
 
 
 def with_classes(df: DataFrame, group: str, frequent: Column, side: str) -> DataFrame:
@@ -101,8 +103,9 @@ def class_pairs(targets: DataFrame, documents: DataFrame, links: DataFrame | Non
     a = _side(targets, "a", "a_group", ["a_class"])
     b = _side(documents, "b", "b_group", ["b_class"])
     a = a.withColumn("b_group", F.col("a_group")) if links is None else a.join(links, "a_group")
-    a = a.withColumn("_salt", F.pmod(F.xxhash64("a_class"), F.lit(SALTS)).cast("int"))
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    width = shuffle_width(targets.sparkSession)
+    a = a.withColumn("_salt", F.pmod(F.xxhash64("a_class"), F.lit(SALTS)).cast("int")).repartition(width, "b_group", "_salt")
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(width, "b_group", "_salt")
     return a.join(b, ["b_group", "_salt"]).select(
         "a_class", "b_class", "a_signature", "b_signature", _score(_shared_frequent()).alias("similarity")
     )
@@ -115,6 +118,8 @@ def rare_pairs(targets: DataFrame, documents: DataFrame, links: DataFrame | None
     a = a.withColumn("b_group", F.col("a_group")) if links is None else a.join(links, "a_group")
     left = a.select("a_text", "b_group", F.explode(F.split("_rare", " ")).alias("token")).where("token <> ''")
     right = b.select("b_text", "b_group", F.explode(F.split("_rare", " ")).alias("token")).where("token <> ''")
+    width = shuffle_width(targets.sparkSession)
+    left, right = left.repartition(width, "b_group", "token"), right.repartition(width, "b_group", "token")
     shared = left.join(right, ["b_group", "token"]).groupBy("a_text", "b_text").agg(F.count("*").alias("n_rare"))
     a_side = a.select("a_text", "a_class", *[f"a_{c}" for c in CLASS]).distinct()
     b_side = b.select("b_text", "b_class", *[f"b_{c}" for c in CLASS])
@@ -174,8 +179,9 @@ def match_history(
     docs = durable(with_classes(docs, "b_group", frequent, "b"))
     goals = durable(with_classes(prepare(targets, "problem").withColumn("a_group", block), "a_group", frequent, "a"))
 
-    facts = _measures(docs, scores, techniques, by_score)
     item = ["technique", "score"]
+    facts = _measures(docs, scores, techniques, by_score)
+    facts = durable(facts.groupBy("b_text", "b_class", *item).agg(*[F.sum(s).alias(s) for s in SUMS]))
 
     def summed(key: str) -> DataFrame:
         return facts.groupBy(key, *item).agg(*[F.sum(s).alias(s) for s in SUMS])
@@ -201,7 +207,7 @@ def match_history(
     raised = F.when(F.col("preliminary_count") > 15, 0.60).when(F.col("preliminary_count") > 0, floor).otherwise(quiet)
     if respect_min:
         raised = F.greatest(raised, F.lit(min_similarity))
-    counted = counted.withColumn("threshold", raised).select("a_text", "a_class", "preliminary_count", "threshold")
+    counted = durable(counted.withColumn("threshold", raised).select("a_text", "a_class", "preliminary_count", "threshold"))
 
     def weighted(weight: Column) -> list[Column]:
         exact = weight.cast("decimal(18,12)")

@@ -36,6 +36,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions of an explicit shuffle; AQE does not merge those, unlike small but work-heavy ones."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
