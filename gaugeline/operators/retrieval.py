@@ -26,6 +26,11 @@ LABELS = ["subject", "ex_type", "ex_intent", "ex_family", "ex_rate", "ex_conditi
 EQUATIONS = ["solve_equation", "real_solutions", "system"]
 
 
+def _identity(text: Column) -> Column:
+    """Digest of the canonical text, so that no texts travel just to be compared."""
+    return F.md5(tx.canonical(text).cast("binary"))
+
+
 def prepare_bank(bank: DataFrame) -> DataFrame:
     """Examples with all labels the cascade reads. Needs example_id, pos, subject, problem, solution; type and constraints are optional."""
     made = bank.where("problem <> '' and solution <> ''").withColumn("_det", tx.detection_text(F.col("problem")))
@@ -40,7 +45,7 @@ def prepare_bank(bank: DataFrame) -> DataFrame:
         "ex_conditional": F.expr(ft.conditional_example("_both")),
         "ex_constraints": F.coalesce(limits, F.lit("")),
         "signature": tx.signature(F.col("problem")),
-        "canonical": tx.canonical(F.col("problem")),
+        "canonical": _identity(F.col("problem")),
     })
     made = sm.prepare(made, "problem", "bank").drop("_det", "_low", "_both")
     return made.withColumn("doc_id", F.col("example_id")).withColumn("b_group", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in LABELS]))
@@ -82,7 +87,7 @@ def _target_labels(df: DataFrame) -> DataFrame:
         "limits": F.array_join(F.when(descriptive, F.array_remove(limits, "positive_values")).otherwise(limits), ","),
         "conditional": F.expr(ft.conditional_question("_low")),
         "signature": tx.signature(F.col("ptext")),
-        "canonical": tx.canonical(F.col("ptext")),
+        "canonical": _identity(F.col("ptext")),
     }).drop("_det", "_low")
 
 
@@ -263,7 +268,7 @@ def few_shot(
     resolved = tg.with_complexity(resolved, "ptext", "subject")
     goal = F.when(F.col("complexity") >= 3, hard_examples).when(F.col("complexity") == 2, medium_examples).otherwise(min_examples)
     wanted = F.greatest(F.lit(min_examples), F.least(goal, F.lit(max_examples)))
-    resolved = resolved.withColumn("wanted", F.least(wanted, F.lit(max(min_examples, max_examples)))).withColumn("final_canonical", tx.canonical(F.col("problem")))
+    resolved = resolved.withColumn("wanted", F.least(wanted, F.lit(max(min_examples, max_examples)))).withColumn("final_canonical", _identity(F.col("problem")))
     # labels are stored once; the second attempt only looks at another subject
     first = durable(_target_labels(resolved.withColumn("attempt", F.lit(1))))
     second = first.where((F.col("detected") != F.col("subject")) & F.col("has_detected")).withColumns({"subject": F.col("detected"), "attempt": F.lit(2)})

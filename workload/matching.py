@@ -8,11 +8,10 @@ from gaugeline.functions import lexicon as lx
 from gaugeline.functions import pairs as pr
 from gaugeline.functions import text as tx
 from gaugeline.functions.basics import rounded
-from gaugeline.operators import history as hs
 from gaugeline.operators import routing as rt
 from gaugeline.operators import similarity as sm
 from gaugeline.operators import tagging as tg
-from gaugeline.session import durable
+from gaugeline.plans.benchmark import rankings_for
 from workload import tags as tgq
 from workload import views as vw
 
@@ -136,11 +135,7 @@ DG = "round(dg::decimal(28,10), 8)::double"
 
 def rankings(spark, sf):
     targets, docs, scores = stored(spark, sf)
-    found = durable(sm.match_history(targets, docs, scores))
-    profile = hs.ranking_summary(sm.profile_ranking(found), ["target_id"]).join(sm.match_summary(found).select("target_id", "matched_documents"), "target_id", "right")
-    block = docs.select("domain", "difficulty", F.col("doc_id").alias("problem_id"), "winner_technique")
-    ranked = hs.domain_ranking(block, scores.withColumnRenamed("doc_id", "problem_id").join(block.drop("winner_technique"), "problem_id"))
-    return targets, rt.with_rankings(targets, profile, hs.ranking_summary(ranked, hs.BLOCK))
+    return targets, rankings_for(targets, docs, scores)
 
 
 @register("d2_preselection", MATCHES + PROFILE + ROUTES + f""",
