@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions import answers as an
 from gaugeline.functions.basics import rounded
 from gaugeline.operators import scoring as sco
+from gaugeline.plans.benchmark import benchmark
 from workload import views as vw
 from workload.texts import pick
 
@@ -187,6 +188,22 @@ def scored(spark, sf):
     return sco.score_runs(vw.responses(spark, sf)).select("problem_id", "technique", "run_index", "elapsed_time", "success", "accuracy", "efficiency", "normalized_output")
 
 
+@register("b11_benchmark_job", "with " + vw.RESPONSES.replace("cast(cast(l_quantity as int) as varchar) ground_truth", "(l_orderkey % 50 + 1)::varchar ground_truth") + SCORED.removeprefix("with " + vw.RESPONSES) + """,
+k as (select problem_id, technique, success, accuracy, case when success then round(eff::decimal(28,10), 3)::double else 0.0 end efficiency, case when success then 'num:' || said else 'error:run_' || run_index end okey from e),
+c as (select problem_id, technique, max(n) matching from (select problem_id, technique, okey, count(*) n from k group by all) group by 1, 2),
+g as (select problem_id, technique, count(*) n, count(*) filter (success) ok, sum(accuracy::decimal(18,10)) filter (success) a, sum(efficiency::decimal(18,10)) filter (success) ef from k group by 1, 2),
+h as (select g.*, a::double / ok aa, ef::double / ok ee, case when n >= 2 then matching::double / n end cc from g join c using (problem_id, technique) where ok > 0),
+o as (select problem_id, technique, round(aa::decimal(28,10), 3)::double accuracy, round(cc::decimal(28,10), 3)::double consistency, round(ee::decimal(28,10), 3)::double efficiency,
+ round((case when cc is null then (aa + ee) / 2 else (aa + ee + cc) / 3 end)::decimal(28,10), 3)::double overall from h)
+select *, row_number() over (partition by problem_id order by overall desc, technique)::bigint place from o""")
+def benchmark_job(spark, sf):
+    runs = vw.responses(spark, sf).drop("ground_truth")
+    orders = vw.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("problem_id")).distinct()
+    problems = orders.select("problem_id", F.lit(None).cast("string").alias("problem"), (F.col("problem_id") % 50 + 1).cast("string").alias("answer"))
+    made = benchmark(runs, problems, vw.WEIGHTS)
+    return made["comparison"].select("problem_id", "technique", "accuracy", "consistency", "efficiency", "overall", F.col("place").cast("long").alias("place"))
+
+
 @register("j1_runs_with_ground_truth", """
 select l_orderkey problem_id, l_linenumber run_index, l_partkey technique, l_suppkey, case when o_orderkey is not null then 'order ' || o_orderkey end problem, case when o_orderkey % 3 = 0 then null else floor(o_totalprice)::int::varchar end ground_truth
 from lineitem left join orders on l_orderkey = o_orderkey and o_orderstatus <> 'P'""")
