@@ -244,6 +244,25 @@ def upgraded(spark, sf):
     return bk.upgrade_metadata(base).select("id", "type", F.array_join("constraints", ",").alias("constraints"), "concept", "template", "difficulty", F.col("assigned_variable_count").cast("long").alias("assigned_variable_count"), "anchor_priority")
 
 
+SKILL_CASE = "case kind " + " ".join(f"when '{k}' then {tgq._sql_list(v)}" for k, v in lx.SKILLS_BY_INTENT.items()) + " else [] end"
+KEPT_ORDER = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+@register("b3_k6_inferred_lists", "with " + tgq.PROBLEMS + INTENTS + f""",
+f as (select id, subject, case when id % 3 = 0 then 'solve_equation' when intent = 'expand' then 'polynomial_expansion' else intent end kind, list_sort({tgq.tag_case(tgq.CONSTRAINTS)}) limits,
+  {tgq.tag_case([(s, FEATURES[n]) for n, s in lx.SKILLS_BY_FEATURE])} by_feature, {tgq.tag_case([(n, FEATURES[n]) for n in lx.TAG_FEATURES])} tagged,
+  {tgq.tag_case([('quartic', tgq.m(r'x\^4|x4')), ('cubic', tgq.m(r'x\^3|x3')), ('quadratic', tgq.m(r'x\^2|x2'))])} powers from it),
+g as (select id, {SKILL_CASE} || by_feature || case when len(limits) > 0 then ['constraint_filtering'] else [] end sk, [replace(subject, '-', '_'), kind] || tagged || powers || limits tg from f)
+select id, coalesce(nullif(array_to_string(({KEPT_ORDER.format('sk')})[1:4], ','), ''), 'algebraic_reasoning') skills, array_to_string(({KEPT_ORDER.format('tg')})[1:8], ',') tags from g""")
+def inferred_lists(spark, sf):
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    base = tgq.problems(spark, sf).withColumns({
+        "solution": F.lit("done"), "bucket": text, "type": F.when(F.col("id") % 3 == 0, "Equation"), "concept": none, "skills": none, "template": text,
+        "constraints": none, "difficulty": text, "tags": none, "anchor_priority": text,
+    })
+    return bk.upgrade_metadata(base).select("id", F.array_join("skills", ",").alias("skills"), F.array_join("tags", ",").alias("tags"))
+
+
 @register("b7_j9_added_examples", "with " + vw.MATH + """,
 n as (select id pos, case id % 4 when 0 then 'history' else 'algebra' end subject, case id % 3 when 0 then 'basic' when 1 then 'advanced' else 'odd' end difficulty, problem from math_problems),
 k as (select *, row_number() over (partition by subject, difficulty, lower(problem) order by pos) r from n)
