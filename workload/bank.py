@@ -299,24 +299,24 @@ def stitched(spark, sf):
 # --- stored history -----------------------------------------------------------------------------
 
 @register("s10_history_upsert", "with " + vw.WINNERS + """
-select ['algebra','pre-calculus','counting-probability'][(problem_id % 3) + 1] as "domain", problem_id, best_technique winner_technique, case when problem_id % 4 = 0 then 'second' else 'first' end as batch from winners""")
+select ['algebra','pre-calculus','counting-probability'][(problem_id % 3) + 1] as "domain", problem_id, best_technique winner_technique, case when best_technique = 'click' then 'second' else 'first' end as batch from winners""")
 def upsert(spark, sf):
     path = scratch_path(spark, "history")
     won = rn.greedy_winner(vw.results(spark, sf)).select(*vw.blocks("problem_id"), "problem_id", F.col("best_technique").alias("winner_technique"))
     st.upsert_history(won.withColumn("batch", F.lit("first")), path, 1)
-    st.upsert_history(won.where("problem_id % 4 = 0").withColumn("batch", F.lit("second")), path, 2)
+    st.upsert_history(won.where("winner_technique = 'click'").withColumn("batch", F.lit("second")), path, 2)
     return st.read_history(spark, path).select("domain", "problem_id", "winner_technique", "batch")
 
 
 @register("s11_baseline_rows", "with " + vw.RUNS + """,
 f as (select problem_id, accuracy, (accuracy + efficiency) / 2 ov, row_number() over (partition by problem_id order by run_index desc) back from runs where technique = 'click'),
 av as (select problem_id, round((sum(accuracy::decimal(18,10))::double / count(*))::decimal(28,10), 4)::double accuracy, round((sum(round(ov::decimal(28,10), 6)::double::decimal(18,10))::double / count(*))::decimal(28,10), 4)::double ov from f where back <= 3 group by 1)
-select problem_id, accuracy, coalesce(case when problem_id % 2 = 0 then 0.75 end, ov)::double overall, case when problem_id % 2 = 0 then 0.5 end::double consistency, 'raw_baseline' technique from av""")
+select problem_id, accuracy, coalesce(case when accuracy >= 0.5 then 0.75 end, ov)::double overall, case when accuracy >= 0.5 then 0.5 end::double consistency, 'raw_baseline' technique from av""")
 def baseline_rows(spark, sf):
     from workload.runs_and_history import _run_scores
 
     averages = hs.last_three_average(hs.last_runs(_run_scores(spark, sf).where("technique = 'click'"), ["problem_id"]))
-    composite = averages.where("problem_id % 2 = 0").select("problem_id", F.lit(0.75).alias("overall"), F.lit(0.5).alias("consistency"))
+    composite = averages.where("accuracy >= 0.5").select("problem_id", F.lit(0.75).alias("overall"), F.lit(0.5).alias("consistency"))
     return hs.baseline_row(averages, composite).select("problem_id", "accuracy", "overall", "consistency", "technique")
 
 
