@@ -78,12 +78,12 @@ from e where w + interval '1 day' <= (select max(ts) from events) - interval '10
 def live(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     runs = stream(spark, sf, "events").select(
-        "event_id", F.expr("to_timestamp_ltz(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'))").alias("ts"), F.col("event_type").alias("technique"),
+        "event_id", vw.utc("ts").alias("ts"), F.col("event_type").alias("technique"),
         (k % 10 != 0).alias("success"), (F.col("value") / 10).alias("elapsed_time"),
     )
     sink, checkpoint = ev.stream_scratch(spark, "r5")
     ev.run_available(ev.live_aggregates(runs, "1 day", "10 minutes"), sink, checkpoint)
-    return spark.read.parquet(sink).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "technique", "runs", "succeeded", "elapsed_time")
+    return spark.read.parquet(sink).select(F.expr("cast(date_from_unix_date(cast(unix_seconds(window_start) div 86400 as int)) as string)").alias("day"), "technique", "runs", "succeeded", "elapsed_time")
 
 
 @register("r4_r7_history_from_stream", """
@@ -100,8 +100,7 @@ def history_stream(spark, sf):
 select o_orderkey example_id, 'added' "state" from orders union all
 select o_orderkey, 'expired' from orders where o_orderdate + interval '3 days' <= (select max(o_orderdate) from orders) - interval '1 minute'""")
 def expired(spark, sf):
-    stamp = F.expr("to_timestamp_ltz(date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'))")
-    rows = stream(spark, sf, "orders").select(F.col("o_orderkey").alias("example_id"), stamp.alias("created_at")).withColumn("expires_at", F.col("created_at") + F.expr("interval 3 days"))
+    rows = stream(spark, sf, "orders").select(F.col("o_orderkey").alias("example_id"), vw.utc("o_orderdate").alias("created_at")).withColumn("expires_at", F.col("created_at") + F.expr("interval 72 hours"))
     ev.use_rocksdb(spark)
     sink, checkpoint = ev.stream_scratch(spark, "r6")
     ev.run_available(ev.expiring_examples(rows), sink, checkpoint)

@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def utc(name: str):
+    """A zone-less timestamp column read as UTC, whatever the session's zone is."""
+    return F.expr(
+        f"timestamp_micros(cast(datediff(to_date({name}), date'1970-01-01') as bigint) * 86400000000L + hour({name}) * 3600000000L"
+        f" + minute({name}) * 60000000L + cast(extract(second from {name}) * 1000000 as bigint))"
+    )
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """The documents, on all cores: whole texts make costly projections."""
     return spread(table(spark, sf, "documents"))
