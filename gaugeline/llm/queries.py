@@ -5,8 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import line_dedup, mixing, pii
-from gaugeline.llm.common import table
+import corpus_pipeline
+from gaugeline.llm import jaccard_join, langid, line_dedup, mixing, mtree, multiset_hash, packing, pii, toxicity, url_filter
+from gaugeline.llm.common import crc_mod, table
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), crc_mod(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    scored = toxicity.score(docs, chain)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, crc_mod(F.col("doc_id"), 5) != 0)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +38,28 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP5_SQL = """
+with v as (
+  select vec_id, min([floor(1024 * x::double) for x in embedding]) as v from embeddings
+  where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0 group by vec_id
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
+)
+select * from ranked where rank <= 10
+"""
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.packed(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -45,5 +88,49 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op4_personal_data": op4_personal_data, "op7_line_dedup": op7_line_dedup, "op8_mixing": op8_mixing}
-ORACLES = {"op7_line_dedup": OP7_SQL}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)
+), sizes as (
+  select words.doc_id, count(s) as n from words left join shingles using (doc_id) group by words.doc_id
+), links as (
+  select x.doc_id as a, y.doc_id as b from shingles x join shingles y using (s)
+  where x.doc_id <> y.doc_id group by x.doc_id, y.doc_id
+  having 100 * count(*) >= 75 * ((select n from sizes where sizes.doc_id = x.doc_id) + (select n from sizes where sizes.doc_id = y.doc_id) - count(*))
+), reach as (
+  select doc_id as a, doc_id as b from words union select reach.a, links.b from reach join links on reach.b = links.a
+)
+select doc_id, n as n_shingles, (select min(b) from reach where a = doc_id) as component_id from sizes
+"""
+
+
+def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compared(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
+    "op4_personal_data": op4_personal_data,
+    "op5_top_k": op5_top_k,
+    "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_mixing": op8_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_multiset_hash": op10_multiset_hash,
+    "pipeline": pipeline,
+}
+ORACLES = {"op5_top_k": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL}
