@@ -51,6 +51,8 @@ class Model:
         parts, at = [], 0
         while at < len(marked):
             for step, n in enumerate(LENGTHS, 1):
+                if n == 1 and marked[at] in "\x02\x03":
+                    break  # a word's end alone says nothing
                 found = self.tables[n].get(marked[at : at + n]) if at + n <= len(marked) else None
                 if found is not None:
                     parts.append(found - STEP * step)
