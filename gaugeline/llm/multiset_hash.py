@@ -70,8 +70,13 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return exact, lanes
 
 
+def packed(exact: np.ndarray, lanes: np.ndarray) -> list[bytes]:
+    return [a.astype("<u4").tobytes() + b.astype("<u2").tobytes() for a, b in zip(exact, lanes, strict=True)]
+
+
 def encoded(exact: np.ndarray, lanes: np.ndarray) -> list[str]:
-    return [base64.b64encode(a.astype("<u4").tobytes() + b.astype("<u2").tobytes()).decode() for a, b in zip(exact, lanes, strict=True)]
+    """Fingerprints as text, in base 64."""
+    return [base64.b64encode(x).decode() for x in packed(exact, lanes)]
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +114,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fingerprint", of("text"))
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
@@ -121,7 +126,7 @@ def _judged(doc_ids: list, texts: list[str], following: list[str]) -> dict[str,
     own, changed, after = vectors(texts), vectors(edited), vectors(following)
     columns = (
         doc_ids, [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited],
-        encoded(*own), encoded(*changed), likeness(own, changed).tolist(), likeness(own, after).tolist(),
+        packed(*own), packed(*changed), likeness(own, changed).tolist(), likeness(own, after).tolist(),
     )
     return dict(zip(NAMES, columns, strict=True))
 
@@ -130,7 +135,7 @@ def _batch(columns: dict[str, list], names: list[str]):
     """An Arrow batch of the columns; those that are missing are null."""
     import pyarrow as pa
 
-    kinds = {"place": pa.int32(), "kind": pa.int32(), "doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    kinds = {"fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "place": pa.int32(), "kind": pa.int32(), "doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
     rows = len(columns["doc_id"])
     return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * rows), kinds.get(c, pa.string())) for c in names], names=names)
 
@@ -183,4 +188,5 @@ def compared(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield _batch(_judged(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "following")]), NAMES)
 
-    return rows.where("kind = 0").select(*NAMES).unionByName(edges.mapInArrow(finish, RESULT))
+    both = rows.where("kind = 0").select(*NAMES).unionByName(edges.mapInArrow(finish, RESULT))
+    return both.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})

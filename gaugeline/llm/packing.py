@@ -14,52 +14,78 @@ from __future__ import annotations
 import heapq
 import os
 import unicodedata
+from array import array
 
 from pyspark.sql import DataFrame
 
 #: Context sizes; the longest is the limit of a sequence.
 TIERS = (2048, 1024, 512, 256)
-#: Tokens that a task packs at a time, tokens of a step group, and words whose ids a task remembers.
-BUFFER, STEP_TOKENS, REMEMBERED = 1 << 21, 1 << 16, 500_000
+#: Tokens that a task packs at a time, tokens of a step group, words whose ids a worker remembers, and the longest of them.
+BUFFER, STEP_TOKENS, REMEMBERED, LONGEST = 1 << 21, 1 << 16, 400_000, 64
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 )
 
 
+class Memory(dict):
+    """Values by word, made when asked for; at ``REMEMBERED`` words, those not asked for since the last time go."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def hold(self, words: set[str]) -> None:
+        """Make sure that all the words are held until the next call."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > REMEMBERED:
+            self.old = {w: x for w, x in self.items() if len(w) <= LONGEST}
+            self.clear()
+            new = list(words)
+        known = self.old
+        self.update((w, known[w]) for w in new if w in known)
+        new = [w for w in new if w not in known]
+        self.update(zip(new, self.make(new), strict=True))
+
+
 class WordIds:
     """Token ids as bytes of unsigned 32-bit numbers, by the words between white space.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so the ids of a text are those of its
-    words in order. Words are looked up first as they stand and then by their letters alone; the memory is emptied when full.
+    words in order. Words are looked up first as they stand and then by their letters alone.
     """
 
     def __init__(self, tokenizer):
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.words, self.cores = {}, {}
+        self.words, self.cores = Memory(self._joined), Memory(self._ids)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(x.ids, "<u4").tobytes() for x in self.encode(parts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        words = {w for w in words if w not in self.words}
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        if len(self.cores) > REMEMBERED:
-            self.cores.clear()
-        split = {w: _letters(w) for w in words}
-        new = list({p for w, parts in split.items() for p in parts if p not in self.cores})
-        self.cores.update(zip(new, self._ids(new), strict=True))
-        for w, parts in split.items():
-            self.words[w] = b"".join(map(self.cores.__getitem__, parts))
+        return [array("I", x.ids).tobytes() for x in self.encode(parts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        split = [_letters(w) for w in words]
+        self.cores.hold({p for parts in split for p in parts})
+        return [b"".join(map(self.cores.__getitem__, parts)) for parts in split]
 
     def of(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set().union(*words))
+        self.words.hold(set().union(*words))
         return [b"".join(map(self.words.__getitem__, x)) for x in words]
 
 
+#: What a Python worker has learned, by tokenizer: it serves all tasks of the worker.
+_LEARNED: dict[int, WordIds] = {}
+
+
+def learned(model: str) -> WordIds:
+    from tokenizers import Tokenizer
+
+    key = hash(model)
+    if key not in _LEARNED:
+        _LEARNED.clear()
+        _LEARNED[key] = WordIds(Tokenizer.from_str(model))
+    return _LEARNED[key]
+
+
 def _letters(word: str) -> list[str]:
     """A word as letters in lower case and the full stop or comma behind them, where these are all it has."""
     core = word.rstrip(".,")
@@ -161,14 +187,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers=TIERS) -> DataF
 
     def task(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        ids_of = WordIds(Tokenizer.from_str(model.value))
+        ids_of = learned(model.value)
         partition = TaskContext.get().partitionId() << 33
-        last = np.array([end_id], "<u4").tobytes()
+        last = array("I", [end_id]).tobytes()
         held, waiting, tokens, made, stepped = {}, [], 0, 0, 0  # held: (doc_id, ids) by the number of the document
         schema = pa.schema([
             ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),

@@ -53,7 +53,7 @@ def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
     for end in range(1, len(name) + 1):
         for start in range(max(0, end - LONGEST), end):
             n = counts.get(name[start:end], 0)
-            cost = math.log(n / total) if n else math.log(10 / max(total, 1)) - (end - start) * math.log(10)
+            cost = math.log(n / total) if n else -math.log(total + 2) - (end - start) * math.log(10)
             if best[start] + cost > best[end]:
                 best[end], back[end] = best[start] + cost, start
     words, end = [], len(name)

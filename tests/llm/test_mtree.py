@@ -27,6 +27,7 @@ def vectors(seed, n, dims=6, clusters=5):
 
 
 def run(spark, rows, **kw):
+    rows = [(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows]
     return sorted(map(tuple, mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), **kw).collect()))
 
 
@@ -38,7 +39,7 @@ def test_equals_brute_force(spark, monkeypatch, part, page, cells):
     monkeypatch.setattr(mtree, "BLOCK", 3)
     rows = vectors(1, 500) + [(1000 + k, [0.5] * 6) for k in range(150)]  # many equal vectors
     rows += [(2000, None), (2100, [1.0, None, 0, 0, 0, 0]), (2200, [float("nan")] * 6), (2300, [float("inf")] * 6), (None, [1.0] * 6)]
-    rows += [(2400, [0.0] * 6), (2500, [3.0]), (2600, []), (-300, [0.1] * 6), (100, [9.0] * 6), (2700, [3e5, -3e5, 0, 0, 0, 0]), (2800, [4e4, -5e4, 1, 0, 0, 0])]
+    rows += [(2400, [0.0] * 6), (2500, [3.0]), (2600, []), (-300, [0.1] * 6), (100, [9.0] * 6), (2700, [1e5, -1e5, 0, 0, 0, 0]), (2800, [4e4, -5e4, 1, 0, 0, 0])]
     assert run(spark, rows, every=50) == brute(rows, 50)
 
 
@@ -49,8 +50,9 @@ def test_few_or_no_vectors(spark):
 
 def test_pruning_skips_work(monkeypatch):
     """On clustered vectors most pages are never opened."""
-    rows = vectors(2, 4000, dims=8, clusters=40)
-    x = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8, 8))[np.arange(4000) % 8] + rng.normal(size=(4000, 8)) * 0.02
+    x = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
     root = mtree.Root(x[:4], float((x.astype(float) ** 2).sum(1).max()), 8)
     part = mtree.Part(root, 0, np.arange(4000), x)
     opened = []
