@@ -11,7 +11,6 @@ Paragraphs are the lines of a text that hold more than white space.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 
 import numpy as np
@@ -75,12 +74,12 @@ def packed(exact: np.ndarray, lanes: np.ndarray) -> list[bytes]:
 
 
 def encoded(exact: np.ndarray, lanes: np.ndarray) -> list[str]:
-    """Fingerprints as text, in base 64."""
-    return [base64.b64encode(x).decode() for x in packed(exact, lanes)]
+    """Fingerprints as text, in hexadecimal."""
+    return [x.hex() for x in packed(exact, lanes)]
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = base64.b64decode(fingerprint)
+    raw = bytes.fromhex(fingerprint)
     return np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<u2")
 
 
@@ -189,4 +188,4 @@ def compared(docs: DataFrame) -> DataFrame:
             yield _batch(_judged(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "following")]), NAMES)
 
     both = rows.where("kind = 0").select(*NAMES).unionByName(edges.mapInArrow(finish, RESULT))
-    return both.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
