@@ -9,7 +9,6 @@ aggregated by Spark; every document is then scored in one pass, without a shuffl
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 SAMPLE, WORDS, GRAMS = 4000, 20_000, 5_000
 #: Length of character n-grams, longest first; words carry a mark at both ends. Log penalty per step down from words.
 LENGTHS, STEP = (5, 4, 3, 2, 1), 0.5
-#: Words and their scores that a task remembers, and the characters that count of a word's n-grams.
-REMEMBERED, LONGEST = 200_000, 64
+#: Words and their scores that a task remembers, the characters that count of a word's n-grams, texts scored at a time.
+REMEMBERED, LONGEST, DOCS = 500_000, 64, 500
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -33,7 +32,7 @@ class Model:
         """rows: (lang, kind, item, n); kind 0 is a word, otherwise the length of the n-gram."""
         self.langs = sorted({r[0] for r in rows})
         column = {x: k for k, x in enumerate(self.langs)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
+        self.tables: dict[int, dict[str, np.ndarray]] = {}  # kind 0 stays: the known words
         for kind in (0, *LENGTHS):
             items: dict[str, np.ndarray] = {}
             for lang, k, item, n in rows:
@@ -41,41 +40,57 @@ class Model:
                     items.setdefault(item, np.zeros(len(self.langs)))[column[lang]] += n
             total = sum(items.values()) + 0.5 * (len(items) + 1) if items else 1.0
             self.tables[kind] = {x: np.log((v + 0.5) / total) for x, v in items.items()}
-        self.scores: dict[str, np.ndarray] = {}
+        # all n-grams in one table, the penalty of their length included
+        self.grams: dict[str, int] = {}
+        rows = []
+        for step, n in enumerate(LENGTHS, 1):
+            for x, v in self.tables.pop(n).items():
+                if x not in "\x02\x03":  # a word's end alone says nothing
+                    self.grams[x] = len(rows)
+                    rows.append(v - STEP * step)
+        self.gram_rows = np.array(rows).reshape(len(rows), len(self.langs))
+        self.place: dict[str, int] = {}
+        self.rows = np.empty((0, len(self.langs)))
 
     def word(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
         if known is not None:
             return known
-        marked = f"\x02{word[:LONGEST]}\x03"
-        parts, at = [], 0
-        while at < len(marked):
-            for step, n in enumerate(LENGTHS, 1):
-                if n == 1 and marked[at] in "\x02\x03":
-                    break  # a word's end alone says nothing
-                found = self.tables[n].get(marked[at : at + n]) if at + n <= len(marked) else None
-                if found is not None:
-                    parts.append(found - STEP * step)
+        marked, grams, found = f"\x02{word[:LONGEST]}\x03", self.grams, []
+        for at in range(len(marked)):
+            for n in LENGTHS:
+                row = grams.get(marked[at : at + n])
+                if row is not None:
+                    found.append(row)
                     break
-            at += 1
         # the mean over positions, so that an unseen word weighs like one word
-        return np.mean(parts, axis=0) if parts else np.zeros(len(self.langs))
-
-    def score(self, text: str) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall(text.lower()))
-        if not counts or not self.langs:
-            return UNKNOWN, 0.0
-        if len(self.scores) > REMEMBERED:
-            self.scores.clear()
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            row = self.scores.get(word)
-            if row is None:
-                row = self.scores[word] = self.word(word)
-            total += n * row
-        odds = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.langs[best], float(odds[best] / odds.sum())
+        return self.gram_rows[found].mean(0) if found else np.zeros(len(self.langs))
+
+    def learn(self, words: set[str]) -> None:
+        """Make sure that the scores of all the words are at hand."""
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > REMEMBERED:
+            self.place, self.rows, new = {}, self.rows[:0], list(words)
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, [self.word(w) for w in new]])
+
+    def score(self, texts: list[str]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its share of the likelihoods."""
+        words = [LETTERS.findall(t.lower()) for t in texts]
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        self.learn(set().union(*words))
+        out = []
+        for own in words:
+            if not own:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.rows[np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))].sum(0)
+            odds = np.exp(total - total.max())
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def _top(rows: DataFrame, item: str, most: int, kind: int) -> DataFrame:
@@ -126,7 +141,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        rows = [shared.value.score(x or "") for x in texts]
+        whole, rows = [x or "" for x in texts], []
+        for k in range(0, len(whole), DOCS):
+            rows += shared.value.score(whole[k : k + DOCS])
         return pd.DataFrame(rows, columns=["lang_pred", "lang_score"])
 
     return docs.withColumn("_judged", judge("text")).withColumns(
