@@ -173,15 +173,16 @@ def format_labels(text: Column) -> Column:
 
 # --- flags and numbers ------------------------------------------------------------
 
-def truth(value: Column) -> Column:
-    """Boolean of a flag in text form; numbers count as non-zero, unknown words as null."""
+def truth(value: Column, numeric: Column | None = None) -> Column:
+    """Boolean of a flag in text form; words other than the known ones are null.
+
+    ``numeric`` says where the flag was a number and not a word (JSON keeps the difference): non-zero is true then.
+    """
     word = lower_strip(value.cast("string"))
-    number = word.try_cast("double")
-    return (
-        F.when(word.isin(*lx.TRUE_WORDS), True)
-        .when(word.isin(*lx.FALSE_WORDS), False)
-        .when(number.isNotNull(), number != 0)
-    )
+    said = F.when(word.isin(*lx.TRUE_WORDS), True).when(word.isin(*lx.FALSE_WORDS), False)
+    if numeric is None:
+        return said
+    return F.when(numeric, word.try_cast("double") != 0).otherwise(said)
 
 
 def quality_truth(value: Column) -> Column:
@@ -194,6 +195,16 @@ def ground_truth_known(entry_flag: Column, doc_flag: Column, entry_quality: Colu
     return F.coalesce(truth(entry_flag), truth(doc_flag), quality_truth(entry_quality), quality_truth(doc_quality))
 
 
+def document_truth_known(doc_flag: Column, doc_quality: Column, runs: Column) -> Column:
+    """The document's own flag or quality word, else that of its first run entry that has either.
+
+    ``runs``: array of structs with ``has_ground_truth`` and ``evaluation_quality`` as text, in run order.
+    """
+    said = F.transform(runs, lambda r: ground_truth_known(r["has_ground_truth"], doc_flag, r["evaluation_quality"], doc_quality))
+    first = F.get(F.filter(said, lambda k: k.isNotNull()), F.lit(0))
+    return F.coalesce(ground_truth_known(doc_flag, doc_flag, doc_quality, doc_quality), first)
+
+
 def stored_quality(flag: Column, ground_truth: Column) -> tuple[Column, Column]:
     """(has_ground_truth, evaluation_quality) as written to history."""
     known = F.coalesce(truth(flag), F.coalesce(strip(ground_truth) != "", F.lit(False)))

@@ -11,6 +11,7 @@ from gaugeline.functions import features as ft
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions import text as tx
 from gaugeline.functions.basics import alias, let, lookup, lower_strip, non_empty, quoted, rounded, strip, words_literal
+from gaugeline.sources.problems import live
 
 FIELDS = ["problem", "solution", "answer", "type", "concept", "skills", "format", "difficulty", "tags", "constraints", "anchor_priority"]
 NO_LABELS = "cast(array() as array<string>)"
@@ -238,35 +239,56 @@ def upgrade_metadata(bank: DataFrame) -> DataFrame:
 
 # --- user examples --------------------------------------------------------------------------------
 
+def _user_label(value: Column) -> Column:
+    """A label as it is stored for user examples; a blank one stays empty, which B2 refuses."""
+    return F.replace(lower_strip(value), F.lit(" "), F.lit("_"))
+
+
+def _user_entry() -> Column:
+    """The entry that would be stored for a new example, as B2 judges it."""
+    kind = _user_label(F.col("type"))
+    return F.to_json(F.struct(
+        strip(F.col("problem")).alias("problem"), strip(F.col("solution")).alias("solution"), kind.alias("type"), _user_label(F.col("concept")).alias("concept"),
+        F.array(kind).alias("skills"), F.col("difficulty"), F.array(F.col("subject"), kind).alias("tags"), F.expr(NO_LABELS).alias("constraints"),
+        F.lit(0.8).alias("anchor_priority"),
+    ))
+
+
 def add_user_examples(new: DataFrame, user: DataFrame, curated: DataFrame, now: float, ttl: float = 3 * 24 * 3600.0) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) new examples.
 
     An example is refused for an unknown subject or difficulty, blank or
-    oversized texts, or a problem already in the same subject and difficulty of
-    either bank (or earlier in the batch).
+    oversized texts, a rule of B2 that the stored entry would break, or a
+    problem already in the same subject and difficulty of either bank (or
+    accepted earlier in the batch). User examples that have expired at ``now``
+    are no longer in the bank.
     """
     place = ["subject", "difficulty", "_key"]
     asked = new.withColumn("_key", lower_strip(F.col("problem")))
+    user = live(user, now) if "expires_at" in user.columns else user
 
     def known(bank: DataFrame, flag: str) -> DataFrame:
         return bank.select("subject", "difficulty", lower_strip(F.col("problem")).alias("_key")).distinct().withColumn(flag, F.lit(True))
 
-    first = asked.groupBy(*place).agg(F.min("pos").alias("_first"))
-    met = asked.join(known(user, "_in_user"), place, "left").join(known(curated, "_in_curated"), place, "left").join(first, place)
+    met = asked.join(known(user, "_in_user"), place, "left").join(known(curated, "_in_curated"), place, "left")
     fits = F.length("problem").between(1, 5000) & F.length("solution").between(1, 10000) & F.length("type").between(1, 100) & F.length("concept").between(1, 100)
     reason = (
         F.when(~F.col("subject").isin(*lx.DOMAINS), "invalid_subject")
         .when(~F.col("difficulty").isin(*lx.DIFFICULTIES), "invalid_difficulty")
         .when((strip(F.col("problem")) == "") | (strip(F.col("solution")) == ""), "blank_text")
         .when(~fits, "size_limit")
-        .when(F.col("_in_user").isNotNull() | (F.col("pos") > F.col("_first")), "duplicate_user")
+        .when(F.size(broken_rules(_user_entry())) > 0, "invalid_entry")
+        .when(F.col("_in_user").isNotNull(), "duplicate_user")
         .when(F.col("_in_curated").isNotNull(), "duplicate_curated")
     )
-    judged = met.withColumn("reason", reason)
-    kind = tx.key(F.col("type"))
+    # only an example that nothing else speaks against makes a later one a duplicate
+    reasons = met.withColumn("reason", reason)
+    first = reasons.where("reason is null").groupBy(*place).agg(F.min("pos").alias("_first"))
+    judged = reasons.join(first, place, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("pos") > F.col("_first"), "duplicate_user")))
+    kind = _user_label(F.col("type"))
     accepted = judged.where("reason is null").select(
         "pos", strip(F.col("problem")).alias("problem"), strip(F.col("solution")).alias("solution"), "subject", "difficulty", kind.alias("type"),
-        tx.key(F.col("concept")).alias("concept"), F.array(kind).alias("skills"), F.lit("single_equation").alias("template"),
+        _user_label(F.col("concept")).alias("concept"), F.array(kind).alias("skills"), F.lit("single_equation").alias("template"),
         F.array(F.col("subject"), kind).alias("tags"), F.expr(NO_LABELS).alias("constraints"), F.lit(0.8).alias("anchor_priority"),
         F.timestamp_seconds(F.lit(float(now))).alias("created_at"), F.lit(float(now) + float(ttl)).alias("expires_at"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import text as tx
 from gaugeline.functions.basics import exact_mean, rounded
+from gaugeline.operators.routing import ranking_samples
 
 BLOCK = ["domain", "difficulty"]
 METRICS = ["accuracy", "consistency", "efficiency", "overall"]
@@ -24,7 +25,7 @@ def last_runs(runs: DataFrame, keys: list[str], count: int = 3) -> DataFrame:
     Ranking keeps ``count`` rows per group on the map side already, so a hot
     group does not travel.
     """
-    newest = Window.partitionBy(*keys).orderBy(F.desc("run_index"))
+    newest = Window.partitionBy(*keys).orderBy(F.desc("run_index"), *[F.desc(c) for c in ("technique",) if c in runs.columns and c not in keys])
     kept = runs.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= count)
     total = F.max("_back").over(Window.partitionBy(*keys))
     return kept.withColumn("slot", total - F.col("_back") + 1).drop("_back")
@@ -187,20 +188,25 @@ def coverage(problems: DataFrame, scores: DataFrame) -> DataFrame:
 def ranking_summary(ranking: DataFrame, keys: list[str], average: str = "average_overall") -> DataFrame:
     """First and second of each ranking in one row, for the gates and headlines."""
 
-    def at(place: int, column: str, kind: str) -> Column:
-        value = F.col(column) if column in ranking.columns else F.lit(None)
+    def given(column: str) -> Column:
+        return F.col(column) if column in ranking.columns else F.lit(None)
+
+    def at(place: int, column: str | Column, kind: str) -> Column:
+        value = given(column) if isinstance(column, str) else column
         return F.max(F.when(F.col("rank") == place, value)).cast(kind)
 
+    samples = ranking_samples(given("samples"), given("unweighted_samples"), given("effective_samples"))
+
     return ranking.groupBy(*keys).agg(
         F.max("rank").alias("ranked"),
         at(1, "technique", "string").alias("top_technique"),
         at(1, average, "double").alias("top_average"),
-        at(1, "samples", "double").alias("top_samples"),
+        at(1, samples, "double").alias("top_samples"),
         at(1, "confidence", "string").alias("top_confidence"),
         at(1, "win_rate", "double").alias("top_win_rate"),
         at(2, "technique", "string").alias("second_technique"),
         at(2, average, "double").alias("second_average"),
-        at(2, "samples", "double").alias("second_samples"),
+        at(2, samples, "double").alias("second_samples"),
     )
 
 

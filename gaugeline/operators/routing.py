@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.basics import rounded
+from gaugeline.functions.text import run_mode
 
 
 def ranking_samples(samples: Column, unweighted: Column, effective: Column) -> Column:
@@ -74,8 +75,16 @@ def _ok(reason: Column) -> Column:
     return reason.startswith("ok")
 
 
-def preselect(ranked: DataFrame, min_samples: int = 3, min_gap: float = 0.03) -> DataFrame:
-    """Before running: profile tier, then domain tier, else run everything."""
+def _known(technique: Column, techniques: list[str] | None) -> Column:
+    return F.lit(True) if techniques is None else F.coalesce(technique.isin(*techniques), F.lit(False))
+
+
+def preselect(ranked: DataFrame, min_samples: int = 3, min_gap: float = 0.03, techniques: list[str] | None = None) -> DataFrame:
+    """Before running: profile tier, then domain tier, else run everything.
+
+    Rows whose ``run_mode`` is benchmark always run everything. ``techniques`` is the registry: with a single one there is
+    nothing to choose, and a winner that is not in it counts for nothing.
+    """
     matched = F.coalesce(F.col("p_matched_documents"), F.lit(0))
     base = max(0.005, min_gap * 0.5)
     gap = F.lit(base) * F.when(matched >= 20, 0.3).when(matched >= 10, 0.5).when(matched >= 5, 0.75).otherwise(1.0)
@@ -83,12 +92,20 @@ def preselect(ranked: DataFrame, min_samples: int = 3, min_gap: float = 0.03) ->
         "profile_reason": gate_with_fallbacks("p_", matched_minimum(matched, min_samples), gap, top_only=True),
         "domain_reason": gate_with_fallbacks("d_", F.lit(min_samples), F.lit(min_gap), top_only=False),
     })
-    by_profile, by_domain = _ok(F.col("profile_reason")), _ok(F.col("domain_reason"))
+    stop = F.lit("single_technique") if techniques is not None and len(techniques) < 2 else F.lit(None).cast("string")
+    if "run_mode" in ranked.columns:
+        stop = F.coalesce(stop, F.when(run_mode(F.col("run_mode")) == "benchmark", "benchmark_mode_runs_all"))
+    made = made.withColumn("_stop", stop)
+    for name in ("profile_reason", "domain_reason"):
+        made = made.withColumn(name, F.when(F.col("_stop").isNull(), F.col(name)))
+    by_profile = F.coalesce(_ok(F.col("profile_reason")) & _known(F.col("p_top_technique"), techniques), F.lit(False))
+    found = F.coalesce(_ok(F.col("domain_reason")), F.lit(False))
+    by_domain = found & _known(F.col("d_top_technique"), techniques)
     return made.withColumns({
         "history_source": F.when(by_profile, "db_profile_rules").when(by_domain, "db_history"),
         "best_technique": F.when(by_profile, F.col("p_top_technique")).when(by_domain, F.col("d_top_technique")),
-        "reason": F.when(by_profile, "preselected_by_profile_history").when(by_domain, "preselected_by_domain_history").otherwise(F.col("domain_reason")),
-    })
+        "reason": F.when(by_profile, "preselected_by_profile_history").when(by_domain, "preselected_by_domain_history").when(found, "invalid_best_technique").otherwise(F.coalesce("_stop", "domain_reason")),
+    }).drop("_stop")
 
 
 def exploration_draw(key: Column) -> Column:
@@ -106,7 +123,8 @@ def select_after_run(
 ) -> DataFrame:
     """After running: profile tier, domain tier, else the best runtime score.
 
-    Needs ``runtime_technique``, ``problem`` and, for exploration, ``intent``.
+    Needs ``runtime_technique``, ``problem`` and, for exploration, ``intent``. Where ``available`` lists the techniques
+    that ran, a tier whose winner is not among them is passed over.
     Only the domain tier has the relaxed and dead-zone steps here, and it asks
     for samples of the top technique only.
     """
@@ -122,6 +140,10 @@ def select_after_run(
         for name, draw in (("profile_reason", profile_draw), ("domain_reason", domain_draw)):
             made = made.withColumn(name, F.when(_ok(F.col(name)) & (draw < exploration_rate), "exploration_runtime").otherwise(F.col(name)))
     by_profile, by_domain = _ok(F.col("profile_reason")), _ok(F.col("domain_reason"))
+    if "available" in ranked.columns:
+        ran = lambda top: F.coalesce(F.array_contains("available", F.col(top)), F.lit(False))
+        made = made.withColumn("profile_reason", F.when(by_profile & ~ran("p_top_technique"), "profile_best_missing_result").otherwise(F.col("profile_reason")))
+        by_domain = by_domain & ran("d_top_technique")
     return made.withColumns({
         "selection_source": F.when(by_profile, "db_profile_rules").when(by_domain, "db_history").otherwise("runtime_scores"),
         "best_technique": F.when(by_profile, F.col("p_top_technique")).when(by_domain, F.col("d_top_technique")).otherwise(F.col("runtime_technique")),

@@ -265,7 +265,8 @@ def win_table(winners: DataFrame) -> DataFrame:
 def metric_summary(compared: DataFrame, by: list[str] | None = None, rollup: bool = False) -> DataFrame:
     """Mean, population deviation, min and max per technique and metric.
 
-    The deviation comes from exact sums of the scores and of their squares.
+    The deviation comes from exact sums of the scores and of their squares. A rollup adds ``level``, the number of keys
+    that are totalled, which tells a subtotal from a key that is null.
     """
     keys = [*(by or []), "technique"]
     long = compared.select(*keys, "accuracy", "consistency", "efficiency", "overall").unpivot(
@@ -278,9 +279,10 @@ def metric_summary(compared: DataFrame, by: list[str] | None = None, rollup: boo
         (exact_sum(F.col("value") * F.col("value")) / F.count("*")).alias("_square"),
         F.min("value").alias("low"),
         F.max("value").alias("high"),
+        *([F.bit_count(F.grouping_id()).cast("int").alias("level")] if rollup else []),
     )
     spread = F.sqrt(F.greatest(F.col("_square") - F.col("_mean") * F.col("_mean"), F.lit(0.0)))
-    return stats.select(*keys, "metric", "n", rounded(F.col("_mean"), 3).alias("mean"), rounded(spread, 3).alias("std"), "low", "high")
+    return stats.select(*keys, "metric", "n", rounded(F.col("_mean"), 3).alias("mean"), rounded(spread, 3).alias("std"), "low", "high", *(["level"] if rollup else []))
 
 
 def category_wins(winners: DataFrame, categories: DataFrame) -> DataFrame:

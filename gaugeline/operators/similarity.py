@@ -24,6 +24,7 @@ from gaugeline.functions import lexicon as lx
 from gaugeline.functions import text as tx
 from gaugeline.functions.basics import rounded, strip, words_literal
 from gaugeline.functions.pairs import feature_similarity, hybrid, jaccard_counts, type_mismatch
+from gaugeline.operators.history import usable
 from gaugeline.operators.tagging import with_feature_tags
 from gaugeline.session import durable, shuffle_width
 
@@ -162,18 +163,21 @@ def match_history(
     min_similarity: float = 0.35,
     respect_min: bool = False,
     by_score: bool = False,
+    require_ground_truth: bool = False,
+    allow_unknown: bool = False,
     share: float = 0.01,
     at_least: int = 100,
 ) -> DataFrame:
     """Sums over the history documents similar to each target.
 
     ``targets``: target_id, domain, difficulty, problem. ``documents``: doc_id,
-    domain, difficulty, problem, winner_technique. ``scores``: doc_id,
+    domain, difficulty, problem, winner_technique and, where ground truth is
+    required, has_ground_truth. ``scores``: doc_id,
     technique, overall. One row per (target, technique), technique null for the
     document totals; with ``by_score`` also per single score.
     """
     block = F.concat_ws("/", "domain", "difficulty")
-    docs = prepare(documents, "problem").withColumn("b_group", block)
+    docs = prepare(usable(documents, require_ground_truth, allow_unknown), "problem").withColumn("b_group", block)
     frequent = frequent_tokens(docs, share, at_least)
     # stored once: tags and classes are read by several joins below
     docs = durable(with_classes(docs, "b_group", frequent, "b"))

@@ -37,20 +37,31 @@ def history_tables(results: DataFrame, winners: DataFrame, problems: DataFrame,
     return stored, scores
 
 
-def rankings_for(targets: DataFrame, documents: DataFrame, scores: DataFrame, techniques: list[str] | None = None) -> DataFrame:
+def rankings_for(
+    targets: DataFrame,
+    documents: DataFrame,
+    scores: DataFrame,
+    techniques: list[str] | None = None,
+    require_ground_truth: bool = True,
+    allow_unknown: bool = False,
+) -> DataFrame:
     """Targets with the summaries of their profile and domain rankings (input of D2 and D3).
 
-    ``documents``: doc_id, domain, difficulty, problem, winner_technique; ``scores``: doc_id, technique, overall.
+    ``documents``: doc_id, domain, difficulty, problem, winner_technique, has_ground_truth; ``scores``: doc_id, technique,
+    overall. In both tiers only documents with a ground truth count, unless that is switched off; documents of unknown
+    quality count only if they are allowed.
     """
-    found = durable(sm.match_history(targets, documents, scores, techniques))
+    quality = {"require_ground_truth": require_ground_truth, "allow_unknown": allow_unknown}
+    found = durable(sm.match_history(targets, documents, scores, techniques, **quality))
     profile = hs.ranking_summary(sm.profile_ranking(found), ["target_id"])
     profile = profile.join(sm.match_summary(found).select("target_id", "matched_documents"), "target_id", "right")
-    block = documents.select("domain", "difficulty", F.col("doc_id").alias("problem_id"), "winner_technique")
-    placed = scores.withColumnRenamed("doc_id", "problem_id").join(block.drop("winner_technique"), "problem_id")
-    domain = hs.ranking_summary(hs.domain_ranking(block, placed, techniques), hs.BLOCK)
+    flag = ["has_ground_truth"] if "has_ground_truth" in documents.columns else []
+    block = documents.select("domain", "difficulty", F.col("doc_id").alias("problem_id"), "winner_technique", *flag)
+    placed = scores.withColumnRenamed("doc_id", "problem_id").join(block.drop("winner_technique", *flag), "problem_id")
+    domain = hs.ranking_summary(hs.domain_ranking(block, placed, techniques, **quality), hs.BLOCK)
     return rt.with_rankings(targets, profile, domain)
 
 
 def route(targets: DataFrame, documents: DataFrame, scores: DataFrame, min_samples: int = 3, min_gap: float = 0.03) -> DataFrame:
-    """D2 over a whole table of new problems: which technique to run, or null to run them all."""
+    """D2 over a whole table of new problems: which technique to run, or null to run them all (benchmark mode always does)."""
     return rt.preselect(rankings_for(targets, documents, scores), min_samples, min_gap)

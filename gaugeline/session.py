@@ -8,9 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths handed out below the shared folder, by application.
+_SCRATCH: dict[str, list[str]] = {}
 
-def local_session(app: str = "gaugeline", cores: str = "8", memory: str = "8g") -> SparkSession:
-    """A session for tests and benches. Clusters bring their own settings."""
+
+def local_session(app: str = "gaugeline", cores: str = "8", memory: str = "8g", split: str = "2m") -> SparkSession:
+    """A session for tests and benches, whose small files use all cores. Clusters bring their own settings."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -24,21 +27,12 @@ def local_session(app: str = "gaugeline", cores: str = "8", memory: str = "8g")
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", split)
+        .config("spark.sql.files.openCostInBytes", "64k")
         .getOrCreate()
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a costly projection over a small file.
-
-    A file of a few row groups arrives in fewer partitions than there are
-    cores; only then the rows are dealt out again. Inputs of any real size have
-    far more splits than cores and pass through unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of an explicit shuffle; AQE does not merge those, unlike small but work-heavy ones."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -63,13 +57,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors cost no recomputation."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Store the rows as Parquet below the shared folder and read them back.
+
+    Lost executors cost no recomputation, and readers prune columns. ``remove_scratch`` deletes the files.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all that this session has stored in the shared folder; call it when a job's results are written."""
+    jvm = spark.sparkContext._jvm
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

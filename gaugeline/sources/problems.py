@@ -126,9 +126,14 @@ def merge_banks(curated: DataFrame, user: DataFrame, now: float) -> DataFrame:
 
 
 def distinct_examples(bank: DataFrame) -> DataFrame:
-    """One row per (problem, solution): the first in bank order."""
-    first = bank.groupBy("problem", "solution").agg(F.min("pos").alias("pos"), F.count("*").alias("copies"))
-    return first
+    """One row per (problem, solution): the first in bank order.
+
+    Rows meet by a digest of both texts, so that a text travels at most once per map task, not as a key.
+    """
+    texts = F.struct("problem", "solution")
+    made = bank.withColumn("_digest", F.sha2(F.to_json(texts, {"ignoreNullFields": "false"}), 256))
+    first = made.groupBy("_digest").agg(F.min_by(texts, "pos").alias("_texts"), F.min("pos").alias("pos"), F.count("*").alias("copies"))
+    return first.select("_texts.*", "pos", "copies")
 
 
 def catalogue(bank: DataFrame) -> DataFrame:

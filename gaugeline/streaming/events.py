@@ -17,7 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from gaugeline.functions import metrics as mx
 from gaugeline.functions.basics import exact_sum, non_empty, rounded, strip
 from gaugeline.session import scratch_path
-from gaugeline.sources.history_store import upsert_history
+from gaugeline.sources.history_store import KEY, upsert_history
 
 EVENT = (
     "event_id string, session string, seq long, type string, technique string, run_index int, content string, "
@@ -42,12 +42,17 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
-def assemble_responses(events: DataFrame, keys: list[str]) -> DataFrame:
+def assemble_responses(events: DataFrame, keys: list[str], delay: str | None = None) -> DataFrame:
     """R2: the response of each finished run from its token events, with the counters of its last event.
 
-    A run is one model response, so its tokens fit one value. On a stream use
-    the update output mode; a run appears once its ``done`` event arrived.
+    A run is one model response, so its tokens fit one value. On a stream either use the update output mode, where a run
+    appears once its ``done`` event arrived, or give a ``delay``: a run then is a session of event time ``ts`` that ends
+    when no event came for that long, its state goes with it, and the append output mode works.
     """
+    if delay is not None:
+        session = F.session_window("ts", delay).alias("_session")
+        whole = assemble_responses(events.withWatermark("ts", delay), [*keys, session])
+        return whole.drop("_session")
     tokens = F.sort_array(F.collect_list(F.when(F.col("type") == "token", F.struct("seq", "content"))))
     last = F.col("type") == "done"
     made = events.groupBy(*keys).agg(
@@ -58,7 +63,7 @@ def assemble_responses(events: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.when(last, F.coalesce("eval_count", F.lit(0)))).alias("completion_tokens"),
     )
     return made.where("_done = 1").select(
-        *keys, F.array_join(F.col("_tokens.content"), "").alias("response"), "done_reason", "prompt_tokens", "completion_tokens",
+        *[k if isinstance(k, str) else "_session" for k in keys], F.array_join(F.col("_tokens.content"), "").alias("response"), "done_reason", "prompt_tokens", "completion_tokens",
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
     )
 
@@ -71,23 +76,32 @@ class _RunningConsistency(StatefulProcessor):
         self.totals = handle.getValueState("totals", "runs long, best long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("run_index")
         runs, best = (self.totals.get() if self.totals.exists() else (0, 0))
-        made = []
-        for run_index, output in zip(batch["run_index"], batch["normalized_output"]):
-            seen = (self.counts.getValue((output,))[0] if self.counts.containsKey((output,)) else 0) + 1
-            self.counts.updateValue((output,), (seen,))
-            runs, best = runs + 1, max(best, seen)
-            made.append((key[0], key[1], int(run_index), runs, best))
+        for frame in rows:  # Arrow batches of bounded size
+            frame = frame.sort_values("run_index", kind="stable")
+            output = frame["normalized_output"]
+            # each answer's state is read once and written once a batch
+            before = {o: self.counts.getValue((o,))[0] if self.counts.containsKey((o,)) else 0 for o in output.unique()}
+            seen = frame.groupby("normalized_output", dropna=False).cumcount() + 1 + output.map(before)
+            for o, n in output.value_counts(dropna=False).items():
+                self.counts.updateValue((o,), (before[o] + int(n),))
+            matching = seen.cummax().clip(lower=best)
+            yield pd.DataFrame({
+                "problem_id": key[0], "technique": key[1], "run_index": frame["run_index"].astype("int32").to_numpy(),
+                "runs_used": range(runs + 1, runs + 1 + len(frame)), "matching_runs": matching.to_numpy(),
+            })
+            runs, best = runs + len(frame), int(matching.iloc[-1])
         self.totals.update((runs, best))
-        yield pd.DataFrame(made, columns=["problem_id", "technique", "run_index", "runs_used", "matching_runs"])
 
     def close(self) -> None:
         pass
 
 
 def running_consistency(runs: DataFrame) -> DataFrame:
-    """Consistency after each arriving run; rows of one key must arrive in run order.
+    """Consistency after each arriving run, in order of arrival.
+
+    Within an Arrow batch rows count in run order; a run that arrives after a later one counts when it arrives, so
+    ``runs_used`` may differ from its run index.
 
     State per key is one counter per distinct answer, in the state store.
     Needs the RocksDB state store provider (see :func:`use_rocksdb`).
@@ -136,7 +150,11 @@ def expiring_examples(examples: DataFrame, delay: str = "1 minute") -> DataFrame
 
 
 def live_aggregates(runs: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Technique totals per event-time window; repeated events and rows later than the delay drop out."""
+    """Technique totals per event-time window; repeated events and rows later than the delay drop out.
+
+    A window is emitted once the watermark has passed its end; windows that are still open when the stream stops come
+    with the next run from the same checkpoint.
+    """
     timed = runs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     grouped = timed.groupBy(F.window("ts", window).alias("w"), "technique").agg(
         F.count("*").alias("runs"),
@@ -167,9 +185,18 @@ def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None],
     return stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def history_from_stream(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Upsert streamed history rows; the batch number is the version, so a repeated batch changes nothing."""
-    for_each_batch(rows, lambda batch, number: upsert_history(batch, path, number), checkpoint).awaitTermination()
+def history_from_stream(rows: DataFrame, path: str, checkpoint: str, key: list[str] = KEY) -> None:
+    """Upsert streamed history rows (with ``updated``) as batches of the query.
+
+    The writer is the id of the streaming query. It is kept in the checkpoint, so a restarted query repeats its own
+    batches; a query with a fresh checkpoint is another writer and can't replace what the first one stored.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        upsert_history(batch, path, writer, number, key)
+
+    for_each_batch(rows, store, checkpoint).awaitTermination()
 
 
 def weights_overall(steps: DataFrame, weights: dict[str, float]) -> DataFrame:

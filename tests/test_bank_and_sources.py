@@ -74,6 +74,10 @@ def test_add_purge_list(spark):
     row = accepted.first()
     assert (row.problem, row.type, row.expires_at, row.tags) == ("Solve x", "my_type", 8200.0, ["algebra", "my_type"])
     assert {r.pos: r.reason for r in rejected.collect()} == {2: "duplicate_user", 3: "invalid_subject", 4: "duplicate_curated", 5: "blank_text"}
+    expired = spark.createDataFrame([("algebra", "basic", "solve x", 999.0)], "subject string, difficulty string, problem string, expires_at double")
+    early = new.withColumn("solution", F.when(F.col("pos") == 1, " ").otherwise(F.col("solution")))
+    accepted, rejected = bk.add_user_examples(early, expired, curated, now=1000.0)
+    assert [r.pos for r in accepted.collect()] == [2] and {r.pos: r.reason for r in rejected.collect()}[1] == "blank_text"
     assert bk.listing(accepted, now=4600.0).first().ttl_remaining_hours == 1.0
     counts = bk.purge_counts(accepted, now=9000.0).first()
     assert (counts.kept, counts.removed) == (0, 1)
@@ -82,15 +86,18 @@ def test_add_purge_list(spark):
 
 def test_history_versions(spark):
     path = scratch_path(spark, "h")
-    make = lambda rows: spark.createDataFrame(rows, "domain string, difficulty string, problem_id string, winner_technique string")
-    st.upsert_history(make([("a", "b", "p1", "x"), ("a", "b", "p2", "x")]), path, 1)
-    st.upsert_history(make([("a", "b", "p1", "y")]), path, 2)
-    st.upsert_history(make([("a", "b", "p1", "y")]), path, 2)  # repeated batch
+    make = lambda rows: spark.createDataFrame(rows, "domain string, difficulty string, problem_id string, winner_technique string, updated int")
+    st.upsert_history(make([("a", "b", "p1", "x", 1), ("a", "b", "p2", "x", 1), ("a", "b", "p3", "x", 1)]), path, "w", 0)
+    st.upsert_history(make([("a", "b", "p1", "y", 2)]), path, "w", 1)
+    st.upsert_history(make([("a", "b", "p1", "y", 2)]), path, "w", 1)  # repeated batch
+    st.upsert_history(make([("a", "b", "p9", "x", 1)]), path, "v", 0)  # another writer, the same number
+    st.upsert_history(make([("a", "b", "p2", "old", 0), ("a", "b", "p3", "z", 7), ("a", "b", "p3", "w", 6)]), path, "v", 1)
     got = {r.problem_id: r.winner_technique for r in st.read_history(spark, path, "a", "b").collect()}
-    assert got == {"p1": "y", "p2": "x"}
+    assert got == {"p1": "y", "p2": "x", "p3": "z", "p9": "x"}
     target = scratch_path(spark, "compact")
     st.compact_history(spark, path, target)
-    assert spark.read.parquet(target).count() == 2
+    assert spark.read.parquet(target).count() == 4
+    assert {r.problem_id: r.winner_technique for r in st.read_history(spark, target).collect()} == got
     plan = st.read_history(spark, path, "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(domain" in plan
 

@@ -104,6 +104,26 @@ def test_before_run(spark, n, reason):
     assert rt.preselect(rt.with_rankings(targets, p, d)).first().reason == reason
 
 
+def test_before_run_bypass_and_registry(spark):
+    targets = spark.createDataFrame([(1, "algebra", "basic", "benchmark"), (2, "algebra", "basic", "normal")], "target_id int, domain string, difficulty string, run_mode string")
+    p = summary(spark, "p_", []).withColumn("matched_documents", F.lit(0))
+    d = summary(spark, "d_", [("few", 0.91, 15), ("zero", 0.82, 15)]).withColumns({"domain": F.lit("algebra"), "difficulty": F.lit("basic")}).drop("target_id")
+    ranked = rt.with_rankings(targets, p, d)
+    rows = {r.target_id: (r.reason, r.best_technique) for r in rt.preselect(ranked, techniques=["few", "zero"]).collect()}
+    assert rows == {1: ("benchmark_mode_runs_all", None), 2: ("preselected_by_domain_history", "few")}
+    assert {r.reason for r in rt.preselect(ranked, techniques=["zero", "other"]).collect()} == {"benchmark_mode_runs_all", "invalid_best_technique"}
+    assert {r.reason for r in rt.preselect(ranked, techniques=["few"]).collect()} == {"single_technique"}
+    after = ranked.withColumns({"runtime_technique": F.lit("zero"), "problem": F.lit("x"), "available": F.array(F.lit("zero"))})
+    assert {r.selection_source for r in rt.select_after_run(after).collect()} == {"runtime_scores"}
+
+
+def test_samples_fall_back(spark):
+    rows = [(1, "few", 0.9, None, 4, 1), (1, "zero", 0.5, None, None, 2)]
+    df = spark.createDataFrame([(*r, 3.9) for r in rows], "target_id int, technique string, average_overall double, samples double, unweighted_samples int, rank int, effective_samples double")
+    got = hs.ranking_summary(df, ["target_id"]).first()
+    assert (got.top_samples, got.second_samples) == (4.0, 3.0)
+
+
 def test_history_slots(spark):
     runs = spark.createDataFrame([("p", "t", i, 0.1 * i, None, 0.5, 0.1 * i) for i in range(1, 6)], "problem_id string, technique string, run_index int, accuracy double, consistency double, efficiency double, overall double")
     best = spark.createDataFrame([("p", "t", 1.0, None, 1.0, 1.0), ("q", "t", 0.5, None, 0.5, 0.5)], "problem_id string, technique string, accuracy double, consistency double, efficiency double, overall double")

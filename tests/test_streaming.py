@@ -45,7 +45,21 @@ def test_streamed_consistency_equals_batch(spark, tmp_path):
 
 def test_history_from_stream(spark, tmp_path):
     source = str(tmp_path / "h")
-    spark.createDataFrame([("a", "b", "p1", "x")], "domain string, difficulty string, problem_id string, winner_technique string").write.parquet(source)
+    kind = "domain string, difficulty string, problem_id string, winner_technique string, updated int"
     path = str(tmp_path / "store")
-    ev.history_from_stream(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), path, str(tmp_path / "c"))
-    assert st.read_history(spark, path).count() == 1
+    for number, rows in enumerate(([("a", "b", "p1", "x", 1), ("a", "b", "p2", "x", 1)], [("a", "b", "p3", "y", 2), ("a", "b", "p1", "y", 2)])):
+        # each with a checkpoint of its own, so both write a batch 0
+        spark.createDataFrame(rows, kind).write.parquet(f"{source}{number}")
+        ev.history_from_stream(spark.readStream.schema(kind).parquet(f"{source}{number}"), path, str(tmp_path / f"c{number}"))
+    assert {r.problem_id: r.winner_technique for r in st.read_history(spark, path).collect()} == {"p1": "y", "p2": "x", "p3": "y"}
+
+
+def test_assembled_stream_with_watermark(spark, tmp_path):
+    base = "2024-01-01 00:0"
+    lines = [{"session": s, "seq": k, "type": t, "technique": "t", "run_index": 1, "content": c, "ts": f"{base}{m}:00", "prompt_eval_count": 1, "eval_count": 2}
+             for s, k, t, c, m in (("s", 2, "token", "lo", 1), ("s", 1, "token", "hel", 0), ("s", 3, "done", None, 1), ("z", 1, "token", "late", 9))]
+    (tmp_path / "e.json").write_text("\n".join(json.dumps(x) for x in lines), encoding="utf-8")
+    runs = ev.assemble_responses(ev.read_events_stream(spark, str(tmp_path)), ["session", "technique", "run_index"], delay="2 minutes")
+    sink, checkpoint = str(tmp_path / "sink"), str(tmp_path / "check")
+    ev.run_available(runs, sink, checkpoint)
+    assert [(r.session, r.response, r.total_tokens) for r in spark.read.parquet(sink).collect()] == [("s", "hello", 3)]

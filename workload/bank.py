@@ -265,16 +265,23 @@ def inferred_lists(spark, sf):
 
 @register("b7_j9_added_examples", "with " + vw.MATH + """,
 n as (select id pos, case id % 4 when 0 then 'history' else 'algebra' end subject, case id % 3 when 0 then 'basic' when 1 then 'advanced' else 'odd' end difficulty, problem from math_problems),
-k as (select *, row_number() over (partition by subject, difficulty, lower(problem) order by pos) r from n)
-select pos, subject, difficulty, case when subject = 'history' then 'invalid_subject' when difficulty = 'odd' then 'invalid_difficulty' when r > 1 or (difficulty = 'basic' and exists (select 1 from math_problems m where m.size > 45 and lower(m.problem) = lower(k.problem))) then 'duplicate_user'
- when difficulty = 'advanced' and exists (select 1 from math_problems m where m.size < 5 and lower(m.problem) = lower(k.problem)) then 'duplicate_curated' else 'accepted' end outcome from k""")
+j as (select *, case when subject = 'history' then 'invalid_subject' when difficulty = 'odd' then 'invalid_difficulty' when pos % 13 = 0 then 'size_limit' when pos % 17 = 0 then 'blank_text' when pos % 19 = 0 then 'invalid_entry'
+  when difficulty = 'basic' and exists (select 1 from math_problems m where m.size > 45 and m.id % 2 = 0 and lower(m.problem) = lower(n.problem)) then 'duplicate_user'
+  when difficulty = 'advanced' and exists (select 1 from math_problems m where m.size < 5 and lower(m.problem) = lower(n.problem)) then 'duplicate_curated' end reason from n),
+k as (select *, row_number() over (partition by subject, difficulty, lower(problem), reason is null order by pos) r from j)
+select pos, subject, difficulty, coalesce(reason, case when r > 1 then 'duplicate_user' else 'accepted' end) outcome from k""")
 def added(spark, sf):
     base = vw.math_problems(spark, sf)
     new = base.select(
         F.col("id").alias("pos"), F.expr("case id % 4 when 0 then 'history' else 'algebra' end").alias("subject"), F.expr("case id % 3 when 0 then 'basic' when 1 then 'advanced' else 'odd' end").alias("difficulty"),
-        F.concat(F.lit(" "), "problem").alias("problem"), F.lit("s").alias("solution"), F.lit("My Type").alias("type"), F.lit("c").alias("concept"),
+        F.concat(F.lit(" "), "problem").alias("problem"),
+        F.when(F.col("id") % 13 == 0, F.repeat(F.lit("long "), 2001)).when(F.col("id") % 17 == 0, " ").otherwise("s").alias("solution"),
+        F.when(F.col("id") % 19 == 0, "  ").otherwise("My Type").alias("type"), F.lit("c").alias("concept"),
+    )
+    user = base.where("size > 45").select(
+        F.lit("algebra").alias("subject"), F.lit("basic").alias("difficulty"), F.upper("problem").alias("problem"),
+        F.when(F.col("id") % 2 == 1, NOW - 1).alias("expires_at"),
     )
-    user = base.where("size > 45").select(F.lit("algebra").alias("subject"), F.lit("basic").alias("difficulty"), F.upper("problem").alias("problem"))
     curated = base.where("size < 5").select(F.lit("algebra").alias("subject"), F.lit("advanced").alias("difficulty"), "problem")
     accepted, rejected = bk.add_user_examples(new, user, curated, NOW)
     done = accepted.select("pos", "subject", "difficulty", F.lit("accepted").alias("outcome"))
@@ -303,19 +310,34 @@ select ['algebra','pre-calculus','counting-probability'][(problem_id % 3) + 1] a
 def upsert(spark, sf):
     path = scratch_path(spark, "history")
     won = rn.greedy_winner(vw.results(spark, sf)).select(*vw.blocks("problem_id"), "problem_id", F.col("best_technique").alias("winner_technique"))
-    st.upsert_history(won.withColumn("batch", F.lit("first")), path, 1)
-    st.upsert_history(won.where("winner_technique = 'click'").withColumn("batch", F.lit("second")), path, 2)
-    return st.read_history(spark, path).select("domain", "problem_id", "winner_technique", "batch")
+    st.upsert_history(won.withColumns({"round": F.lit("first"), "updated": F.lit(1)}), path, "a", 1)
+    st.upsert_history(won.where("winner_technique = 'click'").withColumns({"round": F.lit("second"), "updated": F.lit(2)}), path, "a", 2)
+    return st.read_history(spark, path).select("domain", "problem_id", "winner_technique", F.col("round").alias("batch"))
+
+
+@register("s10_two_writers", "with " + vw.WINNERS + """
+select ['algebra','pre-calculus','counting-probability'][(problem_id % 3) + 1] as "domain", problem_id, best_technique winner_technique,
+ case when problem_id % 4 = 0 then 'b' else 'a' end writer from winners""")
+def two_writers(spark, sf):
+    """Both writers use the same batch numbers in the same blocks; the later update of a key wins, in whatever order they wrote."""
+    path = scratch_path(spark, "history")
+    won = durable(rn.greedy_winner(vw.results(spark, sf)).select(*vw.blocks("problem_id"), "problem_id", F.col("best_technique").alias("winner_technique")))
+    st.upsert_history(won.where("problem_id % 4 = 0").withColumns({"by": F.lit("b"), "updated": F.lit(5)}), path, "b", 0)
+    st.upsert_history(won.where("problem_id % 2 = 0").withColumns({"by": F.lit("a"), "updated": F.lit(4)}), path, "a", 0)
+    st.upsert_history(won.where("problem_id % 2 = 1").withColumns({"by": F.lit("a"), "updated": F.lit(4)}), path, "a", 1)
+    target = scratch_path(spark, "compacted")
+    st.compact_history(spark, path, target)
+    return st.read_history(spark, target).select("domain", "problem_id", "winner_technique", F.col("by").alias("writer"))
 
 
 @register("s11_baseline_rows", "with " + vw.RUNS + """,
-f as (select problem_id, accuracy, (accuracy + efficiency) / 2 ov, row_number() over (partition by problem_id order by run_index desc) back from runs where technique = 'click'),
+f as (select problem_id, accuracy, (accuracy + efficiency) / 2 ov, row_number() over (partition by problem_id order by run_index desc, technique desc) back from runs),
 av as (select problem_id, round((sum(accuracy::decimal(18,10))::double / count(*))::decimal(28,10), 4)::double accuracy, round((sum(round(ov::decimal(28,10), 6)::double::decimal(18,10))::double / count(*))::decimal(28,10), 4)::double ov from f where back <= 3 group by 1)
 select problem_id, accuracy, coalesce(case when accuracy >= 0.5 then 0.75 end, ov)::double overall, case when accuracy >= 0.5 then 0.5 end::double consistency, 'raw_baseline' technique from av""")
 def baseline_rows(spark, sf):
     from workload.runs_and_history import _run_scores
 
-    averages = hs.last_three_average(hs.last_runs(_run_scores(spark, sf).where("technique = 'click'"), ["problem_id"]))
+    averages = hs.last_three_average(hs.last_runs(_run_scores(spark, sf), ["problem_id"]))
     composite = averages.where("accuracy >= 0.5").select("problem_id", F.lit(0.75).alias("overall"), F.lit(0.5).alias("consistency"))
     return hs.baseline_row(averages, composite).select("problem_id", "accuracy", "overall", "consistency", "technique")
 

@@ -90,9 +90,15 @@ def live(spark, sf):
 select ['algebra','pre-calculus','counting-probability'][(o_orderkey % 3) + 1] as "domain", o_orderkey problem_id, o_orderstatus winner_technique from orders where o_orderpriority <> '5-LOW'""")
 def history_stream(spark, sf):
     orders = stream(spark, sf, "orders").withColumn("type", F.when(F.col("o_orderpriority") == "5-LOW", "status").otherwise("complete"))
-    rows = ev.completed(orders).select(*vw.blocks("o_orderkey"), F.col("o_orderkey").alias("problem_id"), F.col("o_orderstatus").alias("winner_technique"))
+    rows = ev.completed(orders).select(*vw.blocks("o_orderkey"), F.col("o_orderkey").alias("problem_id"), F.col("o_orderstatus").alias("winner_technique"), F.lit(2).alias("updated"))
     path, checkpoint = ev.stream_scratch(spark, "r7")
-    ev.history_from_stream(rows, path, checkpoint)
+    # a stream of stale rows first, then the stream itself with a fresh checkpoint, and once more from that checkpoint
+    stale = rows.where("problem_id % 3 = 0").withColumns({"winner_technique": F.lit("stale"), "updated": F.lit(1)})
+    only_first = rows.where("problem_id % 3 <> 0")
+    ev.history_from_stream(stale, path, f"{checkpoint}-stale")
+    ev.history_from_stream(only_first, path, f"{checkpoint}-first")
+    ev.history_from_stream(rows.where("problem_id % 3 = 0"), path, checkpoint)
+    ev.history_from_stream(rows.where("problem_id % 3 = 0"), path, checkpoint)
     return st.read_history(spark, path).select("domain", "problem_id", "winner_technique")
 
 

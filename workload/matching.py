@@ -34,35 +34,45 @@ def sql_list(words):
 
 # --- stored history over the problem texts -----------------------------------------------------
 
+# Twelve domains, so that every outcome of the gates occurs: a clear lead, equal scores, one technique only, no ground
+# truth, small gaps, erratic scores, too few samples, and mixed scores. All expressions are read by both engines.
+GROUP = "size % 12"
+FEW_SCORE = """cast(case size % 12 when 1 then 0.9 when 2 then 0.7 when 4 then 0.80 when 5 then id % 2 when 7 then 0.80 when 8 then 0.82 when 9 then round(0.5 + (id * 7) % 10 / 1000.0, 3)
+ when 10 then round(0.4 + (id * 7) % 21 / 50.0, 3) else (id * 7) % 101 / 100.0 end as double)"""
+ZERO_SCORE = """cast(case size % 12 when 0 then (id * 7) % 101 / 100.0 when 1 then 0.5 when 2 then null when 4 then 0.788 when 5 then (id + 1) % 2 * 0.9 when 7 then 0.795 when 8 then 0.812
+ when 9 then round(0.5 + (id * 3) % 10 / 1000.0, 3) when 10 then round(0.4 + (id * 3) % 19 / 50.0, 3) else (id * 13) % 97 / 100.0 end as double)"""
+TRUTH = "case when size % 12 = 3 then id % 2 = 5 when size % 12 = 6 then id % 131 = 7 when id % 10 = 3 then null else id % 4 <> 1 end"
+
+
 def stored(spark, sf):
-    base = vw.math_problems(spark, sf)
-    few, zero = (F.col("id") * 7) % 101 / 100, (F.col("id") * 13) % 97 / 100
+    base = vw.math_problems(spark, sf).withColumns({"few": F.expr(FEW_SCORE), "zero": F.expr(ZERO_SCORE), "domain": F.expr(f"concat('math', {GROUP})")})
     docs = base.select(
-        F.col("id").alias("doc_id"), F.lit("math").alias("domain"), F.col("difficulty").cast("string").alias("difficulty"), "problem",
-        F.when(few > zero, "few_shot").when(few < zero, "zero_shot").alias("winner_technique"),
+        F.col("id").alias("doc_id"), "domain", F.col("difficulty").cast("string").alias("difficulty"), "problem",
+        F.expr("case when few > zero or zero is null then 'few_shot' when few < zero then 'zero_shot' end").alias("winner_technique"),
+        F.expr(TRUTH).alias("has_ground_truth"),
     )
     scores = base.select(F.col("id").alias("doc_id"), F.explode(F.array(
-        F.struct(F.lit("few_shot").alias("technique"), few.alias("overall")), F.struct(F.lit("zero_shot").alias("technique"), zero.alias("overall")),
-    )).alias("s")).select("doc_id", "s.*")
+        F.struct(F.lit("few_shot").alias("technique"), F.col("few").alias("overall")), F.struct(F.lit("zero_shot").alias("technique"), F.col("zero").alias("overall")),
+    )).alias("s")).select("doc_id", "s.*").where("overall is not null")
     targets = docs.select(F.col("doc_id").alias("target_id"), "domain", "difficulty", "problem")
     return targets, docs, scores
 
 
-def matches(spark, sf):
-    return sm.match_history(*stored(spark, sf))
+def matches(spark, sf, **options):
+    return sm.match_history(*stored(spark, sf), require_ground_truth=True, **options)
 
 
 HYBRID_SQL = f""",
-tg as (select id, difficulty, {tgq.tag_case(tgq.SQL_TAGS)} tags, list_filter(list_distinct(regexp_extract_all(v, '[a-z0-9_]+')), lambda x: not list_contains({sql_list(lx.STOP_WORDS_HISTORY)}, x)) tk
+tg as (select id, difficulty, {GROUP} grp, {FEW_SCORE} few, {ZERO_SCORE} zero, {TRUTH} truth, {tgq.tag_case(tgq.SQL_TAGS)} tags, list_filter(list_distinct(regexp_extract_all(v, '[a-z0-9_]+')), lambda x: not list_contains({sql_list(lx.STOP_WORDS_HISTORY)}, x)) tk
   from (select *, lower(problem) v from math_problems)),
-ty as (select *, list_sort(list_filter(tags, lambda x: list_contains({sql_list(lx.TYPE_FEATURES_HISTORY)}, x))) ty, id * 7 % 101 / 100 few, id * 13 % 97 / 100 zero from tg),
+ty as (select *, list_sort(list_filter(tags, lambda x: list_contains({sql_list(lx.TYPE_FEATURES_HISTORY)}, x))) ty, case when few > zero or zero is null then 'few_shot' when few < zero then 'zero_shot' end winner from tg),
 pairs as (select a.id a, b.id b, len(a.tags) + len(b.tags) - len(list_intersect(a.tags, b.tags)) fu, len(list_intersect(a.tags, b.tags)) fi, len(a.tags) fa, len(b.tags) fb,
-  len(list_intersect(a.tk, b.tk)) ti, len(a.tk) ta, len(b.tk) tb, a.ty <> b.ty and len(a.tags) > 0 and len(b.tags) > 0 mis, b.few, b.zero
-  from ty a join ty b on a.difficulty = b.difficulty),
+  len(list_intersect(a.tk, b.tk)) ti, len(a.tk) ta, len(b.tk) tb, a.ty <> b.ty and len(a.tags) > 0 and len(b.tags) > 0 mis, b.few, b.zero, b.winner
+  from ty a join ty b on a.difficulty = b.difficulty and a.grp = b.grp where b.truth),
 sims as (select *, case when ta = 0 or tb = 0 then 0 else ti::double / (ta + tb - ti) end lex,
   case when fa = 0 and fb = 0 then null when fa = 0 or fb = 0 then 0 else fi::double / fu end * case when mis then 0.3 else 1 end feat from pairs),
-hyb as (select a, b, few, zero, least(1, greatest(0, (case when feat is null then lex else 0.55::double * feat + 0.45::double * lex end) * case when mis then 0.45::double else 1 end)) h from sims),
-pre as (select a, count(*) filter (h >= 0.20::double) pc from hyb group by 1),
+hyb as (select a, b, few, zero, winner, least(1, greatest(0, (case when feat is null then lex else 0.55::double * feat + 0.45::double * lex end) * case when mis then 0.45::double else 1 end)) h from sims),
+pre as (select id a, count(b) filter (h >= 0.20::double) pc from ty left join hyb on a = id group by 1),
 thr as (select a, pc, case when pc > 15 then 0.60::double else 0.55::double end t from pre),
 hit as (select hyb.*, pc, t from hyb join thr using (a) where h >= t)"""
 
@@ -71,15 +81,16 @@ MATCHES = "with " + vw.MATH + HYBRID_SQL
 
 @register("j8_a21_matched_history", MATCHES + """
 select thr.a target_id, thr.pc::bigint preliminary_count, thr.t threshold, count(h)::bigint matched_documents, round(coalesce(avg(h), 0)::decimal(28,10), 4)::double average_similarity,
- count(case when few <> zero then h end)::bigint total_with_winner from thr left join hit on hit.a = thr.a group by 1, 2, 3""")
+ count(case when winner is not null then h end)::bigint total_with_winner from thr left join hit on hit.a = thr.a group by 1, 2, 3""")
 def matched_history(spark, sf):
     made = sm.match_summary(matches(spark, sf))
     return made.select("target_id", *[F.col(c).cast("long").alias(c) for c in ("preliminary_count", "matched_documents", "total_with_winner")], "threshold", "average_similarity")
 
 
 PROFILE = """,
-tech as (select a, 'few_shot' technique, few s, h, (few > zero)::int won, (few <> zero)::int dec from hit union all select a, 'zero_shot', zero, h, (zero > few)::int, (few <> zero)::int from hit),
-pa as (select a, technique, count(*) n, sum(s)::double / count(*) sa, sum(s * h) / sum(h) wa, sum(h) w, coalesce(var_samp(s), 0) va, sum(won) wins, sum(dec) decided from tech group by 1, 2),
+tech as (select a, 'few_shot' technique, few s, h, (coalesce(winner, '') = 'few_shot')::int won from hit union all select a, 'zero_shot', zero, h, (coalesce(winner, '') = 'zero_shot')::int from hit),
+dec as (select a, count(winner) decided from hit group by 1),
+pa as (select a, technique, count(s) n, sum(s)::double / count(s) sa, sum(s * h) / sum(h) filter (s is not null) wa, sum(h) filter (s is not null) w, coalesce(var_samp(s), 0) va, sum(won) wins, any_value(decided) decided from tech join dec using (a) group by 1, 2 having count(s) > 0),
 pk as (select a target_id, technique, round(sa::decimal(28,10), 4)::double simple_average, round(wa::decimal(28,10), 4)::double average_overall, n::bigint samples, round(w::decimal(28,10), 2)::double effective_samples,
  round(sqrt(va)::decimal(28,10), 4)::double std_dev, round(va::decimal(28,10), 4)::double variance, case when sqrt(va) < 0.08 then 'high' when sqrt(va) < 0.15 then 'medium' else 'low' end confidence,
  round(greatest(0, 1 - sqrt(va))::decimal(28,10), 4)::double consistency, wins::bigint wins, round(coalesce(wins::double / nullif(decided, 0), 0)::decimal(28,10), 4)::double win_rate from pa),
@@ -93,21 +104,22 @@ def profile_ranking(spark, sf):
 
 @register("a10_profile_scores", MATCHES + """,
 tech as (select a, 'few_shot' technique, few s from hit union all select a, 'zero_shot', zero from hit)
-select a target_id, technique, s::double score, count(*)::bigint n from tech group by 1, 2, 3""")
+select a target_id, technique, s::double score, count(*)::bigint n from tech where s is not null group by 1, 2, 3""")
 def profile_scores(spark, sf):
-    made = sm.match_history(*stored(spark, sf), by_score=True)
+    made = matches(spark, sf, by_score=True)
     return made.where("score is not null and n > 0").select("target_id", "technique", "score", F.col("n").cast("long").alias("n"))
 
 
 # --- routing ------------------------------------------------------------------------------------
 
 ROUTES = """,
-dr as (select difficulty, technique, round(avg(s)::decimal(28,10), 4)::double average_overall, count(*)::bigint samples from (
-  select difficulty::varchar difficulty, 'few_shot' technique, few s from ty union all select difficulty::varchar, 'zero_shot', zero from ty) group by 1, 2),
-dk as (select *, row_number() over (partition by difficulty order by average_overall desc, samples desc, technique) "rank" from dr),
-dd as (select x.difficulty, x.technique dt, x.average_overall - y.average_overall dg, x.samples ds, y.samples ds2 from dk x join dk y using (difficulty) where x."rank" = 1 and y."rank" = 2),
+dr as (select grp, difficulty, technique, round((sum(s::decimal(18,10))::double / count(s))::decimal(28,10), 4)::double average_overall, count(s)::bigint samples from (
+  select grp, difficulty, 'few_shot' technique, few s from ty where truth union all select grp, difficulty, 'zero_shot', zero from ty where truth) group by 1, 2, 3 having count(s) > 0),
+dk as (select *, row_number() over (partition by grp, difficulty order by average_overall desc, samples desc, technique) "rank" from dr),
+dd as (select b.grp, b.difficulty, x.technique dt, x.average_overall - coalesce(y.average_overall, 0) dg, x.samples ds, y.samples ds2 from (select distinct grp, difficulty from ty) b
+  left join dk x on x.grp = b.grp and x.difficulty = b.difficulty and x."rank" = 1 left join dk y on y.grp = b.grp and y.difficulty = b.difficulty and y."rank" = 2),
 md as (select a target_id, count(*) m from hit group by 1),
-pp as (select ty.id target_id, ty.difficulty::varchar difficulty, x.technique pt, x.samples pn, y.samples pn2, round((x.average_overall - y.average_overall)::decimal(28,10), 8)::double pg, x.confidence = 'low' low, coalesce(m, 0) m
+pp as (select ty.id target_id, ty.grp, ty.difficulty, ty.few, ty.zero, x.technique pt, x.samples pn, y.samples pn2, round((x.average_overall - coalesce(y.average_overall, 0))::decimal(28,10), 8)::double pg, x.confidence = 'low' low, coalesce(m, 0) m
   from ty left join profile x on x.target_id = ty.id and x."rank" = 1 left join profile y on y.target_id = ty.id and y."rank" = 2 left join md on md.target_id = ty.id)"""
 
 
@@ -117,7 +129,7 @@ def gate_sql(ranked, top, second, gap, low, minimum, min_gap, top_only):
     zone = f"case when {seen} >= 10 then 0.008 when {seen} >= 5 then 0.004 else 0.003 end"
     few = f"{top} < {minimum}" if top_only else f"least({top}, {second}) < {minimum}"
     return (
-        f"case when {ranked} is null then 'no_ranking' when {few} then 'insufficient_samples' when {gap} < {eff} and {gap} < {zone} and not {low} then 'ok_indistinguishable'"
+        f"case when {ranked} is null then 'no_ranking' when {top} < {minimum} then 'insufficient_samples' when {second} is null then 'ok_single_technique' when {few} then 'insufficient_samples' when {gap} < {eff} and {gap} < {zone} and not {low} then 'ok_indistinguishable'"
         f" when {gap} < {eff} then 'low_confidence_gap' when {low} then 'low_technique_confidence' else 'ok' end"
     )
 
@@ -139,16 +151,19 @@ def rankings(spark, sf):
 
 
 @register("d2_preselection", MATCHES + PROFILE + ROUTES + f""",
-z as (select *, {with_fallbacks_sql('pt', 'pn', 'pn2', 'pg', 'low', MINIMUM, PRE_GAP, True)} pr, {with_fallbacks_sql('dt', 'ds', 'ds2', DG, 'false', 3, '0.03::double', False)} dr from pp join dd using (difficulty))
-select target_id, pr profile_reason, dr domain_reason, case when pr like 'ok%' then 'db_profile_rules' when dr like 'ok%' then 'db_history' end history_source,
- case when pr like 'ok%' then pt when dr like 'ok%' then dt end best_technique, case when pr like 'ok%' then 'preselected_by_profile_history' when dr like 'ok%' then 'preselected_by_domain_history' else dr end reason from z""")
+z as (select *, {with_fallbacks_sql('pt', 'pn', 'pn2', 'pg', 'low', MINIMUM, PRE_GAP, True)} pr, {with_fallbacks_sql('dt', 'ds', 'ds2', DG, 'false', 3, '0.03::double', False)} dr from pp join dd using (grp, difficulty)),
+y as (select *, target_id % 11 = 0 bench from z)
+select target_id, case when not bench then pr end profile_reason, case when not bench then dr end domain_reason, case when bench then null when pr like 'ok%' then 'db_profile_rules' when dr like 'ok%' then 'db_history' end history_source,
+ case when bench then null when pr like 'ok%' then pt when dr like 'ok%' then dt end best_technique,
+ case when bench then 'benchmark_mode_runs_all' when pr like 'ok%' then 'preselected_by_profile_history' when dr like 'ok%' then 'preselected_by_domain_history' else dr end reason from y""")
 def preselection(spark, sf):
     _, ranked = rankings(spark, sf)
-    return rt.preselect(ranked).select("target_id", "profile_reason", "domain_reason", "history_source", "best_technique", "reason")
+    asked = ranked.withColumn("run_mode", F.when(F.col("target_id") % 11 == 0, "Benchmark").otherwise("normal"))
+    return rt.preselect(asked, techniques=["few_shot", "zero_shot"]).select("target_id", "profile_reason", "domain_reason", "history_source", "best_technique", "reason")
 
 
 AFTER = MATCHES + PROFILE + ROUTES + f""",
-z as (select *, {gate_sql('pt', 'pn', 'pn2', 'pg', 'low', MINIMUM, '0.005::double', True)} pr, {with_fallbacks_sql('dt', 'ds', 'ds2', DG, 'false', 3, '0.05::double', True)} dr from pp join dd using (difficulty)),
+z as (select *, {gate_sql('pt', 'pn', 'pn2', 'pg', 'low', MINIMUM, '0.005::double', True)} pr, {with_fallbacks_sql('dt', 'ds', 'ds2', DG, 'false', 3, '0.05::double', True)} dr from pp join dd using (grp, difficulty)),
 s as (select *, case when pr like 'ok%' then 'db_profile_rules' when dr like 'ok%' then 'db_history' else 'runtime_scores' end src from z)"""
 
 
@@ -173,7 +188,7 @@ def trace(spark, sf):
 
 @register("d5_limited_comparison", AFTER + """
 select target_id problem_id, t.technique from s, (select unnest(['few_shot', 'zero_shot']) technique) t
-where src = 'runtime_scores' or t.technique = case src when 'db_profile_rules' then pt else dt end""")
+where (t.technique = 'few_shot' and few is not null or t.technique = 'zero_shot' and zero is not null) and (src = 'runtime_scores' or t.technique = case src when 'db_profile_rules' then pt else dt end)""")
 def limited(spark, sf):
     chosen = selected(spark, sf).withColumnRenamed("target_id", "problem_id")
     _, _, scores = stored(spark, sf)

@@ -10,6 +10,8 @@ from gaugeline.operators import history as hs
 from gaugeline.operators import routing as rt
 from gaugeline.operators import runs as rn
 from gaugeline.operators.scoring import normalise_payloads
+from gaugeline.session import durable, scratch_path
+from gaugeline.sources import history_store as st
 from workload import views as vw
 
 QUERIES = {}
@@ -168,7 +170,7 @@ def metric_summary(spark, sf):
 
 @register("a12_metric_rollup", "with " + vw.RESULTS + """,
 long as (select problem_id % 3 category, technique, unnest(['accuracy','consistency','efficiency','overall']) metric, unnest([accuracy, consistency, efficiency, overall]) v from results where success)
-select category::bigint category, technique, metric, count(v)::bigint n, round((sum(v::decimal(18,10))::double / count(v))::decimal(28,10), 3)::double mean, min(v) low, max(v) high
+select category::bigint category, technique, metric, count(v)::bigint n, round((sum(v::decimal(18,10))::double / count(v))::decimal(28,10), 3)::double mean, min(v) low, max(v) high, bit_count(grouping(metric, category, technique))::int "level"
 from long where v is not null group by rollup(metric, category, technique)""")
 def metric_rollup(spark, sf):
     compared = rn.comparison(vw.results(spark, sf)).withColumn("category", F.col("problem_id") % 3)
@@ -236,11 +238,11 @@ def last_three(spark, sf):
 
 
 @register("a6_last_three_average", "with " + vw.RUNS + f""",
-f as (select problem_id, technique, run_index, accuracy, efficiency, (accuracy + efficiency) / 2 ov, row_number() over (partition by problem_id order by run_index desc) back from runs where technique = 'click')
+f as (select problem_id, technique, run_index, accuracy, efficiency, (accuracy + efficiency) / 2 ov, row_number() over (partition by problem_id order by run_index desc, technique desc) back from runs)
 select problem_id, {r('sum(accuracy::decimal(18,10))::double / count(*)', 4)} accuracy, {r('sum(efficiency::decimal(18,10))::double / count(*)', 4)} efficiency,
  {r('sum(' + r('ov', 6) + '::decimal(18,10))::double / count(*)', 4)} overall, count(*)::bigint sample_count from f where back <= 3 group by 1""")
 def last_average(spark, sf):
-    entries = hs.last_runs(_run_scores(spark, sf).where("technique = 'click'"), ["problem_id"])
+    entries = hs.last_runs(_run_scores(spark, sf), ["problem_id"])
     return hs.last_three_average(entries).select("problem_id", "accuracy", "efficiency", "overall", "sample_count")
 
 
@@ -296,8 +298,30 @@ def domain_ranking_truth(spark, sf):
 
 @register("s12_partition_scan", "with " + vw.HISTORY + """ select problem_id, technique, overall from h_scores where "domain" = 'algebra' and difficulty = 'basic'""")
 def partition_scan(spark, sf):
-    _, scores = vw.history(spark, sf)
-    return scores.where("domain = 'algebra' and difficulty = 'basic'").select("problem_id", "technique", "overall")
+    _, scores = stored_history(spark, sf)
+    return st.read_history(spark, scores, "algebra", "basic", st.SCORE_KEY).select("problem_id", "technique", "overall")
+
+
+def stored_history(spark, sf):
+    """Paths of the stored problems and scores: two writers, each with a first batch and a repeated second one."""
+    problems, scores = vw.history(spark, sf)
+    paths = scratch_path(spark, "problems"), scratch_path(spark, "scores")
+    for rows, path, key in ((problems, paths[0], st.KEY), (scores, paths[1], st.SCORE_KEY)):
+        rows = durable(rows)
+        stale = rows.withColumn("winner_technique", F.lit("stale")) if "winner_technique" in rows.columns else rows.withColumn("overall", F.lit(-1.0))
+        st.upsert_history(stale.withColumn("updated", F.lit(1)), path, "one", 0, key)
+        for _ in range(2):
+            st.upsert_history(rows.where("problem_id % 2 = 0").withColumn("updated", F.lit(2)), path, "one", 1, key)
+        st.upsert_history(rows.where("problem_id % 2 = 1").withColumn("updated", F.lit(2)), path, "two", 0, key)
+    return paths
+
+
+@register("a9_stored_ranking", "with " + TRUTH_RANKED + " select * from d_ranking")
+def stored_ranking(spark, sf):
+    problems, scores = stored_history(spark, sf)
+    return hs.domain_ranking(
+        st.read_history(spark, problems), st.read_history(spark, scores, key=st.SCORE_KEY), techniques=vw.TECHNIQUES, require_ground_truth=True
+    )
 
 
 @register("j2_allowed_techniques", "with " + vw.RESULTS + " select problem_id, technique, overall from results where technique in ('click', 'view', 'purchase')")

@@ -202,8 +202,8 @@ QUALITIES = ["ground_truth", "heuristic", "other", "no_ground_truth", ""]
 
 @register("p21_p23_ground_truth_flags", f"""
 with f as (select o_orderkey, {pick(FLAGS, 'o_orderkey')} e, {pick(FLAGS, '(o_orderkey + 3)')} d, {pick(QUALITIES, 'o_orderkey')} eq, {pick(QUALITIES, '(o_orderkey + 2)')} dq from orders),
-g as (select *, case trim(lower(e)) when 'true' then true when 'no' then false when 'yes' then true when '0' then false when '2' then true when 'off' then false end te,
- case trim(lower(d)) when 'true' then true when 'no' then false when 'yes' then true when '0' then false when '2' then true when 'off' then false end td,
+g as (select *, case trim(lower(e)) when 'true' then true when 'no' then false when 'yes' then true when '0' then false when 'off' then false end te,
+ case trim(lower(d)) when 'true' then true when 'no' then false when 'yes' then true when '0' then false when 'off' then false end td,
  case eq when 'ground_truth' then true when 'heuristic' then false when 'no_ground_truth' then false end qe, case dq when 'ground_truth' then true when 'heuristic' then false when 'no_ground_truth' then false end qd from f)
 select o_orderkey, te entry_flag, coalesce(te, td, qe, qd) known, case when coalesce(te, trim(eq) <> '') then 'ground_truth' else 'no_ground_truth' end stored_quality from g""")
 def flags(spark, sf):

@@ -14,7 +14,6 @@ from gaugeline.functions.basics import rounded
 from gaugeline.operators import history as hs
 from gaugeline.operators import runs as rn
 from gaugeline.operators.sequences import sequence_numbers
-from gaugeline.session import spread
 
 WEIGHTS = mx.normalise_weights()
 TECHNIQUES = ["click", "view", "purchase"]
@@ -33,8 +32,8 @@ def utc(name: str):
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, on all cores: whole texts make costly projections."""
-    return spread(table(spark, sf, "documents"))
+    """The documents."""
+    return table(spark, sf, "documents")
 
 
 # --- runs (events) --------------------------------------------------------------------
@@ -184,7 +183,7 @@ MATH = "math_problems as (" + MATH_SQL.format(part="part").replace("as string",
 
 
 def math_problems(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(MATH_SQL.format(part="{part}"), part=spread(table(spark, sf, "part")))
+    return spark.sql(MATH_SQL.format(part="{part}"), part=table(spark, sf, "part"))
 
 
 # --- responses (lineitem) -------------------------------------------------------------------
@@ -203,4 +202,4 @@ RESPONSES = "responses as (" + RESPONSES_SQL.format(lineitem="lineitem").replace
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(RESPONSES_SQL.format(lineitem="{lineitem}"), lineitem=spread(table(spark, sf, "lineitem")))
+    return spark.sql(RESPONSES_SQL.format(lineitem="{lineitem}"), lineitem=table(spark, sf, "lineitem"))
