@@ -232,11 +232,6 @@ def run_mode(value: Column) -> Column:
     return F.when(word.isin("normal", "benchmark"), word).otherwise("normal")
 
 
-def safe_number(value: Column) -> Column:
-    """Display number: null and NaN give zero."""
-    return F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
-
-
 # --- problem text ------------------------------------------------------------------
 
 def word_count(text: Column) -> Column:

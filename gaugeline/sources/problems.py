@@ -55,9 +55,17 @@ def problems_from_json(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_problems(spark: SparkSession, path: str) -> DataFrame:
-    """Problem files; each file is one JSON document."""
-    return problems_from_json(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")))
+def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """JSON documents with the file they come from: a document per file, read in one piece (below 2 GB), or per line.
+
+    Documents of many files are ordered by (file, pos); large sets come as lines, which split into tasks.
+    """
+    return spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def read_problems(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Problem files."""
+    return problems_from_json(_documents(spark, path, lines))
 
 
 def append_problems(problems: DataFrame, path: str) -> None:
@@ -99,17 +107,17 @@ def examples_from_json(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_examples(spark: SparkSession, path: str) -> DataFrame:
+def read_examples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Curated bank files."""
-    return examples_from_json(spark.read.text(path, wholetext=True)).drop("created_at", "expires_at")
+    return examples_from_json(_documents(spark, path, lines)).drop("created_at", "expires_at")
 
 
-def read_user_examples(spark: SparkSession, path: str) -> DataFrame:
+def read_user_examples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """User examples; a missing or broken file counts as empty."""
     try:
-        raw = spark.read.text(path, wholetext=True)
+        raw = _documents(spark, path, lines)
     except AnalysisException:
-        raw = spark.createDataFrame([], "value string")
+        raw = spark.createDataFrame([], "value string, file string")
     return examples_from_json(raw)
 
 

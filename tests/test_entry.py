@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -7,7 +8,11 @@ import pytest
 import __spark_entry__ as entry
 from check import rows_of, same
 
-FAST = ["w3_greedy_winner", "q21_overall_weights", "t1_history_features", "t9_intent", "a9_domain_ranking", "p12_p16_detection_text", "q8_q12_accuracy"]
+FAST = [
+    "w3_greedy_winner", "q21_overall_weights", "t1_history_features", "t9_intent", "a9_domain_ranking", "p12_p16_detection_text", "q8_q12_accuracy",
+    "a2_last_response", "a4_failed_rows", "a12_metric_rollup", "b7_j9_added_examples", "d2_preselection", "d3_after_run_selection", "p22_run_level_truth",
+    "r2_streamed_responses", "r4_r7_history_from_stream", "s10_two_writers", "s12_partition_scan", "s19_event_files", "s8_user_bank_from_files", "u2_w5_distinct_texts", "x1_custom_scorer",
+]
 
 
 def test_entry(spark):
@@ -16,7 +21,8 @@ def test_entry(spark):
 
 
 def test_every_query_but_the_greedy_one_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"k3_diverse_examples"}
+    own = {name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name)}
+    assert own - set(entry.oracle_sql()) == {"k3_diverse_examples"}
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["runs_and_history", "texts", "tags", "answers", "matching", "bank", "events"]
+MODULES = ["runs_and_history", "texts", "tags", "answers", "matching", "bank", "events", "jobs"]
 
 
 def _parts(name: str) -> dict:
