@@ -13,15 +13,19 @@ from __future__ import annotations
 
 import heapq
 import os
-import unicodedata
+import re
 from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 #: Context sizes; the longest is the limit of a sequence.
 TIERS = (2048, 1024, 512, 256)
-#: Tokens that a task packs at a time, tokens of a step group, words whose ids a worker remembers, and the longest of them.
-BUFFER, STEP_TOKENS, REMEMBERED, LONGEST = 1 << 21, 1 << 16, 400_000, 64
+#: Tokens that a task packs at a time, tokens of a step group, words whose ids a worker remembers,
+#: the longest of them, and documents whose words are looked up at a time.
+BUFFER, STEP_TOKENS, REMEMBERED, LONGEST, DOCS = 1 << 21, 1 << 16, 600_000, 64, 500
+#: Words of these letters only have one lower case and one spelling, and are one piece to the tokenizer.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 )
@@ -34,13 +38,13 @@ class Memory(dict):
         super().__init__()
         self.make, self.old = make, {}
 
-    def hold(self, words: set[str]) -> None:
-        """Make sure that all the words are held until the next call."""
+    def hold(self, words: list[str]) -> None:
+        """Make sure that all the words, which are distinct, are held until the next call."""
         new = [w for w in words if w not in self]
         if len(self) + len(new) > REMEMBERED:
             self.old = {w: x for w, x in self.items() if len(w) <= LONGEST}
             self.clear()
-            new = list(words)
+            new = words
         known = self.old
         self.update((w, known[w]) for w in new if w in known)
         new = [w for w in new if w not in known]
@@ -48,28 +52,69 @@ class Memory(dict):
 
 
 class WordIds:
-    """Token ids as bytes of unsigned 32-bit numbers, by the words between white space.
+    """Token ids of texts, word by word.
 
-    The tokenizer drops white space and never joins what stands on both sides of it, so the ids of a text are those of its
-    words in order. Words are looked up first as they stand and then by their letters alone.
+    The tokenizer lowers case, drops white space and never joins what stands on both sides of it, so the ids of a text are
+    those of its words in order. Nor does it join letters with the full stops and commas behind them, so a word of Latin
+    letters is looked up in lower case without them, and any other word as it stands. Distinct words are found by Arrow;
+    only those that the worker hasn't met go through the tokenizer.
     """
 
     def __init__(self, tokenizer):
-        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.words, self.cores = Memory(self._joined), Memory(self._ids)
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.encode(parts, add_special_tokens=False)]
-
-    def _joined(self, words: list[str]) -> list[bytes]:
-        split = [_letters(w) for w in words]
-        self.cores.hold({p for parts in split for p in parts})
-        return [b"".join(map(self.cores.__getitem__, parts)) for parts in split]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.words.hold(set().union(*words))
-        return [b"".join(map(self.words.__getitem__, x)) for x in words]
+        self.encode = tokenizer.encode_batch
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = Memory(self._ids)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if LATIN.fullmatch(w)]
+        out = dict(zip(plain, self._letters(plain), strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._each(rest), strict=True))
+        return [out[w] for w in words]
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.encode(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters are encoded as one text and cut after each id that ends a word."""
+        if not words:
+            return []
+        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._each(words)
+        raw, cuts = ids.tobytes(), (cuts * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def of(self, texts) -> list[bytes]:
+        """Ids of an Arrow array of texts without nulls, as bytes of unsigned 32-bit numbers."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        core = pc.utf8_rtrim(words, characters=".,")
+        plain = pc.match_substring_regex(core, f"^{LATIN.pattern}$")
+        part = pc.if_else(plain, pc.utf8_lower(core), words)
+        tail = pc.if_else(plain, pc.replace_substring_regex(words, r"^.*?([.,]*)$", r"\1"), "")
+        parts = pa.concat_arrays([part, tail]).dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        self.known.hold(names)
+        ids = [self.known[x] for x in names]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        # every word is its part, then its tail
+        of_word = parts.indices.to_numpy().reshape(2, -1).T
+        chosen = of_word[at].ravel()
+        length = sizes[chosen]
+        ends = np.cumsum(length)
+        out = flat[np.repeat(starts[chosen] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() * 2 - split.offsets[0].as_py() * 2]
+        return [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 #: What a Python worker has learned, by tokenizer: it serves all tasks of the worker.
@@ -86,14 +131,6 @@ def learned(model: str) -> WordIds:
     return _LEARNED[key]
 
 
-def _letters(word: str) -> list[str]:
-    """A word as letters in lower case and the full stop or comma behind them, where these are all it has."""
-    core = word.rstrip(".,")
-    if core and core.isalpha() and "Σ" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
-        return [core.lower(), word[len(core) :]] if len(core) < len(word) else [core.lower()]
-    return [word] if word else []
-
-
 class Pool:
     """Pieces (document, start, length) by length; the lengths present are the bits of one number."""
 
@@ -232,9 +269,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers=TIERS) -> DataF
 
         number = 0
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for k in range(0, len(texts), 200):
-                for doc_id, ids in zip(doc_ids[k : k + 200], ids_of.of([t or "" for t in texts[k : k + 200]]), strict=True):
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+            for k in range(0, len(texts), DOCS):
+                for doc_id, ids in zip(doc_ids[k : k + DOCS], ids_of.of(texts.slice(k, DOCS)), strict=True):
                     held[number] = (doc_id, ids + last)
                     tokens += len(ids) // 4 + 1
                     number += 1

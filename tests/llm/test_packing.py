@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,7 +40,7 @@ def check(rows, texts, with_ids=True):
 
 
 TEXTS = [
-    None, "", " \n\t ", "Hello, World. it's <|endoftext|>x don't", "é́ ﬁ Ǆ İ Σ ΑΣ ὈΔΥΣΣΕΎΣ\u00a0x\u2028y\x1cz\x85", "word " * 9000, "a" * 5000, "한글 각 Å 漢字, 🙂.. A.B., ..",
+    None, "", " \n\t ", "Hello, World. it's <|endoftext|>x don't", "é́ ﬁ Ǆ İ Σ ΑΣ ὈΔΥΣΣΕΎΣ\u00a0x\u2028y\x1cz\x85", "word " * 9000, "a" * 5000, "İ. İ, ÉÀ., Straße ß. ÿ×÷", "x\x0by\x0cz <|endoftext|>. <|ENDOFTEXT|> don.'t.", "한글 각 Å 漢字, 🙂.. A.B., ..",
 ]
 
 
@@ -92,4 +93,4 @@ def test_memory_is_emptied_when_full(monkeypatch):
     ids = packing.WordIds(tokenizer)
     for k in range(5):
         text = " ".join(f"w{i}." for i in range(k, k + 6))
-        assert ids.of([text])[0] == np.array(plain_ids(tokenizer, text)[:-1], "<u4").tobytes()
+        assert ids.of(pa.array([text]))[0] == np.array(plain_ids(tokenizer, text)[:-1], "<u4").tobytes()
