@@ -1,35 +1,29 @@
-"""Similarity of many targets with many documents without pairing their rows.
+"""Similarity of many targets with many documents.
 
-Hybrid similarity depends on the tags of both sides, their token counts and
-the number of shared tokens. Tokens are split into *frequent* ones (a short
-list, bounded by ``average length / share``) and *rare* ones:
-
-* a **class** is all documents (or targets) of a group with the same tags,
-  the same token count and the same frequent tokens. Two classes are compared
-  once; the score is exact for every pair of their members that shares no
-  rare token;
-* pairs that do share a rare token are found through the postings of that
-  token, which are short by definition, and carry their own exact score.
-
-Copies and templated texts therefore collapse into a few classes, however many
-rows they have, and documents only contribute sums to a class.
+Targets are a stated set of queries against all documents of their block. Both sides of a block are cut into parts of
+bounded size, whatever the size of the block; a task compares one part of the targets with one part of the documents as
+arrays and returns sums or the best few per target, never pairs. The score depends on tags, tokens and, where both sides
+have one, vectors; texts themselves don't travel, their tags and tokens do as 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions import text as tx
-from gaugeline.functions.basics import rounded, strip, words_literal
-from gaugeline.functions.pairs import feature_similarity, hybrid, jaccard_counts, type_mismatch
+from gaugeline.functions.basics import rounded, strip
+from gaugeline.functions.pairs import WITH_VECTORS
 from gaugeline.operators.history import usable
 from gaugeline.operators.tagging import with_feature_tags
-from gaugeline.session import durable, shuffle_width
 
-CLASS = ["tag_key", "type_key", "signature", "n_tokens", "frequent"]
-SALTS = 8
+#: Targets and documents that one task compares.
+TARGETS, DOCUMENTS = 1024, 2048
+#: Scores from which a document counts as seen, and from which it matches when few or many were seen.
+SEEN, FLOOR, RAISED, MANY = 0.20, 0.55, 0.60, 15
 
 
 def prepare(df: DataFrame, text: str, rules: str = "history") -> DataFrame:
@@ -39,207 +33,201 @@ def prepare(df: DataFrame, text: str, rules: str = "history") -> DataFrame:
     return tagged.withColumn("tag_key", F.array_join("tags", ",")).withColumn("tokens", tx.tokens(F.col(text), stop)).drop("tags")
 
 
-def frequent_tokens(documents: DataFrame, share: float = 0.01, at_least: int = 100) -> Column:
-    """The frequent tokens as one array value.
-
-    A token is frequent when it occurs in more than ``share`` of the documents
-    (and more than ``at_least``). Every document holds at least one occurrence
-    per token it counts for, so the list cannot exceed the average number of
-    tokens per document divided by ``share``, whatever the table size; it is
-    small enough to travel inside the plan.
+def _hashed(df: DataFrame) -> list[Column]:
+    """The columns that the score is made of."""
+    tags = F.array_remove(F.split("tag_key", ","), "")
+    vector = F.col("embedding").cast("array<double>") if "embedding" in df.columns else F.lit(None).cast("array<double>")
+    return [
+        F.transform(tags, lambda t: F.xxhash64(t)).alias("tags"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"),
+        F.xxhash64("type_key").alias("kind"), vector.alias("vector"),
+    ]
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of all intersections of the sets of both sides, and of the sets."""
+    values = np.concatenate([np.empty(0, np.int64), *b]).astype(np.int64)
+    owners = np.repeat(np.arange(len(b)), [len(x) for x in b])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    out = np.zeros((len(a), len(b)))
+    for k, own in enumerate(a):
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        size = high - low
+        ends = np.cumsum(size)
+        at = np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        out[k] = np.bincount(owners[at], minlength=len(b))
+    return out, np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None]
+
+
+def _jaccard(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Jaccard of all pairs, 0 where a side is empty; and the sizes of the sets."""
+    both, left, right = _shared(a, b)
+    union = left + right - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0), left, right
+
+
+def _cosine(a: pd.Series, b: pd.Series) -> np.ndarray | None:
+    """Cosine of all pairs, 0 for a vector of zeros, NaN where a side has none; None if no pair has two."""
+
+    def side(column: pd.Series):
+        has = np.array([v is not None and len(v) > 0 for v in column], bool)
+        if not has.any():
+            return None
+        rows = np.full((len(column), max(len(v) for v, h in zip(column, has, strict=True) if h)), np.nan)
+        for k in np.flatnonzero(has):
+            rows[k, : len(column.iloc[k])] = column.iloc[k]
+        length = np.sqrt((rows * rows).sum(1, keepdims=True))
+        return np.where(length == 0, 0.0, rows / np.where(length == 0, 1.0, length))
+
+    x, y = side(a), side(b)
+    return None if x is None or y is None else x @ y.T
+
+
+def scores(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """J7 for all pairs of two parts with the columns of ``_hashed``: a row per target, a column per document.
+
+    Layers that a pair lacks hand their weight to the others; a type mismatch keeps 45 %.
     """
-    total = documents.agg(F.count("*")).scalar()
-    counts = documents.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    kept = counts.where(F.col("df") > F.greatest(F.lit(at_least), total * share))
-    return words_literal(sorted(row.token for row in kept.collect()))
-
-
-def with_classes(df: DataFrame, group: str, frequent: Column, side: str) -> DataFrame:
-    """Adds class and text identities: ``{side}_class`` and ``{side}_text``."""
-    made = df if "signature" in df.columns else df.withColumn("signature", F.lit(""))
-    made = made.withColumns({
-        "n_tokens": F.size("tokens"),
-        "frequent": F.array_join(F.sort_array(F.array_intersect("tokens", frequent)), " "),
-        "rare": F.array_join(F.sort_array(F.array_except("tokens", frequent)), " "),
-    }).drop("tokens")
-
-    def identity(*parts: str) -> Column:
-        return F.md5(F.concat_ws("\u0001", *[F.col(p).cast("string") for p in parts]).cast("binary"))
-
-    return made.withColumns({
-        f"{side}_class": identity(group, *CLASS),
-        f"{side}_text": identity(group, *CLASS, "rare"),
-    })
-
-
-def _score(shared: Column) -> Column:
-    """Similarity of an ``a``/``b`` class pair given the number of shared tokens."""
-
-    def tags(side: str) -> Column:
-        return F.array_remove(F.split(f"{side}_tag_key", ","), "")
-
-    keys = (F.col("a_type_key"), F.col("b_type_key"))
-    lexical = jaccard_counts(shared, F.col("a_n_tokens"), F.col("b_n_tokens"))
-    return hybrid(lexical, feature_similarity(tags("a"), tags("b"), *keys), type_mismatch(tags("a"), tags("b"), *keys))
-
-
-def _shared_frequent() -> Column:
-    def words(side: str) -> Column:
-        return F.array_remove(F.split(f"{side}_frequent", " "), "")
-
-    return F.size(F.array_intersect(words("a"), words("b")))
-
-
-def _side(df: DataFrame, name: str, group: str, ids: list[str]) -> DataFrame:
-    return df.select(*ids, group, *[F.col(c).alias(f"{name}_{c}") for c in CLASS]).distinct()
+    lexical, _, _ = _jaccard(list(a["tokens"]), list(b["tokens"]))
+    feature, left, right = _jaccard(list(a["tags"]), list(b["tags"]))
+    mismatch = (left > 0) & (right > 0) & (a["kind"].to_numpy()[:, None] != b["kind"].to_numpy()[None])
+    tagged = (left > 0) | (right > 0)
+    feature = np.where(mismatch, feature * 0.3, feature)
+    total = np.where(tagged, 0.55 * feature + 0.45 * lexical, lexical)
+    cosine = _cosine(a["vector"], b["vector"])
+    if cosine is not None:
+        by_vector, by_feature, by_text = WITH_VECTORS
+        layered = np.where(tagged, by_vector * cosine + by_feature * feature + by_text * lexical, 0.75 * cosine + 0.25 * lexical)
+        total = np.where(np.isnan(cosine), total, layered)
+    return np.clip(np.where(mismatch, total * 0.45, total), 0.0, 1.0)
 
 
-def class_pairs(targets: DataFrame, documents: DataFrame, links: DataFrame | None, same_signature: str | None = None) -> DataFrame:
-    """Scores of class pairs: a_class, b_class, similarity.
+def _parts(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``i`` and ``j``: every part of a group of the left meets every part of it on the right, in one place."""
 
-    ``links`` (a_group, b_group) says which groups meet; without it equal
-    groups meet. Large groups are spread over salts, since their partitions
-    are small in bytes but long in work.
-    """
-    a = _side(targets, "a", "a_group", ["a_class"])
-    b = _side(documents, "b", "b_group", ["b_class"])
-    a = a.withColumn("b_group", F.col("a_group")) if links is None else a.join(links, "a_group")
-    width = shuffle_width(targets.sparkSession)
-    a = a.withColumn("_salt", F.pmod(F.xxhash64("a_class"), F.lit(SALTS)).cast("int")).repartition(width, "b_group", "_salt")
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(width, "b_group", "_salt")
-    return a.join(b, ["b_group", "_salt"]).select(
-        "a_class", "b_class", "a_signature", "b_signature", _score(_shared_frequent()).alias("similarity")
-    )
+    def counted(df: DataFrame, most: int, name: str) -> DataFrame:
+        return df.groupBy("group").agg((F.floor((F.count("*") - 1) / most) + 1).alias(name))
 
-
-def rare_pairs(targets: DataFrame, documents: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Text pairs that share a rare token: class score and exact score."""
-    a = _side(targets.withColumn("_rare", F.col("rare")), "a", "a_group", ["a_text", "a_class", "_rare"])
-    b = _side(documents.withColumn("_rare", F.col("rare")), "b", "b_group", ["b_text", "b_class", "_rare"])
-    a = a.withColumn("b_group", F.col("a_group")) if links is None else a.join(links, "a_group")
-    left = a.select("a_text", "b_group", F.explode(F.split("_rare", " ")).alias("token")).where("token <> ''")
-    right = b.select("b_text", "b_group", F.explode(F.split("_rare", " ")).alias("token")).where("token <> ''")
-    width = shuffle_width(targets.sparkSession)
-    left, right = left.repartition(width, "b_group", "token"), right.repartition(width, "b_group", "token")
-    shared = left.join(right, ["b_group", "token"]).groupBy("a_text", "b_text").agg(F.count("*").alias("n_rare"))
-    a_side = a.select("a_text", "a_class", *[f"a_{c}" for c in CLASS]).distinct()
-    b_side = b.select("b_text", "b_class", *[f"b_{c}" for c in CLASS])
-    joined = shared.join(a_side, "a_text").join(b_side, "b_text").withColumn("_f", _shared_frequent())
-    return joined.select(
-        "a_text", "b_text", "a_class", "b_class", "a_signature", "b_signature",
-        _score(F.col("_f")).alias("class_similarity"), _score(F.col("_f") + F.col("n_rare")).alias("similarity"),
-    )
+    shape = counted(left, TARGETS, "n_i").join(counted(right, DOCUMENTS, "n_j"), "group")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = left.join(shape, "group").select("*", F.pmod(F.xxhash64(left_id), F.col("n_i")).alias("i"), every("n_j").alias("j"))
+    b = right.join(shape, "group").select("*", every("n_i").alias("i"), F.pmod(F.xxhash64(right_id), F.col("n_j")).alias("j"))
+    return a.drop("n_i", "n_j"), b.drop("n_i", "n_j")
 
 
 # --- history matching ----------------------------------------------------------------------
 
-SUMS = ["docs", "with_winner", "n", "total", "squares", "wins"]
+SUMS = ["docs", "with_winner", "n", "total", "squares", "wins", "doc_similarity", "weight", "weighted_total"]
+EXACT = "decimal(28,12)"
 
 
-def _measures(documents: DataFrame, scores: DataFrame, techniques: list[str] | None, by_score: bool) -> DataFrame:
-    """Additive facts per document: one row for itself, one per technique score and one for its winner."""
-    ids = documents.select("doc_id", "b_text", "b_class")
-    zero = {s: F.lit(0) for s in SUMS}
-    none = F.lit(None).cast("string")
-    allowed = F.lit(True) if not techniques else F.col("technique").isin(*techniques)
+def _facts(documents: DataFrame, scored: DataFrame, techniques: list[str] | None, by_score: bool) -> DataFrame:
+    """Documents with ``facts``: per technique the number, sum and sum of squares of its scores, and the scores if asked for."""
     value = F.col("overall").cast("decimal(18,10)")
-    own = documents.select("b_text", "b_class", none.alias("technique"), F.lit(None).cast("double").alias("score"), "winner_technique").withColumns(
-        zero | {"docs": F.lit(1), "with_winner": F.when(F.col("winner_technique").isNotNull(), 1).otherwise(0)}
-    ).drop("winner_technique")
-    scored = ids.join(scores.where("overall is not null").where(allowed).select("doc_id", "technique", "overall"), "doc_id")
-    scored = scored.withColumns(zero | {"n": F.lit(1), "total": value, "squares": value * value}).withColumn(
-        "score", F.col("overall") if by_score else F.lit(None).cast("double")
-    ).drop("doc_id", "overall")
-    won = documents.where("winner_technique is not null").select("b_text", "b_class", F.col("winner_technique").alias("technique"))
-    won = won.where(allowed).withColumn("score", F.lit(None).cast("double")).withColumns(zero | {"wins": F.lit(1)})
-    return own.unionByName(scored).unionByName(won)
+    kept = scored.where("overall is not null")
+    if techniques:
+        kept = kept.where(F.col("technique").isin(*techniques))
+    sums = kept.groupBy("doc_id", "technique").agg(
+        F.count("*").cast("double").alias("n"), F.sum(value).cast("double").alias("total"), F.sum(value * value).cast("double").alias("squares"),
+        (F.collect_list("overall") if by_score else F.expr("cast(array() as array<double>)")).alias("values"),
+    )
+    # a row per technique of the registry
+    listed = sums.groupBy("doc_id").agg(F.collect_list(F.struct("technique", "n", "total", "squares", "values")).alias("facts"))
+    return documents.join(listed, "doc_id", "left")
 
 
 def match_history(
     targets: DataFrame,
     documents: DataFrame,
-    scores: DataFrame,
+    scored: DataFrame,
     techniques: list[str] | None = None,
     min_similarity: float = 0.35,
     respect_min: bool = False,
     by_score: bool = False,
     require_ground_truth: bool = False,
     allow_unknown: bool = False,
-    share: float = 0.01,
-    at_least: int = 100,
 ) -> DataFrame:
     """Sums over the history documents similar to each target.
 
     ``targets``: target_id, domain, difficulty, problem. ``documents``: doc_id,
     domain, difficulty, problem, winner_technique and, where ground truth is
-    required, has_ground_truth. ``scores``: doc_id,
-    technique, overall. One row per (target, technique), technique null for the
-    document totals; with ``by_score`` also per single score.
+    required, has_ground_truth. ``scored``: doc_id, technique, overall. Where
+    both sides have an ``embedding`` the score has its vector layer. One row per
+    (target, technique), technique null for the document totals; with
+    ``by_score`` also per single score.
     """
-    block = F.concat_ws("/", "domain", "difficulty")
-    docs = prepare(usable(documents, require_ground_truth, allow_unknown), "problem").withColumn("b_group", block)
-    frequent = frequent_tokens(docs, share, at_least)
-    # stored once: tags and classes are read by several joins below
-    docs = durable(with_classes(docs, "b_group", frequent, "b"))
-    goals = durable(with_classes(prepare(targets, "problem").withColumn("a_group", block), "a_group", frequent, "a"))
-
-    item = ["technique", "score"]
-    facts = _measures(docs, scores, techniques, by_score)
-    facts = durable(facts.groupBy("b_text", "b_class", *item).agg(*[F.sum(s).alias(s) for s in SUMS]))
-
-    def summed(key: str) -> DataFrame:
-        return facts.groupBy(key, *item).agg(*[F.sum(s).alias(s) for s in SUMS])
-
-    pairs = durable(class_pairs(goals, docs, None).select("a_class", "b_class", "similarity"))
-    fixes = durable(rare_pairs(goals, docs, None).select("a_text", "b_text", "class_similarity", "similarity"))
-    text_docs = summed("b_text").where("docs > 0").select("b_text", "docs")
-    class_docs = summed("b_class").where("docs > 0").select("b_class", "docs")
-
-    def seen(similarity: str) -> Column:
-        return F.when(F.col(similarity) >= 0.20, 1).otherwise(0)
-
-    texts = goals.select("a_text", "a_class").distinct()
-    base_count = pairs.join(class_docs, "b_class").groupBy("a_class").agg(F.sum(seen("similarity") * F.col("docs")).alias("_base"))
-    fix_count = fixes.join(text_docs, "b_text").groupBy("a_text").agg(
-        F.sum((seen("similarity") - seen("class_similarity")) * F.col("docs")).alias("_fix")
-    )
-    floor = 0.55
-    counted = texts.join(base_count, "a_class", "left").join(fix_count, "a_text", "left").withColumn(
-        "preliminary_count", F.coalesce("_base", F.lit(0)) + F.coalesce("_fix", F.lit(0))
-    )
-    quiet = max(min_similarity, floor)
-    raised = F.when(F.col("preliminary_count") > 15, 0.60).when(F.col("preliminary_count") > 0, floor).otherwise(quiet)
+    block = F.to_json(F.struct("domain", "difficulty"))
+    docs = prepare(usable(documents, require_ground_truth, allow_unknown), "problem")
+    docs = _facts(docs.select("doc_id", "winner_technique", block.alias("group"), *_hashed(docs)), scored, techniques, by_score)
+    goals = prepare(targets, "problem")
+    goals = goals.select("target_id", block.alias("group"), *_hashed(goals))
+    kind = dict(goals.dtypes)["target_id"]
+    limits = (FLOOR, RAISED)
+    if respect_min:
+        limits = tuple(max(x, min_similarity) for x in limits)
+    columns = ["target_id", "level", "technique", "score", "preliminary_count", *SUMS]
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=columns)
+        found = scores(a, b)
+        winner = b["winner_technique"].to_numpy(object)
+        listed = [f if f is not None else [] for f in b["facts"]]
+        names = sorted({f["technique"] for fs in listed for f in fs} | {w for w in winner if isinstance(w, str) and (not techniques or w in techniques)})
+        place = {t: k for k, t in enumerate(names)}
+        measured = np.zeros((3, len(b), len(names)))
+        for k, fs in enumerate(listed):
+            for f in fs:
+                measured[:, k, place[f["technique"]]] = f["n"], f["total"], f["squares"]
+        won = np.array([[w == t for t in names] for w in winner], float).reshape(len(b), len(names))
+        decided = np.array([isinstance(w, str) for w in winner], float)
+        out = []
+        for level, limit in enumerate(limits):
+            hit = (found >= limit).astype(float)
+            weight = hit * found
+            own = pd.DataFrame({
+                "target_id": a["target_id"], "level": level, "technique": None, "score": np.nan, "preliminary_count": (found >= SEEN).sum(1),
+                "docs": hit.sum(1), "with_winner": hit @ decided, "n": 0, "total": 0.0, "squares": 0.0, "wins": 0,
+                "doc_similarity": weight.sum(1), "weight": 0.0, "weighted_total": 0.0,
+            })
+            out.append(own)
+            n, total, squares, wins = hit @ measured[0], hit @ measured[1], hit @ measured[2], hit @ won
+            heavy, heavy_total = weight @ measured[0], weight @ measured[1]
+            for k, t in enumerate(names):
+                rows = np.flatnonzero((n[:, k] > 0) | (wins[:, k] > 0))
+                if by_score:
+                    each = [(d, float(v)) for d, fs in enumerate(listed) for f in fs if f["technique"] == t for v in f["values"]]
+                    for v in sorted({v for _, v in each}):
+                        count = hit @ np.bincount([d for d, x in each if x == v], minlength=len(b)).astype(float)
+                        kept = np.flatnonzero(count > 0)
+                        out.append(pd.DataFrame({"target_id": a["target_id"].to_numpy()[kept], "level": level, "technique": t, "score": v, "n": count[kept]}))
+                    continue
+                out.append(pd.DataFrame({
+                    "target_id": a["target_id"].to_numpy()[rows], "level": level, "technique": t, "score": np.nan, "preliminary_count": 0, "docs": 0, "with_winner": 0,
+                    "n": n[rows, k], "total": total[rows, k], "squares": squares[rows, k], "wins": wins[rows, k],
+                    "doc_similarity": 0.0, "weight": heavy[rows, k], "weighted_total": heavy_total[rows, k],
+                }))
+        made = pd.concat([x for x in out if len(x)], ignore_index=True).reindex(columns=columns)
+        numbers = ["preliminary_count", *SUMS]
+        made[numbers] = made[numbers].fillna(0.0).astype(float)
+        made["score"] = made["score"].astype(object).where(made["score"].notna(), None)
+        made["technique"] = made["technique"].astype(object).where(made["technique"].notna(), None)
+        return made
+
+    a, b = _parts(goals, docs, "target_id", "doc_id")
+    schema = f"target_id {kind}, level int, technique string, score double, preliminary_count double, " + ", ".join(f"{c} double" for c in SUMS)
+    keys = ["group", "i", "j"]
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+    # exact sums, so that the result does not depend on the parts' order
+    whole = found.groupBy("target_id", "level", "technique", "score").agg(*[F.sum(F.col(c).cast(EXACT)).alias(c) for c in ("preliminary_count", *SUMS)])
+    seen = whole.where("technique is null and level = 0").select("target_id", F.col("preliminary_count").cast("long").alias("_seen"))
+    count = F.coalesce("_seen", F.lit(0).cast("long"))
+    raised = F.when(count > MANY, RAISED).when(count > 0, FLOOR).otherwise(max(min_similarity, FLOOR))
     if respect_min:
         raised = F.greatest(raised, F.lit(min_similarity))
-    counted = durable(counted.withColumn("threshold", raised).select("a_text", "a_class", "preliminary_count", "threshold"))
-
-    def weighted(weight: Column) -> list[Column]:
-        exact = weight.cast("decimal(18,12)")
-        hit = F.col("_hit")
-        return [
-            *[F.sum(F.col(s) * hit).alias(s) for s in SUMS],
-            F.sum(exact * F.col("docs")).alias("doc_similarity"),
-            F.sum(exact * F.col("n")).alias("weight"),
-            F.sum((weight * F.col("total").cast("double")).cast("decimal(28,12)")).alias("weighted_total"),
-        ]
-
-    # class part: once per (class, threshold), then handed to the texts of the class
-    levels = counted.select("a_class", "threshold").distinct()
-    matched = pairs.join(levels, "a_class").where("similarity >= threshold").withColumn("_hit", F.lit(1))
-    base = matched.join(summed("b_class"), "b_class").groupBy("a_class", "threshold", *item).agg(*weighted(F.col("similarity")))
-    base = counted.select("a_text", "a_class", "threshold").join(base, ["a_class", "threshold"]).drop("a_class", "threshold")
-    # correction part: add the exact score of the pair, take back the class score
-    gained = F.when(F.col("similarity") >= F.col("threshold"), 1).otherwise(0)
-    lost = F.when(F.col("class_similarity") >= F.col("threshold"), 1).otherwise(0)
-    fixed = (
-        fixes.join(counted.select("a_text", "threshold"), "a_text")
-        .withColumns({"_hit": gained - lost, "_weight": gained * F.col("similarity") - lost * F.col("class_similarity")})
-        .where("_hit <> 0 or _weight <> 0")
-        .join(summed("b_text"), "b_text").groupBy("a_text", *item).agg(*weighted(F.col("_weight")))
-    )
-    totals = base.unionByName(fixed).groupBy("a_text", *item).agg(*[F.sum(c).alias(c) for c in [*SUMS, "doc_similarity", "weight", "weighted_total"]])
-    named = goals.select("target_id", "a_text").join(counted.drop("a_class"), "a_text")
-    return named.join(totals, "a_text", "left").drop("a_text")
+    named = goals.select("target_id").join(seen, "target_id", "left").select("target_id", count.alias("preliminary_count"), raised.alias("threshold"), (count > MANY).cast("int").alias("level"))
+    made = named.join(whole.drop("preliminary_count"), ["target_id", "level"], "left").drop("level")
+    return made.withColumns({c: F.col(c).cast("long") for c in ("docs", "with_winner", "n", "wins")})
 
 
 def match_summary(matches: DataFrame) -> DataFrame:
@@ -284,49 +272,40 @@ def profile_ranking(matches: DataFrame) -> DataFrame:
 
 # --- nearest documents ---------------------------------------------------------------------------
 
-def _capped(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """First 2k rows per key with at most k of one canonical text.
-
-    Enough for any target: it drops at most one canonical text (its own), and
-    k rows remain. Ranks prune on the map side, so hot keys stay small.
-    """
-    by_text = Window.partitionBy(*keys, "canonical").orderBy(*order)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    few = df.withColumn("_r", F.row_number().over(by_text)).where(F.col("_r") <= k)
-    return few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= 2 * k).drop("_r")
-
-
-def nearest(targets: DataFrame, documents: DataFrame, links: DataFrame | None, k: int, share: float = 0.01, at_least: int = 100) -> DataFrame:
+def nearest(targets: DataFrame, documents: DataFrame, links: DataFrame | None, k: int) -> DataFrame:
     """K1/K2: the k most similar documents of each target, ties by document order.
 
     ``targets``: target_key, a_group, canonical, skip_identical, match_signature,
     signature and the columns of :func:`prepare`. ``documents``: doc_id, pos,
-    b_group, canonical, signature and the columns of :func:`prepare`. Exact:
-    a document can only drop out when k better ones of the same class stay.
+    b_group, canonical, signature and the columns of :func:`prepare`. ``links``
+    (a_group, b_group) says which groups meet; without it equal groups meet.
+    Where both sides have an ``embedding`` the score has its vector layer.
     """
-    frequent = frequent_tokens(documents, share, at_least)
-    docs = with_classes(documents, "b_group", frequent, "b")
-    goals = with_classes(targets, "a_group", frequent, "a")
-    listed = docs.select("b_class", "b_text", "doc_id", "pos", "canonical")
-
-    by_class = _capped(listed.drop("b_text"), ["b_class"], [F.col("pos")], k)
-    pairs = class_pairs(goals, docs, links)
-    order = [F.desc("similarity"), F.col("pos")]
-    modes = goals.select("a_class", "match_signature").distinct()
-    scored = pairs.join(modes, "a_class").where("not match_signature or a_signature = b_signature")
-    per_class = _capped(scored.join(by_class, "b_class"), ["a_class", "match_signature"], order, k)
-    found = goals.select("target_key", "a_class", "match_signature").join(per_class, ["a_class", "match_signature"])
-    found = found.select("target_key", "doc_id", "pos", "canonical", "similarity")
-
-    by_text = _capped(listed.drop("b_class"), ["b_text"], [F.col("pos")], k)
-    near = rare_pairs(goals, docs, links)
-    named = goals.select("target_key", "a_text", "match_signature")
-    shared = near.join(named, "a_text").where("not match_signature or a_signature = b_signature").join(by_text, "b_text")
-    shared = shared.select("target_key", "doc_id", "pos", "canonical", "similarity")
-
-    # a pair found both ways keeps its exact score, which is never the lower one
-    both = found.unionByName(shared).groupBy("target_key", "doc_id", "pos", "canonical").agg(F.max("similarity").alias("similarity"))
-    own = targets.select("target_key", F.col("canonical").alias("_own"), "skip_identical")
-    kept = both.join(own, "target_key").where("not skip_identical or canonical <> _own")
-    place = Window.partitionBy("target_key").orderBy(*order)
-    return kept.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("target_key", "doc_id", "similarity", "place")
+    right = documents.select("doc_id", "pos", "canonical", "signature", F.col("b_group").alias("group"), *_hashed(documents))
+    goals = targets.select("target_key", "a_group", "canonical", "signature", "skip_identical", "match_signature", *_hashed(targets))
+    left = goals.withColumnRenamed("a_group", "group") if links is None else goals.join(links, "a_group").drop("a_group").withColumnRenamed("b_group", "group")
+    kinds = dict(right.dtypes) | dict(left.dtypes)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["target_key", "doc_id", "pos", "similarity"])
+        b = b.sort_values("pos", kind="stable")
+        found = scores(a, b)
+        code = lambda name: pd.factorize(np.concatenate([a[name].to_numpy(object), b[name].to_numpy(object)]))[0]
+        same = {name: (c := code(name))[: len(a), None] == c[None, len(a) :] for name in ("canonical", "signature")}
+        out = (a["skip_identical"].to_numpy(bool)[:, None] & same["canonical"]) | (a["match_signature"].to_numpy(bool)[:, None] & ~same["signature"])
+        found = np.where(out, -1.0, found)
+        best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+        rows, columns = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
+        kept = found[rows, columns] >= 0
+        rows, columns = rows[kept], columns[kept]
+        return pd.DataFrame({
+            "target_key": a["target_key"].to_numpy()[rows], "doc_id": b["doc_id"].to_numpy()[columns], "pos": b["pos"].to_numpy()[columns], "similarity": found[rows, columns],
+        })
+
+    a, b = _parts(left, right, "target_key", "doc_id")
+    keys = ["group", "i", "j"]
+    schema = f"target_key {kinds['target_key']}, doc_id {kinds['doc_id']}, pos {kinds['pos']}, similarity double"
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+    place = Window.partitionBy("target_key").orderBy(F.desc("similarity"), F.col("pos"))
+    return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("target_key", "doc_id", "similarity", "place")

@@ -76,8 +76,8 @@ def test_add_purge_list(spark):
     assert {r.pos: r.reason for r in rejected.collect()} == {2: "duplicate_user", 3: "invalid_subject", 4: "duplicate_curated", 5: "blank_text"}
     expired = spark.createDataFrame([("algebra", "basic", "solve x", 999.0)], "subject string, difficulty string, problem string, expires_at double")
     early = new.withColumn("solution", F.when(F.col("pos") == 1, " ").otherwise(F.col("solution")))
-    accepted, rejected = bk.add_user_examples(early, expired, curated, now=1000.0)
-    assert [r.pos for r in accepted.collect()] == [2] and {r.pos: r.reason for r in rejected.collect()}[1] == "blank_text"
+    later, refused = bk.add_user_examples(early, expired, curated, now=1000.0)
+    assert [r.pos for r in later.collect()] == [2] and {r.pos: r.reason for r in refused.collect()}[1] == "blank_text"
     assert bk.listing(accepted, now=4600.0).first().ttl_remaining_hours == 1.0
     counts = bk.purge_counts(accepted, now=9000.0).first()
     assert (counts.kept, counts.removed) == (0, 1)

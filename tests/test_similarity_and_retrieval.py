@@ -38,8 +38,10 @@ def problems(n, seed):
     return [(i, forms[rng.randrange(len(forms))]()) for i in range(n)]
 
 
-@pytest.mark.parametrize("at_least", [0, 5, 1000])
-def test_matching_equals_brute_force(spark, at_least):
+@pytest.mark.parametrize("parts", [(1024, 2048), (7, 11)])
+def test_matching_equals_brute_force(spark, monkeypatch, parts):
+    monkeypatch.setattr(sm, "TARGETS", parts[0])
+    monkeypatch.setattr(sm, "DOCUMENTS", parts[1])
     docs = problems(60, 1) + [(100 + i, "Solve for x: 2x + 3 = 7.") for i in range(20)]  # a hot group of copies
     df = spark.createDataFrame(docs, "id int, problem string")
     base = brute_force(spark, df, df)
@@ -47,7 +49,7 @@ def test_matching_equals_brute_force(spark, at_least):
     table = df.select(F.col("id").alias("doc_id"), F.lit("d").alias("domain"), F.lit("b").alias("difficulty"), "problem", F.lit("t").alias("winner_technique"))
     scores = spark.createDataFrame([(i, "t", overall[i]) for i, _ in docs], "doc_id int, technique string, overall double")
     targets = table.select(F.col("doc_id").alias("target_id"), "domain", "difficulty", "problem")
-    found = sm.match_history(targets, table, scores, share=0.0 if at_least == 0 else 0.05, at_least=at_least).persist()
+    found = sm.match_history(targets, table, scores).persist()
     summary = {r.target_id: r for r in sm.match_summary(found).collect()}
     ranking = {r.target_id: r for r in sm.profile_ranking(found).collect()}
     for t, _ in docs:
@@ -64,6 +66,27 @@ def test_matching_equals_brute_force(spark, at_least):
     found.unpersist()
 
 
+def test_array_scores_equal_the_pair_functions(spark):
+    """With vectors, without, and with vectors on one side only."""
+    from gaugeline.functions import pairs as pr
+
+    rng = random.Random(8)
+    texts = problems(25, 9)
+    rows = [(i, t, None if i % 4 == 0 else [0.0, 0.0, 0.0] if i % 9 == 1 else [rng.uniform(-1, 1) for _ in range(3)]) for i, t in texts]
+    made = sm.prepare(spark.createDataFrame(rows, "id int, problem string, embedding array<double>"), "problem").orderBy("id")
+    whole = made.select("id", *sm._hashed(made)).toPandas()
+    got = sm.scores(whole, whole)
+    tags = lambda c: F.array_remove(F.split(c, ","), "")
+    a = made.select(*[F.col(c).alias("a_" + c) for c in ("id", "tag_key", "type_key", "tokens", "embedding")])
+    b = made.select(*[F.col(c).alias("b_" + c) for c in ("id", "tag_key", "type_key", "tokens", "embedding")])
+    keys = (tags("a_tag_key"), tags("b_tag_key"), F.col("a_type_key"), F.col("b_type_key"))
+    cosine = F.when(F.col("a_embedding").isNotNull() & F.col("b_embedding").isNotNull(), pr.cosine(F.col("a_embedding"), F.col("b_embedding")))
+    score = pr.hybrid(pr.jaccard(F.col("a_tokens"), F.col("b_tokens")), pr.feature_similarity(*keys), pr.type_mismatch(*keys), cosine)
+    place = {i: k for k, i in enumerate(whole["id"])}
+    for r in a.join(b).select("a_id", "b_id", score.alias("s")).collect():
+        assert got[place[r.a_id], place[r.b_id]] == pytest.approx(r.s, abs=1e-12)
+
+
 def test_respect_min_similarity(spark):
     df = spark.createDataFrame(problems(30, 3), "id int, problem string")
     table = df.select(F.col("id").alias("doc_id"), F.lit("d").alias("domain"), F.lit("b").alias("difficulty"), "problem", F.lit(None).cast("string").alias("winner_technique"))
@@ -73,7 +96,10 @@ def test_respect_min_similarity(spark):
     assert all(r.threshold == 0.9 for r in rows)
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.mark.parametrize("parts", [(1024, 2048), (7, 11)])
+def test_nearest_equals_brute_force(spark, monkeypatch, parts):
+    monkeypatch.setattr(sm, "TARGETS", parts[0])
+    monkeypatch.setattr(sm, "DOCUMENTS", parts[1])
     docs = problems(80, 5) + [(200 + i, "Solve for x: 2x + 3 = 7.") for i in range(30)]
     df = spark.createDataFrame(docs, "id int, problem string")
     base = brute_force(spark, df, df, "bank")
@@ -81,7 +107,7 @@ def test_nearest_equals_brute_force(spark):
     bank = sm.prepare(df.select(F.col("id").alias("doc_id"), F.col("id").alias("pos"), F.col("problem").alias("canonical"), "problem", F.lit("").alias("signature"), F.lit("g").alias("b_group")), "problem", "bank")
     goals = sm.prepare(df.select(F.col("id").alias("target_key"), F.col("problem").alias("canonical"), "problem", F.lit("").alias("signature"), F.lit("g").alias("a_group"), F.lit(True).alias("skip_identical"), F.lit(False).alias("match_signature")), "problem", "bank")
     got = {}
-    for r in sm.nearest(goals, bank, None, 4, share=0.05, at_least=5).collect():
+    for r in sm.nearest(goals, bank, None, 4).collect():
         got.setdefault(r.target_key, []).append((r.place, r.doc_id, round(r.similarity, 9)))
     for t, text in docs:
         near = sorted((-round(s, 12), b) for (a, b), s in base.items() if a == t and texts[b] != text)

@@ -44,8 +44,8 @@ ZERO_SCORE = """cast(case size % 12 when 0 then (id * 7) % 101 / 100.0 when 1 th
 TRUTH = "case when size % 12 = 3 then id % 2 = 5 when size % 12 = 6 then id % 131 = 7 when id % 10 = 3 then null else id % 4 <> 1 end"
 
 
-def stored(spark, sf):
-    base = vw.math_problems(spark, sf).withColumns({"few": F.expr(FEW_SCORE), "zero": F.expr(ZERO_SCORE), "domain": F.expr(f"concat('math', {GROUP})")})
+def stored(spark, sf, vectors=False, base=None):
+    base = (vw.math_problems(spark, sf) if base is None else base).withColumns({"few": F.expr(FEW_SCORE), "zero": F.expr(ZERO_SCORE), "domain": F.expr(f"concat('math', {GROUP})")})
     docs = base.select(
         F.col("id").alias("doc_id"), "domain", F.col("difficulty").cast("string").alias("difficulty"), "problem",
         F.expr("case when few > zero or zero is null then 'few_shot' when few < zero then 'zero_shot' end").alias("winner_technique"),
@@ -54,12 +54,20 @@ def stored(spark, sf):
     scores = base.select(F.col("id").alias("doc_id"), F.explode(F.array(
         F.struct(F.lit("few_shot").alias("technique"), F.col("few").alias("overall")), F.struct(F.lit("zero_shot").alias("technique"), F.col("zero").alias("overall")),
     )).alias("s")).select("doc_id", "s.*").where("overall is not null")
-    targets = docs.select(F.col("doc_id").alias("target_id"), "domain", "difficulty", "problem")
+    if vectors:
+        known = vw.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+        docs = docs.join(known, "doc_id", "left")
+    targets = docs.select(F.col("doc_id").alias("target_id"), "domain", "difficulty", "problem", *(["embedding"] if vectors else []))
     return targets, docs, scores
 
 
-def matches(spark, sf, **options):
-    return sm.match_history(*stored(spark, sf), require_ground_truth=True, **options)
+def document_problems(spark, sf):
+    """Whole documents in the place of problems."""
+    return vw.table(spark, sf, "documents").selectExpr("doc_id as id", "text as problem", "doc_id % 3 as difficulty", "doc_id % 50 as size")
+
+
+def matches(spark, sf, vectors=False, base=None, **options):
+    return sm.match_history(*stored(spark, sf, vectors, base), require_ground_truth=True, **options)
 
 
 HYBRID_SQL = f""",
@@ -77,14 +85,41 @@ thr as (select a, pc, case when pc > 15 then 0.60::double else 0.55::double end
 hit as (select hyb.*, pc, t from hyb join thr using (a) where h >= t)"""
 
 MATCHES = "with " + vw.MATH + HYBRID_SQL
+PLAIN = "(case when feat is null then lex else 0.55::double * feat + 0.45::double * lex end)"
+# rows without a vector keep the plain weights
+WITH_VECTORS = HYBRID_SQL.replace(
+    "winner from tg),", "winner, e.embedding::double[] emb from tg left join embeddings e on e.vec_id = tg.id),"
+).replace("select *, list_sort(", "select tg.*, list_sort(").replace(
+    "pairs as (select a.id a,", "pairs as (select case when a.emb is not null and b.emb is not null then list_cosine_similarity(a.emb, b.emb) end co, a.id a,"
+).replace(PLAIN, f"(case when co is null then {PLAIN} when feat is null then 0.75::double * co + 0.25::double * lex else 0.6::double * co + 0.25::double * feat + 0.15::double * lex end)")
+VECTOR_MATCHES = "with " + vw.MATH + WITH_VECTORS
+DOCUMENT_MATCHES = "with math_problems as (select doc_id id, text problem, doc_id % 3 difficulty, doc_id % 50 size from documents)" + HYBRID_SQL
+
+SUMMARY = """
+select thr.a target_id, thr.pc::bigint preliminary_count, thr.t threshold, count(h)::bigint matched_documents, round(coalesce(avg(h), 0)::decimal(28,10), 4)::double average_similarity,
+ count(case when winner is not null then h end)::bigint total_with_winner from thr left join hit on hit.a = thr.a group by 1, 2, 3"""
+
+
+def summary(found):
+    made = sm.match_summary(found)
+    return made.select("target_id", *[F.col(c).cast("long").alias(c) for c in ("preliminary_count", "matched_documents", "total_with_winner")], "threshold", "average_similarity")
+
+
+@register("j8_vectors", VECTOR_MATCHES + SUMMARY)
+def vector_history(spark, sf):
+    return summary(matches(spark, sf, vectors=True))
+
+
+@register("j8_document_texts", DOCUMENT_MATCHES + SUMMARY)
+def document_history(spark, sf):
+    return summary(matches(spark, sf, base=document_problems(spark, sf)))
 
 
 @register("j8_a21_matched_history", MATCHES + """
 select thr.a target_id, thr.pc::bigint preliminary_count, thr.t threshold, count(h)::bigint matched_documents, round(coalesce(avg(h), 0)::decimal(28,10), 4)::double average_similarity,
  count(case when winner is not null then h end)::bigint total_with_winner from thr left join hit on hit.a = thr.a group by 1, 2, 3""")
 def matched_history(spark, sf):
-    made = sm.match_summary(matches(spark, sf))
-    return made.select("target_id", *[F.col(c).cast("long").alias(c) for c in ("preliminary_count", "matched_documents", "total_with_winner")], "threshold", "average_similarity")
+    return summary(matches(spark, sf))
 
 
 PROFILE = """,
@@ -102,6 +137,16 @@ def profile_ranking(spark, sf):
     return sm.profile_ranking(matches(spark, sf))
 
 
+@register("a10_vectors", VECTOR_MATCHES + PROFILE + " select * from profile")
+def vector_ranking(spark, sf):
+    return sm.profile_ranking(matches(spark, sf, vectors=True))
+
+
+@register("a10_document_texts", DOCUMENT_MATCHES + PROFILE + " select * from profile")
+def document_ranking(spark, sf):
+    return sm.profile_ranking(matches(spark, sf, base=document_problems(spark, sf)))
+
+
 @register("a10_profile_scores", MATCHES + """,
 tech as (select a, 'few_shot' technique, few s from hit union all select a, 'zero_shot', zero from hit)
 select a target_id, technique, s::double score, count(*)::bigint n from tech where s is not null group by 1, 2, 3""")
@@ -110,6 +155,19 @@ def profile_scores(spark, sf):
     return made.where("score is not null and n > 0").select("target_id", "technique", "score", F.col("n").cast("long").alias("n"))
 
 
+@register("k1_nearest_vectors", "with " + vw.MATH + WITH_VECTORS.replace(" where b.truth)", ")") + """,
+ranked as (select a, b, h, row_number() over (partition by a order by h desc, b) k from hyb where a <> b)
+select a target_key, b doc_id, k::bigint place, round(h::decimal(28,10), 6)::double similarity from ranked where k <= 3""")
+def nearest_vectors(spark, sf):
+    targets, docs, _ = stored(spark, sf, vectors=True)
+    made = sm.prepare(docs, "problem").withColumns({
+        "pos": F.col("doc_id"), "canonical": F.col("doc_id").cast("string"), "signature": F.lit(""), "b_group": F.concat_ws("/", "domain", "difficulty"),
+    })
+    goals = made.withColumnsRenamed({"doc_id": "target_key", "b_group": "a_group"}).withColumns({"skip_identical": F.lit(True), "match_signature": F.lit(False)})
+    found = sm.nearest(goals, made, None, 3)
+    return found.select("target_key", "doc_id", F.col("place").cast("long").alias("place"), rounded(F.col("similarity"), 6).alias("similarity"))
+
+
 # --- routing ------------------------------------------------------------------------------------
 
 ROUTES = """,
