@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the fit, its rounds, and the least documents and largest chance for a feature to mark a word as toxic.
-SAMPLE, CHARS, ROUNDS = 1500, 50_000, 30
+SAMPLE, CHARS, ROUNDS = 1000, 10_000, 20
 LEAST, CHANCE, SHARE = 3, 1e-7, 0.9
 #: Beginnings of words that are features, marginals that count for a score and make a span, words remembered by a task.
 BEGINNINGS, COUNTED, SPAN, REMEMBERED = (4, 5, 6), 0.1, 0.5, 300_000
@@ -30,10 +30,10 @@ WORD = re.compile(r"[^\W\d_]+")
 TOKENS, ROW = 1 << 20, 128
 
 
-def features(word: str) -> list[str]:
-    """The word in lower case, and its beginnings."""
+def features(word: str) -> list[tuple[str, str]]:
+    """The word in lower case and its beginnings; each with the feature that stands for it where it is unknown."""
     w = word.lower()
-    return [w, *[f"{w[:n]}*" for n in BEGINNINGS if len(w) > n]]
+    return [(w, "?"), *[(f"{w[:n]}*", f"?{n}") for n in BEGINNINGS if len(w) > n]]
 
 
 def _running(m: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -76,7 +76,7 @@ class Chain:
             known.clear()
         for w in set(words):
             if w not in known:
-                known[w] = self.bias + sum(self.weights.get(f, 0.0) for f in features(w))
+                known[w] = self.bias + sum(self.weights.get(f, self.weights.get(other, 0.0)) for f, other in features(w))
         return np.fromiter(map(known.__getitem__, words), float, len(words))
 
     def marginals(self, emissions: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -111,24 +111,39 @@ def _forward_backward(e: np.ndarray, firsts: np.ndarray, start: float, steps: np
 
 
 def _marks(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Features that stand in toxic documents far oftener than chance allows; copies count once."""
-    seen, counts, sizes = set(), (Counter(), Counter()), [0, 0]
+    """Features that stand in toxic documents far oftener than chance allows; copies count once.
+
+    Whole words come first, then their beginnings, the longest first, each seen only in words that nothing marks yet and
+    only if at least LEAST different words have it: a word that is toxic by itself says nothing about its beginning.
+    """
+    seen, kept, sizes = set(), [], [0, 0]
     for words, toxic in docs:
         key = hash(tuple(words))
         if key not in seen:
             seen.add(key)
             sizes[toxic] += 1
-            counts[toxic].update({f for w in set(words) for f in features(w)})
-    share = sizes[1] / max(1, sum(sizes))
-    found = set()
-    for f, k in counts[1].items():
-        n = k + counts[0][f]
-        q = k / n
-        if k >= LEAST and q >= SHARE and q > share > 0:
-            # Chernoff bound of so many toxic documents among n, were they drawn by chance
-            away = q * math.log(q / share) + (0.0 if q == 1 else (1 - q) * math.log((1 - q) / (1 - share)))
-            if -n * away < math.log(CHANCE):
-                found.add(f)
+            kept.append(({w.lower() for w in words}, toxic))
+    share, found = sizes[1] / max(1, sum(sizes)), set()
+    open_words: dict[str, bool] = {w: True for words, _ in kept for w in words}
+    for n in (0, *sorted(BEGINNINGS, reverse=True)):
+        named = {w: w if not n else f"{w[:n]}*" for w, free in open_words.items() if free and (not n or len(w) > n)}
+        variety = Counter(named.values())
+        counts = (Counter(), Counter())
+        for words, toxic in kept:
+            counts[toxic].update({named[w] for w in words if w in named})
+        fresh = set()
+        for f, k in counts[1].items():
+            total = k + counts[0][f]
+            q = k / total
+            if k >= LEAST and q >= SHARE and q > share > 0 and (not n or variety[f] >= LEAST):
+                # Chernoff bound of so many toxic documents among all that have it, were they drawn by chance
+                away = q * math.log(q / share) + (0.0 if q == 1 else (1 - q) * math.log((1 - q) / (1 - share)))
+                if -total * away < math.log(CHANCE):
+                    fresh.add(f)
+        found |= fresh
+        for w, f in named.items():
+            if f in fresh:
+                open_words[w] = False
     return found
 
 
@@ -138,11 +153,13 @@ def train(rows: list[tuple[str, int]]) -> Chain:
     marks = _marks(docs)
     tagged = []
     for words, toxic in docs:
-        of = {w: bool(toxic) and any(f in marks for f in features(w)) for w in set(words)}
+        of = {w: bool(toxic) and any(f in marks for f, _ in features(w)) for w in set(words)}
         if words and (not toxic or any(of.values())):
             tagged.append((words, [of[w] for w in words]))
-    often = Counter(f for words, _ in tagged for w in set(words) for f in features(w))
-    index = {f: k for k, f in enumerate(sorted(f for f, n in often.items() if n >= LEAST))}
+    often = Counter(f for words, _ in tagged for w in set(words) for f, _ in features(w))
+    variety = Counter(f for w in {w.lower() for words, _ in tagged for w in words} for f, _ in features(w))
+    common = sorted(f for f, n in often.items() if n >= LEAST and (f[-1] != "*" or variety[f] >= LEAST))
+    index = {f: k for k, f in enumerate(["?", *[f"?{n}" for n in BEGINNINGS], *common])}
     words = [w for ws, _ in tagged for w in ws]
     y = np.array([t for _, ts in tagged for t in ts], bool)
     if not y.any():
@@ -151,7 +168,7 @@ def train(rows: list[tuple[str, int]]) -> Chain:
     firsts[np.cumsum([0] + [len(ws) for ws, _ in tagged[:-1]])] = True
     distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
     word_at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
-    pairs = np.array([(k, index[f]) for w, k in distinct.items() for f in features(w) if f in index], np.int64).reshape(-1, 2)
+    pairs = np.array([(k, index.get(f, index[other])) for w, k in distinct.items() for f, other in features(w)], np.int64).reshape(-1, 2)
     # potentials: feature weights, bias, start, two steps into and out of the toxic state
     w, bias, start, steps = np.zeros(len(index)), -4.0, 0.0, np.array([[0.0, -1.0], [-1.0, 0.0]])
     inner = np.flatnonzero(~firsts)
@@ -170,7 +187,7 @@ def train(rows: list[tuple[str, int]]) -> Chain:
         moment, square = 0.9 * moment + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         move = 0.3 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
         w, bias, start, steps = w + move[:size], bias + move[size], start + move[size + 1], steps + move[size + 2 :].reshape(2, 2)
-    return Chain({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, float(bias), float(start), steps)
+    return Chain({f: float(w[k]) for f, k in index.items()}, float(bias), float(start), steps)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Chain:
