@@ -160,7 +160,7 @@ def match_history(
     docs = prepare(usable(documents, require_ground_truth, allow_unknown), "problem")
     docs = _facts(docs.select("doc_id", "winner_technique", block.alias("group"), *_hashed(docs)), scored, techniques, by_score)
     goals = prepare(targets, "problem")
-    goals = goals.select("target_id", block.alias("group"), *_hashed(goals))
+    goals = goals.select(F.col("target_id").alias("target_id"), block.alias("group"), *_hashed(goals))
     kind = dict(goals.dtypes)["target_id"]
     limits = (FLOOR, RAISED)
     if respect_min:
@@ -282,7 +282,9 @@ def nearest(targets: DataFrame, documents: DataFrame, links: DataFrame | None, k
     Where both sides have an ``embedding`` the score has its vector layer.
     """
     right = documents.select("doc_id", "pos", "canonical", "signature", F.col("b_group").alias("group"), *_hashed(documents))
-    goals = targets.select("target_key", "a_group", "canonical", "signature", "skip_identical", "match_signature", *_hashed(targets))
+    # new names for the columns, since both sides may come from one table
+    carried = ["target_key", "a_group", "canonical", "signature", "skip_identical", "match_signature"]
+    goals = targets.select(*[F.col(c).alias(c) for c in carried], *_hashed(targets))
     left = goals.withColumnRenamed("a_group", "group") if links is None else goals.join(links, "a_group").drop("a_group").withColumnRenamed("b_group", "group")
     kinds = dict(right.dtypes) | dict(left.dtypes)
 

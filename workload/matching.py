@@ -163,7 +163,7 @@ def nearest_vectors(spark, sf):
     made = sm.prepare(docs, "problem").withColumns({
         "pos": F.col("doc_id"), "canonical": F.col("doc_id").cast("string"), "signature": F.lit(""), "b_group": F.concat_ws("/", "domain", "difficulty"),
     })
-    goals = made.withColumnsRenamed({"doc_id": "target_key", "b_group": "a_group"}).withColumns({"skip_identical": F.lit(True), "match_signature": F.lit(False)})
+    goals = made.select(*[F.col(c).alias({"doc_id": "target_key", "b_group": "a_group"}.get(c, c)) for c in made.columns]).withColumns({"skip_identical": F.lit(True), "match_signature": F.lit(False)})
     found = sm.nearest(goals, made, None, 3)
     return found.select("target_key", "doc_id", F.col("place").cast("long").alias("place"), rounded(F.col("similarity"), 6).alias("similarity"))
 
