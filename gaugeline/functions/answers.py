@@ -207,15 +207,20 @@ def accuracy(response: Column, expected: Column, final_only: Column | bool = Fal
     final = final_only if isinstance(final_only, Column) else F.lit(final_only)
 
     def judge(priority: Column) -> Column:
-        marked = has_label(response)
+        marked_only = has_label(response) & (F.size(priority) > 0)
+        wide = F.when(marked_only, priority).otherwise(all_candidates(response, priority))
 
-        def score(wanted: Column) -> Column:
+        def against(wanted: Column, pool: Column, every: Column) -> Column:
             values = value_set(wanted)
-            marked_only = marked & (F.size(priority) > 0)
-            wide = F.when(marked_only, priority).otherwise(all_candidates(response, priority))
-            pool = F.when(final, priority).otherwise(wide)
-            several = let(values, lambda w: F.when(w.isNotNull(), F.exists(wide, lambda c: F.coalesce(value_set(c) == w, F.lit(False)))))
-            return F.when(F.coalesce(several, _any_match(pool, wanted)), 1.0).otherwise(0.0)
+            several = let(values, lambda w: F.when(w.isNotNull(), F.exists(every, lambda c: F.coalesce(value_set(c) == w, F.lit(False)))))
+            # the same text is right under every rule; only other candidates are parsed
+            same = F.coalesce(F.array_contains(pool, wanted), F.lit(False))
+            return F.when(same, 1.0).when(F.coalesce(several, _any_match(pool, wanted)), 1.0).otherwise(0.0)
+
+        def score(wanted: Column) -> Column:
+            if final_only is True:
+                return against(wanted, priority, wide)
+            return let(wide, lambda every: against(wanted, every if final_only is False else F.when(final, priority).otherwise(every), every))
 
         return let(strip(expected), score)
 
