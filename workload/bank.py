@@ -211,6 +211,7 @@ def cleaning(spark, sf):
 
 
 FEATURES = {name: cond for name, cond in tgq.SQL_STRUCTURE}
+CONCEPTS = " ".join(f"when kind = '{k}' then '{v}'" for k, v in lx.CONCEPT_BY_INTENT.items())
 ANY = "(" + tgq.m(r"\b[a-z]\s*=") + ")"
 
 
@@ -228,7 +229,7 @@ select id, kind "type", array_to_string(limits, ',') constraints,
   when kind = 'conditional_probability' then 'conditional_probability_application' when kind = 'counting_arrangements' then 'combinatorics_counting' when kind = 'derivative' then 'derivative_computation' when kind = 'limit' then 'limit_evaluation'
   when kind = 'function_composition' then 'function_composition_evaluation' when kind = 'sequence_series' then 'sequence_series_analysis' when kind = 'trigonometric' then 'trigonometric_evaluation' when kind = 'variation' then 'direct_inverse_variation'
   when kind = 'ratio_proportion' then 'ratio_proportion_reasoning' when kind = 'mean' then 'mean_calculation' when kind = 'simplify' then 'algebraic_simplification' when kind = 'system' then 'simultaneous_equations' when kind = 'factor' then 'polynomial_factoring'
-  when words >= 14 then 'word_problem_reasoning' when expo then 'exponent_expression_evaluation' when fraction then 'fraction_expression_evaluation' else 'algebraic_expression_evaluation' end concept,
+  {CONCEPTS} when words >= 14 then 'word_problem_reasoning' when expo then 'exponent_expression_evaluation' when fraction then 'fraction_expression_evaluation' else 'algebraic_expression_evaluation' end concept,
  case when kind = 'conditional_probability' then 'conditional_probability_statement' when kind in ('counting_arrangements', 'expected_value', 'probability') and words >= 10 then 'counting_probability_word_problem' when sys then 'system_of_equations'
   when sub and na >= 2 then 'expression_with_assignments' when sub then 'single_assignment_expression' when eq then 'single_equation' when words >= 14 then 'word_problem' else 'direct_expression' end template,
  difficulty, na::bigint assigned_variable_count,

@@ -24,6 +24,19 @@ PHRASES = [
     "The variable varies directly with {n}.", "Tell me a story about {n} ships", "Find all integer values with 2^x = {n}.",
     "In how many ways can you choose {n} from 12?", "Prove that sin(x) + {n} = cos(x).", "Find the determinant of the singular matrix with {n}.",
     "Find the 12th term of a geometric sequence starting at {n}.", "Expand (x + {n})^3.",
+    # one for each of the remaining intents
+    "Name a palindrome between {n} and 999.", "What is the probability that {n} friends in a row are not adjacent?",
+    "Two cards are drawn from a deck of {n}. What is the probability that both are red?", "What are the odds of rain on {n} days?",
+    "{n} books are split equally among 3 friends.", "How many {n}-digit numbers have no digit equal to 5?",
+    "How many outcomes are there when {n} dice are rolled?", "Find the expected value of {n} rolls.",
+    "For r(t) = <t, 2t> sketch r({n}) and v(t).", "Find f({n}) for the line f(x) = 2x + 1.",
+    "For a unit vector a write |a + b| with b of length {n}.", "Are the vectors of length {n} perpendicular?",
+    "Find the maximum value of 3 sin x + {n} cos x.", "Solve sin(x) = 1 / {n}.", "The graph of tan is drawn {n} times.",
+    "Integrate x^{n} from 0 to 1.", "Write x^2 + {n}x in vertex form.", "Find the asymptote of y = 1 / (x - {n}).",
+    "Give the polar coordinates of (1, {n}).", "Find the variance of 1, {n} and 9.", "Find the median of 4, {n} and 9.",
+    "The mode of the list is {n}.", "Factor x^2 - {n}.", "The ratio of cats to dogs is {n} to 3.",
+    "Find the maximum value of 7 - (x - {n})^2.", "A polynomial with root {n} has degree 2.", "Use the law of sines with side {n}.",
+    "Find all real solutions of x^2 = {n}.", "How many arrangements of {n} books are there?",
 ]
 
 
@@ -230,11 +243,13 @@ def hits(words):
     return "len(list_filter(" + _sql_list(words) + ", lambda w: contains(v, w)))"
 
 
+LOOKS = f"""{m('=')} and {m(r'\b[a-z]\b|\d+[a-z]|[a-z]\d+')} and not {m(r'd/dx|dy/dx|\b(derivative|differentiate|integral|integrate|limit|lim|sin|cos|tan|sec|csc|cot|arcsin|arccos|arctan)\b')}
+ and ({m('solve|solution|root|equation|polynomial|factor|zero|find x')} or {m(r'\b[a-z][\^]?\d|\d+[a-z]|\b[a-z]\s*[+*/-]\s*[a-z0-9]')})"""
 SUBJECT = f""", sp as (select *, {hits(lx.SUBJECT_WORDS_PRECALCULUS)} + case when {m(r'\blimit\b|\blim\b|derivative|integral|optimization|\bsin\b|\bcos\b|\btan\b|\bpolar\b|\brectangular\b')} then 3 else 0 end p,
  {hits(lx.SUBJECT_WORDS_COUNTING)} + case when {m(r'\bp\(|probability|permutation|combination|counting|factorial|how many|number of ways|without replacement|with replacement|expected value')} then 3 else 0 end c,
  {hits(lx.SUBJECT_WORDS_ALGEBRA)} + case when {m(r'\bsolve\s+for\b|factor|simplify|expand|quadratic|equation')} then 2 else 0 end a from it),
 sb as (select *, case when intent in ({','.join(repr(i) for i in lx.INTENTS_PRECALCULUS)}) then 'pre-calculus' when intent in ({','.join(repr(i) for i in lx.INTENTS_COUNTING)}) then 'counting-probability'
- when intent in ({','.join(repr(i) for i in lx.INTENTS_ALGEBRA)}) then 'algebra' when greatest(p, c, a) = 0 then 'general' when p = greatest(p, c, a) then 'pre-calculus' when c = greatest(p, c, a) then 'counting-probability' else 'algebra' end found from sp)"""
+ when intent in ({','.join(repr(i) for i in lx.INTENTS_ALGEBRA)}) then 'algebra' when {LOOKS} then 'algebra' when greatest(p, c, a) = 0 then 'general' when p = greatest(p, c, a) then 'pre-calculus' when c = greatest(p, c, a) then 'counting-probability' else 'algebra' end found from sp)"""
 
 
 @register("t13_t14_t24_subject_complexity", WITH_INTENT + SUBJECT + f"""
