@@ -6,6 +6,8 @@ must hold lower-cased text unless stated otherwise.
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions.basics import count_of, count_text, first_match, has, labels, raw, rx, sql_array
 
@@ -278,6 +280,15 @@ def intent(v: str) -> str:
     return first_match(rules, "general")
 
 
+SQL_FUNCTIONS = {"problem_intent": intent, "rate_problem": rate_problem, "compares_values": compares_values, "equation_family": equation_family}
+
+
+def register_functions(spark: SparkSession) -> None:
+    """The rules over detection text as temporary SQL functions; Spark inlines their bodies."""
+    for name, rule in SQL_FUNCTIONS.items():
+        spark.sql(f"create or replace temporary function {name}(v string) return {rule('v')}")
+
+
 def families(name: str, families_of: dict[str, list[str]]) -> str:
     """SQL: family of an intent, the intent itself when it has none."""
     body = " ".join(

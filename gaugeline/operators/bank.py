@@ -103,6 +103,17 @@ def retag_difficulties(bank: DataFrame) -> DataFrame:
     }).drop("_own", "_low", "_words")
 
 
+def regroup(bank: DataFrame, path: str) -> DataFrame:
+    """Write the bank by subject and target difficulty, every entry relabelled; returns the retagged rows.
+
+    Entries are JSON lines below ``subject=…/bucket=…``, so a bucket is read without the others.
+    """
+    retagged = retag_difficulties(bank)
+    made = retagged.withColumns({"difficulty": F.col("target"), "bucket": F.col("target")}).drop("source_bucket", "target", "relabelled", "moved")
+    made.write.mode("overwrite").partitionBy("subject", "bucket").json(path)
+    return retagged
+
+
 def transition_report(changes: DataFrame, old: str, new: str, most: int = 20) -> DataFrame:
     """The most frequent changes (a top-k report)."""
     return changes.groupBy(F.col(old).alias("old"), F.col(new).alias("new")).agg(F.count("*").alias("n")).orderBy(
@@ -132,6 +143,16 @@ def cleaning_report(bank: DataFrame) -> DataFrame:
     return made
 
 
+def cleaning_counts(report: DataFrame) -> DataFrame:
+    """Entries, changed entries and the earliest line that differs, per field."""
+    long = report.select(F.explode(F.array(*[
+        F.struct(F.lit(field).alias("field"), F.col(f"{field}_first_change").alias("line")) for field in ("problem", "solution")
+    ])).alias("c")).select("c.*")
+    return long.groupBy("field").agg(
+        F.count("*").alias("entries"), F.count_if(F.col("line") > 0).alias("changed"), F.min(F.when(F.col("line") > 0, F.col("line"))).cast("long").alias("first_line")
+    )
+
+
 # --- metadata upgrade -------------------------------------------------------------------------
 
 def _concept(intent: Column, structure: Column, marks: Column, limits: Column, words: Column) -> Column:

@@ -210,6 +210,24 @@ def cleaning(spark, sf):
     return bk.cleaning_report(docs).select("doc_id", (F.col("problem_first_change") > 0).alias("changed"))
 
 
+@register("b5_regrouped_bank", REGROUP + """, s as (select tr.*, p.subject sub from tr join problems p using (id))
+select sub subject, target bucket, count(*)::bigint n, count(*) filter (id % 2 = 0)::bigint even from s group by 1, 2""")
+def regrouped(spark, sf):
+    path = scratch_path(spark, "regrouped")
+    bk.regroup(regroup_input(spark, sf), path)
+    read = spark.read.schema("id long, problem string, difficulty string, subject string, bucket string").json(path)
+    whole = read.where("difficulty = bucket")
+    return whole.groupBy("subject", "bucket").agg(F.count("*").alias("n"), F.count_if(F.col("id") % 2 == 0).alias("even"))
+
+
+@register("b6_cleaning_counts", "with k as (" + CLEAN.replace("LINES", "l") + """), c as (select d.text <> k.cleaned changed, string_split(d.text, chr(10)) a, string_split(k.cleaned, chr(10)) b from k join documents d on d.doc_id = k.doc_id),
+f as (select case when changed then coalesce(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] is distinct from b[i])[1], 1) else 0 end line from c)
+select 'problem' field, count(*)::bigint entries, count(*) filter (line > 0)::bigint changed, min(line) filter (line > 0)::bigint first_line from f""")
+def cleaning_counts(spark, sf):
+    docs = vw.texts(spark, sf).select("doc_id", F.col("text").alias("problem"), F.col("lang").alias("solution"))
+    return bk.cleaning_counts(bk.cleaning_report(docs)).where("field = 'problem'")
+
+
 FEATURES = {name: cond for name, cond in tgq.SQL_STRUCTURE}
 CONCEPTS = " ".join(f"when kind = '{k}' then '{v}'" for k, v in lx.CONCEPT_BY_INTENT.items())
 ANY = "(" + tgq.m(r"\b[a-z]\s*=") + ")"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeline.functions import features as ft
 from gaugeline.functions import lexicon as lx
+from gaugeline.functions import text as tx
 from gaugeline.functions.basics import alias, rounded
 from gaugeline.operators import tagging as tg
 from gaugeline.session import durable
@@ -239,6 +241,13 @@ def intent(spark, sf):
     return tg.with_intent(problems(spark, sf), "problem").select("id", "intent")
 
 
+@register("x4_sql_functions", WITH_INTENT + " select id, intent, " + RATE + " rate from it")
+def sql_functions(spark, sf):
+    ft.register_functions(spark)
+    df = problems(spark, sf).withColumn("det", tx.detection_text(F.col("problem")))
+    return df.withColumn("low", F.lower("problem")).selectExpr("id", "problem_intent(det) as intent", "rate_problem(low) as rate")
+
+
 def hits(words):
     return "len(list_filter(" + _sql_list(words) + ", lambda w: contains(v, w)))"
 
