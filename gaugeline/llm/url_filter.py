@@ -122,7 +122,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     texts = ruled.select(F.lit("h").alias("side"), F.col("h").alias("shape")).unionByName(ruled.select(F.lit("p").alias("side"), F.col("p").alias("shape"))).distinct()
     pieces = texts.where("shape <> ''").select("side", "shape", F.posexplode(F.split("shape", " ")).alias("at", "name"))
     names = pieces.select("name").where("name <> '0'").distinct()
-    split = segmented(names, word_counts(rows))
+    split = segmented(names, stored(word_counts(rows), "words"))
     tokens = stored(
         pieces.join(split, "name", "left")
         .select("side", "shape", "at", F.posexplode(F.coalesce("words", F.array("name"))).alias("k", "word"))
