@@ -127,16 +127,16 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii``: an array of (start, rank, kind, end, score) of all spans, by start, then kind.
+def find_personal_data(docs: DataFrame, name: str = "pii") -> DataFrame:
+    """``docs`` with ``pii`` (or another name): an array of (start, rank, kind, end, score) of all spans, by start, then kind.
 
     Whole texts are searched; null text counts as empty and has no spans. Every row is judged by itself, so repeated rows
-    and null ids need no rule; a column named ``pii`` is replaced, all others pass through. Kinds may overlap each other;
+    and null ids need no rule; a column of that name is replaced, all others pass through. Kinds may overlap each other;
     matches of one kind don't.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.concat(*[spans_of(text, kind) for kind in KINDS])
-    return docs.withColumn("pii", F.array_sort(found))
+    return docs.withColumn(name, F.array_sort(found))
 
 
 def redact(docs: DataFrame, mask: str = "[removed]") -> DataFrame:
@@ -151,8 +151,8 @@ def redact(docs: DataFrame, mask: str = "[removed]") -> DataFrame:
     def finish(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text"))))
 
-    clean = F.aggregate("pii", state, step, finish)
-    found = find_personal_data(docs)
-    return found.withColumn("text", F.when(F.col("text").isNull() | (F.size("pii") == 0), F.col("text")).otherwise(clean)).drop("pii").select(
+    clean = F.aggregate("_pii", state, step, finish)
+    found = find_personal_data(docs, "_pii")
+    return found.withColumn("text", F.when(F.col("text").isNull() | (F.size("_pii") == 0), F.col("text")).otherwise(clean)).select(
         *docs.columns
     )
