@@ -359,7 +359,30 @@ def prompts(spark, sf):
     return rv.all_techniques(*bank_and_targets(spark, sf))
 
 
-@register("k3_diverse_examples")
+def overlap_sql(x, y):
+    return f"(case when len({x}) = 0 or len({y}) = 0 then 0 else len(list_intersect({x}, {y}))::double / len(list_distinct({x} || {y})) end)"
+
+
+# the greedy choice among at most three supports, written out
+DIVERSE = FEW + f""",
+wd as (select id a, list_distinct(regexp_extract_all(v, '[a-z0-9_]+')) ws, case when 1 + (len(string_split_regex(trim(pv), '\\s+')) >= 18)::int
+  + least(2, len(list_filter({sql_list(lx.COMPLEXITY_MARKERS)}, lambda w: contains(pv, w)))) + (subj <> 'algebra')::int >= 2 then 4 else 2 end wanted from src),
+hi as (select a, count(*) filter (h > 0.3::double) high from rk where k <= 24 group by 1),
+pool as (select r.a, r.b, r.h, r.same, wanted, x.ws, row_number() over (partition by r.a order by k) pos, count(*) over (partition by r.a) n
+  from rk r join hi using (a) join (select a, wanted from wd) using (a) join (select a b, ws from wd) x on x.b = r.b
+  where k <= 24 and case when r.tpl = 1 then k <= 6 * wanted when high < wanted then k <= 3 * wanted else h > 0.3::double and k <= 4 * wanted end),
+free as (select * from pool where n > wanted),
+two as (select * from free where pos = 2),
+three as (select * from (select x.*, row_number() over (partition by x.a order by x.h - 0.15::double * {overlap_sql('x.ws', 'two.ws')} desc, x.pos) r
+  from free x join two using (a) where x.pos > 2 and x.wanted > 2) where r = 1),
+four as (select * from (select x.*, row_number() over (partition by x.a order by x.h - 0.15::double * greatest({overlap_sql('x.ws', 'two.ws')}, {overlap_sql('x.ws', 'three.ws')}) desc, x.pos) r
+  from free x join two using (a) join three using (a) where x.pos > 2 and x.pos <> three.pos) where r = 1),
+chosen as (select a, b, h, same, pos k from pool where n <= wanted union all select a, b, h, same, pos from free where pos <= 2
+  union all select a, b, h, same, 3 from three union all select a, b, h, same, 4 from four)
+select a target_id, b example_id, k::bigint rank, round(h::decimal(28,10), 6)::double similarity from chosen where not same"""
+
+
+@register("k3_diverse_examples", DIVERSE)
 def diverse(spark, sf):
     from gaugeline.operators import retrieval as rv
 
