@@ -82,37 +82,30 @@ FALSE_WORDS = ("0", "false", "no", "off")
 
 # --- stop words (fixed values, two lists) -------------------------------------
 
-STOP_WORDS_HISTORY = (
-    "a an the is are was were be been being "
-    "have has had do does did will would shall "
-    "should may might can could must "
-    "i me my we us our you your he him "
-    "his she her it its they them their "
-    "this that these those which who whom what "
-    "and or but nor not no so if then else "
-    "when where how why than because since while "
-    "of in on at to for with by from as "
-    "into through during before after about between "
-    "above below up down out off over under "
-    "again further once here there all each every "
-    "both few more most other some such only "
-    "own same too very just also now"
-).split()
-
-STOP_WORDS_BANK = (
-    "the a an is are was were be been being "
-    "have has had do does did will would could "
-    "should may might shall can need dare ought "
-    "used to of in for on with at by from "
-    "as into through during before after above "
-    "below between out off over under again "
-    "further then once here there when where why "
-    "how all both each few more most other "
-    "some such no nor not only own same so "
-    "than too very just because but and or if "
-    "while that this these those it its what "
-    "which who whom"
-).split()
+STOP_WORDS_HISTORY = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
+    "does", "did", "will", "would", "shall", "should", "may", "might", "can", "could", "must", "i",
+    "me", "my", "we", "us", "our", "you", "your", "he", "him", "his", "she", "her", "it", "its",
+    "they", "them", "their", "this", "that", "these", "those", "which", "who", "whom", "what",
+    "and", "or", "but", "nor", "not", "no", "so", "if", "then", "else", "when", "where", "how",
+    "why", "than", "because", "since", "while", "of", "in", "on", "at", "to", "for", "with", "by",
+    "from", "as", "into", "through", "during", "before", "after", "about", "between", "above",
+    "below", "up", "down", "out", "off", "over", "under", "again", "further", "once", "here",
+    "there", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "only",
+    "own", "same", "too", "very", "just", "also", "now",
+]
+
+STOP_WORDS_BANK = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
+    "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need",
+    "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as",
+    "into", "through", "during", "before", "after", "above", "below", "between", "out", "off",
+    "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why",
+    "how", "all", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "just", "because", "but", "and",
+    "or", "if", "while", "that", "this", "these", "those", "it", "its", "what", "which", "who",
+    "whom",
+]
 
 # --- structural feature patterns (fixed values, two rule sets) ----------------
 # An alternative ending in a superscript closes with END instead of \b, since
@@ -181,17 +174,13 @@ FEATURES_BANK = (
 
 MULTI_UNKNOWN = r"(?:solve|find)\s+(?:for\s+)?[a-z]\s*(?:(?:,\s*|\s+and\s+)[a-z])"
 
-TYPE_FEATURES_HISTORY = (
-    "linear system_of_equations quadratic cubic quartic "
-    "derivative integral limit matrix "
-    "probability conditional_probability "
-    "trigonometric logarithm exponential "
-    "sequence_series conic_section "
-    "factoring simplify expand "
-    "permutation combination expected_value "
-    "coordinate_geometry polynomial rational "
-    "rational_equation"
-).split()
+TYPE_FEATURES_HISTORY = [
+    "linear", "system_of_equations", "quadratic", "cubic", "quartic", "derivative", "integral",
+    "limit", "matrix", "probability", "conditional_probability", "trigonometric", "logarithm",
+    "exponential", "sequence_series", "conic_section", "factoring", "simplify", "expand",
+    "permutation", "combination", "expected_value", "coordinate_geometry", "polynomial", "rational",
+    "rational_equation",
+]
 
 TYPE_FEATURES_BANK = TYPE_FEATURES_HISTORY + ["factorial_number_theory", "palindrome_number_theory"]
 
@@ -458,48 +447,57 @@ FORM_BASIC = [
 
 # --- scope guards (fixed values) --------------------------------------------------
 
-SCOPE_WORDS = (
-    "solve equation factor polynomial simplify expand evaluate derivative integral limit "
-    "function sequence series probability permutation combination ratio proportion mean "
-    "median variance percent matrix vector trigonometric log"
-).split()
+SCOPE_WORDS = [
+    "solve", "equation", "factor", "polynomial", "simplify", "expand", "evaluate", "derivative",
+    "integral", "limit", "function", "sequence", "series", "probability", "permutation",
+    "combination", "ratio", "proportion", "mean", "median", "variance", "percent", "matrix",
+    "vector", "trigonometric", "log",
+]
 
-OUTSIDE_WORDS = (
-    "geometry triangle triangles rectangle rectangles square squares circle circles polygon "
-    "polygons perimeter area volume surface hypotenuse radius diameter circumference chord "
-    "tangent secant parallel perpendicular angles angle"
-).split()
+OUTSIDE_WORDS = [
+    "geometry", "triangle", "triangles", "rectangle", "rectangles", "square", "squares", "circle",
+    "circles", "polygon", "polygons", "perimeter", "area", "volume", "surface", "hypotenuse",
+    "radius", "diameter", "circumference", "chord", "tangent", "secant", "parallel",
+    "perpendicular", "angles", "angle",
+]
 
 SIGNAL_WORDS = {
-    "algebra": (
-        "equation solve factor simplify expand polynomial quadratic linear system inequality "
-        "substitute evaluate expression variable root roots real"
-    ).split(),
-    "pre-calculus": (
-        "trigonometric sin cos tan sec csc cot arcsin arccos arctan function domain range limit "
-        "derivative integral sequence series log logarithm exponential matrix vector"
-    ).split(),
-    "counting-probability": (
-        "probability permutation combination arrangement arrangements choose select random event "
-        "outcome outcomes odds chance expected variance mean median mode coin dice die card bag"
-    ).split(),
+    "algebra": [
+        "equation", "solve", "factor", "simplify", "expand", "polynomial", "quadratic", "linear",
+        "system", "inequality", "substitute", "evaluate", "expression", "variable", "root", "roots",
+        "real",
+    ],
+    "pre-calculus": [
+        "trigonometric", "sin", "cos", "tan", "sec", "csc", "cot", "arcsin", "arccos", "arctan",
+        "function", "domain", "range", "limit", "derivative", "integral", "sequence", "series",
+        "log", "logarithm", "exponential", "matrix", "vector",
+    ],
+    "counting-probability": [
+        "probability", "permutation", "combination", "arrangement", "arrangements", "choose",
+        "select", "random", "event", "outcome", "outcomes", "odds", "chance", "expected",
+        "variance", "mean", "median", "mode", "coin", "dice", "die", "card", "bag",
+    ],
 }
 
-OVERLAP_WORDS = (
-    "function functions graph graphs sequence sequences series exponent exponents log logarithm "
-    "coordinate slope line parabola trigonometric sin cos tan"
-).split()
+OVERLAP_WORDS = [
+    "function", "functions", "graph", "graphs", "sequence", "sequences", "series", "exponent",
+    "exponents", "log", "logarithm", "coordinate", "slope", "line", "parabola", "trigonometric",
+    "sin", "cos", "tan",
+]
 
-SHAPE_WORDS = (
-    "triangle triangles rectangle rectangles square squares circle circles polygon polygons "
-    "sphere cube cylinder cone prism"
-).split()
+SHAPE_WORDS = [
+    "triangle", "triangles", "rectangle", "rectangles", "square", "squares", "circle", "circles",
+    "polygon", "polygons", "sphere", "cube", "cylinder", "cone", "prism",
+]
 
-MEASURE_WORDS = (
-    "area perimeter volume surface circumference radius diameter hypotenuse height width length"
-).split()
+MEASURE_WORDS = [
+    "area", "perimeter", "volume", "surface", "circumference", "radius", "diameter", "hypotenuse",
+    "height", "width", "length",
+]
 
-GEOMETRY_CUES = "ladder wall building shadow distance height angle angles".split()
+GEOMETRY_CUES = [
+    "ladder", "wall", "building", "shadow", "distance", "height", "angle", "angles",
+]
 
 # --- example metadata (fixed values) -----------------------------------------------
 
@@ -561,10 +559,10 @@ SKILLS_BY_FEATURE = [
     ("system", "simultaneous_equations"),
 ]
 
-TAG_FEATURES = (
-    "substitution system fraction exponent probability conditional_probability derivative "
-    "integral limit trigonometric percent proportion variation"
-).split()
+TAG_FEATURES = [
+    "substitution", "system", "fraction", "exponent", "probability", "conditional_probability",
+    "derivative", "integral", "limit", "trigonometric", "percent", "proportion", "variation",
+]
 
 FORMAT_LABEL_BY_FEATURE = {
     "equation": "equation",
