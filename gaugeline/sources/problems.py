@@ -133,6 +133,11 @@ def merge_banks(curated: DataFrame, user: DataFrame, now: float) -> DataFrame:
     return first.unionByName(added.withColumn("bank", F.lit(1)), allowMissingColumns=True)
 
 
+def _place(bank: DataFrame) -> Column:
+    """Bank order: by file where there are several, then by place in the file."""
+    return F.struct("file", "pos") if "file" in bank.columns else F.struct("pos")
+
+
 def distinct_examples(bank: DataFrame) -> DataFrame:
     """One row per (problem, solution): the first in bank order.
 
@@ -140,7 +145,7 @@ def distinct_examples(bank: DataFrame) -> DataFrame:
     """
     texts = F.struct("problem", "solution")
     made = bank.withColumn("_digest", F.sha2(F.to_json(texts, {"ignoreNullFields": "false"}), 256))
-    first = made.groupBy("_digest").agg(F.min_by(texts, "pos").alias("_texts"), F.min("pos").alias("pos"), F.count("*").alias("copies"))
+    first = made.groupBy("_digest").agg(F.min_by(texts, _place(bank)).alias("_texts"), F.min_by("pos", _place(bank)).alias("pos"), F.count("*").alias("copies"))
     return first.select("_texts.*", "pos", "copies")
 
 
@@ -148,7 +153,7 @@ def catalogue(bank: DataFrame) -> DataFrame:
     """Number of examples per subject, difficulty and concept, with the first problem."""
     concept = F.coalesce(F.get("concept", F.lit(0)), F.col("type"), F.lit("general"))
     return bank.withColumn("concept", concept).groupBy("subject", "difficulty", "concept").agg(
-        F.count("*").alias("count"), F.min(F.struct("pos", "problem")).getField("problem").alias("sample")
+        F.count("*").alias("count"), F.min(F.struct(_place(bank).alias("at"), "problem")).getField("problem").alias("sample")
     )
 
 
