@@ -9,18 +9,21 @@ aggregated by Spark; every document is then scored in one pass, without a shuffl
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import held
+
 #: Bounds of the fit.
 SAMPLE, WORDS, GRAMS = 4000, 20_000, 5_000
 #: Length of character n-grams, longest first; words carry a mark at both ends. Log penalty per step down from words.
 LENGTHS, STEP = (5, 4, 3, 2, 1), 0.5
 #: Words and their scores that a task remembers, the characters that count of a word's n-grams, texts scored at a time.
-REMEMBERED, LONGEST, DOCS = 500_000, 64, 500
+REMEMBERED, LONGEST, DOCS = 200_000, 64, 200
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -32,30 +35,31 @@ class Model:
         """rows: (lang, kind, item, n); kind 0 is a word, otherwise the length of the n-gram."""
         self.langs = sorted({r[0] for r in rows})
         column = {x: k for k, x in enumerate(self.langs)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {}  # kind 0 stays: the known words
+        tables: dict[int, dict[str, np.ndarray]] = {}
         for kind in (0, *LENGTHS):
             items: dict[str, np.ndarray] = {}
             for lang, k, item, n in rows:
                 if k == kind:
                     items.setdefault(item, np.zeros(len(self.langs)))[column[lang]] += n
             total = sum(items.values()) + 0.5 * (len(items) + 1) if items else 1.0
-            self.tables[kind] = {x: np.log((v + 0.5) / total) for x, v in items.items()}
+            tables[kind] = {x: np.log((v + 0.5) / total) for x, v in items.items()}
+        # tables of numbers, and the row of each word and n-gram
+        self.words = {x: k for k, x in enumerate(tables[0])}
+        self.word_rows = np.array(list(tables[0].values())).reshape(len(tables[0]), len(self.langs))
         # all n-grams in one table, the penalty of their length included
         self.grams: dict[str, int] = {}
         rows = []
         for step, n in enumerate(LENGTHS, 1):
-            for x, v in self.tables.pop(n).items():
+            for x, v in tables[n].items():
                 if x not in "\x02\x03":  # a word's end alone says nothing
                     self.grams[x] = len(rows)
                     rows.append(v - STEP * step)
         self.gram_rows = np.array(rows).reshape(len(rows), len(self.langs))
-        self.place: dict[str, int] = {}
-        self.rows = np.empty((0, len(self.langs)))
 
     def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
+        known = self.words.get(word)
         if known is not None:
-            return known
+            return self.word_rows[known]
         marked, grams, found = f"\x02{word[:LONGEST]}\x03", self.grams, []
         for at in range(len(marked)):
             for n in LENGTHS:
@@ -66,14 +70,23 @@ class Model:
         # the mean over positions, so that an unseen word weighs like one word
         return self.gram_rows[found].mean(0) if found else np.zeros(len(self.langs))
 
+
+class Scorer:
+    """A model with the scores of the words it has met."""
+
+    def __init__(self, model: Model, most: int = REMEMBERED):
+        self.model, self.langs, self.most = model, model.langs, most
+        self.place: dict[str, int] = {}
+        self.rows = np.empty((0, len(model.langs)))
+
     def learn(self, words: set[str]) -> None:
         """Make sure that the scores of all the words are at hand."""
         new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > REMEMBERED:
+        if len(self.place) + len(new) > self.most:
             self.place, self.rows, new = {}, self.rows[:0], list(words)
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, [self.word(w) for w in new]])
+            self.rows = np.concatenate([self.rows, [self.model.word(w) for w in new]])
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
         """The likeliest language of each text and its share of the likelihoods."""
@@ -131,20 +144,23 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     return Model(found)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1: the share of the language among the model's likelihoods).
 
     Whole texts are scored. Null text and text without a letter give ``und`` with score 0, as does a model without
-    languages; ties go to the language that sorts first. Rows are judged one by one. Columns of these names are replaced.
+    languages; ties go to the language that sorts first. ``remembered`` words are kept by each worker, which trades memory
+    for time. Rows are judged one by one. Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the limits of the fit
-
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        whole, rows = [x or "" for x in texts], []
-        for k in range(0, len(whole), DOCS):
-            rows += shared.value.score(whole[k : k + DOCS])
-        return pd.DataFrame(rows, columns=["lang_pred", "lang_score"])
+    owner = f"langid {uuid.uuid4().hex}"
+
+    @F.arrow_udf("lang_pred string, lang_score double")
+    def judge(texts: pa.Array) -> pa.Array:
+        scorer, rows = held(owner, lambda: Scorer(shared.value, remembered)), []
+        for k in range(0, len(texts), DOCS):
+            rows += scorer.score([x or "" for x in texts.slice(k, DOCS).to_pylist()])
+        columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
+        return pa.StructArray.from_arrays(columns, names=["lang_pred", "lang_score"])
 
     return docs.withColumn("_judged", judge("text")).withColumns(
         {"lang_pred": F.col("_judged.lang_pred"), "lang_score": F.col("_judged.lang_score")}

@@ -9,8 +9,6 @@ slots it is due, evenly spread over the schedule.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,42 +48,27 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     return shared.select("src", "source_size", "weight", target.alias("target"))
 
 
-def _reversed_bits(i: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros_like(i)
-    for k in range(bits):
-        out |= ((i >> k) & 1) << (bits - 1 - k)
-    return out
+def point(i: Column, bits: int) -> Column:
+    """The van der Corput number of i, as an integer below 2^bits: the bits of i, reversed."""
+    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("long")
 
 
-def points(bits: int):
-    """Column function: the van der Corput number of i, as an integer below 2^bits."""
-
-    @F.pandas_udf("long")
-    def point(i: pd.Series) -> pd.Series:
-        return pd.Series(_reversed_bits(i.to_numpy(np.int64), bits))
-
-    return point
-
-
-def ranks(bits: int):
-    """Column function: how many i' < i have their point in [low, low + width).
+def rank(i: Column, own_point: Column, low: Column, width: Column, bits: int) -> Column:
+    """How many i' < i have their point in [low, low + width).
 
     The numbers below i fall into one aligned block of 2^b for every set bit b of i; the points of such a block are an
-    arithmetic progression of step 2^(bits - b), so each is counted without a look at the other slots.
+    arithmetic progression of step 2^(bits - b), so each is counted without a look at the other slots. It starts at the
+    reversed bits of i above b, which are the lowest bits of i's own point.
     """
+    total = F.lit(0).cast("long")
+    for b in range(bits):
+        step, first = 1 << (bits - b), own_point.bitwiseAND(F.lit((1 << (bits - 1 - b)) - 1))
 
-    @F.pandas_udf("long")
-    def rank(i: pd.Series, low: pd.Series, width: pd.Series) -> pd.Series:
-        i, low, width = (x.to_numpy(np.int64) for x in (i, low, width))
-        total = np.zeros_like(i)
-        for b in range(bits):
-            first = _reversed_bits((i >> (b + 1)) << (b + 1), bits)
-            step = np.int64(1) << (bits - b)
-            below = lambda end: np.clip(-((first - end) // step), 0, 1 << b)  # noqa: B023, E731
-            total += np.where((i >> b) & 1 == 1, below(low + width) - below(low), 0)
-        return pd.Series(total)
+        def below(end: Column) -> Column:
+            return F.greatest(F.lit(0), F.least(F.lit(1 << b), F.ceil((end - first) / F.lit(step)).cast("long")))  # noqa: B023
 
-    return rank
+        total = total + F.when(i.bitwiseAND(F.lit(1 << b)) != 0, below(low + width) - below(low)).otherwise(0)
+    return total
 
 
 class Mix:
@@ -140,10 +123,11 @@ class Mix:
             "src", "low", "slots",
             F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("low") + F.col("slots") - 1, shift))).alias("_cell"),
         )
-        drawn = spark.range(1 << self.bits).withColumn("_point", points(self.bits)("id"))
+        drawn = spark.range(1 << self.bits).withColumn("_point", point(F.col("id"), self.bits))
         drawn = drawn.withColumn("_cell", F.shiftright("_point", shift))
         held = drawn.join(spans, "_cell").where("_point >= low and _point < low + slots")
-        return held.select(F.col("id").alias("slot"), "src", ranks(self.bits)("id", "low", "slots").alias("rank"))
+        own = rank(F.col("id"), F.col("_point"), F.col("low"), F.col("slots"), self.bits)
+        return held.select(F.col("id").alias("slot"), "src", own.alias("rank"))
 
     def pieces(self) -> DataFrame:
         """The mix itself: (slot, src, start, from_word, to_word), a row per document and slot that takes words of it.

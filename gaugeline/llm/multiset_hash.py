@@ -24,7 +24,7 @@ from gaugeline.llm.wordhash import hash_words, mix, stream
 #: Numbers modulo 2^32 and modulo 2^16 of a fingerprint, words of a run.
 EXACT, LANES, WIDTH = 16, 256, 3
 #: Texts that are hashed at a time, in bytes, about.
-BYTES = 1 << 21
+BYTES = 1 << 20
 
 
 def _runs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,11 +19,13 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 
+from gaugeline.llm.common import held
+
 #: Context sizes; the longest is the limit of a sequence.
 TIERS = (2048, 1024, 512, 256)
 #: Tokens that a task packs at a time, tokens of a step group, words whose ids a worker remembers,
 #: the longest of them, and documents whose words are looked up at a time.
-BUFFER, STEP_TOKENS, REMEMBERED, LONGEST, DOCS = 1 << 21, 1 << 16, 600_000, 64, 500
+BUFFER, STEP_TOKENS, REMEMBERED, LONGEST, DOCS = 1 << 21, 1 << 16, 800_000, 64, 500
 #: Words of these letters only have one lower case and one spelling, and are one piece to the tokenizer.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SCHEMA = (
@@ -32,16 +34,16 @@ SCHEMA = (
 
 
 class Memory(dict):
-    """Values by word, made when asked for; at ``REMEMBERED`` words, those not asked for since the last time go."""
+    """Values by word, made when asked for; at ``most`` words, those not asked for since the last time go."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def hold(self, words: list[str]) -> None:
         """Make sure that all the words, which are distinct, are held until the next call."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+        if len(self) + len(new) > self.most:
             self.old = {w: x for w, x in self.items() if len(w) <= LONGEST}
             self.clear()
             new = words
@@ -60,12 +62,12 @@ class WordIds:
     only those that the worker hasn't met go through the tokenizer.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, most: int = REMEMBERED):
         self.encode = tokenizer.encode_batch
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known = Memory(self._ids)
+        self.known = Memory(self._ids, most)
 
     def _ids(self, words: list[str]) -> list[bytes]:
         plain = [w for w in words if LATIN.fullmatch(w)]
@@ -112,23 +114,18 @@ class WordIds:
         chosen = of_word[at].ravel()
         length = sizes[chosen]
         ends = np.cumsum(length)
-        out = flat[np.repeat(starts[chosen] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.repeat((starts[chosen] - (ends - length)).astype(np.int32), length)
+        place += np.arange(len(place), dtype=np.int32)
+        out = flat[place]
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() * 2 - split.offsets[0].as_py() * 2]
         return [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-#: What a Python worker has learned, by tokenizer: it serves all tasks of the worker.
-_LEARNED: dict[int, WordIds] = {}
-
-
-def learned(model: str) -> WordIds:
+def learned(model: str, most: int) -> WordIds:
+    """What this Python worker knows of the tokenizer; it serves all its tasks."""
     from tokenizers import Tokenizer
 
-    key = hash(model)
-    if key not in _LEARNED:
-        _LEARNED.clear()
-        _LEARNED[key] = WordIds(Tokenizer.from_str(model))
-    return _LEARNED[key]
+    return held(f"packing {hash(model)} {most}", lambda: WordIds(Tokenizer.from_str(model), most))
 
 
 class Pool:
@@ -207,10 +204,11 @@ def groups(windows: list[tuple[int, list]], step_tokens: int = STEP_TOKENS) -> l
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers=TIERS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers=TIERS, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents and the sequences that hold them.
 
-    ``tokenizer``: path of a tokenizer file, read by the driver. A document is its ids, then ``end_id``; null text is empty,
+    ``tokenizer``: path of a tokenizer file, read by the driver; ``remembered``: words whose ids each worker keeps, which
+    trades memory for time. A document is its ids, then ``end_id``; null text is empty,
     so every row has at least one id. Returns a row per piece: doc_id, start (ids of the document before it), length, ids
     (little-endian unsigned 32-bit numbers), doc_tokens, sequence_id, offset (there, without gaps), tier (the sequence's
     size; all sequences are full), step_group. Rows are packed one by one: repeated rows and null ids are documents of
@@ -227,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers=TIERS) -> DataF
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids_of = learned(model.value)
+        ids_of = learned(model.value, remembered)
         partition = TaskContext.get().partitionId() << 33
         last = array("I", [end_id]).tobytes()
         held, waiting, tokens, made, stepped = {}, [], 0, 0, 0  # held: (doc_id, ids) by the number of the document

@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import held
+
 #: Bounds of the fit, its rounds, and the least documents and largest chance for a feature to mark a word as toxic.
 SAMPLE, CHARS, ROUNDS = 1000, 10_000, 20
 LEAST, CHANCE, SHARE = 3, 1e-7, 0.9
@@ -68,10 +71,9 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], bias: float, start: float, steps: np.ndarray):
         self.weights, self.bias, self.start, self.steps = weights, bias, start, steps
-        self.known: dict[str, float] = {}
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        known = self.known
+    def emissions(self, words: list[str], known: dict[str, float]) -> np.ndarray:
+        """Log odds of each word; ``known`` remembers those of words that were met."""
         if len(known) > REMEMBERED:
             known.clear()
         for w in set(words):
@@ -214,7 +216,7 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id") -> DataFrame:
     no spans. Rows are judged one by one, so repeated rows, null keys and ties need no rule. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # bounded by the sample of the fit
-    kind = docs.schema[key].dataType.simpleString()
+    kind, owner = docs.schema[key].dataType.simpleString(), f"toxicity {uuid.uuid4().hex}"
 
     def judge(texts: list[str]):
         words = [WORD.findall(t) for t in texts]
@@ -224,7 +226,7 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id") -> DataFrame:
         for ws, end in zip(words, ends, strict=True):
             if ws:
                 firsts[end - len(ws)] = True
-        p = shared.value.marginals(shared.value.emissions(flat), firsts)
+        p = shared.value.marginals(shared.value.emissions(flat, held(owner, dict)), firsts)
         for text, ws, end in zip(texts, words, ends, strict=True):
             own = p[end - len(ws) : end]
             counted = own[own >= COUNTED]

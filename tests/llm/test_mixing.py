@@ -22,9 +22,9 @@ def water(sizes: dict, most=3) -> dict:
 
 def test_points_and_ranks(spark):
     bits, low, width = 9, 100, 177
-    rows = spark.range(1 << bits).withColumn("p", mixing.points(bits)("id")).withColumn("r", mixing.ranks(bits)("id", F.lit(low), F.lit(width)))
+    rows = spark.range(1 << bits).withColumn("p", mixing.point(F.col("id"), bits)).withColumn("r", mixing.rank(F.col("id"), F.col("p"), F.lit(low), F.lit(width), bits))
     rows = rows.orderBy("id").collect()
-    assert sorted(r["p"] for r in rows) == list(range(1 << bits))
+    assert [r["p"] for r in rows] == [int(format(i, f"0{bits}b")[::-1], 2) for i in range(1 << bits)]
     seen = 0
     for r in rows:
         if low <= r["p"] < low + width:

@@ -87,10 +87,9 @@ def test_windows_are_full(lengths):
         assert end == n
 
 
-def test_memory_is_emptied_when_full(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
+def test_memory_is_emptied_when_full():
     tokenizer = Tokenizer.from_file(FILE)
-    ids = packing.WordIds(tokenizer)
+    ids = packing.WordIds(tokenizer, 3)
     for k in range(5):
         text = " ".join(f"w{i}." for i in range(k, k + 6))
         assert ids.of(pa.array([text]))[0] == np.array(plain_ids(tokenizer, text)[:-1], "<u4").tobytes()
