@@ -22,8 +22,10 @@ from gaugeline.llm.common import held
 SAMPLE, WORDS, GRAMS = 4000, 20_000, 5_000
 #: Length of character n-grams, longest first; words carry a mark at both ends. Log penalty per step down from words.
 LENGTHS, STEP = (5, 4, 3, 2, 1), 0.5
-#: Words and their scores that a task remembers, the characters that count of a word's n-grams, texts scored at a time.
+#: Words and their scores that a task remembers, letters of the longest of them and of one word's weight, texts scored at a time.
 REMEMBERED, LONGEST, DOCS = 200_000, 64, 200
+#: Positions of a word whose n-grams are added up at a time.
+STRETCH = 1 << 16
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -60,15 +62,19 @@ class Model:
         known = self.words.get(word)
         if known is not None:
             return self.word_rows[known]
-        marked, grams, found = f"\x02{word[:LONGEST]}\x03", self.grams, []
-        for at in range(len(marked)):
-            for n in LENGTHS:
-                row = grams.get(marked[at : at + n])
-                if row is not None:
-                    found.append(row)
-                    break
-        # the mean over positions, so that an unseen word weighs like one word
-        return self.gram_rows[found].mean(0) if found else np.zeros(len(self.langs))
+        marked, grams, total, n_found = f"\x02{word}\x03", self.grams, np.zeros(len(self.langs)), 0
+        for begin in range(0, len(marked), STRETCH):
+            found = []
+            for at in range(begin, min(begin + STRETCH, len(marked))):
+                for n in LENGTHS:
+                    row = grams.get(marked[at : at + n])
+                    if row is not None:
+                        found.append(row)
+                        break
+            total += self.gram_rows[found].sum(0) if found else 0.0
+            n_found += len(found)
+        # the mean over positions, so that an unseen word weighs like one word, and a longer run like the words it may hold
+        return total / max(1, n_found) * max(1.0, len(word) / LONGEST)
 
 
 class Scorer:
@@ -93,13 +99,19 @@ class Scorer:
         words = [LETTERS.findall(t.lower()) for t in texts]
         if not self.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        self.learn(set().union(*words))
+        met = set().union(*words)
+        runs = {w: self.model.word(w) for w in met if len(w) > LONGEST}  # not remembered
+        self.learn(met - runs.keys())
         out = []
         for own in words:
             if not own:
                 out.append((UNKNOWN, 0.0))
                 continue
-            total = self.rows[np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))].sum(0)
+            total = np.zeros(len(self.langs))
+            if runs:
+                total += sum(runs[w] for w in own if w in runs)
+                own = [w for w in own if w not in runs]
+            total += self.rows[np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))].sum(0)
             odds = np.exp(total - total.max())
             best = int(np.argmax(total))
             out.append((self.langs[best], float(odds[best] / odds.sum())))
@@ -128,14 +140,12 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
         .groupBy("lang", "word").agg(F.count("*").alias("n"))
     )
     top = _top(words, "word", WORDS, 0).persist()
-    marked = F.concat(F.lit("\x02"), F.substring("item", 1, LONGEST), F.lit("\x03"))
+    marked = F.concat(F.lit("\x02"), "item", F.lit("\x03"))
     parts = [top]
     for n in LENGTHS:
-        grams = top.withColumn("_m", marked).select(
-            "lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_m") - n + 1, F.lit(1))), lambda i: F.substr(F.col("_m"), i, F.lit(n))  # noqa: B023
-            )).alias("gram")
-        )
-        parts.append(_top(grams.where(F.length("gram") == n), "gram", GRAMS, n))
+        # overlapping, in one walk over the word
+        grams = top.select("lang", "n", F.explode(F.regexp_extract_all(marked, F.lit(f"(?=(.{{{n}}}))."), F.lit(1))).alias("gram"))
+        parts.append(_top(grams, "gram", GRAMS, n))
     rows = parts[0]
     for part_rows in parts[1:]:
         rows = rows.unionByName(part_rows)

@@ -18,6 +18,20 @@ def test_known_words_then_grams(docs_of):
     assert all(0 <= s <= 1 for _, s in out.values())
 
 
+def test_long_runs_are_judged_whole(docs_of):
+    model = langid.fit(docs_of(TRAIN), F.lit(True))
+    start = "the" * 22  # more letters than a word that is remembered
+    rows = [(1, start), (2, start + "schön" * 2000), (3, start + "été" * 3000), (4, "der " + start + "schön" * 2000), (5, "ø" * 200_000 + "schön" * 200)]
+    out = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.predict(docs_of(rows), model).collect()}
+    assert {k: v[0] for k, v in out.items()} == {1: "en", 2: "de", 3: "fr", 4: "de", 5: "de"}
+    assert all(out[k][1] > 0.9 for k in (2, 3, 4))
+
+
+def test_fit_counts_ngrams_of_whole_words(docs_of):
+    model = langid.fit(docs_of([(1, "a" * 100 + "xyzzy", "en"), (2, "b𐐨𐐩c", "de")]), F.lit(True))
+    assert {"xyzzy", "zzy\x03", "a" * 5, "b𐐨𐐩c", "\x02b𐐨", "𐐩"} <= set(model.grams)
+
+
 def test_no_labels_and_empty(docs_of):
     model = langid.fit(docs_of(TRAIN), F.lit(False))
     assert [r["lang_pred"] for r in langid.predict(docs_of([(1, "the")]), model).collect()] == ["und"]
