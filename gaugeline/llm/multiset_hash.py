@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of the paragraphs.
 
 Every paragraph becomes a wide vector, and a document's fingerprint is the sum of its paragraphs' vectors: EXACT numbers
-modulo 2^32 from a cryptographic hash of the paragraph, which tell unequal multisets apart, and LANES numbers modulo 2^16
+modulo 2^32 from a cryptographic hash of the paragraph, which tell unequal multisets apart, and LANES numbers modulo 2^32
 that each of the paragraph's runs of WIDTH words moves by one, up or down, at a place its hash names. The sum doesn't
 depend on the order of the paragraphs; a paragraph is inserted or deleted by adding or subtracting its vector. The cosine
 of two documents' lanes estimates how many runs of words they share.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import stored
 from gaugeline.llm.wordhash import hash_words, mix, stream
 
-#: Numbers modulo 2^32 and modulo 2^16 of a fingerprint, words of a run.
+#: Numbers of a fingerprint, all modulo 2^32: from the paragraphs' hashes, from their runs; words of a run.
 EXACT, LANES, WIDTH = 16, 256, 3
 #: Texts that are hashed at a time, in bytes, about.
 BYTES = 1 << 20
@@ -45,7 +45,7 @@ def _runs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the texts: rows of EXACT and of LANES numbers."""
-    exact, lanes = np.zeros((len(texts), EXACT), np.uint32), np.zeros((len(texts), LANES), np.uint16)
+    exact, lanes = np.zeros((len(texts), EXACT), np.uint32), np.zeros((len(texts), LANES), np.uint32)
     k = 0
     while k < len(texts):
         end, size, parts, owner = k, 0, [], []
@@ -64,13 +64,16 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             place = owner[paragraph] * LANES + (hashes % np.uint64(LANES)).astype(np.int64)
             sign = 1.0 - 2.0 * ((hashes >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
             moved = np.bincount(place, sign, (end - k) * LANES).astype(np.int64)
-            lanes[k:end] = moved.reshape(-1, LANES).astype(np.uint16)
+            lanes[k:end] = moved.reshape(-1, LANES).astype(np.uint32)
         k = end
     return exact, lanes
 
 
 def packed(exact: np.ndarray, lanes: np.ndarray) -> list[bytes]:
-    return [a.astype("<u4").tobytes() + b.astype("<u2").tobytes() for a, b in zip(exact, lanes, strict=True)]
+    """Lanes are mostly small: sign last (0, -1, 1, -2, ...), all first bytes before all second ones, they compress well."""
+    signed = lanes.astype("<u4").view("<i4")
+    folded = ((signed << 1) ^ (signed >> 31)).view(np.uint8).reshape(len(lanes), LANES, 4).transpose(0, 2, 1)
+    return [a.astype("<u4").tobytes() + b.tobytes() for a, b in zip(exact, folded, strict=True)]
 
 
 def encoded(exact: np.ndarray, lanes: np.ndarray) -> list[str]:
@@ -80,7 +83,8 @@ def encoded(exact: np.ndarray, lanes: np.ndarray) -> list[str]:
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<u2")
+    folded = np.ascontiguousarray(np.frombuffer(raw[4 * EXACT :], np.uint8).reshape(4, LANES).T).view("<u4")[:, 0]
+    return np.frombuffer(raw[: 4 * EXACT], "<u4"), (folded >> 1) ^ (np.uint32(0) - (folded & 1))
 
 
 def plus(one: str, two: str) -> str:
@@ -96,7 +100,7 @@ def minus(one: str, two: str) -> str:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Row by row: 1 for equal fingerprints, otherwise the cosine of the lanes, from 0 to just below 1."""
-    x, y = (v[1].astype(np.uint16).view(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[1].astype(np.uint32).view(np.int32).astype(np.float64) for v in (a, b))
     size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.divide((x * y).sum(1), size, out=np.zeros(len(x)), where=size > 0)
     same = (a[0] == b[0]).all(1) & (a[1] == b[1]).all(1)

@@ -58,6 +58,16 @@ def test_ties_and_lone_documents(docs_of):
     assert mh.compared(docs_of([(1, "x")]).limit(0)).count() == 0
 
 
+def test_long_repetitive_document():
+    text = "w " * 70_000
+    edited = text[:70_000] + prose(random.Random(5), 6000)[:70_000]
+    own, changed = mh.vectors([text]), mh.vectors([edited])
+    assert mh.likeness(own, changed)[0] > 0.9
+    for exact, lanes in (own, changed):
+        again = mh.decoded(mh.encoded(exact, lanes)[0])
+        assert (again[0] == exact[0]).all() and (again[1] == lanes[0]).all()
+
+
 def test_fingerprints_column(docs_of):
     out = mh.fingerprints(docs_of([(1, "a\nb"), (2, "b\na"), (3, None)], extra=True)).orderBy("doc_id").collect()
     assert out[0]["fingerprint"] == out[1]["fingerprint"] == of("a\nb") and out[2]["fingerprint"] == of("") and out[0]["line"] == "x"
