@@ -24,19 +24,20 @@ from gaugeline.llm.common import stored
 
 #: Routing vectors of the root, vectors of a part, vectors of a page, queries of a block.
 CELLS, PART, PAGE, BLOCK = 32, 16_384, 128, 8_192
-#: Scale of the components, and the bound that keeps scores within 64 bits.
-SCALE, LARGEST = 1024, float(1 << 27)
+#: Scale of the components.
+SCALE = 1024
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): floor(SCALE * x) per component, x as double.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without a vec_id. Rows of one
-    vec_id are one vector, the smallest. Components beyond 2^27 are held to it. Shorter vectors count as ending in zeros.
+    vec_id are one vector, the smallest. Shorter vectors count as ending in zeros. Components beyond 64 bits are an error.
     """
     x = F.col("embedding")
     finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    scaled = F.transform(x, lambda c: F.greatest(F.least(F.floor(F.greatest(F.least(c.cast("double") * SCALE, F.lit(LARGEST)), F.lit(-LARGEST))), F.lit(1 << 27)), F.lit(-(1 << 27))))
+    wide = lambda c: F.raise_error(F.concat(F.lit("component beyond 64 bits: "), c.cast("string"))).cast("long")
+    scaled = F.transform(x, lambda c: F.when(F.abs(c.cast("double") * SCALE) < float(1 << 63), F.floor(c.cast("double") * SCALE)).otherwise(wide(c)))
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(finite)
     return rows.select("vec_id", scaled.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
@@ -108,7 +109,9 @@ class Part:
         queue = [(max(0.0, d - self.radii[p]), p, d) for p, d in zip(near.tolist(), away.tolist(), strict=True)]
         heapq.heapify(queue)
         best: list[tuple[int, int]] = []  # a heap of (score, -vec_id)
-        exact = np.abs(q).max(initial=0) * float(np.abs(self.x).max(initial=0)) * max(1, len(q)) < 2**52
+        largest = float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * max(1, len(q))
+        # scores in floats, 64 bits or Python's integers, whichever holds them exactly
+        kind = np.float64 if largest < 2**52 else np.int64 if largest < 2**62 else object
         while queue:
             lower, p, d = heapq.heappop(queue)
             if lower > limit:
@@ -118,7 +121,8 @@ class Part:
             rows = members[a : b + 1]
             if not len(rows):
                 continue
-            scores = (self.x[rows].astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if exact else self.x[rows] @ q
+            scores = self.x[rows].astype(kind) @ q.astype(kind)
+            scores = scores if kind is object else scores.astype(np.int64)
             for score, vec_id in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
                 if vec_id == query_id or (least is not None and score < least):
                     continue
@@ -135,10 +139,12 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def _answers(part: Part, ids, vectors, least, k: int) -> pd.DataFrame:
+    """Scores beyond 64 bits are an error. Where some of ``least`` is missing all are rounded, so the number below counts."""
+    least = [None if pd.isna(x) else int(np.nextafter(x, -np.inf)) if isinstance(x, float) else int(x) for x in least]
     rows = [
         (query_id, vec_id, score)
         for query_id, q, floor in zip(ids, _matrix(vectors, part.root.dims), least, strict=True)
-        for score, vec_id in part.search(int(query_id), q, k, None if pd.isna(floor) else int(floor))
+        for score, vec_id in part.search(int(query_id), q, k, floor)
     ]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 

@@ -48,6 +48,16 @@ def test_few_or_no_vectors(spark):
     assert run(spark, [(100, [1.0]), (2, [2.0])]) == [(100, 1, 2, 1024 * 2048)]
 
 
+def test_large_components(spark):
+    rows = vectors(3, 220) + [(300, [3e5, -2e5, 1, 0, 0, 0]), (400, [2e5, -3e5, 0, 7, 0, 0]), (401, [1.5e5, 0, 0, 0, 0, 1]), (402, [1.4e5, 0, 0, 0, 0, 2])]
+    assert run(spark, rows) == brute(rows)
+    near = [(100, [4e6, 3e6, 4e6]), (101, [2e6, 1e6, -3e6]), (102, [2e6, 1e6, -2.5e6]), (103, [-4e6, 3e6, 2e6])]  # sums within 64 bits, their parts' bound not
+    assert run(spark, near) == brute(near)
+    for beyond in ([(100, [3e7]), (101, [3e8])], [(100, [1.0]), (101, [1e20])]):
+        with pytest.raises(Exception, match="64 bits|too large|overflow"):
+            run(spark, beyond)
+
+
 def test_pruning_skips_work(monkeypatch):
     """On clustered vectors most pages are never opened."""
     rng = np.random.default_rng(2)
