@@ -6,8 +6,8 @@ tagged words by gradient ascent on the exact likelihood. Forward-backward margin
 probability; the document's score is the chance that at least one of the suspicious words is toxic, and stretches of
 words above ``SPAN`` are returned with their offsets.
 
-The chain is fitted on at most ``SAMPLE`` documents per class, chosen by a hash of the doc_id, of at most ``CHARS`` code
-points each. Every document is then scored whole, in one pass without a shuffle.
+The chain is fitted on at most ``SAMPLE`` documents per class, chosen by a hash of the doc_id; of a longer one it sees a
+stretch of ``CHARS`` code points at a place that the hash names. Every document is then scored whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -195,14 +195,16 @@ def train(rows: list[tuple[str, int]]) -> Chain:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Chain:
     """A chain of the labelled documents where ``learn`` holds; a document is toxic if any of its labels is 1."""
     judged = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text").join(judged, "doc_id").where(F.length("text") <= CHARS)
+    known = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text").join(judged, "doc_id")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     keys = docs.where(learn).select("doc_id").join(judged, "doc_id")
     sizes = {r["toxic"]: r["n"] for r in keys.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     part = F.lit(False)
     for toxic, n in sizes.items():
         part = part | ((F.col("toxic") == toxic) & (place < sample / n))
-    rows = known.where(part).select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic")).collect()  # about 2 SAMPLE rows
+    start = F.pmod(F.xxhash64(F.lit("stretch"), "doc_id"), F.greatest(F.length("text") - CHARS + 1, F.lit(1))) + 1
+    stretch = F.substr(F.col("text"), start.cast("int"), F.lit(CHARS)).alias("text")
+    rows = known.where(part).select("doc_id", stretch, (F.col("toxic") == 1).cast("int").alias("toxic")).collect()  # about 2 SAMPLE rows
     return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
 
 

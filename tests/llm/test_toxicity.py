@@ -65,6 +65,14 @@ def test_learns_words_and_beginnings(spark, docs_of):
     assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
+def test_learns_from_long_documents(spark, docs_of):
+    rows = [(k, f"{t} " * (12_000 // len(t) + 1) if toxic else t, toxic) for k, t, toxic in corpus(2)]
+    labels = spark.createDataFrame([(k, 1, x) for k, _, x in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs_of([(k, t) for k, t, _ in rows]), labels, F.lit(True))
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of([(1, "alax bmoy you IDIOT scum"), (2, "alax bmoy ctiz")]), chain).collect()}
+    assert out[1] > 0.7 and out[2] < 0.3
+
+
 def test_held_out(spark):
     folder = "/root/testdata/sf0.1"
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
