@@ -1,13 +1,23 @@
 """Similarity of many targets with many documents.
 
-Targets are a stated set of queries against all documents of their block. Both sides of a block are cut into parts of
-bounded size, whatever the size of the block; a task compares one part of the targets with one part of the documents as
-arrays and returns sums or the best few per target, never pairs. The score depends on tags, tokens and, where both sides
-have one, vectors; texts themselves don't travel, their tags and tokens do as 64-bit hashes.
+Targets are a stated set of queries against all documents of their block. What is compared is not rows:
+
+* Rows of a block with equal tags, type and tokens are one *form*; its documents' facts are summed first.
+* A token that at most RARE forms of a block's documents hold is rare, others are common. Forms with equal tags, type, common
+  tokens and number of tokens are one *skeleton*. Skeletons are compared with skeletons as if rare tokens never met, which
+  gives exact sums for all pairs of forms without a rare token in common.
+* The other pairs come from an inverted index of the rare tokens, at most RARE forms per token, so they grow with the tokens
+  and not with the square of the rows; each one's true score replaces that of its skeletons.
+
+Pairs that both have a vector have scores of their own; those rows are compared as they are. Both sides of a block are cut
+into parts of bounded size; a task compares one part with one part as arrays and returns sums or the best few per target.
+Texts don't travel, their tags and tokens do as 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +26,15 @@ from pyspark.sql import functions as F
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions import text as tx
 from gaugeline.functions.basics import rounded, strip
-from gaugeline.functions.pairs import WITH_VECTORS
+from gaugeline.functions.pairs import WITH_VECTORS, feature_similarity, hybrid, jaccard_counts, type_mismatch
 from gaugeline.operators.history import usable
 from gaugeline.operators.tagging import with_feature_tags
+from gaugeline.session import durable
 
-#: Targets and documents that one task compares.
-TARGETS, DOCUMENTS = 1024, 2048
+#: Targets, documents and tokens of either side that one task compares, about.
+TARGETS, DOCUMENTS, TOKENS = 1024, 2048, 1 << 20
+#: Documents' forms of a block that hold a rare token, at most.
+RARE = 8
 #: Scores from which a document counts as seen, and from which it matches when few or many were seen.
 SEEN, FLOOR, RAISED, MANY = 0.20, 0.55, 0.60, 15
 
@@ -62,8 +75,7 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.nd
 def _jaccard(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Jaccard of all pairs, 0 where a side is empty; and the sizes of the sets."""
     both, left, right = _shared(a, b)
-    union = left + right - both
-    return np.divide(both, union, out=np.zeros_like(both), where=union > 0), left, right
+    return _shares(both, left, right), left, right
 
 
 def _cosine(a: pd.Series, b: pd.Series) -> np.ndarray | None:
@@ -83,12 +95,21 @@ def _cosine(a: pd.Series, b: pd.Series) -> np.ndarray | None:
     return None if x is None or y is None else x @ y.T
 
 
+def _shares(both: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    union = left + right - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
 def scores(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     """J7 for all pairs of two parts with the columns of ``_hashed``: a row per target, a column per document.
 
-    Layers that a pair lacks hand their weight to the others; a type mismatch keeps 45 %.
+    Layers that a pair lacks hand their weight to the others; a type mismatch keeps 45 %. Where a side has a column ``size``,
+    it counts for the number of tokens, of which ``tokens`` may then hold some only.
     """
-    lexical, _, _ = _jaccard(list(a["tokens"]), list(b["tokens"]))
+    lexical, left, right = _shared(list(a["tokens"]), list(b["tokens"]))
+    if "size" in a:
+        left, right = a["size"].to_numpy()[:, None], b["size"].to_numpy()[None]
+    lexical = _shares(lexical, left, right)
     feature, left, right = _jaccard(list(a["tags"]), list(b["tags"]))
     mismatch = (left > 0) & (right > 0) & (a["kind"].to_numpy()[:, None] != b["kind"].to_numpy()[None])
     tagged = (left > 0) | (right > 0)
@@ -106,7 +127,8 @@ def _parts(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> tu
     """Both sides with ``i`` and ``j``: every part of a group of the left meets every part of it on the right, in one place."""
 
     def counted(df: DataFrame, most: int, name: str) -> DataFrame:
-        return df.groupBy("group").agg((F.floor((F.count("*") - 1) / most) + 1).alias(name))
+        tokens = F.sum(F.size("tokens"))
+        return df.groupBy("group").agg(F.greatest(F.floor((F.count("*") - 1) / most) + 1, F.floor(tokens / TOKENS) + 1).alias(name))
 
     shape = counted(left, TARGETS, "n_i").join(counted(right, DOCUMENTS, "n_j"), "group")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -117,23 +139,176 @@ def _parts(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> tu
 
 # --- history matching ----------------------------------------------------------------------
 
-SUMS = ["docs", "with_winner", "n", "total", "squares", "wins", "doc_similarity", "weight", "weighted_total"]
+FACTS = ["docs", "with_winner", "n", "total", "squares", "wins"]
+SUMS = ["preliminary_count", *FACTS, "doc_similarity", "weight", "weighted_total"]
 EXACT = "decimal(28,12)"
+#: What forms and skeletons have in common besides their tokens.
+KIND = ["group", "tags", "kind", "vectored"]
+FORM, SKELETON = [*KIND, "tokens"], [*KIND, "common", "size"]
 
 
 def _facts(documents: DataFrame, scored: DataFrame, techniques: list[str] | None, by_score: bool) -> DataFrame:
-    """Documents with ``facts``: per technique the number, sum and sum of squares of its scores, and the scores if asked for."""
-    value = F.col("overall").cast("decimal(18,10)")
+    """Rows (doc_id, technique, score and FACTS): the document itself (no technique), its winner, the sums of its scores.
+
+    With ``by_score`` a row per different score instead of sums.
+    """
+    row = lambda technique, score="cast(null as double)", **facts: [
+        f"{technique} as technique", f"{score} as score", *[f"cast({facts.get(c, 0)} as double) as {c}" for c in FACTS]
+    ]
+    own = documents.selectExpr("doc_id", *row("cast(null as string)", docs=1, with_winner="winner_technique is not null"))
     kept = scored.where("overall is not null")
+    won = documents.where("winner_technique is not null")
     if techniques:
-        kept = kept.where(F.col("technique").isin(*techniques))
-    sums = kept.groupBy("doc_id", "technique").agg(
-        F.count("*").cast("double").alias("n"), F.sum(value).cast("double").alias("total"), F.sum(value * value).cast("double").alias("squares"),
-        (F.collect_list("overall") if by_score else F.expr("cast(array() as array<double>)")).alias("values"),
+        kept, won = kept.where(F.col("technique").isin(*techniques)), won.where(F.col("winner_technique").isin(*techniques))
+    if by_score:
+        counted = kept.groupBy("doc_id", "technique", F.col("overall").cast("double").alias("overall")).agg(F.count("*").alias("n"))
+        return own.unionByName(counted.selectExpr("doc_id", *row("technique", "overall", n="n")))
+    value = F.col("overall").cast("decimal(18,10)")
+    summed = kept.groupBy("doc_id", "technique").agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(value * value).alias("squares"))
+    winners = won.selectExpr("doc_id", *row("winner_technique", wins=1))
+    return own.unionByName(winners).unionByName(summed.selectExpr("doc_id", *row("technique", n="n", total="total", squares="squares")))
+
+
+def _with_facts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per ``keys`` with ``facts``, the sums of the rows' facts: an entry per technique (and score)."""
+    sums = rows.groupBy(*keys, "technique", "score").agg(*[F.sum(c).alias(c) for c in FACTS])
+    return sums.groupBy(*keys).agg(F.collect_list(F.struct("technique", "score", *FACTS)).alias("facts"))
+
+
+class Forms(NamedTuple):
+    """What is compared: target_id -> a (form) -> s (skeleton); documents' forms b with facts; skeletons; met forms (a, b)."""
+
+    targets: DataFrame
+    of_targets: DataFrame
+    of_documents: DataFrame
+    skeletons: DataFrame
+    document_skeletons: DataFrame
+    met: DataFrame
+
+
+def forms(goals: DataFrame, docs: DataFrame, facts: DataFrame) -> Forms:
+    """Forms and skeletons of both sides, and the pairs of forms that have a rare token in common."""
+    b = _with_facts(docs.join(facts, "doc_id"), FORM)
+    b = durable(b.withColumn("b", F.monotonically_increasing_id()))
+    a = durable(goals.select(*FORM).distinct().withColumn("a", F.monotonically_increasing_id()))
+    targets = durable(goals.join(a, FORM).select("target_id", "a"))
+
+    postings = {name: df.select("group", name, F.explode("tokens").alias("token")) for name, df in (("a", a), ("b", b))}
+    held = durable(postings["b"].groupBy("group", "token").agg(F.count("*").alias("n")))
+    rare, common = held.where(F.col("n") <= RARE), held.where(F.col("n") > RARE)
+
+    def parted(df: DataFrame, name: str) -> DataFrame:
+        shared = postings[name].join(common, ["group", "token"], "left_semi").groupBy(name).agg(F.sort_array(F.collect_list("token")).alias("common"))
+        return df.join(shared, name, "left").withColumns({"common": F.coalesce("common", F.expr("cast(array() as array<bigint>)")), "size": F.size("tokens")}).drop("tokens")
+
+    a, b = durable(parted(a, "a")), durable(parted(b, "b"))
+    skeletons = durable(a.select(*SKELETON).distinct().withColumn("s", F.monotonically_increasing_id()))
+    of_targets = durable(a.join(skeletons, SKELETON))
+    whole = _with_facts(b.select(*SKELETON, F.explode("facts").alias("f")).select(*SKELETON, "f.*"), SKELETON)
+    whole = durable(whole.withColumn("d", F.monotonically_increasing_id()))
+    met = postings["a"].join(rare, ["group", "token"], "left_semi").join(postings["b"].join(rare, ["group", "token"], "left_semi"), ["group", "token"])
+    return Forms(targets, of_targets, b, skeletons, whole, met.groupBy("a", "b").agg(F.count("*").alias("shared")))
+
+
+def _named(facts: list) -> tuple[list, np.ndarray]:
+    """The techniques (and scores) of the documents of a part, and their FACTS by document and technique."""
+    names = sorted({(f["technique"], f["score"]) for fs in facts for f in fs if f["technique"] is not None}, key=repr)
+    place = {name: k for k, name in enumerate([None, *names])}
+    out = np.zeros((len(FACTS), len(facts), len(place)))
+    for k, fs in enumerate(facts):
+        for f in fs:
+            out[:, k, place[None if f["technique"] is None else (f["technique"], f["score"])]] = [f[c] for c in FACTS]
+    return names, out
+
+
+def _summed(left: DataFrame, right: DataFrame, left_id: str, right_id: str, limits: tuple[float, float], masked: bool) -> DataFrame:
+    """Rows (left_id, level, technique, score, SUMS) over the documents that reach each limit, part by part.
+
+    With ``masked`` pairs of rows that both have a vector are left out.
+    """
+    columns = [left_id, "level", "technique", "score", *SUMS]
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=columns)
+        found = scores(a, b)
+        if masked:
+            found[a["vectored"].to_numpy(bool)[:, None] & b["vectored"].to_numpy(bool)[None]] = -1.0
+        names, facts = _named(list(b["facts"]))
+        out = []
+        for level, limit in enumerate(limits):
+            hit = (found >= limit).astype(float)
+            weight = hit * found
+            sums = {c: hit @ facts[k] for k, c in enumerate(FACTS)}
+            heavy, heavy_total = weight @ facts[FACTS.index("n")], weight @ facts[FACTS.index("total")]
+            near = weight @ facts[0][:, 0]
+            seen = (found >= SEEN) @ facts[0][:, 0]
+            for k, name in enumerate([None, *names]):
+                own = name is None
+                rows = np.arange(len(a)) if own else np.flatnonzero((sums["n"][:, k] > 0) | (sums["wins"][:, k] > 0))
+                made = {c: sums[c][rows, k] for c in FACTS}
+                out.append(pd.DataFrame({
+                    left_id: a[left_id].to_numpy()[rows], "level": level, "technique": None if own else name[0], "score": None if own else name[1],
+                    "preliminary_count": seen[rows] if own else 0.0, **made, "doc_similarity": near[rows] if own else 0.0,
+                    "weight": heavy[rows, k], "weighted_total": heavy_total[rows, k],
+                }))
+        made = pd.concat([x for x in out if len(x)], ignore_index=True)[columns]
+        made["score"] = made["score"].astype(object).where(made["score"].notna(), None)
+        return made
+
+    a, b = _parts(left, right, left_id, right_id)
+    keys = ["group", "i", "j"]
+    schema = f"{left_id} {dict(left.dtypes)[left_id]}, level int, technique string, score double, " + ", ".join(f"{c} double" for c in SUMS)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+
+
+def _corrections(found: Forms, limits: tuple[float, float]) -> DataFrame:
+    """Rows (a, level, technique, score, SUMS): what the forms' true scores change against those of their skeletons."""
+    left = found.of_targets.select("a", *[F.col(c).alias(f"a_{c}") for c in SKELETON])
+    right = found.of_documents.select("b", "facts", *[F.col(c).alias(f"b_{c}") for c in SKELETON])
+    pairs = found.met.join(left, "a").join(right, "b").where("not (a_vectored and b_vectored)")
+    keys = (F.col("a_tags"), F.col("b_tags"), F.col("a_kind"), F.col("b_kind"))
+    pairs = pairs.withColumns({"_both": F.size(F.array_intersect("a_common", "b_common")), "_feature": feature_similarity(*keys), "_mismatch": type_mismatch(*keys)})
+    score = lambda both: hybrid(jaccard_counts(both, F.col("a_size"), F.col("b_size")), F.col("_feature"), F.col("_mismatch"))
+    pairs = pairs.withColumns({"_was": score(F.col("_both")), "_is": score(F.col("_both") + F.col("shared"))})
+    change = lambda limit: (F.col("_is") >= limit).cast("double") - (F.col("_was") >= limit).cast("double")
+    weight = lambda limit: F.when(F.col("_is") >= limit, F.col("_is")).otherwise(0.0) - F.when(F.col("_was") >= limit, F.col("_was")).otherwise(0.0)
+    levels = [F.struct(F.lit(k).alias("level"), change(SEEN).alias("seen"), change(x).alias("hit"), weight(x).alias("weight")) for k, x in enumerate(limits)]
+    pairs = pairs.select("a", "facts", F.explode(F.array(*levels)).alias("l")).where("l.seen <> 0 or l.hit <> 0 or l.weight <> 0")
+    rows = pairs.select("a", "l.*", F.explode("facts").alias("f"))
+    own = F.col("f.technique").isNull()
+    return rows.select(
+        "a", "level", "f.technique", "f.score", F.when(own, F.col("seen") * F.col("f.docs")).otherwise(0.0).alias("preliminary_count"),
+        *[(F.col("hit") * F.col(f"f.{c}")).alias(c) for c in FACTS], F.when(own, F.col("weight") * F.col("f.docs")).otherwise(0.0).alias("doc_similarity"),
+        (F.col("weight") * F.col("f.n")).alias("weight"), (F.col("weight") * F.col("f.total")).alias("weighted_total"),
     )
-    # a row per technique of the registry
-    listed = sums.groupBy("doc_id").agg(F.collect_list(F.struct("technique", "n", "total", "squares", "values")).alias("facts"))
-    return documents.join(listed, "doc_id", "left")
+
+
+def _sides(targets: DataFrame, documents: DataFrame, require_ground_truth: bool, allow_unknown: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their block as ``group``, tags, kind, tokens, vector and ``vectored``; stored."""
+    block = F.to_json(F.struct("domain", "difficulty"))
+    docs = prepare(usable(documents, require_ground_truth, allow_unknown), "problem")
+    goals = prepare(targets, "problem")
+    vectors = "embedding" in targets.columns and "embedding" in documents.columns
+    vectored = (F.coalesce(F.size("vector"), F.lit(0)) > 0) if vectors else F.lit(False)
+    docs = docs.select("doc_id", "winner_technique", block.alias("group"), *_hashed(docs)).withColumn("vectored", vectored)
+    goals = goals.select("target_id", block.alias("group"), *_hashed(goals)).withColumn("vectored", vectored)
+    return durable(goals), durable(docs)
+
+
+def match_work(targets: DataFrame, documents: DataFrame, scored: DataFrame, require_ground_truth: bool = False, allow_unknown: bool = False) -> dict[str, int]:
+    """What :func:`match_history` compares without vectors: pairs of rows, of forms and of skeletons in a block, and met forms."""
+    goals, docs = _sides(targets, documents, require_ground_truth, allow_unknown)
+    found = forms(goals, docs, _facts(docs, scored, None, False))
+
+    def pairs(left: DataFrame, right: DataFrame) -> int:
+        sizes = left.groupBy("group").agg(F.count("*").alias("x")).join(right.groupBy("group").agg(F.count("*").alias("y")), "group")
+        return sizes.agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
+
+    return {
+        "rows": goals.count() + docs.count(), "pairs_of_rows": pairs(goals, docs), "pairs_of_forms": pairs(found.of_targets, found.of_documents),
+        "pairs_of_skeletons": pairs(found.skeletons, found.document_skeletons), "met_forms": found.met.count(),
+    }
 
 
 def match_history(
@@ -156,70 +331,26 @@ def match_history(
     (target, technique), technique null for the document totals; with
     ``by_score`` also per single score.
     """
-    block = F.to_json(F.struct("domain", "difficulty"))
-    docs = prepare(usable(documents, require_ground_truth, allow_unknown), "problem")
-    docs = _facts(docs.select("doc_id", "winner_technique", block.alias("group"), *_hashed(docs)), scored, techniques, by_score)
-    goals = prepare(targets, "problem")
-    goals = goals.select(F.col("target_id").alias("target_id"), block.alias("group"), *_hashed(goals))
-    kind = dict(goals.dtypes)["target_id"]
+    goals, docs = _sides(targets, documents, require_ground_truth, allow_unknown)
+    facts = _facts(docs, scored, techniques, by_score)
     limits = (FLOOR, RAISED)
     if respect_min:
         limits = tuple(max(x, min_similarity) for x in limits)
-    columns = ["target_id", "level", "technique", "score", "preliminary_count", *SUMS]
+    exact = lambda df, key: df.select(key, "level", "technique", "score", *[F.col(c).cast(EXACT).alias(c) for c in SUMS])
+
+    found = forms(goals, docs, facts)
+    left = found.skeletons.withColumn("vector", F.lit(None).cast("array<double>")).withColumnRenamed("common", "tokens")
+    right = found.document_skeletons.withColumn("vector", F.lit(None).cast("array<double>")).withColumnRenamed("common", "tokens")
+    by_skeleton = exact(_summed(left, right, "s", "d", limits, True), "s").groupBy("s", "level", "technique", "score").agg(*[F.sum(c).alias(c) for c in SUMS])
+    by_form = found.of_targets.select("a", "s").join(by_skeleton, "s").drop("s").unionByName(exact(_corrections(found, limits), "a"))
+    by_form = by_form.groupBy("a", "level", "technique", "score").agg(*[F.sum(c).cast(EXACT).alias(c) for c in SUMS])
+    whole = found.targets.join(by_form, "a").drop("a")
+    if "embedding" in targets.columns and "embedding" in documents.columns:
+        single = _with_facts(docs.where("vectored").join(facts, "doc_id"), ["doc_id"]).join(docs.drop("winner_technique"), "doc_id")
+        both = exact(_summed(goals.where("vectored"), single, "target_id", "doc_id", limits, False), "target_id")
+        whole = whole.unionByName(both).groupBy("target_id", "level", "technique", "score").agg(*[F.sum(c).alias(c) for c in SUMS])
+    whole = durable(whole.where("technique is null or n > 0 or wins > 0"))
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=columns)
-        found = scores(a, b)
-        winner = b["winner_technique"].to_numpy(object)
-        listed = [f if f is not None else [] for f in b["facts"]]
-        names = sorted({f["technique"] for fs in listed for f in fs} | {w for w in winner if isinstance(w, str) and (not techniques or w in techniques)})
-        place = {t: k for k, t in enumerate(names)}
-        measured = np.zeros((3, len(b), len(names)))
-        for k, fs in enumerate(listed):
-            for f in fs:
-                measured[:, k, place[f["technique"]]] = f["n"], f["total"], f["squares"]
-        won = np.array([[w == t for t in names] for w in winner], float).reshape(len(b), len(names))
-        decided = np.array([isinstance(w, str) for w in winner], float)
-        out = []
-        for level, limit in enumerate(limits):
-            hit = (found >= limit).astype(float)
-            weight = hit * found
-            own = pd.DataFrame({
-                "target_id": a["target_id"], "level": level, "technique": None, "score": np.nan, "preliminary_count": (found >= SEEN).sum(1),
-                "docs": hit.sum(1), "with_winner": hit @ decided, "n": 0, "total": 0.0, "squares": 0.0, "wins": 0,
-                "doc_similarity": weight.sum(1), "weight": 0.0, "weighted_total": 0.0,
-            })
-            out.append(own)
-            n, total, squares, wins = hit @ measured[0], hit @ measured[1], hit @ measured[2], hit @ won
-            heavy, heavy_total = weight @ measured[0], weight @ measured[1]
-            for k, t in enumerate(names):
-                rows = np.flatnonzero((n[:, k] > 0) | (wins[:, k] > 0))
-                if by_score:
-                    each = [(d, float(v)) for d, fs in enumerate(listed) for f in fs if f["technique"] == t for v in f["values"]]
-                    for v in sorted({v for _, v in each}):
-                        count = hit @ np.bincount([d for d, x in each if x == v], minlength=len(b)).astype(float)
-                        kept = np.flatnonzero(count > 0)
-                        out.append(pd.DataFrame({"target_id": a["target_id"].to_numpy()[kept], "level": level, "technique": t, "score": v, "n": count[kept]}))
-                    continue
-                out.append(pd.DataFrame({
-                    "target_id": a["target_id"].to_numpy()[rows], "level": level, "technique": t, "score": np.nan, "preliminary_count": 0, "docs": 0, "with_winner": 0,
-                    "n": n[rows, k], "total": total[rows, k], "squares": squares[rows, k], "wins": wins[rows, k],
-                    "doc_similarity": 0.0, "weight": heavy[rows, k], "weighted_total": heavy_total[rows, k],
-                }))
-        made = pd.concat([x for x in out if len(x)], ignore_index=True).reindex(columns=columns)
-        numbers = ["preliminary_count", *SUMS]
-        made[numbers] = made[numbers].fillna(0.0).astype(float)
-        made["score"] = made["score"].astype(object).where(made["score"].notna(), None)
-        made["technique"] = made["technique"].astype(object).where(made["technique"].notna(), None)
-        return made
-
-    a, b = _parts(goals, docs, "target_id", "doc_id")
-    schema = f"target_id {kind}, level int, technique string, score double, preliminary_count double, " + ", ".join(f"{c} double" for c in SUMS)
-    keys = ["group", "i", "j"]
-    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
-    # exact sums, so that the result does not depend on the parts' order
-    whole = found.groupBy("target_id", "level", "technique", "score").agg(*[F.sum(F.col(c).cast(EXACT)).alias(c) for c in ("preliminary_count", *SUMS)])
     seen = whole.where("technique is null and level = 0").select("target_id", F.col("preliminary_count").cast("long").alias("_seen"))
     count = F.coalesce("_seen", F.lit(0).cast("long"))
     raised = F.when(count > MANY, RAISED).when(count > 0, FLOOR).otherwise(max(min_similarity, FLOOR))
