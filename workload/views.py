@@ -14,13 +14,20 @@ from gaugeline.functions.basics import rounded
 from gaugeline.operators import history as hs
 from gaugeline.operators import runs as rn
 from gaugeline.operators.sequences import sequence_numbers
+from gaugeline.session import shuffle_width
 
 WEIGHTS = mx.normalise_weights()
 TECHNIQUES = ["click", "view", "purchase"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table, dealt out over the session's shuffle partitions.
+
+    Each given file has one row group, which Spark can't split, so a row-wise query would run in one task. Tables of
+    production size have many row groups and need no such step, which is why it is here and not in the engine. Columns and
+    filters are still pushed below it into the scan.
+    """
+    return spark.read.parquet(f"{sf}/{name}.parquet").repartition(shuffle_width(spark))
 
 
 def utc(name: str):
