@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import features as ft
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions import text as tx
-from gaugeline.functions.basics import alias, lower_strip
+from gaugeline.functions.basics import alias, let, lower_strip
 from gaugeline.functions.pairs import intent_family
 from gaugeline.operators import similarity as sm
 from gaugeline.operators import tagging as tg
@@ -179,34 +178,34 @@ def _links(targets: DataFrame, bank: DataFrame, min_examples: int) -> DataFrame:
 def diversify(pool: DataFrame, weight: float = 0.15) -> DataFrame:
     """K3: the best example first, then supports by relevance minus their overlap with chosen supports.
 
-    ``pool`` has at most 6k rows per target (target_key, place, similarity,
-    words, wanted), so a group is always small.
+    ``pool`` has at most 6k rows per target (target_key, place, similarity, words, wanted), so a group is always small. It
+    becomes an array, from which a fold takes one support at a time; each candidate carries its highest overlap so far.
     """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place").reset_index(drop=True)
-        wanted = int(rows["wanted"].iloc[0])
-        words = [set(w) for w in rows["words"]]
-        order = list(range(min(len(rows), 1)))
-        rest = list(range(1, len(rows)))
-        picked: list[int] = []
-        if len(rest) <= wanted - 1:
-            picked = rest
-        while rest and len(picked) < wanted - 1 and picked is not rest:
-            def value(i: int) -> float:
-                shared = [len(words[i] & words[j]) / len(words[i] | words[j]) if words[i] and words[j] else 0.0 for j in picked]
-                return rows["similarity"].iloc[i] - weight * max(shared, default=0.0)
-
-            best = max(rest, key=lambda i: (value(i), -i))
-            picked.append(best)
-            rest = [i for i in rest if i != best]
-        order += picked
-        made = rows.iloc[order][["target_key", "place"]].copy()
-        made["rank"] = range(1, len(order) + 1)
-        return made
-
-    kind = dict(pool.dtypes)["target_key"]
-    return pool.groupBy("target_key").applyInPandas(choose, f"target_key {kind}, place int, rank int")
+    candidate = F.struct("place", "similarity", "words", F.lit(0.0).alias("shared"))
+    listed = pool.groupBy("target_key").agg(F.sort_array(F.collect_list(candidate)).alias("rows"), F.first("wanted").alias("wanted"))
+    first, rest = F.slice("rows", 1, 1), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
+
+    def overlap(a: Column, b: Column) -> Column:
+        ratio = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+        return F.when((F.size(a) > 0) & (F.size(b) > 0), ratio).otherwise(0.0)
+
+    def take(state: Column, _: Column) -> Column:
+        value = lambda r: r["similarity"] - weight * r["shared"]
+        top = F.array_max(F.transform(state["left"], lambda r: F.struct(value(r).alias("value"), (-r["place"]).alias("place"), r["words"].alias("words"))))
+
+        def moved(t: Column) -> Column:
+            others = F.filter(state["left"], lambda r: r["place"] != -t["place"])
+            left = F.transform(others, lambda r: F.struct(r["place"].alias("place"), r["similarity"].alias("similarity"), r["words"].alias("words"), F.greatest(r["shared"], overlap(r["words"], t["words"])).alias("shared")))
+            return F.struct(F.array_append(state["picked"], -t["place"]).alias("picked"), left.alias("left"))
+
+        return let(top, moved)
+
+    nothing = F.slice(F.transform("rows", lambda r: r["place"]), 1, 0)
+    picked = F.aggregate(F.sequence(F.lit(1), F.col("wanted") - 1), F.struct(nothing.alias("picked"), rest.alias("left")), take, lambda state: state["picked"])
+    every = F.transform(rest, lambda r: r["place"])
+    supports = F.when(F.size("rows") <= F.col("wanted"), every).when(F.col("wanted") > 1, picked).otherwise(nothing)
+    made = listed.select("target_key", F.posexplode(F.concat(F.transform(first, lambda r: r["place"]), supports)).alias("rank", "place"))
+    return made.select("target_key", "place", (F.col("rank") + 1).alias("rank"))
 
 
 def select_examples(targets: DataFrame, bank: DataFrame, most: int, min_examples: int, weight: float = 0.15) -> DataFrame:

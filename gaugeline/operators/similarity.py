@@ -16,6 +16,8 @@ Texts don't travel, their tags and tokens do as 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -403,6 +405,63 @@ def profile_ranking(matches: DataFrame) -> DataFrame:
 
 # --- nearest documents ---------------------------------------------------------------------------
 
+def _kinds(rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    """Rows with equal tags and type: the number of each row's group, and one row per group."""
+    codes, _ = pd.factorize(pd.Series([(k, *sorted(t)) for k, t in zip(rows["kind"], rows["tags"], strict=True)], dtype=object))
+    first = np.unique(codes, return_index=True)[1]
+    return codes, rows.iloc[first][["tags", "kind"]]
+
+
+def _length(tokens: pd.Series) -> np.ndarray:
+    return np.array([len(t) for t in tokens], float)
+
+
+def best(a: pd.DataFrame, b: pd.DataFrame, k: int, out: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``a`` the k rows of ``b`` with the highest scores (ties: the earlier row) and these, -1 where there are fewer.
+
+    ``out`` says, for rows of ``a`` against rows of ``b``, which pairs don't count. Threshold algorithm over groups of rows
+    with equal tags and type: of two groups the tag layer is known, the token layer can't exceed the ratio of the sizes and
+    the vector layer 1. Groups are taken by falling bound, and a row needs a group only while its bound reaches the row's
+    k-th score.
+    """
+    code_a, kinds_a = _kinds(a)
+    code_b, kinds_b = _kinds(b)
+    vectors = any(v is not None for v in a["vector"]) and any(v is not None for v in b["vector"])
+
+    def ceiling(lexical: np.ndarray) -> np.ndarray:
+        """Highest scores of all pairs of groups at this token layer."""
+        feature, left, right = _jaccard(list(kinds_a["tags"]), list(kinds_b["tags"]))
+        mismatch = (left > 0) & (right > 0) & (kinds_a["kind"].to_numpy()[:, None] != kinds_b["kind"].to_numpy()[None])
+        tagged = (left > 0) | (right > 0)
+        feature = np.where(mismatch, feature * 0.3, feature)
+        total = np.where(tagged, 0.55 * feature + 0.45 * lexical, lexical)
+        if vectors:
+            by_vector, by_feature, by_text = WITH_VECTORS
+            total = np.maximum(total, np.where(tagged, by_vector + by_feature * feature + by_text * lexical, 0.75 + 0.25 * lexical))
+        return np.where(mismatch, total * 0.45, total) + 1e-9
+
+    floor, top = ceiling(np.zeros((len(kinds_a), len(kinds_b)))), ceiling(np.ones((len(kinds_a), len(kinds_b))))
+    size_a, size_b = _length(a["tokens"]), _length(b["tokens"])
+    columns = [np.flatnonzero(code_b == g) for g in range(len(kinds_b))]
+    small, large = [size_b[c].min() for c in columns], [size_b[c].max() for c in columns]
+    score, place = np.full((len(a), k), -1.0), np.full((len(a), k), len(b), np.int64)
+    for own in range(len(kinds_a)):
+        rows = np.flatnonzero(code_a == own)
+        for g in np.argsort(-top[own], kind="stable"):
+            n = size_a[rows]
+            ratio = np.where(n < small[g], n / max(small[g], 1.0), np.where(n > large[g], large[g] / np.maximum(n, 1.0), 1.0))
+            asked = rows[floor[own, g] + (top[own, g] - floor[own, g]) * ratio + 1e-9 >= score[rows, -1]]
+            if not len(asked):
+                continue
+            found = scores(a.iloc[asked], b.iloc[columns[g]])
+            found[out(asked, columns[g])] = -1.0
+            every = np.concatenate([score[asked], found], axis=1)
+            spot = np.concatenate([place[asked], np.broadcast_to(columns[g], found.shape)], axis=1)
+            order = np.lexsort((spot, -every), axis=1)[:, :k]
+            score[asked], place[asked] = np.take_along_axis(every, order, 1), np.take_along_axis(spot, order, 1)
+    return place, score
+
+
 def nearest(targets: DataFrame, documents: DataFrame, links: DataFrame | None, k: int) -> DataFrame:
     """K1/K2: the k most similar documents of each target, ties by document order.
 
@@ -411,34 +470,49 @@ def nearest(targets: DataFrame, documents: DataFrame, links: DataFrame | None, k
     b_group, canonical, signature and the columns of :func:`prepare`. ``links``
     (a_group, b_group) says which groups meet; without it equal groups meet.
     Where both sides have an ``embedding`` the score has its vector layer.
+
+    Targets that ask the same are asked about once, and of equal documents the
+    first k stand for all.
     """
+    score = ["canonical", "signature", "tags", "tokens", "kind", "vector"]
     right = documents.select("doc_id", "pos", "canonical", "signature", F.col("b_group").alias("group"), *_hashed(documents))
+    equal = Window.partitionBy("group", *score).orderBy("pos")
+    right = right.withColumn("_copy", F.row_number().over(equal)).where(F.col("_copy") <= k).drop("_copy")
     # new names for the columns, since both sides may come from one table
-    carried = ["target_key", "a_group", "canonical", "signature", "skip_identical", "match_signature"]
-    goals = targets.select(*[F.col(c).alias(c) for c in carried], *_hashed(targets))
+    asked = targets.select(
+        F.col("target_key").alias("target_key"), F.col("a_group").alias("a_group"), F.col("skip_identical").alias("skip_identical"), F.col("match_signature").alias("match_signature"),
+        F.when(F.col("skip_identical"), F.col("canonical")).alias("canonical"), F.when(F.col("match_signature"), F.col("signature")).alias("signature"), *_hashed(targets),
+    )
+    same = ["a_group", "skip_identical", "match_signature", *score]
+    goals = asked.groupBy(*same).agg(F.min("target_key").alias("goal"))
+    goals = durable(goals)
+    known = asked.alias("x").join(goals.alias("y"), reduce(lambda x, y: x & y, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in same])).select("x.target_key", "y.goal")
     left = goals.withColumnRenamed("a_group", "group") if links is None else goals.join(links, "a_group").drop("a_group").withColumnRenamed("b_group", "group")
     kinds = dict(right.dtypes) | dict(left.dtypes)
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame(columns=["target_key", "doc_id", "pos", "similarity"])
+            return pd.DataFrame(columns=["goal", "doc_id", "pos", "similarity"])
         b = b.sort_values("pos", kind="stable")
-        found = scores(a, b)
         code = lambda name: pd.factorize(np.concatenate([a[name].to_numpy(object), b[name].to_numpy(object)]))[0]
-        same = {name: (c := code(name))[: len(a), None] == c[None, len(a) :] for name in ("canonical", "signature")}
-        out = (a["skip_identical"].to_numpy(bool)[:, None] & same["canonical"]) | (a["match_signature"].to_numpy(bool)[:, None] & ~same["signature"])
-        found = np.where(out, -1.0, found)
-        best = np.argsort(-found, axis=1, kind="stable")[:, :k]
-        rows, columns = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
-        kept = found[rows, columns] >= 0
-        rows, columns = rows[kept], columns[kept]
+        codes = {name: (c[: len(a)], c[len(a) :]) for name in ("canonical", "signature") for c in [code(name)]}
+        skip, match = a["skip_identical"].to_numpy(bool), a["match_signature"].to_numpy(bool)
+
+        def out(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            equals = lambda name: codes[name][0][x][:, None] == codes[name][1][y][None]
+            return (skip[x][:, None] & equals("canonical")) | (match[x][:, None] & ~equals("signature"))
+
+        place, found = best(a, b, k, out)
+        rows, columns = np.nonzero(found >= 0)
+        spot = place[rows, columns]
         return pd.DataFrame({
-            "target_key": a["target_key"].to_numpy()[rows], "doc_id": b["doc_id"].to_numpy()[columns], "pos": b["pos"].to_numpy()[columns], "similarity": found[rows, columns],
+            "goal": a["goal"].to_numpy()[rows], "doc_id": b["doc_id"].to_numpy()[spot], "pos": b["pos"].to_numpy()[spot], "similarity": found[rows, columns],
         })
 
-    a, b = _parts(left, right, "target_key", "doc_id")
+    a, b = _parts(left, right, "goal", "doc_id")
     keys = ["group", "i", "j"]
-    schema = f"target_key {kinds['target_key']}, doc_id {kinds['doc_id']}, pos {kinds['pos']}, similarity double"
+    schema = f"goal {kinds['goal']}, doc_id {kinds['doc_id']}, pos {kinds['pos']}, similarity double"
     found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
-    place = Window.partitionBy("target_key").orderBy(F.desc("similarity"), F.col("pos"))
-    return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("target_key", "doc_id", "similarity", "place")
+    place = Window.partitionBy("goal").orderBy(F.desc("similarity"), F.col("pos"))
+    chosen = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("goal", "doc_id", "similarity", "place")
+    return known.join(chosen, "goal").select("target_key", "doc_id", "similarity", "place")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,81 @@ def test_matching_equals_brute_force(spark, monkeypatch, parts):
     found.unpersist()
 
 
+def vectored_problems(n, seed):
+    rng = random.Random(seed)
+    own = [(i, t, None if i % 4 == 0 else [0.0, 0.0, 0.0] if i % 9 == 1 else [rng.uniform(-1, 1) for _ in range(3)]) for i, t in problems(n, seed)]
+    return own + [(200 + i, f"Solve for x: 2x + 3 = {i % 3}, case{i % 7} word{i // 2}", None) for i in range(20)]
+
+
+@pytest.mark.parametrize("rare", [0, 1, 3, 10**6])
+@pytest.mark.parametrize("vectors", [False, True])
+def test_forms_and_skeletons_equal_brute_force(spark, monkeypatch, rare, vectors):
+    """Whatever counts as rare, with and without vectors, in two blocks, with several techniques and single scores."""
+    monkeypatch.setattr(sm, "RARE", rare)
+    rows = vectored_problems(50, 11)
+    df = spark.createDataFrame(rows, "id int, problem string, embedding array<double>")
+    docs = df.select(
+        F.col("id").alias("doc_id"), F.lit("d").alias("domain"), (F.col("id") % 2).cast("string").alias("difficulty"), "problem",
+        F.expr("case when id % 3 = 0 then 't' when id % 3 = 1 then 'u' end").alias("winner_technique"), *(["embedding"] if vectors else []),
+    )
+    overall = {(i, t): (i * 7 % 11) / 10 for i, _, _ in rows for t in ("t", "u") if (i + (t == "u")) % 5}
+    scored = spark.createDataFrame([(i, t, x) for (i, t), x in overall.items()], "doc_id int, technique string, overall double")
+    targets = docs.select(F.col("doc_id").alias("target_id"), "domain", "difficulty", "problem", *(["embedding"] if vectors else []))
+    whole = sm.prepare(df if vectors else df.drop("embedding"), "problem")
+    made = whole.select("id", *sm._hashed(whole)).toPandas()
+    score = sm.scores(made, made)
+    place = {i: k for k, i in enumerate(made["id"])}
+    found = sm.match_history(targets, docs, scored).collect()
+    singles = sm.match_history(targets, docs, scored, by_score=True).where("score is not null").collect()
+    for t in place:
+        near = {d: score[place[t], place[d]] for d in place if d % 2 == t % 2}
+        seen = sum(s >= 0.2 for s in near.values())
+        hits = {d: s for d, s in near.items() if s >= (0.60 if seen > 15 else 0.55)}
+        got = {r.technique: r for r in found if r.target_id == t}
+        own = got.get(None)
+        assert max((r.preliminary_count for r in got.values()), default=0) == seen
+        assert (own.docs if own else 0) == len(hits)
+        for technique in ("t", "u"):
+            values = [(overall[d, technique], s) for d, s in hits.items() if (d, technique) in overall]
+            wins = sum((d % 3 == 0) if technique == "t" else (d % 3 == 1) for d in hits)
+            r = got.get(technique)
+            assert ((r.n or 0, r.wins or 0) if r else (0, 0)) == (len(values), wins)
+            if values:
+                assert float(r.weighted_total) == pytest.approx(sum(v * s for v, s in values), abs=1e-6)
+                assert float(r.squares) == pytest.approx(sum(v * v for v, _ in values), abs=1e-6)
+                counted = {x.score: x.n for x in singles if x.target_id == t and x.technique == technique}
+                assert counted == {v: sum(w == v for w, _ in values) for v in {v for v, _ in values}}
+
+
+def test_match_work_grows_with_the_rows(spark):
+    """Ten times the rows from the same templates: pairs of rows grow a hundredfold, what is compared far less."""
+    work = []
+    for n in (100, 1000):
+        df = spark.range(n).selectExpr("cast(id as int) doc_id", "'d' domain", "'b' difficulty", "concat('Solve for x: ', id % 5, 'x + ', id % 7, ' = row', id) problem", "'t' winner_technique")
+        scored = spark.createDataFrame([(0, "t", 0.5)], "doc_id int, technique string, overall double")
+        work.append(sm.match_work(df.selectExpr("doc_id target_id", "domain", "difficulty", "problem"), df, scored))
+    small, large = work
+    assert large["pairs_of_rows"] == 100 * small["pairs_of_rows"]
+    assert large["pairs_of_skeletons"] + large["met_forms"] <= 20 * (small["pairs_of_skeletons"] + small["met_forms"])
+
+
+def test_best_asks_for_few_groups(spark, monkeypatch):
+    rows = vectored_problems(300, 4)
+    made = sm.prepare(spark.createDataFrame(rows, "id int, problem string, embedding array<double>"), "problem")
+    for whole in (made, made.drop("embedding")):
+        table = whole.select("id", *sm._hashed(whole)).toPandas()
+        full, asked = sm.scores, []
+        monkeypatch.setattr(sm, "scores", lambda a, b: (asked.append(len(a) * len(b)), full(a, b))[1])
+        place, score = sm.best(table, table, 3, lambda x, y: np.equal(x[:, None], y[None]))
+        monkeypatch.setattr(sm, "scores", full)
+        every = full(table, table)
+        np.fill_diagonal(every, -1.0)
+        want = np.argsort(-every, axis=1, kind="stable")[:, :3]
+        assert (place == want).all() and score == pytest.approx(np.take_along_axis(every, want, 1))
+        if "embedding" not in whole.columns:
+            assert sum(asked) < 0.5 * len(table) ** 2
+
+
 def test_array_scores_equal_the_pair_functions(spark):
     """With vectors, without, and with vectors on one side only."""
     from gaugeline.functions import pairs as pr

@@ -348,6 +348,25 @@ def few_shot_examples(spark, sf):
     return used.select("target_id", "example_id", F.col("rank").cast("long").alias("rank"), rounded(F.col("similarity"), 6).alias("similarity"))
 
 
+# the same with a vector layer; strict problems keep examples of a relevance from 0.55 on
+FEW_VECTORS = FEW.replace(" ptk from src)", " ptk, e.embedding::double[] emb from src left join embeddings e on e.vec_id = src.id)").replace(
+    "pairs as (select a.id a,", "pairs as (select case when a.emb is not null and b.emb is not null then list_cosine_similarity(a.emb, b.emb) end co, a.id a,"
+).replace(PLAIN, f"(case when co is null then {PLAIN} when feat is null then 0.75::double * co + 0.25::double * lex else 0.6::double * co + 0.25::double * feat + 0.15::double * lex end)")
+
+
+@register("f5_vectors", FEW_VECTORS + """, relevance as (select a, max(h) best from rk where k <= 2 group by 1)
+select a target_id, b example_id, k::bigint rank, round(h::decimal(28,10), 6)::double similarity from used join relevance using (a) where tpl = 5 or best >= 0.55::double""")
+def few_shot_vectors(spark, sf):
+    from gaugeline.operators import retrieval as rv
+
+    known = vw.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    targets, bank = bank_and_targets(spark, sf)
+    targets = targets.join(known.withColumnRenamed("vec_id", "target_id"), "target_id", "left")
+    bank = bank.join(known.withColumnRenamed("vec_id", "example_id"), "example_id", "left")
+    _, used = rv.few_shot(targets, bank)
+    return used.select("target_id", "example_id", F.col("rank").cast("long").alias("rank"), rounded(F.col("similarity"), 6).alias("similarity"))
+
+
 @register("f1_f6_prompts", FEW + """,
 ex as (select a, count(*) n, string_agg('Q: ' || s.problem || chr(10) || 'A: work it out, then ' || s.size, chr(10) || chr(10) order by k) body from used join src s on s.id = b group by 1)
 select id target_id, 'zero_shot' technique, 'Solve the following math problem. ' || chr(10) || chr(10) || 'Q: ' || problem || chr(10) || 'A:' prompt, null error from src
