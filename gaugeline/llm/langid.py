@@ -8,7 +8,6 @@ aggregated by Spark; every document is then scored in one pass, without a shuffl
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import held
+from gaugeline.llm.common import held, letter_runs
 
 #: Bounds of the fit.
 SAMPLE, WORDS, GRAMS = 4000, 20_000, 5_000
@@ -27,7 +26,6 @@ REMEMBERED, LONGEST, DOCS = 200_000, 64, 200
 #: Positions of a word whose n-grams are added up at a time.
 STRETCH = 1 << 16
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Model:
@@ -96,7 +94,7 @@ class Scorer:
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
         """The likeliest language of each text and its share of the likelihoods."""
-        words = [LETTERS.findall(t.lower()) for t in texts]
+        words = [letter_runs(t.lower())[0] for t in texts]
         if not self.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
         met = set().union(*words)
@@ -130,7 +128,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     """A model of the rows where ``learn`` holds and text and lang are given. Without such rows it knows no language."""
     known = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 48)) / (1 << 48)
     part = F.lit(False)
     for lang, n in sorted(sizes.items()):
         part = part | ((F.col("lang") == lang) & (place < sample / n))

@@ -52,3 +52,15 @@ def test_folds(spark):
 
     got = spark.range(-20, 200).select("id", crc_mod(F.col("id"), 5).alias("k")).collect()
     assert all(r["k"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
+def test_numerals_are_no_letters(docs_of):
+    """Whatever Unicode calls a number gives ``und``, whatever it calls a letter does not."""
+    import unicodedata
+
+    docs = docs_of([(i, t, lang) for i, (t, lang) in enumerate([("the house of the rising sun", "en"), ("das Haus der Sonne", "de")] * 3)])
+    model = langid.fit(docs, F.lit(True))
+    every = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nd", "Nl", "No")]
+    rows = [(1, "½ ² ① Ⅷ 123"), (2, "".join(every)), (3, "½a"), (4, "Ⅷ 一"), (5, "_ 12 _")]
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.predict(docs_of(rows), model).collect()}
+    assert got[1] == got[2] == got[5] == ("und", 0.0) and got[3][0] != "und" and got[4][0] != "und"
