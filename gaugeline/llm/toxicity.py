@@ -13,7 +13,6 @@ stretch of ``CHARS`` code points at a place that the hash names. Every document
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 
@@ -21,14 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import held
+from gaugeline.llm.common import held, letter_runs
 
 #: Bounds of the fit, its rounds, and the least documents and largest chance for a feature to mark a word as toxic.
 SAMPLE, CHARS, ROUNDS = 1000, 10_000, 20
 LEAST, CHANCE, SHARE = 3, 1e-7, 0.9
 #: Beginnings of words that are features, marginals that count for a score and make a span, words remembered by a task.
 BEGINNINGS, COUNTED, SPAN, REMEMBERED = (4, 5, 6), 0.1, 0.5, 300_000
-WORD = re.compile(r"[^\W\d_]+")
 #: Words that are judged at a time, and words of one column of the chain's matrices.
 TOKENS, ROW = 1 << 20, 128
 
@@ -151,7 +149,7 @@ def _marks(docs: list[tuple[list[str], int]]) -> set[str]:
 
 def train(rows: list[tuple[str, int]]) -> Chain:
     """A chain of (text, toxic) rows. Toxic documents without a toxic word say nothing about words and are left out."""
-    docs = [(WORD.findall(text or ""), int(toxic)) for text, toxic in rows]
+    docs = [(letter_runs(text or "")[0], int(toxic)) for text, toxic in rows]
     marks = _marks(docs)
     tagged = []
     for words, toxic in docs:
@@ -192,19 +190,26 @@ def train(rows: list[tuple[str, int]]) -> Chain:
     return Chain({f: float(w[k]) for f, k in index.items()}, float(bias), float(start), steps)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Chain:
-    """A chain of the labelled documents where ``learn`` holds; a document is toxic if any of its labels is 1."""
-    judged = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text").join(judged, "doc_id")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    keys = docs.where(learn).select("doc_id").join(judged, "doc_id")
-    sizes = {r["toxic"]: r["n"] for r in keys.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    part = F.lit(False)
-    for toxic, n in sizes.items():
-        part = part | ((F.col("toxic") == toxic) & (place < sample / n))
+def sampled(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``sample`` labelled documents per class where ``learn`` holds.
+
+    Those with the smallest hashes of doc_id and text are taken, repeated rows count once; of a text a stretch of CHARS code
+    points, placed by a hash. A document is toxic if any of its labels is 1.
+    """
+    judged = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
+    known = docs.where(learn & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    keys = known.select("doc_id", "mark").join(judged, "doc_id").distinct()
+    order = [F.xxhash64("doc_id", "mark"), F.col("doc_id"), F.col("mark")]
+    first = [keys.where(F.col("toxic") == c).orderBy(*order).limit(sample) for c in (0, 1)]
+    chosen = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * sample rows
     start = F.pmod(F.xxhash64(F.lit("stretch"), "doc_id"), F.greatest(F.length("text") - CHARS + 1, F.lit(1))) + 1
     stretch = F.substr(F.col("text"), start.cast("int"), F.lit(CHARS)).alias("text")
-    rows = known.where(part).select("doc_id", stretch, (F.col("toxic") == 1).cast("int").alias("toxic")).collect()  # about 2 SAMPLE rows
+    return known.join(chosen, ["doc_id", "mark"]).select("doc_id", stretch, "toxic").distinct()
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Chain:
+    """A chain of the labelled documents where ``learn`` holds, from the bounded sample of them."""
+    rows = sampled(docs, labels, learn, sample).collect()
     return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
 
 
@@ -221,7 +226,8 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id") -> DataFrame:
     kind, owner = docs.schema[key].dataType.simpleString(), f"toxicity {uuid.uuid4().hex}"
 
     def judge(texts: list[str]):
-        words = [WORD.findall(t) for t in texts]
+        found = [letter_runs(t) for t in texts]
+        words = [ws for ws, _ in found]
         flat = [w for ws in words for w in ws]
         firsts = np.zeros(len(flat), bool)
         ends = np.cumsum([len(ws) for ws in words])
@@ -229,13 +235,13 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id") -> DataFrame:
             if ws:
                 firsts[end - len(ws)] = True
         p = shared.value.marginals(shared.value.emissions(flat, held(owner, dict)), firsts)
-        for text, ws, end in zip(texts, words, ends, strict=True):
+        for text, (ws, pattern), end in zip(texts, found, ends, strict=True):
             own = p[end - len(ws) : end]
             counted = own[own >= COUNTED]
             total = float(1.0 - np.prod(1.0 - counted)) if len(counted) else float(own.max(initial=0.0))
             spans = []
             if len(counted) and counted.max() >= SPAN:
-                for k, m in enumerate(WORD.finditer(text)):
+                for k, m in enumerate(pattern.finditer(text)):
                     if own[k] >= SPAN:
                         if spans and spans[-1]["k"] == k - 1:
                             spans[-1] |= {"end": m.end(), "k": k, "p": max(spans[-1]["p"], float(own[k]))}

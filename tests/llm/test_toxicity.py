@@ -80,3 +80,14 @@ def test_held_out(spark):
     right = sum(r["predicted"] == truth[r["doc_id"]] for r in rows) / len(rows)
     false = sum(r["predicted"] for r in rows if not truth[r["doc_id"]])
     assert len(rows) > 500 and right > 0.97 and false <= 0.01 * len(rows)
+
+
+def test_sample_is_bounded_whatever_repeats(spark, docs_of):
+    """Repeated rows count once, rows of one doc_id with different texts are documents, and no class exceeds the sample."""
+    rows = [(1, "same text")] * 500 + [(i, f"text {i}") for i in range(2, 300)] + [(2, f"other {i}") for i in range(50)] + [(400, None)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(300)] + [(400, 0, 1)], "doc_id long, quality int, toxic int")
+    every = toxicity.sampled(docs_of(rows), labels, F.lit(True), 1000).collect()
+    assert len(every) == 1 + 298 + 50
+    some = toxicity.sampled(docs_of(rows), labels, F.lit(True), 20).collect()
+    assert sorted(r["toxic"] for r in some) == [0] * 20 + [1] * 20 and {tuple(r) for r in some} <= {tuple(r) for r in every}
+    assert sorted(map(tuple, toxicity.sampled(docs_of(rows[::-1]), labels, F.lit(True), 20).collect())) == sorted(map(tuple, some))
