@@ -1,8 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Built-in functions only. The positions come from the texts between the matches: ``split`` and ``regexp_extract_all`` with
-one pattern give gaps and matches, whose lengths add up to the start of each match. No group of rows is formed and
-nothing is shuffled. All patterns take possessive loops, and a run of characters is tried from its first one only (or
+one pattern give gaps and matches, whose lengths are added up to the start of each match in as many passes as the number of
+matches has binary digits, so nothing grows match by match. No group of rows is formed and nothing is shuffled. All patterns take possessive loops, and a run of characters is tried from its first one only (or
 from the end of the match before, ``\\G``), so that long runs cost linear time and no recursion; the matches are those of
 the plain patterns.
 
@@ -13,9 +13,13 @@ mod-97 check, and ssn, three groups of 3, 2 and 4 digits that need a hint in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.basics import let
+
 # fixed values: kinds in the order of ties
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = KINDS[:4]
@@ -96,29 +100,41 @@ def _score(kind: str, gap: Column) -> Column:
     return F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near.rlike(HINTS[kind]), RAISE).otherwise(0.0))
 
 
+#: Passes of a running total: enough for any array of Spark.
+PASSES = 31
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The values joined with all earlier ones, by doubling: pass k joins what stands 2^k places apart."""
+
+    def doubled(acc: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        moved = F.transform(acc, lambda x, i: F.coalesce(join(x, F.get(acc, i - step)), x))
+        return F.when(F.size(acc) > step, moved).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(PASSES - 1)), values, doubled)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind, in order; positions in code points, the end exclusive."""
     pairs = F.arrays_zip(
         F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("hit")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        gap, hit = pair["gap"], pair["hit"]
-        begin = acc["at"] + F.length(gap)
-        end = begin + F.coalesce(F.length(hit), F.lit(0))
-        score = _score(kind, gap)
-        good = F.coalesce(_valid(kind, hit), F.lit(False)) & hit.isNotNull()
-        if kind not in BASE:
-            good = good & (score >= LEAST)
-        made = F.struct(
-            begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), score.alias("score")
-        )
-        return F.struct(
-            end.alias("at"), F.when(good, F.concat(acc["out"], F.array(made))).otherwise(acc["out"]).cast(f"array<{SPAN}>").alias("out")
-        )
-
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+    def judged(p: Column, ends: Column) -> Column:
+        def made(pair: Column, i: Column) -> Column:
+            score = _score(kind, pair["gap"])
+            good = F.coalesce(_valid(kind, pair["hit"]), F.lit(False))
+            if kind not in BASE:
+                good = good & (score >= LEAST)
+            end = F.get(ends, i)
+            span = F.struct((end - F.length(pair["hit"])).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), score.alias("score"))
+            return F.when(pair["hit"].isNotNull(), F.when(good, span))
+
+        return F.array_compact(F.transform(p, made)).cast(f"array<{SPAN}>")
+
+    lengths = lambda p: F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+    found = let(pairs, lambda p: let(running(lengths(p), lambda x, y: x + y), lambda ends: judged(p, ends)))
     return F.when(text.rlike(GUARDS[kind]), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -141,18 +157,17 @@ def find_personal_data(docs: DataFrame, name: str = "pii") -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[removed]") -> DataFrame:
     """``docs`` without the found spans: each stretch of overlapping spans is replaced by ``mask``. Null text stays null."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        ahead = s["start"] >= acc["at"]
-        out = F.when(ahead, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    spans, wide = F.col("_pii"), F.encode(F.col("text"), "UTF-32")  # four bytes a character: a place needs no walk through the text
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text"))))
+    def clean(raw: Column, ends: Column) -> Column:
+        part = lambda begin, end: F.decode(raw.substr((4 * begin + 1).cast("int"), (4 * (end - begin)).cast("int")), "UTF-32")
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(part(before(i), s["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(ends, -1), F.length(F.col("text"))))
 
-    clean = F.aggregate("_pii", state, step, finish)
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
     found = find_personal_data(docs, "_pii")
-    return found.withColumn("text", F.when(F.col("text").isNull() | (F.size("_pii") == 0), F.col("text")).otherwise(clean)).select(
+    text = let(wide, lambda raw: let(ends, lambda e: clean(raw, e)))
+    return found.withColumn("text", F.when(F.col("text").isNull() | (F.size("_pii") == 0), F.col("text")).otherwise(text)).select(
         *docs.columns
     )

@@ -1,4 +1,5 @@
 import random
+import time
 
 from brute import base_digest, base_spans
 from pyspark.sql import functions as F
@@ -39,6 +40,29 @@ def test_redact(docs_of):
     assert out == {1: "write [removed] or [removed].", 2: None, 3: "", 4: "clean"}
 
 
+def test_time_is_linear_in_the_matches(docs_of):
+    """10 MB of addresses in one text; the positions stay right, also behind wider characters and for redaction."""
+    n = 1_100_000
+    docs = docs_of([(1, "é" + "10.0.0.1 " * n)])
+    start = time.time()
+    row = pii.find_personal_data(docs).select(F.size("pii").alias("n"), F.element_at("pii", -1).alias("last")).first()
+    assert (row["n"], row["last"]["start"], row["last"]["end"]) == (n, 9 * n - 8, 9 * n) and time.time() - start < 90
+    small = docs_of([(1, "é😀" + "10.0.0.1 a@b.co😀x " * 3000)])
+    assert pii.redact(small).first()["text"] == "é😀" + "[removed] [removed]😀x " * 3000
+
+
+def test_redact_merges_overlapping_spans(docs_of):
+    rows = [(1, "a+4539148803436467@b.co1.2.3.4 +1 (743) 555-3824"), (2, "x 1.2.3.4@b.co y")]
+    found = {r["doc_id"]: r["pii"] for r in pii.find_personal_data(docs_of(rows)).collect()}
+    for r in pii.redact(docs_of(rows)).collect():
+        text, at, out = dict(rows)[r["doc_id"]], 0, ""
+        for s in found[r["doc_id"]]:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + "[removed]"
+            at = max(at, s["end"])
+        assert r["text"] == out + text[at:]
+
+
 def test_query_equals_brute_force(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op4_personal_data(spark, sf).collect()
