@@ -113,66 +113,72 @@ FORM = ["subject", "kind", "intent", "strict", "family", "limits", "conditional"
 
 
 def eligible_groups(forms: DataFrame, groups: DataFrame) -> DataFrame:
-    """F3 (i)-(iii): example groups that pass the label filters, per distinct problem form."""
+    """F3 (i)-(iii): distinct problem forms with all example groups of their subject; ``eligible`` says which pass the label filters."""
     key = ["form"]
     met = forms.join(groups, "subject")
     typed = F.col("ex_type") != ""
     met = met.withColumn("_fits", typed & _type_match())
     met = met.withColumns({"_typed": _any(typed, key), "_some": _any(F.col("_fits"), key)})
     by_type = F.col("_typed") & (F.col("kind") != "general")
-    met = met.where(~by_type | F.col("_fits") | (~F.col("_some") & ~F.col("strict")))
-    met = met.withColumn("_ex_kin", intent_family("ex_intent")).withColumn("_kin", intent_family("intent"))
-    met = met.where(~F.col("strict") | (F.col("_ex_kin") == F.col("_kin")))
+    fits = ~by_type | F.col("_fits") | (~F.col("_some") & ~F.col("strict"))
+    related = ~F.col("strict") | (intent_family("ex_intent") == intent_family("intent"))
     by_family = F.col("strict") & F.col("intent").isin(*EQUATIONS) & (F.col("family") != "")
-    return met.where(~by_family | (F.col("ex_family") == F.col("family"))).drop("_fits", "_typed", "_some", "_ex_kin", "_kin")
+    same_family = ~by_family | (F.col("ex_family") == F.col("family"))
+    return met.withColumn("eligible", F.coalesce(fits & related & same_family, F.lit(False))).drop("_fits", "_typed", "_some")
 
 
-def _links(targets: DataFrame, bank: DataFrame, min_examples: int) -> DataFrame:
-    """F3 (iv)-(vi) and F4: which groups each distinct problem form, signature and text may draw from."""
-    groups = bank.groupBy("b_group", *LABELS).agg(F.count("*").alias("n_all"))
-    forms = targets.select(*FORM).distinct().withColumn("form", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in FORM]))
-    allowed = eligible_groups(forms, groups).select("form", "b_group")
-    texts = targets.select(*FORM, "signature", "canonical").distinct().withColumn("form", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in FORM]))
-    texts = texts.withColumn("link_text", F.md5(F.concat_ws("\u0001", "form", "signature", "canonical").cast("binary")))
+def _set(flag: Column | None = None) -> Column:
+    """The numbers of the groups for which the flag holds, in order."""
+    return F.sort_array(F.collect_set(F.col("g") if flag is None else F.when(flag, F.col("g"))))
 
-    def counted(*columns: str, name: str) -> DataFrame:
-        return bank.groupBy("b_group", *columns).agg(F.count("*").alias(name))
 
-    facts = groups.select("b_group", "ex_conditional", "ex_intent", "ex_constraints", "n_all")
-    met = texts.join(allowed, "form").join(facts, "b_group")
-    met = met.join(counted("signature", name="n_sig"), ["b_group", "signature"], "left")
-    met = met.join(counted("signature", "canonical", name="n_sig_own"), ["b_group", "signature", "canonical"], "left")
-    met = met.join(counted("canonical", name="n_own"), ["b_group", "canonical"], "left").na.fill(0, ["n_sig", "n_sig_own", "n_own"])
+def _links(targets: DataFrame, bank: DataFrame, min_examples: int) -> tuple[DataFrame, DataFrame]:
+    """F3 (iv)-(vi) and F4: (which pool of example groups each distinct problem form, signature and text draws from, the pools).
 
-    key = ["link_text"]
-    whole = Window.partitionBy(*key)
-    met = met.withColumn("_close", F.sum(F.col("n_sig") - F.col("n_sig_own")).over(whole))
-    met = met.withColumn("match_signature", F.col("strict") & (F.col("_close") >= min_examples))
-    left = (
-        F.when(F.col("match_signature"), F.col("n_sig") - F.col("n_sig_own"))
-        .when(F.col("strict"), F.col("n_all") - F.col("n_own")).otherwise(F.col("n_all"))
-    )
-    met = met.withColumn("_left", left).where("_left > 0")
+    The groups of a subject are numbered, and each filter of the cascade is a set of these numbers: one per problem form for
+    the filters on labels, one per signature and one per text for those on texts. A problem intersects them, so it is one row
+    throughout, and a set has at most as many numbers as its subject has groups, which are combinations of labels.
+    """
+    groups = bank.groupBy("b_group", *LABELS).agg(F.count("*").alias("n_all"))
+    groups = durable(groups.withColumn("g", F.row_number().over(Window.partitionBy("subject").orderBy("b_group"))))
+    named = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in FORM])
     shares = F.arrays_overlap(F.array_remove(F.split("limits", ","), ""), F.array_remove(F.split("ex_constraints", ","), ""))
-    met = met.withColumn("_meets", F.coalesce(shares, F.lit(False)))
-    met = met.withColumn("_limited", _any(F.col("_meets"), key)).where("not _limited or _meets")
+    real = (F.col("intent") == "real_solutions") & (F.col("ex_intent") == "real_solutions")
+    forms = eligible_groups(targets.select(*FORM).distinct().withColumn("form", named), groups).groupBy("form").agg(
+        _set().alias("every"), _set(F.col("eligible")).alias("allowed"), _set(shares).alias("limited"),
+        _set(F.col("conditional") & F.col("ex_conditional")).alias("teaching"), _set(real).alias("real"),
+    )
+    numbered = bank.join(groups.select("b_group", "g", "n_all"), "b_group")
+    alike = numbered.groupBy("subject", "signature", "g").agg(F.count("*").alias("n")).groupBy("subject", "signature").agg(F.collect_list(F.struct("g", "n")).alias("alike"))
+    own = numbered.groupBy("subject", "canonical", "g", "n_all", F.col("signature").alias("s")).agg(F.count("*").alias("n"))
+    own = own.groupBy("subject", "canonical").agg(F.collect_list(F.struct("g", "s", "n", "n_all")).alias("own"))
 
+    texts = targets.select(*FORM, "signature", "canonical").distinct().withColumn("form", named)
+    texts = texts.withColumn("link_text", F.md5(F.concat_ws("\u0001", "form", "signature", "canonical").cast("binary")))
+    met = texts.join(forms, "form").join(alike, ["subject", "signature"], "left").join(own, ["subject", "canonical"], "left")
+    met = met.withColumns({"alike": F.coalesce("alike", F.expr("cast(array() as array<struct<g:int,n:bigint>>)")), "own": F.coalesce("own", F.expr("cast(array() as array<struct<g:int,s:string,n:bigint,n_all:bigint>>)"))})
+
+    total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    owned = lambda g, also=None: F.filter("own", lambda o: (o["g"] == g) & (o["s"].eqNullSafe(F.col("signature")) if also else F.lit(True)))
+    # examples of the same signature that are not the text itself, by group
+    others = F.filter(F.transform(F.filter("alike", lambda x: F.array_contains("allowed", x["g"])), lambda x: F.struct(x["g"].alias("g"), (x["n"] - total(owned(x["g"], True))).alias("n"))), lambda x: x["n"] > 0)
+    met = met.withColumn("_others", others).withColumn("match_signature", F.col("strict") & (total(F.col("_others")) >= min_examples))
+    used_up = F.transform(F.filter("own", lambda o: total(owned(o["g"])) == o["n_all"]), lambda o: o["g"])
+    left = (
+        F.when(F.col("match_signature"), F.sort_array(F.transform("_others", lambda x: x["g"])))
+        .when(F.col("strict"), F.array_except("allowed", used_up)).otherwise(F.col("allowed"))
+    )
+    within = lambda pool, some: F.when(F.size(F.array_intersect(pool, some)) > 0, F.array_intersect(pool, some)).otherwise(F.col(pool))
+    met = met.withColumn("_left", left).withColumn("_left", within("_left", "limited"))
     # (vi) nothing left: other subjects than the core ones fall back to the whole subject
-    empty = texts.where(~F.col("strict")).join(met.select("link_text").distinct(), "link_text", "left_anti")
-    restored = empty.join(groups.select("subject", "b_group", "ex_conditional", "ex_intent"), "subject").withColumn("match_signature", F.lit(False))
-    keep = ["link_text", "b_group", "conditional", "intent", "ex_conditional", "ex_intent", "match_signature"]
-    pool = met.select(*keep).unionByName(restored.select(*keep))
-
-    teaches = F.col("conditional") & F.col("ex_conditional")
-    real = (F.col("intent") == "real_solutions") & (F.col("ex_intent") == "real_solutions")
-    pool = pool.withColumns({"_teaches": teaches, "_real": real})
-    pool = pool.withColumns({"_has_teaching": _any(F.col("_teaches"), key), "_has_real": _any(F.col("_real"), key)})
-    pool = pool.withColumn("priority", F.col("_has_teaching") | F.col("_has_real"))
-    chosen = F.when(F.col("_has_teaching"), F.col("_teaches")).when(F.col("_has_real"), F.col("_real")).otherwise(True)
-    pool = pool.where(chosen).select("link_text", "b_group", "match_signature", "priority")
-    # a problem form meets a handful of groups; their sorted list names the pool
-    named = pool.groupBy("link_text", "match_signature", "priority").agg(F.sort_array(F.collect_list("b_group")).alias("groups"))
-    return named.withColumn("a_group", F.md5(F.array_join("groups", "\u0002").cast("binary")))
+    met = met.withColumn("_left", F.when((F.size("_left") == 0) & ~F.col("strict"), F.col("every")).otherwise(F.col("_left"))).where(F.size("_left") > 0)
+    met = met.withColumns({"_teaching": F.array_intersect("_left", "teaching"), "_real": F.array_intersect("_left", "real")})
+    pool = F.when(F.size("_teaching") > 0, F.col("_teaching")).when(F.size("_real") > 0, F.col("_real")).otherwise(F.col("_left"))
+    met = met.withColumn("_pool", pool).withColumn("priority", (F.size("_teaching") > 0) | (F.size("_real") > 0))
+    met = met.withColumn("a_group", F.concat_ws("\u0001", "subject", F.array_join("_pool", ",")))
+    links = durable(met.select("link_text", "match_signature", "priority", "subject", "a_group", "_pool"))
+    pools = links.select("subject", "a_group", "_pool").distinct().select("subject", "a_group", F.explode("_pool").alias("g"))
+    return links.drop("subject", "_pool"), pools.join(groups.select("subject", "g", "b_group"), ["subject", "g"]).select("a_group", "b_group")
 
 
 def diversify(pool: DataFrame, weight: float = 0.15) -> DataFrame:
@@ -210,13 +216,12 @@ def diversify(pool: DataFrame, weight: float = 0.15) -> DataFrame:
 
 def select_examples(targets: DataFrame, bank: DataFrame, most: int, min_examples: int, weight: float = 0.15) -> DataFrame:
     """chosen examples (target_key, example_id, rank, similarity) of labelled targets with their wanted number."""
-    links = durable(_links(targets, bank, min_examples))
+    links, meets = _links(targets, bank, min_examples)
     keyed = targets.withColumn("form", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in FORM])).withColumn(
         "link_text", F.md5(F.concat_ws("\u0001", "form", "signature", "canonical").cast("binary"))
     )
-    goals = keyed.join(links.drop("groups"), "link_text").withColumn("skip_identical", F.col("strict"))
+    goals = keyed.join(links, "link_text").withColumn("skip_identical", F.col("strict"))
     goals = durable(sm.prepare(goals, "ptext", "bank"))
-    meets = links.select("a_group", F.explode("groups").alias("b_group")).distinct()
     if most <= 2:  # one anchor and one support: always the two best, whatever the pool
         best = sm.nearest(goals, bank, meets, most).join(goals.select("target_key", "wanted"), "target_key").where("place <= wanted")
         return best.select("target_key", F.col("doc_id").alias("example_id"), F.col("place").alias("rank"), "similarity")
