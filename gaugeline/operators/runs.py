@@ -18,9 +18,9 @@ KEYS = ["problem_id", "technique"]
 COUNTERS = ["elapsed_time", "total_tokens", "prompt_tokens", "completion_tokens"]
 
 
-def running_scores(runs: DataFrame, weights: dict[str, float], chunk_rows: int = 4096) -> DataFrame:
+def running_scores(runs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Consistency and overall after each run of a (problem, technique)."""
-    seen = running_share(runs, KEYS, "run_index", "normalized_output", chunk_rows)
+    seen = running_share(runs, KEYS, "run_index", "normalized_output")
     first = F.col("position") < 2
     consistency = F.when(~first, F.col("matching") / F.col("position"))
     scores = {"accuracy": F.col("accuracy"), "efficiency": F.col("efficiency"), "consistency": consistency}

@@ -69,45 +69,94 @@ def assemble_responses(events: DataFrame, keys: list[str], delay: str | None = N
 
 
 class _RunningConsistency(StatefulProcessor):
-    """Counts per answer key of one (problem, technique), kept in keyed state."""
+    """Counts per answer key of one (problem, technique), kept in keyed state.
+
+    Runs wait in the state until all runs before them have come, so they count in the order of ``run_index`` whatever the
+    order of arrival. A row without a run_index says that no missing run will come: what waits counts. A run that comes
+    after a later one has counted is late and counts when it comes.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getMapState("counts", "output string", "n long")
-        self.totals = handle.getValueState("totals", "runs long, best long")
+        self.totals = handle.getValueState("totals", "runs long, best long, next int, waiting long")
+        self.waiting = handle.getMapState("waiting", "run_index int, copy long", "output string")
+
+    def _counted(self, key, frame: pd.DataFrame, late: bool, runs: int, best: int) -> tuple[pd.DataFrame, int, int]:
+        """The result of runs in their order, after ``runs`` earlier ones of which the most frequent answer had ``best``."""
+        output = frame["normalized_output"]
+        # each answer's state is read once and written once a batch
+        before = {o: self.counts.getValue((o,))[0] if self.counts.containsKey((o,)) else 0 for o in output.unique()}
+        seen = frame.groupby("normalized_output", dropna=False).cumcount() + 1 + output.map(before)
+        for o, n in output.value_counts(dropna=False).items():
+            self.counts.updateValue((o,), (before[o] + int(n),))
+        matching = seen.cummax().clip(lower=best)
+        made = pd.DataFrame({
+            "problem_id": key[0], "technique": key[1], "run_index": frame["run_index"].astype("int32").to_numpy(),
+            "runs_used": range(runs + 1, runs + 1 + len(frame)), "matching_runs": matching.to_numpy(), "late": late,
+        })
+        return made, runs + len(frame), int(matching.iloc[-1])
+
+    def _held(self) -> pd.DataFrame:
+        rows = [(k[0], k[1], v[0]) for k, v in self.waiting.iterator()]
+        return pd.DataFrame(rows, columns=["run_index", "copy", "normalized_output"]).sort_values(["run_index", "copy"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        runs, best = (self.totals.get() if self.totals.exists() else (0, 0))
+        runs, best, following, waiting = self.totals.get() if self.totals.exists() else (0, 0, 1, 0)
+        closed = False
         for frame in rows:  # Arrow batches of bounded size
-            frame = frame.sort_values("run_index", kind="stable")
-            output = frame["normalized_output"]
-            # each answer's state is read once and written once a batch
-            before = {o: self.counts.getValue((o,))[0] if self.counts.containsKey((o,)) else 0 for o in output.unique()}
-            seen = frame.groupby("normalized_output", dropna=False).cumcount() + 1 + output.map(before)
-            for o, n in output.value_counts(dropna=False).items():
-                self.counts.updateValue((o,), (before[o] + int(n),))
-            matching = seen.cummax().clip(lower=best)
-            yield pd.DataFrame({
-                "problem_id": key[0], "technique": key[1], "run_index": frame["run_index"].astype("int32").to_numpy(),
-                "runs_used": range(runs + 1, runs + 1 + len(frame)), "matching_runs": matching.to_numpy(),
-            })
-            runs, best = runs + len(frame), int(matching.iloc[-1])
-        self.totals.update((runs, best))
+            closed = closed or bool(frame["run_index"].isna().any())
+            frame = frame[frame["run_index"].notna()].sort_values("run_index", kind="stable")
+            late, ahead = frame[frame["run_index"] < following], frame[frame["run_index"] >= following]
+            if len(late):
+                made, runs, best = self._counted(key, late, True, runs, best)
+                yield made
+            if not len(ahead):
+                continue
+            if int(ahead["run_index"].iloc[0]) > following:
+                waiting = self._wait(ahead, waiting)
+                continue
+            if waiting:
+                ahead = pd.concat([self._held(), ahead]).sort_values("run_index", kind="stable")
+                self.waiting.clear()
+                waiting = 0
+            index = ahead["run_index"].to_numpy()
+            # the stretch without a gap from the next run on; a run that comes twice counts twice
+            gaps = (index[1:] - index[:-1] > 1).nonzero()[0]
+            end = int(gaps[0]) + 1 if len(gaps) else len(index)
+            made, runs, best = self._counted(key, ahead.iloc[:end], False, runs, best)
+            yield made
+            following = int(index[end - 1]) + 1
+            if end < len(index):
+                waiting = self._wait(ahead.iloc[end:], waiting)
+        if closed and waiting:
+            held = self._held()
+            self.waiting.clear()
+            made, runs, best = self._counted(key, held, False, runs, best)
+            yield made
+            following, waiting = int(held["run_index"].iloc[-1]) + 1, 0
+        self.totals.update((runs, best, following, waiting))
+
+    def _wait(self, frame: pd.DataFrame, waiting: int) -> int:
+        for index, output in zip(frame["run_index"], frame["normalized_output"], strict=True):
+            self.waiting.updateValue((int(index), waiting), (output,))
+            waiting += 1
+        return waiting
 
     def close(self) -> None:
         pass
 
 
 def running_consistency(runs: DataFrame) -> DataFrame:
-    """Consistency after each arriving run, in order of arrival.
+    """Consistency after each run, in the order of ``run_index`` (from 1), whatever the order of arrival.
 
-    Within an Arrow batch rows count in run order; a run that arrives after a later one counts when it arrives, so
-    ``runs_used`` may differ from its run index.
+    The result equals W1 as long as no run is missing. Runs behind a missing one wait for it until a row of their key without a
+    run_index closes the gap; then they count without it. ``late`` marks runs that came after a later one had counted.
 
-    State per key is one counter per distinct answer, in the state store.
+    State per key is one counter per distinct answer and the runs that wait, in the state store.
     Needs the RocksDB state store provider (see :func:`use_rocksdb`).
     """
     kind = dict(runs.dtypes)
-    schema = f"problem_id {kind['problem_id']}, technique {kind['technique']}, run_index int, runs_used long, matching_runs long"
+    schema = f"problem_id {kind['problem_id']}, technique {kind['technique']}, run_index int, runs_used long, matching_runs long, late boolean"
     stepped = runs.select("problem_id", "technique", "run_index", "normalized_output").groupBy("problem_id", "technique").transformWithStateInPandas(
         statefulProcessor=_RunningConsistency(), outputStructType=schema, outputMode="Append", timeMode="None"
     )

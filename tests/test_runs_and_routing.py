@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,23 +26,38 @@ def test_running_consistency(spark):
     assert got == [None, 1.0, 0.667]
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 7, 4096])
-def test_running_share_does_not_depend_on_chunks(spark, chunk):
-    rows = [("a" if i % 3 else "b", i + 1, f"k{(i * i) % 4}") for i in range(60)]
-    df = spark.createDataFrame(rows, "g string, i int, v string")
-    got = {(r.g, r.i): (r.position, r.matching) for r in running_share(df, ["g"], "i", "v", chunk).collect()}
+@pytest.mark.parametrize("width", [1, 2, 7])
+def test_running_share_does_not_depend_on_ranges(spark, width):
+    """A hot group, a hot stretch of the order, null keys and null values."""
+    rows = [(None if i % 50 == 0 else "a" if i % 3 else "b", float(i) if i < 20 else 20 + i / 1e6, None if i % 7 == 0 else f"k{(i * i) % 4}") for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i double, v string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        got = {(r.g, r.i): (r.position, r.matching) for r in running_share(df, ["g"], "i", "v").collect()}
+        numbers = {(r.g, r.i): r.n for r in sequence_numbers(df, ["g"], ["i"], "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     seen = {}
-    for g, i, v in sorted(rows, key=lambda r: (r[0], r[1])):
-        seen.setdefault(g, []).append(v)
-        assert got[(g, i)] == (len(seen[g]), max(seen[g].count(x) for x in set(seen[g])))
+    for g, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        own = seen.setdefault(g, [])
+        own.append(v)
+        assert got[(g, i)] == (len(own), max(own.count(x) for x in set(own))) and numbers[(g, i)] == len(own)
+
+
+def test_running_share_scans_few_times(spark):
+    df = spark.createDataFrame([("a", i, f"k{i % 3}") for i in range(50)], "g string, i int, v string")
+    plan = running_share(df, ["g"], "i", "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3 and len(re.findall(r"\bExchange\b", plan)) + plan.count("BroadcastExchange") <= 10
 
 
 def test_sequence_numbers_and_ids(spark):
     df = spark.createDataFrame([("a", i * 7 % 50) for i in range(50)], "g string, x int")
-    got = sequence_numbers(df, ["g"], ["x"], F.floor(F.col("x") / 9), "n").collect()
+    got = sequence_numbers(df, ["g"], ["x"], "n").collect()
     assert all(r.n == r.x + 1 for r in got)
     ids = with_ids(df, ["x"]).collect()
     assert sorted((r.x, r.id) for r in ids) == [(i, i) for i in range(50)]
+    assert sequence_numbers(df.limit(0), ["g"], ["x"], "n").count() == 0
 
 
 def test_technique_results(spark):

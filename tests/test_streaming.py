@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.functions import metrics as mx
@@ -43,6 +45,42 @@ def test_streamed_consistency_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, batch)) == sorted(map(tuple, stream))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_consistency_for_any_arrival(spark, tmp_path, seed):
+    """Runs in any order, dealt over many small batches."""
+    rng = random.Random(seed)
+    rows = [(p, "t", i, None if i % 6 == 0 else f"k{rng.randrange(3)}") for p in ("p", "q") for i in range(1, 40)] + [("r", "u", 1, "a")]
+    kind = "problem_id string, technique string, run_index int, normalized_output string"
+    df = spark.createDataFrame(rows, kind)
+    rng.shuffle(rows)
+    source = str(tmp_path / "runs")
+    for k in range(0, len(rows), 16):
+        spark.createDataFrame(rows[k : k + 16], kind).coalesce(1).write.mode("append").parquet(source)
+    ev.use_rocksdb(spark)
+    sink, checkpoint = str(tmp_path / "sink"), str(tmp_path / "check")
+    arriving = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ev.run_available(ev.running_consistency(arriving), sink, checkpoint)
+    batch = rn.running_scores(df.withColumns({"accuracy": F.lit(1.0), "efficiency": F.lit(1.0)}), mx.normalise_weights())
+    order = lambda found: sorted(map(tuple, found.select("problem_id", "run_index", "consistency").collect()), key=repr)
+    stream = spark.read.parquet(sink)
+    assert order(stream) == order(batch) and stream.where("late").count() == 0 and stream.where("runs_used <> run_index").count() == 0
+
+
+def test_a_missing_run_holds_others_until_closed(spark, tmp_path):
+    kind = "problem_id string, technique string, run_index int, normalized_output string"
+    source, sink, checkpoint = (str(tmp_path / x) for x in ("runs", "sink", "check"))
+    ev.use_rocksdb(spark)
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        ev.run_available(ev.running_consistency(spark.readStream.schema(kind).parquet(source)), sink, checkpoint)
+        return sorted((r.problem_id, r.run_index, r.runs_used, r.matching_runs, r.late) for r in spark.read.parquet(sink).collect())
+
+    assert arrive(("p", "t", 1, "a"), ("p", "t", 3, "a"), ("p", "t", 4, "b")) == [("p", 1, 1, 1, False)]
+    assert arrive(("q", "t", 1, "z"), ("p", "t", None, None)) == [("p", 1, 1, 1, False), ("p", 3, 2, 2, False), ("p", 4, 3, 2, False), ("q", 1, 1, 1, False)]
+    assert ("p", 2, 4, 2, True) in arrive(("p", "t", 2, "b"))
+
+
 def test_history_from_stream(spark, tmp_path):
     source = str(tmp_path / "h")
     kind = "domain string, difficulty string, problem_id string, winner_technique string, updated int"

@@ -51,8 +51,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "ts", F.col("user_id").alias("problem_id"), F.col("event_type").alias("technique"),
         "value", F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
-    hour = F.expr("datediff(to_date(ts), date'1970-01-01') * 24 + hour(ts)")
-    numbered = sequence_numbers(events, ["problem_id", "technique"], ["ts", "event_id"], hour, "run_index")
+    numbered = sequence_numbers(events, ["problem_id", "technique"], ["ts", "event_id"], "run_index")
     k, ok = F.col("k"), F.col("k") % 10 != 0
     made = numbered.select(
         "problem_id", "technique", "run_index",
