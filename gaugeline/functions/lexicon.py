@@ -594,3 +594,6 @@ GPU_MARKERS = [
     "current device:", "llama runner process has terminated: cuda error",
 ]
 HEDGES = r"(?i)\b(i am not sure|cannot determine|insufficient information)\b"
+
+# fixed values: longest texts of a new example's columns, in characters
+EXAMPLE_LIMITS = {"problem": 5000, "solution": 10000, "subject": 50, "difficulty": 20, "type": 100, "concept": 100}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,13 +55,6 @@ def label_list(values: Column, ordered: bool = False) -> Column:
     return F.array_sort(kept) if ordered else kept
 
 
-def key_list(values: Column) -> Column:
-    """P5, sorted variant used by profiles (keys instead of labels)."""
-    made = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: key(v))
-    kept = F.array_sort(F.array_distinct(F.filter(made, lambda v: v.isNotNull())))
-    return F.coalesce(kept, F.expr("cast(array() as array<string>)"))
-
-
 def type_label(value: Column) -> Column:
     """Canonical type label."""
     return alias(label(value), lx.TYPE_ALIASES)
@@ -396,3 +391,13 @@ def prompt_ready(text: Column, is_solution: bool) -> Column:
         return strip(F.regexp_replace(F.regexp_replace(body, r"[ \t]{2,}", " "), r"\s+([,.;:!?])", "$1"))
 
     return let(_lines(plain_math(made)), joined)
+
+
+def long_enough(text: Column, least: int = 10) -> Column:
+    """The text without outer white space has ``least`` characters (10 for a new problem, 5 for a single run)."""
+    return F.coalesce(F.length(strip(text)) >= least, F.lit(False))
+
+
+def within_limits(*names: str) -> Column:
+    """Columns of a new example, none of them empty or longer than its limit; null where one is missing and the others fit."""
+    return reduce(lambda a, b: a & b, [F.length(n).between(1, lx.EXAMPLE_LIMITS[n]) for n in names])

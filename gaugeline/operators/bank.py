@@ -292,7 +292,7 @@ def add_user_examples(new: DataFrame, user: DataFrame, curated: DataFrame, now:
         return bank.select("subject", "difficulty", lower_strip(F.col("problem")).alias("_key")).distinct().withColumn(flag, F.lit(True))
 
     met = asked.join(known(user, "_in_user"), place, "left").join(known(curated, "_in_curated"), place, "left")
-    fits = F.length("problem").between(1, 5000) & F.length("solution").between(1, 10000) & F.length("type").between(1, 100) & F.length("concept").between(1, 100)
+    fits = tx.within_limits("problem", "solution", "type", "concept")
     reason = (
         F.when(~F.col("subject").isin(*lx.DOMAINS), "invalid_subject")
         .when(~F.col("difficulty").isin(*lx.DIFFICULTIES), "invalid_difficulty")
@@ -332,21 +332,47 @@ def listing(examples: DataFrame, now: float) -> DataFrame:
 
 # --- response chunks --------------------------------------------------------------------------------
 
-def merge_overlap(existing: Column, new: Column, window: int = 500) -> Column:
-    """Append a chunk without the part that repeats the end of the text so far."""
+def overlap(tail: Column, new: Column, window: int = 500) -> Column:
+    """The longest beginning of ``new``, up to ``window``, with which ``tail`` ends."""
 
-    def joined(have: Column) -> Column:
-        most = F.least(F.length(have), F.length(new), F.lit(window))
-        sizes = F.filter(F.sequence(most, F.lit(0), F.lit(-1)), lambda k: (k > 0) & F.endswith(have, F.substr(new, F.lit(1), k)))
-        return F.concat(have, F.substr(new, F.coalesce(F.get(sizes, F.lit(0)), F.lit(0)) + 1))
+    def longest(letters: Column) -> Column:
+        last = F.substring(tail, -1, 1)
+        most = F.least(F.length(tail), F.size(letters))
+        # a beginning is compared only where its last character is the tail's
+        fits = F.filter(F.sequence(most, F.lit(0), F.lit(-1)), lambda k: (k > 0) & (F.get(letters, k - 1) == last) & F.endswith(tail, F.array_join(F.slice(letters, 1, k), "")))
+        return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
 
-    return let(existing, joined)
+    head = F.substring(new, 1, window)
+    return F.when((F.length(tail) > 0) & (F.length(new) > 0), let(F.split(head, ""), longest)).otherwise(0)
 
 
-def stitch(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """The whole response of each call; a call is one response, so its chunks fit one value."""
+#: Chunks of a response that are joined at a time, so that what is carried from chunk to chunk stays short.
+CHUNKS = 256
+
+
+def stitch(chunks: DataFrame, key: str, order: str, text: str, window: int = 500) -> DataFrame:
+    """The whole response of each call; each chunk is appended without the part that repeats the end of the text so far.
+
+    A call is one response, so its chunks fit one value. Only the end of the text goes from chunk to chunk; the pieces are
+    joined CHUNKS at a time, and these once at the end, so the time is linear in the chunks.
+    """
     rows = F.sort_array(F.collect_list(F.struct(order, text)))
-    return chunks.groupBy(key).agg(rows.alias("_rows")).select(
-        key, F.aggregate(F.col(f"_rows.{text}"), F.lit(""), lambda acc, t: merge_overlap(acc, F.coalesce(t, F.lit("")))).alias("response"),
-        F.size("_rows").alias("chunks"),
-    )
+    listed = chunks.groupBy(key).agg(rows.alias("_rows"))
+    listed = listed.select(key, F.transform("_rows", lambda r: F.coalesce(r[text], F.lit(""))).alias("_texts"))
+    nothing = F.expr("cast(array() as array<string>)")
+
+    def add(acc: Column, new: Column) -> Column:
+        def added(k: Column) -> Column:
+            piece = F.substr(new, k + 1)
+            tail = F.substring(F.concat(acc["tail"], F.substring(piece, -window, window)), -window, window)
+            return F.struct(tail.alias("tail"), F.array_append(acc["pieces"], piece).alias("pieces"))
+
+        return let(overlap(acc["tail"], new, window), added)
+
+    def block(acc: Column, b: Column) -> Column:
+        own = F.aggregate(F.slice(F.col("_texts"), b * CHUNKS + 1, CHUNKS), F.struct(acc["tail"].alias("tail"), nothing.alias("pieces")), add)
+        return let(own, lambda s: F.struct(s["tail"].alias("tail"), F.array_append(acc["blocks"], F.array_join(s["pieces"], "")).alias("blocks")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size("_texts") - 1) / CHUNKS).cast("int"))
+    whole = F.aggregate(blocks, F.struct(F.lit("").alias("tail"), nothing.alias("blocks")), block, lambda acc: F.array_join(acc["blocks"], ""))
+    return listed.select(key, whole.alias("response"), F.size("_texts").alias("chunks"))

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -114,3 +116,24 @@ def test_scored_runs_and_registered_scorer(spark):
     assert (got[("p", 1)].accuracy, got[("p", 1)].normalized_output, got[("p", 1)].length) == (1.0, "num:5", 15.0)
     assert (got[("p", 2)].accuracy, got[("p", 2)].efficiency, got[("p", 2)].normalized_output) == (0.0, 0.0, "error:run_2")
     assert got[("q", 1)].accuracy == 1.0  # plain arithmetic supplies its own answer
+
+
+def test_stitching_many_chunks(spark):
+    """Equal to the plain rule, chunk by chunk; 100,000 chunks of one call in linear time."""
+    rng = random.Random(3)
+
+    def plain(chunks, window=500):
+        have = ""
+        for t in chunks:
+            t = t or ""
+            k = next((k for k in range(min(len(have), len(t), window), 0, -1) if have.endswith(t[:k])), 0)
+            have += t[k:]
+        return have
+
+    calls = {c: [rng.choice([None, "", "a", "ab", "aab" * rng.randrange(200), "".join(rng.choice("ab\u00e9") for _ in range(rng.randrange(12)))]) for _ in range(rng.choice([1, 5, 300, 700]))] for c in range(8)}
+    df = spark.createDataFrame([(c, k, t) for c, ts in calls.items() for k, t in enumerate(ts)], "call int, seq int, text string")
+    got = {r.call: (r.response, r.chunks) for r in bk.stitch(df, "call", "seq", "text").collect()}
+    assert got == {c: (plain(ts), len(ts)) for c, ts in calls.items()}
+    start = time.time()
+    long = spark.range(100_000).selectExpr("1 call", "id seq", "concat('part ', id, ' of the answer, ') text")
+    assert bk.stitch(long, "call", "seq", "text").selectExpr("length(response) n").first().n > 1_000_000 and time.time() - start < 60

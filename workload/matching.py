@@ -11,6 +11,7 @@ from gaugeline.functions.basics import rounded
 from gaugeline.operators import routing as rt
 from gaugeline.operators import similarity as sm
 from gaugeline.operators import tagging as tg
+from gaugeline.operators.sequences import with_ids
 from gaugeline.plans.benchmark import rankings_for
 from workload import tags as tgq
 from workload import views as vw
@@ -253,44 +254,54 @@ def limited(spark, sf):
     return rt.limit_comparison(scores.select(F.col("doc_id").alias("problem_id"), "technique"), chosen)
 
 
-# --- pair scores over adjacent rows (one partner per row) ------------------------------------------
+# --- pair scores: rows whose id is divisible by 100 against others ------------------------------------
+
+#: Query rows of a block.
+BLOCK = 1024
+
 
 @register("j6_cosine", """
-select p.vec_id, round(list_cosine_similarity(p.embedding::double[], q.embedding::double[])::decimal(28,10), 6)::double cosine from embeddings p join embeddings q on q.vec_id = p.vec_id + 1""")
+select p.vec_id query_id, q.vec_id, round(list_cosine_similarity(p.embedding::double[], q.embedding::double[])::decimal(28,10), 6)::double cosine
+from embeddings p join embeddings q on q.vec_id <> p.vec_id where p.vec_id % 100 = 0""")
 def cosine(spark, sf):
-    vectors = vw.table(spark, sf, "embeddings")
-    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    return vectors.join(following, "vec_id").select("vec_id", rounded(pr.cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
+    """The vectors whose id is divisible by 100 against all others, in blocks of the queries."""
+    vectors = vw.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
+    numbered = with_ids(asked, ["query_id"]).withColumn("block", F.floor(F.col("id") / BLOCK)).drop("id")
+    last = max(0, numbered.count() - 1) // BLOCK
+    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    pairs = met.join(numbered, "block").where("query_id <> vec_id")
+    return pairs.select("query_id", "vec_id", rounded(pr.cosine(F.col("a"), F.col("embedding")), 6).alias("cosine"))
 
 
 TAGGED = f""",
-tg as (select id, {tgq.tag_case(tgq.SQL_TAGS)} tags, list_filter(list_distinct(regexp_extract_all(v, '[a-z0-9_]+')), lambda x: not list_contains({sql_list(lx.STOP_WORDS_HISTORY)}, x)) tk from low),
+tg as (select id, subject, {tgq.tag_case(tgq.SQL_TAGS)} tags, list_filter(list_distinct(regexp_extract_all(v, '[a-z0-9_]+')), lambda x: not list_contains({sql_list(lx.STOP_WORDS_HISTORY)}, x)) tk from low),
 ty as (select *, list_sort(list_filter(tags, lambda x: list_contains({sql_list(lx.TYPE_FEATURES_HISTORY)}, x))) ty from tg),
-nb as (select a.id, a.tags ga, b.tags gb, a.tk ta, b.tk tb, a.ty <> b.ty and len(a.tags) > 0 and len(b.tags) > 0 mis, ea.embedding va, eb.embedding vb
-  from ty a join ty b on b.id = a.id + 1 left join embeddings ea on ea.vec_id = a.id left join embeddings eb on eb.vec_id = b.id),
+nb as (select a.id, b.id other_id, a.tags ga, b.tags gb, a.tk ta, b.tk tb, a.ty <> b.ty and len(a.tags) > 0 and len(b.tags) > 0 mis, ea.embedding va, eb.embedding vb
+  from ty a join ty b on b.subject = a.subject and b.id <> a.id and a.id % 100 = 0 left join embeddings ea on ea.vec_id = a.id left join embeddings eb on eb.vec_id = b.id),
 sc as (select *, case when len(ta) = 0 or len(tb) = 0 then 0 else len(list_intersect(ta, tb))::double / (len(ta) + len(tb) - len(list_intersect(ta, tb))) end lex,
  case when len(ga) = 0 and len(gb) = 0 then -1 when len(ga) = 0 or len(gb) = 0 then 0 else len(list_intersect(ga, gb))::double / (len(ga) + len(gb) - len(list_intersect(ga, gb))) * case when mis then 0.3 else 1 end end feat,
  case when va is not null and vb is not null then list_cosine_similarity(va::double[], vb::double[]) end co from nb)"""
 
 
 @register("j3_j7_pair_scores", "with " + tgq.PROBLEMS + TAGGED + """
-select id, round(lex::decimal(28,10), 6)::double lexical, round(feat::decimal(28,10), 6)::double feature, mis type_mismatch,
+select id, other_id, round(lex::decimal(28,10), 6)::double lexical, round(feat::decimal(28,10), 6)::double feature, mis type_mismatch,
  round(greatest(0, least(1, case when co is not null and feat >= 0 then 0.6 * co + 0.25 * feat + 0.15 * lex when co is not null then 0.75 * co + 0.25 * lex when feat >= 0 then 0.55 * feat + 0.45 * lex else lex end
   * case when mis then 0.45 else 1 end))::decimal(28,10), 6)::double hybrid from sc""")
 def pair_scores(spark, sf):
     base = tg.with_feature_tags(tgq.problems(spark, sf), "problem", "history", "tags").withColumn("tokens", tx.tokens(F.col("problem"), lx.STOP_WORDS_HISTORY))
     base = base.join(vw.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")), "id", "left")
-    a = base.select("id", *[F.col(c).alias(c + "_a") for c in ("tags", "type_key", "tokens", "embedding")])
-    b = base.select((F.col("id") - 1).alias("id"), *[F.col(c).alias(c + "_b") for c in ("tags", "type_key", "tokens", "embedding")])
+    a = base.where("id % 100 = 0").select("id", "subject", *[F.col(c).alias(c + "_a") for c in ("tags", "type_key", "tokens", "embedding")])
+    b = base.select(F.col("id").alias("other_id"), "subject", *[F.col(c).alias(c + "_b") for c in ("tags", "type_key", "tokens", "embedding")])
     c = F.col
-    both = a.join(b, "id")
+    both = a.join(b, "subject").where("id <> other_id")
     keys = (c("tags_a"), c("tags_b"), c("type_key_a"), c("type_key_b"))
     both = both.withColumns({
         "lexical": pr.jaccard(c("tokens_a"), c("tokens_b")), "feature": pr.feature_similarity(*keys), "type_mismatch": pr.type_mismatch(*keys),
         "cosine": F.when(c("embedding_a").isNotNull() & c("embedding_b").isNotNull(), pr.cosine(c("embedding_a"), c("embedding_b"))),
     })
     return both.select(
-        "id", rounded(c("lexical"), 6).alias("lexical"), rounded(c("feature"), 6).alias("feature"), "type_mismatch",
+        "id", "other_id", rounded(c("lexical"), 6).alias("lexical"), rounded(c("feature"), 6).alias("feature"), "type_mismatch",
         rounded(pr.hybrid(c("lexical"), c("feature"), c("type_mismatch"), c("cosine")), 6).alias("hybrid"),
     )
 
@@ -299,17 +310,17 @@ FAMILY_SQL = "case " + " ".join(f"when {{0}} in ({','.join(repr(i) for i in m)})
 RELATED_SQL = ",".join(f"('{a}','{b}'),('{b}','{a}')" for a, b in lx.RELATED_INTENTS)
 
 
-@register("j11_j12_j15_intents", "with " + tgq.PROBLEMS + tgq.WITH_INTENT + f""", st as (select id sid, {tgq.tag_case(tgq.SQL_STRUCTURE)} s from low)
-select a.id, {FAMILY_SQL.format('a.intent')} = {FAMILY_SQL.format('b.intent')} compatible,
+@register("j11_j12_j15_intents", "with " + tgq.PROBLEMS + tgq.WITH_INTENT + f""", st as (select id sid, subject, {tgq.tag_case(tgq.SQL_STRUCTURE)} s from low)
+select a.id, b.id other_id, {FAMILY_SQL.format('a.intent')} = {FAMILY_SQL.format('b.intent')} compatible,
  case when a.intent = b.intent then 1.0 when (a.intent, b.intent) in ({RELATED_SQL}) then 0.55 else 0.0 end::double intent_similarity,
  round(coalesce(len(list_intersect(x.s, y.s))::double / nullif(len(x.s), 0), 0)::decimal(28,10), 6)::double overlap
-from it a join it b on b.id = a.id + 1 join st x on x.sid = a.id join st y on y.sid = b.id""")
+from st x join st y on y.subject = x.subject and y.sid <> x.sid and x.sid % 100 = 0 join it a on x.sid = a.id join it b on y.sid = b.id""")
 def intents(spark, sf):
-    base = tg.with_structure(tg.with_intent(tgq.problems(spark, sf), "problem"), "problem").select("id", "intent", "structure")
-    a = base.select("id", F.col("intent").alias("ia"), F.col("structure").alias("sa"))
-    b = base.select((F.col("id") - 1).alias("id"), F.col("intent").alias("ib"), F.col("structure").alias("sb"))
-    return a.join(b, "id").select(
-        "id", (pr.intent_family("ia") == pr.intent_family("ib")).alias("compatible"),
+    base = tg.with_structure(tg.with_intent(tgq.problems(spark, sf), "problem"), "problem").select("id", "subject", "intent", "structure")
+    a = base.where("id % 100 = 0").select("id", "subject", F.col("intent").alias("ia"), F.col("structure").alias("sa"))
+    b = base.select(F.col("id").alias("other_id"), "subject", F.col("intent").alias("ib"), F.col("structure").alias("sb"))
+    return a.join(b, "subject").where("id <> other_id").select(
+        "id", "other_id", (pr.intent_family("ia") == pr.intent_family("ib")).alias("compatible"),
         pr.intent_similarity(F.col("ia"), F.col("ib")).alias("intent_similarity"),
         rounded(pr.overlap_ratio(F.col("sa"), F.col("sb")), 6).alias("overlap"),
     )

@@ -230,11 +230,27 @@ def resolution(spark, sf):
     )
 
 
-@register("p28_p30_length_guards", r"""
-select conv_id, turn, len(string_split_regex(trim(text, ' ' || chr(10) || chr(9)), '\s+'))::bigint words from conversations where length(trim(text, ' ' || chr(10) || chr(9))) >= 10""")
+TRIMMED = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@register("p28_p30_length_guards", f"""
+select conv_id, turn, len(string_split_regex({TRIMMED}, '\\s+'))::bigint words, length({TRIMMED}) >= 10 enough_for_a_problem, length({TRIMMED}) >= 5 enough_for_a_run
+from conversations""")
 def guards(spark, sf):
     df = vw.table(spark, sf, "conversations")
-    return df.where(F.length(F.btrim("text", F.lit(" \n\t"))) >= 10).select("conv_id", "turn", tx.word_count(F.col("text")).cast("long").alias("words"))
+    return df.select(
+        "conv_id", "turn", tx.word_count(F.col("text")).cast("long").alias("words"),
+        tx.long_enough(F.col("text")).alias("enough_for_a_problem"), tx.long_enough(F.col("text"), 5).alias("enough_for_a_run"),
+    )
+
+
+@register("p30_example_limits", """
+select doc_id, length(text) between 1 and 5000 and length(coalesce(source, '')) between 1 and 10000 and length(lang) between 1 and 20 and length(substr(text, 1, (doc_id % 120)::int)) between 1 and 100 fits from documents""")
+def example_limits(spark, sf):
+    made = vw.table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("problem"), F.col("source").alias("solution"), F.col("lang").alias("difficulty"), F.substr("text", F.lit(1), (F.col("doc_id") % 120).cast("int")).alias("type"),
+    )
+    return made.select("doc_id", tx.within_limits("problem", "solution", "difficulty", "type").alias("fits"))
 
 
 @register("s3_sequential_ids", "select o_orderkey, (row_number() over (order by o_orderdate, o_orderkey) - 1)::bigint id from orders")
