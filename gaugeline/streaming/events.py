@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gaugeline.functions import metrics as mx
 from gaugeline.functions.basics import exact_sum, non_empty, rounded, strip
 from gaugeline.session import scratch_path
 from gaugeline.sources.history_store import KEY, upsert_history
@@ -248,12 +247,6 @@ def history_from_stream(rows: DataFrame, path: str, checkpoint: str, key: list[s
     for_each_batch(rows, store, checkpoint).awaitTermination()
 
 
-def weights_overall(steps: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Running overall of streamed consistency steps joined with their run scores."""
-    scores = {m: F.col(m) for m in mx.METRICS}
-    return steps.withColumn("overall", rounded(mx.overall(scores, weights), 3))
-
-
 def stream_scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh sink and checkpoint paths in the shared folder."""
     base = scratch_path(spark, name)
