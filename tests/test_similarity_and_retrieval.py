@@ -229,6 +229,75 @@ def test_types_and_constraints_narrow_the_pool(spark):
     assert used.count() == 2
 
 
+def family(intent):
+    return next((f for f, members in lx.INTENT_FAMILIES.items() if intent in members), intent)
+
+
+def pool_of(t, bank, least):
+    """The cascade for one problem over single examples: (examples, match_signature, priority), or None."""
+    members = {n: set(lx.INTENT_FAMILIES[n]) for n in ("equation", "probability", "counting")}
+    own = [e for e in bank if e["subject"] == t["subject"]]
+
+    def fits(e):
+        kind, typed = t["kind"], e["ex_type"]
+        same = any(typed in m and kind in m for m in members.values())
+        by_text = not any(typed in m for m in members.values()) and (e["ex_intent"] == kind or (e["ex_intent"] in members["equation"] and kind in members["equation"]))
+        return typed != "" and (typed == kind or same or by_text or (kind == "ratio_proportion" and e["ex_rate"]))
+
+    pool = own
+    if any(e["ex_type"] for e in own) and t["kind"] != "general" and (any(map(fits, own)) or t["strict"]):
+        pool = [e for e in pool if fits(e)]
+    if t["strict"]:
+        pool = [e for e in pool if family(e["ex_intent"]) == family(t["intent"])]
+        if t["intent"] in rv.EQUATIONS and t["family"]:
+            pool = [e for e in pool if e["ex_family"] == t["family"]]
+    close = [e for e in pool if e["signature"] == t["signature"] and e["canonical"] != t["canonical"]]
+    match = t["strict"] and len(close) >= least
+    left = close if match else [e for e in pool if e["canonical"] != t["canonical"]] if t["strict"] else pool
+    # an example stands for its group of equal labels
+    groups = {e["b_group"] for e in left}
+    labels = {e["b_group"]: e for e in own}
+    met = {g for g in groups if set(filter(None, t["limits"].split(","))) & set(filter(None, labels[g]["ex_constraints"].split(",")))}
+    groups = met or groups
+    if not groups and not t["strict"]:
+        groups = set(labels)
+    if not groups:
+        return None
+    teaching = {g for g in groups if t["conditional"] and labels[g]["ex_conditional"]}
+    real = {g for g in groups if t["intent"] == "real_solutions" == labels[g]["ex_intent"]}
+    return teaching or real or groups, match, bool(teaching or real)
+
+
+def test_cascade_equals_brute_force(spark):
+    rng = random.Random(6)
+    intents = ["solve_equation", "real_solutions", "general", "probability", "counting", "ratio_proportion", "derivative"]
+    bank = []
+    for _ in range(120):
+        e = {
+            "subject": rng.choice(["algebra", "other"]), "ex_type": rng.choice(["", "", *intents]), "ex_intent": rng.choice(intents), "ex_family": rng.choice(["", "linear"]), "ex_rate": rng.random() < 0.3,
+            "ex_conditional": rng.random() < 0.2, "ex_constraints": rng.choice(["", "a", "a,b"]), "signature": rng.choice("pqr"), "canonical": f"c{rng.randrange(9)}",
+        }
+        bank.append(e | {"b_group": "\u0001".join(str(e[c]).lower() if isinstance(e[c], bool) else e[c] for c in rv.LABELS)})
+    targets = [
+        {"subject": rng.choice(["algebra", "other", "none"]), "kind": rng.choice(intents), "intent": rng.choice(intents), "strict": rng.random() < 0.6, "family": rng.choice(["", "linear"]), "limits": rng.choice(["", "a", "b,c"]),
+         "conditional": rng.random() < 0.3, "signature": rng.choice("pqrs"), "canonical": f"c{rng.randrange(12)}"}
+        for _ in range(200)
+    ]
+    kinds = lambda row: ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'string'}" for k, v in row.items())
+    for size in (120, 8):
+        made = spark.createDataFrame([tuple(e.values()) for e in bank[:size]], kinds(bank[0]))
+        asked = spark.createDataFrame([tuple(t.values()) for t in targets], kinds(targets[0]))
+        links, pools = rv._links(asked, made, 2)
+        meets = {}
+        for r in pools.collect():
+            meets.setdefault(r.a_group, set()).add(r.b_group)
+        named = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in rv.FORM])
+        keyed = asked.withColumn("link_text", F.md5(F.concat_ws("\u0001", named, "signature", "canonical").cast("binary"))).distinct()
+        got = {tuple(str(r[c]) for c in targets[0]): (meets[r.a_group], r.match_signature, r.priority) for r in keyed.join(links, "link_text").collect()}
+        want = {tuple(str(v) for v in t.values()): p for t in targets if (p := pool_of(t, bank[:size], 2))}
+        assert got == want
+
+
 def test_diverse_supports(spark):
     rows = [(1, 1, 1.0, ["a"], 3), (1, 2, 0.90, ["b", "c"], 3), (1, 3, 0.89, ["b", "c"], 3), (1, 4, 0.80, ["d"], 3)]
     pool = spark.createDataFrame(rows, "target_key int, place int, similarity double, words array<string>, wanted int")
