@@ -147,16 +147,22 @@ def domain_ranking(
     """
     kept = usable(problems, require_ground_truth, allow_unknown)
     wins = kept.where("winner_technique is not null").groupBy(*BLOCK, F.col("winner_technique").alias("technique")).agg(F.count("*").alias("wins"))
-    totals = wins.groupBy(*BLOCK).agg(F.sum("wins").alias("total_problems"))
     counted = scores.where(F.col("overall").isNotNull())
     if techniques:
         counted = counted.where(F.col("technique").isin(*techniques))
     if require_ground_truth:
         counted = counted.join(kept.select(*BLOCK, "problem_id"), [*BLOCK, "problem_id"], "left_semi")
+    averages = counted.groupBy(*BLOCK, "technique").agg(
+        rounded(exact_mean(F.col("overall")), 4).alias("average_overall"), F.count("*").alias("samples")
+    )
+    return _placed(averages, wins)
+
+
+def _placed(averages: DataFrame, wins: DataFrame) -> DataFrame:
+    """Averages and wins per (domain, difficulty, technique) as a ranking of each block."""
+    totals = wins.groupBy(*BLOCK).agg(F.sum("wins").alias("total_problems"))
     ranked = (
-        counted.groupBy(*BLOCK, "technique")
-        .agg(rounded(exact_mean(F.col("overall")), 4).alias("average_overall"), F.count("*").alias("samples"))
-        .join(wins, [*BLOCK, "technique"], "left")
+        averages.join(wins, [*BLOCK, "technique"], "left")
         .join(totals, BLOCK, "left")
         .withColumn("wins", F.coalesce("wins", F.lit(0)))
     )
@@ -168,6 +174,43 @@ def domain_ranking(
     )
 
 
+def ranking_from_totals(
+    totals: DataFrame,
+    techniques: list[str] | None = None,
+    require_ground_truth: bool = False,
+    allow_unknown: bool = False,
+) -> DataFrame:
+    """A9 from stored totals (``history_totals.read_totals``): the rows of :func:`domain_ranking` without reading scores."""
+    allowed = ["yes", "unknown"] if allow_unknown else ["yes"]
+    kept = totals.where(F.col("truth").isin(*allowed)) if require_ground_truth else totals
+    wins = kept.where("technique is not null").groupBy(*BLOCK, "technique").agg(F.sum("problems").alias("wins")).where("wins > 0")
+    counted = kept.where(F.col("technique").isin(*techniques)) if techniques else kept
+    averages = counted.groupBy(*BLOCK, "technique").agg(F.sum("score_sum").cast("double").alias("_sum"), F.sum("samples").alias("samples"))
+    averages = averages.where("samples > 0").select(*BLOCK, "technique", rounded(F.col("_sum") / F.col("samples"), 4).alias("average_overall"), "samples")
+    return _placed(averages, wins)
+
+
+def coverage_from_totals(totals: DataFrame) -> DataFrame:
+    """A11 from stored totals: the rows of :func:`coverage`."""
+    per = totals.groupBy(*BLOCK, "technique").agg(
+        F.sum("problems").alias("n"), F.sum("tested").alias("tested"), F.sum(F.when(F.col("truth") == "yes", F.col("problems"))).alias("truths")
+    )
+    won = F.col("technique").isNotNull() & (F.col("n") > 0)
+
+    def listed(condition: Column, value: Column) -> Column:
+        names = F.collect_list(F.when(condition, value))
+        return F.when(F.size(names) > 0, F.array_join(F.array_sort(names), ","))
+
+    # a block has one row per technique here
+    return per.groupBy(*BLOCK).agg(
+        F.sum("n").alias("problem_count"),
+        F.coalesce(F.sum("truths"), F.lit(0)).alias("ground_truth_count"),
+        F.coalesce(F.sum(F.when(won, F.col("n"))), F.lit(0)).alias("total_with_winner"),
+        listed(F.col("tested") > 0, F.col("technique")).alias("techniques_tested"),
+        listed(won, F.concat_ws("=", "technique", "n")).alias("win_counts"),
+    ).where("problem_count > 0")
+
+
 def coverage(problems: DataFrame, scores: DataFrame) -> DataFrame:
     """Problems, problems with ground truth, techniques seen and win counts per block."""
     counts = problems.groupBy(*BLOCK).agg(

@@ -12,6 +12,7 @@ from gaugeline.operators import runs as rn
 from gaugeline.operators.scoring import normalise_payloads
 from gaugeline.session import durable, scratch_path
 from gaugeline.sources import history_store as st
+from gaugeline.sources import history_totals as ht
 from workload import views as vw
 
 QUERIES = {}
@@ -324,6 +325,26 @@ def stored_ranking(spark, sf):
     )
 
 
+def stored_totals(spark, sf):
+    """Totals advanced after each of three upserts of a third of the rows and one that corrects stale ones."""
+    problems, scores = vw.history(spark, sf)
+    paths, ledger = (scratch_path(spark, "problems"), scratch_path(spark, "scores")), scratch_path(spark, "totals")
+    rows = [(durable(problems), paths[0], st.KEY), (durable(scores), paths[1], st.SCORE_KEY)]
+    for batch in range(4):
+        for table, path, key in rows:
+            part = table.where(F.col("problem_id") % 3 == batch % 3).withColumn("updated", F.lit(batch))
+            if batch == 0:  # wrong values first, which the last batch replaces
+                part = part.withColumns({"winner_technique": F.lit("stale"), "has_ground_truth": ~F.col("has_ground_truth")} if key == st.KEY else {"overall": F.lit(-1.0)})
+            st.upsert_history(part, path, "one", batch, key)
+        ht.advance_totals(spark, *paths, ledger)
+    return ht.read_totals(spark, ledger)
+
+
+@register("a9_ranking_from_totals", "with " + TRUTH_RANKED + " select * from d_ranking")
+def totals_ranking(spark, sf):
+    return hs.ranking_from_totals(stored_totals(spark, sf), techniques=vw.TECHNIQUES, require_ground_truth=True)
+
+
 @register("j2_allowed_techniques", "with " + vw.RESULTS + " select problem_id, technique, overall from results where technique in ('click', 'view', 'purchase')")
 def allowed(spark, sf):
     return vw.results(spark, sf).where(F.col("technique").isin(*vw.TECHNIQUES)).select("problem_id", "technique", "overall")
@@ -338,6 +359,11 @@ def coverage(spark, sf):
     return hs.coverage(*vw.history(spark, sf))
 
 
+@register("a11_coverage_from_totals", ORACLES["a11_coverage"])
+def totals_coverage(spark, sf):
+    return hs.coverage_from_totals(stored_totals(spark, sf))
+
+
 @register("w4_a20_headline", "with " + ALL_RANKED + """
 select a."domain", a.difficulty, a.technique top_technique, a.win_rate top_win_rate, a.average_overall top_average, a.samples::bigint samples,
  round((a.average_overall - b.average_overall)::decimal(28,10), 4)::double lead
