@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import text as tx
 from gaugeline.functions.basics import non_empty
+from gaugeline.sources.slices import read_items
 
 NO_ITEMS = "cast(array() as array<struct<outer:string, inner:string, item:string>>)"
 ITEM = (
@@ -40,13 +41,19 @@ def json_items(df: DataFrame, value: str = "value") -> DataFrame:
     rest = [c for c in df.columns if c != value]
     flat = df.select(*rest, F.posexplode(_items(F.col(value))).alias("pos", "_row"))
     flat = flat.select(*rest, "pos", F.col("_row.outer").alias("outer_key"), F.col("_row.inner").alias("inner_key"), F.col("_row.item").alias("item"))
-    return flat.where(F.col("item").startswith("{")).withColumn("_f", F.from_json("item", ITEM)).select("*", "_f.*").drop("_f")
+    return _known_fields(flat.where(F.col("item").startswith("{")))
+
+
+def _known_fields(items: DataFrame) -> DataFrame:
+    return items.withColumn("_f", F.from_json("item", ITEM)).select("*", "_f.*").drop("_f")
 
 
 def problems_from_json(df: DataFrame, value: str = "value") -> DataFrame:
     """Problems with answers; keys inside an object win over the path keys."""
-    rest = [c for c in df.columns if c != value]
-    items = json_items(df, value)
+    return _problems(json_items(df, value), [c for c in df.columns if c != value])
+
+
+def _problems(items: DataFrame, rest: list[str]) -> DataFrame:
     answer = F.coalesce(non_empty(F.col("answer")), F.col("solution"))
     return items.where((F.col("problem") != "") & answer.isNotNull()).select(
         *rest, "pos", "problem", answer.alias("answer"),
@@ -58,13 +65,15 @@ def problems_from_json(df: DataFrame, value: str = "value") -> DataFrame:
 def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     """JSON documents with the file they come from: a document per file, read in one piece (below 2 GB), or per line.
 
-    Documents of many files are ordered by (file, pos); large sets come as lines, which split into tasks.
+    Documents of many files are ordered by (file, pos); large sets come as lines, which split into tasks, or are read in slices.
     """
     return spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def read_problems(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Problem files."""
+def read_problems(spark: SparkSession, path: str, lines: bool = False, sliced: bool = False) -> DataFrame:
+    """Problem files; ``sliced`` reads a large document in many tasks (see :mod:`gaugeline.sources.slices`)."""
+    if sliced:
+        return _problems(_known_fields(read_items(spark, path)), ["file"])
     return problems_from_json(_documents(spark, path, lines))
 
 
@@ -87,8 +96,11 @@ def _list(text: Column) -> Column:
 
 def examples_from_json(df: DataFrame, value: str = "value") -> DataFrame:
     """Flattened, normalised bank: subject, pos, problem, solution and optional metadata."""
-    rest = [c for c in df.columns if c != value]
-    items = json_items(df, value).withColumn("solution", F.coalesce(non_empty(F.col("solution")), non_empty(F.col("answer"))))
+    return _examples(json_items(df, value), [c for c in df.columns if c != value])
+
+
+def _examples(items: DataFrame, rest: list[str]) -> DataFrame:
+    items = items.withColumn("solution", F.coalesce(non_empty(F.col("solution")), non_empty(F.col("answer"))))
     items = items.where((F.col("problem") != "") & F.col("solution").isNotNull() & F.col("outer_key").isNotNull())
     numeric = F.col("difficulty").try_cast("double").isNotNull()
     return items.select(
@@ -107,8 +119,10 @@ def examples_from_json(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_examples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Curated bank files."""
+def read_examples(spark: SparkSession, path: str, lines: bool = False, sliced: bool = False) -> DataFrame:
+    """Curated bank files; ``sliced`` as in :func:`read_problems`."""
+    if sliced:
+        return _examples(_known_fields(read_items(spark, path)), ["file"]).drop("created_at", "expires_at")
     return examples_from_json(_documents(spark, path, lines)).drop("created_at", "expires_at")
 
 

@@ -34,13 +34,17 @@ def register(name, sql=None):
 
 # --- JSON documents built from the part table, one document per row ---------------------------
 
-def documents(spark, sf):
+def problem_items(spark, sf):
     item = F.to_json(F.struct(
         F.col("problem"), F.when(F.col("id") % 5 == 0, "").otherwise(F.col("size").cast("string")).alias("answer"),
         F.when(F.col("id") % 7 != 0, F.concat(F.lit("see "), F.col("size").cast("string"))).alias("solution"),
         F.when(F.col("id") % 4 == 0, F.col("subject")).alias("category"),
     ))
-    base = vw.math_problems(spark, sf).withColumn("item", item)
+    return vw.math_problems(spark, sf).withColumn("item", item)
+
+
+def documents(spark, sf):
+    base = problem_items(spark, sf)
     text = (
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("["), "item", F.lit(", 5]")))
         .when(F.col("id") % 3 == 1, F.concat(F.lit('{"Group A": ['), "item", F.lit('], "note": "x"}')))
@@ -68,7 +72,30 @@ def problem_store(spark, sf):
     return spark.read.schema("id long, problem string, answer string, category string, difficulty string").json(path).where("id <> 13").select(*made.columns)
 
 
-def bank_documents(spark, sf):
+def large_documents(spark, items):
+    """Folder of JSON files, one document with many records each: a list, lists by key, lists by two keys."""
+    path, kind = scratch_path(spark, "documents"), F.col("file") % 3
+    head = F.when(kind == 0, "[").when(kind == 1, '{"Group } A": [').otherwise('{"algebra": {"hard": [')
+    tail = F.when(kind == 0, "5]").when(kind == 1, '"}"], "note": "{"}').otherwise('null], "n": 3}}')
+    rows = items.select((F.col("id") % 8).alias("file"), F.col("id").cast("long").alias("place"), F.concat("item", F.lit(",")).alias("value"))
+    files = rows.select("file").distinct()
+    for place, text in ((-1, head), (2**62, tail)):
+        rows = rows.unionByName(files.select("file", F.lit(place).cast("long").alias("place"), text.alias("value")))
+    lines = rows.repartition("file").sortWithinPartitions("file", "place")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@register("s1_large_documents", "with " + vw.MATH + """
+select problem, coalesce(nullif(case when id % 5 = 0 then '' else size::varchar end, ''), case when id % 7 <> 0 then 'see ' || size end) answer,
+ coalesce(case when id % 4 = 0 then subject end, case id % 8 % 3 when 1 then 'Group } A' when 2 then 'algebra' end, 'general') category, case when id % 8 % 3 = 2 then 'hard' end difficulty
+from math_problems where not (id % 5 = 0 and id % 7 = 0)""")
+def sliced_problems(spark, sf):
+    path = large_documents(spark, problem_items(spark, sf))
+    return sp.read_problems(spark, path, sliced=True).select("problem", "answer", "category", "difficulty")
+
+
+def bank_items(spark, sf):
     entry = F.to_json(F.struct(
         F.concat(F.lit("Q: "), "problem").alias("problem"), F.concat(F.lit("Answer: "), F.col("size").cast("string")).alias("answer"),
         F.when(F.col("id") % 3 == 0, "Equation").alias("type"), F.array(F.lit("Concept One"), F.lit("x")).alias("concept"),
@@ -76,8 +103,12 @@ def bank_documents(spark, sf):
         F.when(F.col("id") % 4 == 0, "easy").alias("difficulty"), (F.col("size") / 10).alias("anchor_priority"),
         F.when(F.col("id") % 5 < 3, F.col("id") * 100.0).alias("expires_at"),
     ))
-    base = vw.math_problems(spark, sf).withColumn("e", entry)
-    text = F.concat(F.lit('{"'), F.expr("case id % 3 when 0 then 'algebra' when 1 then 'pre-calculus' else 'general' end"), F.lit('": {"hard": ['), "e", F.lit("]}}"))
+    return vw.math_problems(spark, sf).withColumn("item", entry)
+
+
+def bank_documents(spark, sf):
+    base = bank_items(spark, sf)
+    text = F.concat(F.lit('{"'), F.expr("case id % 3 when 0 then 'algebra' when 1 then 'pre-calculus' else 'general' end"), F.lit('": {"hard": ['), "item", F.lit("]}}"))
     return base.select("id", text.alias("value"))
 
 
@@ -97,6 +128,14 @@ def bank_rows(spark, sf):
     )
 
 
+@register("s7_large_bank", "with " + BANK_SQL + """
+select case id % 8 % 3 when 1 then 'Group } A' else 'algebra' end subject, problem, solution, case when id % 4 = 0 then 'basic' when id % 8 % 3 = 2 then 'advanced' end difficulty, "type", 'concept_one,x' concept
+from bank where id % 8 % 3 <> 0""")
+def sliced_bank(spark, sf):
+    made = sp.read_examples(spark, large_documents(spark, bank_items(spark, sf)), sliced=True)
+    return made.select("subject", "problem", "solution", "difficulty", "type", F.array_join("concept", ",").alias("concept"))
+
+
 NOW = 100000.0
 
 
