@@ -67,6 +67,72 @@ def assemble_responses(events: DataFrame, keys: list[str], delay: str | None = N
     )
 
 
+class _Responses(StatefulProcessor):
+    """Tokens of one run in a list that is only appended to, and a short value: end of waiting and last counters."""
+
+    def __init__(self, keys: list[str], wait_ms: int) -> None:
+        self.columns = [*keys, "response", "done_reason", "prompt_tokens", "completion_tokens", "total_tokens"]
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tokens = handle.getListState("tokens", "seq long, content string")
+        self.end = handle.getValueState("end", "until long, done boolean, done_reason string, prompt_tokens long, completion_tokens long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.end.get() if self.end.exists() else None
+        until, done, reason, prompt, completion = known or (None, False, None, None, None)
+        before = until
+        for frame in rows:
+            until = max([int(frame["ms"].max()) + self.wait_ms] + ([until] if until is not None else []))
+            tokens = frame[(frame["type"] == "token") & frame["content"].notna()]
+            if len(tokens):
+                self.tokens.appendList([(int(q), c) for q, c in zip(tokens["seq"], tokens["content"], strict=True)])
+            last = frame[frame["type"] == "done"]
+            if len(last):
+                found = (last["done_reason"].max(), int(last["prompt_eval_count"].max()), int(last["eval_count"].max()))
+                reason, prompt, completion = (max(a, b) for a, b in zip(found, (reason, prompt, completion) if done else found, strict=True))
+                done = True
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(until)
+        self.end.update((until, done, reason, prompt, completion))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, done, reason, prompt, completion = self.end.get()
+        if done:
+            response = "".join(c for _, c in sorted(tuple(t) for t in self.tokens.get()))
+            yield pd.DataFrame([(*key, response, reason, prompt, completion, prompt + completion)], columns=self.columns)
+        self.tokens.clear()
+        self.end.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_responses(events: DataFrame, keys: list[str], delay: str = "2 minutes", wait_ms: int = 120_000) -> DataFrame:
+    """R2 on a stream, in the append output mode: the rows of :func:`assemble_responses`, once for each finished run.
+
+    Each batch appends its tokens to the run's state and rewrites nothing but a short value, so the bytes written are linear in
+    the tokens. A run ends when the watermark (``delay`` behind the latest ``ts``) is ``wait_ms`` past its last event; tokens may
+    come in any order until then, also behind ``done``. Its state goes in any case, and a run without ``done`` gives no row.
+    Events without ``ts`` are left out, and so are those at or before the start of 1970, which Spark takes for late.
+    Needs the RocksDB state store provider (see :func:`use_rocksdb`).
+    """
+    kind = dict(events.dtypes)
+    timed = events.where(F.col("type").isin("token", "done")).withWatermark("ts", delay).select(
+        *keys, "ts", "type", "content", F.unix_millis("ts").alias("ms"), F.coalesce("seq", F.lit(-(2**63))).alias("seq"),
+        F.coalesce("done_reason", F.lit("stop")).alias("done_reason"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("prompt_eval_count", "eval_count")],
+    ).where("ts is not null")
+    schema = ", ".join(f"`{k}` {kind[k]}" for k in keys) + ", response string, done_reason string, prompt_tokens long, completion_tokens long, total_tokens long"
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Responses(keys, wait_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+
+
 class _RunningConsistency(StatefulProcessor):
     """Counts per answer key of one (problem, technique), kept in keyed state.
 

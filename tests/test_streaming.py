@@ -101,3 +101,33 @@ def test_assembled_stream_with_watermark(spark, tmp_path):
     sink, checkpoint = str(tmp_path / "sink"), str(tmp_path / "check")
     ev.run_available(runs, sink, checkpoint)
     assert [(r.session, r.response, r.total_tokens) for r in spark.read.parquet(sink).collect()] == [("s", "hello", 3)]
+
+
+def test_token_state_for_any_arrival(spark, tmp_path):
+    """Tokens in any order over several batches, some behind ``done``, give the rows of the batch form, once each."""
+    rng = random.Random(4)
+    events = []
+    for run in range(6):
+        texts = [rng.choice(["a", "b ", "é", "", None]) for _ in range(rng.randrange(1, 9))]
+        events += [("s", run, k, "token", c, None, None, None, 10 + rng.randrange(50)) for k, c in enumerate(texts)]
+        if run != 2:  # one run never ends
+            events.append(("s", run, 99, "done", None, rng.choice([None, "length"]), 3, rng.choice([None, 5]), 10 + rng.randrange(50)))
+    rng.shuffle(events)
+    schema = "session string, run_index int, seq long, type string, content string, done_reason string, prompt_eval_count long, eval_count long, at int"
+    source = str(tmp_path / "events")
+
+    def stored(rows):
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(source)
+        return df
+
+    parts = [stored(events[:20]), stored(events[20:])]
+    stored([("z", 0, 0, "token", "later", None, None, None, 100_000)])
+    keys = ["session", "run_index"]
+    ev.use_rocksdb(spark)
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink, checkpoint = str(tmp_path / "sink"), str(tmp_path / "check")
+    ev.run_available(ev.stream_responses(stream, keys), sink, checkpoint)
+    want = ev.assemble_responses(parts[0].unionByName(parts[1]), keys)
+    got = spark.read.parquet(sink).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 5

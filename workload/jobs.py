@@ -135,6 +135,19 @@ def streamed_responses(spark, sf):
     return spark.read.parquet(sink).select("session", F.md5(F.col("response").cast("binary")).alias("digest"), "total_tokens")
 
 
+@register("r2_token_state", ORACLES["r2_streamed_responses"])
+def token_state(spark, sf):
+    """As r2_streamed_responses, with the tokens appended to keyed state."""
+    path = scratch_path(spark, "events")
+    # the first turn is at second 0 of 1970, which Spark's first watermark counts as late
+    ev.write_events(turn_events(spark, sf).withColumn("ts", F.col("ts") + F.expr("interval 1 day")), path)
+    ev.use_rocksdb(spark)
+    sink, checkpoint = ev.stream_scratch(spark, "r2-state")
+    made = ev.stream_responses(ev.read_events_stream(spark, path, files_per_trigger=1_000_000), ["session", "technique", "run_index"])
+    ev.run_available(made, sink, checkpoint)
+    return spark.read.parquet(sink).select("session", F.md5(F.col("response").cast("binary")).alias("digest"), "total_tokens")
+
+
 # --- plugged in ------------------------------------------------------------------------------------------
 
 @register("x1_custom_scorer", "with " + vw.RESPONSES + """
