@@ -108,6 +108,19 @@ def preselect(ranked: DataFrame, min_samples: int = 3, min_gap: float = 0.03, te
     }).drop("_stop")
 
 
+def run_plan(preselected: DataFrame, techniques: list[str]) -> DataFrame:
+    """What :func:`preselect` means for the registry, in its order: techniques to run and techniques skipped.
+
+    Without a chosen technique all run. ``skipped_technique`` names the skipped one where it is the only one.
+    """
+    registry = F.array(*[F.lit(t) for t in techniques])
+    chosen = F.col("best_technique")
+    run = F.when(chosen.isNull(), registry).otherwise(F.array(chosen))
+    return preselected.withColumns({"techniques_to_run": run, "skipped_techniques": F.array_except(registry, run)}).withColumn(
+        "skipped_technique", F.when(F.size("skipped_techniques") == 1, F.get("skipped_techniques", F.lit(0)))
+    )
+
+
 def exploration_draw(key: Column) -> Column:
     """Deterministic number in [0, 1] of a key."""
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / 4294967295.0

@@ -151,3 +151,10 @@ def test_history_slots(spark):
     assert hs.unpivot_runs(hs.pivot_runs(entries)).count() == 6
     avg = {r.problem_id: r for r in hs.last_three_average(entries).collect()}
     assert avg["p"].overall == 0.4 and avg["p"].consistency is None and avg["p"].sample_count == 3
+
+
+def test_run_plan_names_skipped_techniques(spark):
+    chosen = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "target_id int, best_technique string")
+    got = {r.target_id: (r.techniques_to_run, r.skipped_techniques, r.skipped_technique) for r in rt.run_plan(chosen, ["a", "b", "c"]).collect()}
+    assert got == {1: (["b"], ["a", "c"], None), 2: (["a", "b", "c"], [], None), 3: (["a"], ["b", "c"], None)}
+    assert [r.skipped_technique for r in rt.run_plan(chosen, ["a", "b"]).orderBy("target_id").collect()] == ["a", None, "b"]

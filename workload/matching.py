@@ -209,6 +209,12 @@ def rankings(spark, sf):
     return targets, rankings_for(targets, docs, scores)
 
 
+def preselected(spark, sf):
+    _, ranked = rankings(spark, sf)
+    asked = ranked.withColumn("run_mode", F.when(F.col("target_id") % 11 == 0, "Benchmark").otherwise("normal"))
+    return rt.preselect(asked, techniques=["few_shot", "zero_shot"])
+
+
 @register("d2_preselection", MATCHES + PROFILE + ROUTES + f""",
 z as (select *, {with_fallbacks_sql('pt', 'pn', 'pn2', 'pg', 'low', MINIMUM, PRE_GAP, True)} pr, {with_fallbacks_sql('dt', 'ds', 'ds2', DG, 'false', 3, '0.03::double', False)} dr from pp join dd using (grp, difficulty)),
 y as (select *, target_id % 11 = 0 bench from z)
@@ -216,9 +222,16 @@ select target_id, case when not bench then pr end profile_reason, case when not
  case when bench then null when pr like 'ok%' then pt when dr like 'ok%' then dt end best_technique,
  case when bench then 'benchmark_mode_runs_all' when pr like 'ok%' then 'preselected_by_profile_history' when dr like 'ok%' then 'preselected_by_domain_history' else dr end reason from y""")
 def preselection(spark, sf):
-    _, ranked = rankings(spark, sf)
-    asked = ranked.withColumn("run_mode", F.when(F.col("target_id") % 11 == 0, "Benchmark").otherwise("normal"))
-    return rt.preselect(asked, techniques=["few_shot", "zero_shot"]).select("target_id", "profile_reason", "domain_reason", "history_source", "best_technique", "reason")
+    return preselected(spark, sf).select("target_id", "profile_reason", "domain_reason", "history_source", "best_technique", "reason")
+
+
+@register("d2_run_plan", """
+select target_id, coalesce(best_technique, 'few_shot,zero_shot') techniques_to_run,
+ case best_technique when 'few_shot' then 'zero_shot' when 'zero_shot' then 'few_shot' end skipped_technique,
+ case best_technique when 'few_shot' then 1 when 'zero_shot' then 1 else 0 end::bigint skipped from (""" + ORACLES["d2_preselection"] + ")")
+def run_plan(spark, sf):
+    planned = rt.run_plan(preselected(spark, sf), ["few_shot", "zero_shot"])
+    return planned.select("target_id", F.array_join("techniques_to_run", ",").alias("techniques_to_run"), "skipped_technique", F.size("skipped_techniques").cast("long").alias("skipped"))
 
 
 AFTER = MATCHES + PROFILE + ROUTES + f""",
