@@ -57,7 +57,7 @@ def test_slices_of_any_size(spark, size):
     folder = _written(spark, [rng.choice(["", "\ufeff", " \n"]) + json.dumps(v, **style()) + rng.choice(["", "\n", " "]) for v in values])
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     total = sum(os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size + total // 100))  # every split is a task
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size + total // 40))  # every split is a task
     try:
         rows = sl.read_items(spark, folder).collect()
     finally:
