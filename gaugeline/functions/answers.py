@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import lexicon as lx
 from gaugeline.functions import text as tx
-from gaugeline.functions.basics import let, literal_pattern, non_empty, strip
+from gaugeline.functions.basics import SPACE, let, literal_pattern, non_empty, strip
 
 LABEL = r"(?:final\s+answer|answer|result|solution)"
 LABEL_START = rf"(?i)\A\s*{LABEL}\s*[:\-=]\s*"
 TOKEN = (
     r"(?<![a-zA-Z])(?:[-+]?\d+(?:\.\d+)?%|[-+]?\d+(?:\.\d+)?\s*/\s*\d+(?:\.\d+)?|[-+]?\d+(?:\.\d+)?)(?![a-zA-Z!])"
 )
+ASCII = r"\A[\x00-\x7F]*\z"
+NUMERAL = r"\A[-+]?\d+(?:\.\d+)?\z"
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:\s*/\s*[-+]?\d+(?:\.\d+)?)?"
 EMPTY = "cast(array() as array<string>)"
+#: Stands between texts that are scanned as one: no blank, sign, digit or letter.
+BETWEEN = "\x01"
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -50,15 +54,18 @@ def math_like(text: Column) -> Column:
 def inline_math(text: Column) -> Column:
     """The expression a sentence ends with, null when there is none."""
 
+    def usable(value: Column) -> Column:
+        return let(_no_tail(strip(value)), lambda x: F.when(math_like(x), x))
+
     def pick(value: Column) -> Column:
-        verb = value.rlike("(?i)is|equals|becomes|gives")
-        found = F.array(
-            F.when(F.contains(value, F.lit(":")), _after(value, ":")),
-            F.when(verb, F.regexp_extract(value, r"(?i)\b(?:is|equals|becomes|gives)\s*[:=]\s*([^\n]+)$", 1)),
-            F.when(verb, F.regexp_extract(value, r"(?i)\b(?:is|equals|becomes|gives)\s+([-+]?\d[^\n]*?)$", 1)),
+        said = F.coalesce(
+            usable(F.regexp_extract(value, r"(?i)\b(?:is|equals|becomes|gives)\s*[:=]\s*([^\n]+)$", 1)),
+            usable(F.regexp_extract(value, r"(?i)\b(?:is|equals|becomes|gives)\s+([-+]?\d[^\n]*?)$", 1)),
+        )
+        return F.coalesce(
+            F.when(F.contains(value, F.lit(":")), usable(_after(value, ":"))),
+            F.when(value.rlike("(?i)is|equals|becomes|gives"), said),
         )
-        trimmed = F.transform(found, lambda x: _no_tail(strip(x)))
-        return F.get(F.filter(trimmed, lambda x: F.coalesce(math_like(x), F.lit(False))), F.lit(0))
 
     return let(_no_tail(strip(text)), lambda v: F.when(v.rlike("(?i):|is|equals|becomes|gives"), pick(v)))
 
@@ -84,11 +91,12 @@ def priority_candidates(response: Column) -> Column:
         return F.concat(labelled, F.coalesce(salvaged, none), F.when(total > 0, F.array(last)).otherwise(none), F.coalesce(concluding, none))
 
     def expanded(base: Column) -> Column:
-        return F.flatten(F.transform(F.filter(base, lambda x: x != ""), lambda x: F.array(x, inline_math(x))))
+        texts = F.array_distinct(F.filter(base, lambda x: x != ""))
+        return F.array_distinct(F.array_compact(F.flatten(F.transform(texts, lambda x: F.array(x, inline_math(x))))))
 
     def with_numbers(found: Column) -> Column:
-        numbers = F.flatten(F.transform(found, lambda x: F.coalesce(_all(x, TOKEN), F.expr(EMPTY))))
-        return _present(F.concat(found, numbers))
+        # one scan over all texts; no token crosses the mark between them
+        return _present(F.concat(found, _all(F.array_join(found, BETWEEN), TOKEN)))
 
     return let(let(let(lines_of(response), from_lines), expanded), with_numbers)
 
@@ -111,7 +119,7 @@ def answer_form(text: Column) -> Column:
 
     whole = let(strip(F.regexp_replace(strip(text), LABEL_START, "")), build)
     # most candidates are bare numerals and already in their final form
-    return F.when(text.rlike(r"\A[-+]?\d+(?:\.\d+)?\z"), text).otherwise(whole)
+    return F.when(text.rlike(NUMERAL), text).otherwise(whole)
 
 
 def _ratio(token: Column) -> Column:
@@ -138,7 +146,7 @@ def numeric_value(text: Column) -> Column:
         return let(rhs, single)
 
     bare = let(strip(F.regexp_replace(strip(text), LABEL_START, "")), parse)
-    return F.when(text.rlike(r"\A[-+]?\d+(?:\.\d+)?\z"), text.try_cast("double")).otherwise(F.when(text.rlike(r"\d"), bare))
+    return F.when(text.rlike(NUMERAL), text.try_cast("double")).otherwise(F.when(text.rlike(r"\d"), bare))
 
 
 def numbers_agree(found: Column, found_text: Column, wanted: Column, wanted_text: Column) -> Column:
@@ -174,18 +182,38 @@ def value_set(text: Column) -> Column:
     return F.when(text.rlike(r"[0-9](?s:.*)[^0-9](?s:.*)[0-9]|±|\+\s*/\s*-|[⁰¹²³⁴⁵⁶⁷⁸⁹]"), made)
 
 
-def _any_match(candidates: Column, expected: Column) -> Column:
-    def against(form: Column) -> Column:
-        number = numeric_value(expected)
-        return let(
-            number,
-            lambda n: F.exists(
-                candidates,
-                lambda c: (c == expected) | (n.isNotNull() & let(numeric_value(c), lambda v: numbers_agree(v, c, n, expected))) | (answer_form(c) == form),
-            ),
-        )
+def expected_keys(expected: Column) -> Column:
+    """What candidates are held against, read once per expected answer: its text, and either its set of numbers (``values``)
+    or its form and number. Null without an expected answer."""
+
+    def read(text: Column, values: Column) -> Column:
+        form = F.when(values.isNull(), answer_form(text))
+        number = F.when(values.isNull(), numeric_value(text))
+        return let(form, lambda f: F.struct(text.alias("text"), values.alias("values"), f.alias("form"), f.rlike(ASCII).alias("ascii"), number.alias("number")))
+
+    return F.when(expected.isNotNull(), let(strip(expected), lambda text: let(value_set(text), lambda values: read(text, values))))
+
+
+def _matches(candidates: Column, keys: Column) -> Column:
+    """Some candidate is the expected answer; only others than the same text are parsed."""
+
+    def agree(value: Column, c: Column) -> Column:
+        return numbers_agree(value, c, keys["number"], keys["text"])
+
+    def alike(c: Column) -> Column:
+        # a form is a stretch of its text in lower case without blanks; sigma alone depends on its neighbours, hence ASCII
+        holds = ~keys["ascii"] | F.contains(F.lower(F.translate(c, SPACE, "")), keys["form"])
+        formed = F.when(holds, answer_form(c) == keys["form"]).otherwise(False)
+        number = F.when(keys["number"].isNotNull(), let(numeric_value(c), lambda v: agree(v, c))).otherwise(False)
+        bare = (c == keys["form"]) | F.when(keys["number"].isNotNull(), agree(c.try_cast("double"), c)).otherwise(False)
+        return F.when(c.rlike(NUMERAL), bare).otherwise(formed | number)
+
+    same = F.coalesce(F.array_contains(candidates, keys["text"]), F.lit(False))
+    return F.when(same, True).when(keys["values"].isNotNull(), _same_set(candidates, keys)).otherwise(F.exists(candidates, alike))
 
-    return let(answer_form(expected), against)
+
+def _same_set(candidates: Column, keys: Column) -> Column:
+    return F.exists(candidates, lambda c: F.coalesce(value_set(c) == keys["values"], F.lit(False)))
 
 
 def heuristic_score(response: Column) -> Column:
@@ -199,37 +227,36 @@ def heuristic_score(response: Column) -> Column:
     return F.least(score, F.lit(1.0))
 
 
-def accuracy(response: Column, expected: Column, final_only: Column | bool = False) -> Column:
-    """Q11/Q12: accuracy of a response against a known answer, heuristic without one.
+def accuracies(response: Column, expected: Column, keys: Column | None = None) -> Column:
+    """Q11/Q12: struct (``any``, ``final``): accuracy of a response against a known answer, heuristic without one.
 
-    With ``final_only`` the numbers of the working steps never count.
+    ``final`` doesn't let the numbers of the working steps count. The candidates are read once for both: the likely final
+    answers first, the others only where those don't match. ``keys``: ``expected_keys``, where they are at hand.
     """
-    final = final_only if isinstance(final_only, Column) else F.lit(final_only)
-
-    def judge(priority: Column) -> Column:
-        marked_only = has_label(response) & (F.size(priority) > 0)
-        wide = F.when(marked_only, priority).otherwise(all_candidates(response, priority))
 
-        def against(wanted: Column, pool: Column, every: Column) -> Column:
-            values = value_set(wanted)
-            several = let(values, lambda w: F.when(w.isNotNull(), F.exists(every, lambda c: F.coalesce(value_set(c) == w, F.lit(False)))))
-            # the same text is right under every rule; only other candidates are parsed
-            same = F.coalesce(F.array_contains(pool, wanted), F.lit(False))
-            return F.when(same, 1.0).when(F.coalesce(several, _any_match(pool, wanted)), 1.0).otherwise(0.0)
+    def both(wide: Column, final: Column) -> Column:
+        return F.struct(wide.alias("any"), final.alias("final"))
 
-        def score(wanted: Column) -> Column:
-            if final_only is True:
-                return against(wanted, priority, wide)
-            return let(wide, lambda every: against(wanted, every if final_only is False else F.when(final, priority).otherwise(every), every))
+    def graded(hit: Column) -> Column:
+        return F.when(hit, 1.0).otherwise(0.0)
 
-        return let(strip(expected), score)
+    def judge(wanted: Column, priority: Column) -> Column:
+        marked_only = has_label(response) & (F.size(priority) > 0)
+        others = let(
+            F.array_except(all_candidates(response, priority), priority),
+            lambda rest: both(graded(_matches(rest, wanted)), graded(wanted["values"].isNotNull() & _same_set(rest, wanted))),
+        )
+        return F.when(_matches(priority, wanted), both(F.lit(1.0), F.lit(1.0))).when(marked_only, both(F.lit(0.0), F.lit(0.0))).otherwise(others)
 
+    known = let(expected_keys(expected) if keys is None else keys, lambda wanted: let(priority_candidates(response), lambda p: judge(wanted, p)))
     blank = F.coalesce(strip(response) == "", F.lit(True))
-    return (
-        F.when(blank, 0.0)
-        .when(expected.isNull(), heuristic_score(response))
-        .otherwise(let(priority_candidates(response), judge))
-    )
+    guess = let(heuristic_score(response), lambda score: both(score, score))
+    return F.when(blank, both(F.lit(0.0), F.lit(0.0))).when(expected.isNull(), guess).otherwise(known)
+
+
+def accuracy(response: Column, expected: Column, final_only: Column | bool = False, keys: Column | None = None) -> Column:
+    """One of the two ``accuracies``: with ``final_only`` the numbers of the working steps never count."""
+    return let(accuracies(response, expected, keys), lambda both: F.when(F.lit(final_only), both["final"]).otherwise(both["any"]))
 
 
 def unique_within(values: Column, tolerance: float = 1e-6) -> Column:

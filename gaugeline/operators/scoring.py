@@ -25,13 +25,19 @@ def unregister_scorer(name: str) -> None:
     _SCORERS.pop(name, None)
 
 
-def with_ground_truth(runs: DataFrame, problems: DataFrame) -> DataFrame:
+def with_ground_truth(runs: DataFrame, problems: DataFrame, keys: bool = False) -> DataFrame:
     """Attach the problem's text and answer; runs of unknown problems keep nulls.
 
+    With ``keys`` the answer comes with ``truth_keys``, read once per problem for ``score_runs``; a problem without an answer
+    that asks for plain arithmetic gets those of its result.
+
     A hot problem only makes its run side heavy; the problem side has one row
     per key, so AQE can split the run partition.
     """
     facts = problems.select("problem_id", "problem", tx.ground_truth_text(F.col("answer")).alias("ground_truth"))
+    if keys:
+        truth = F.coalesce(F.col("ground_truth"), an.simple_arithmetic(F.col("problem")))
+        facts = facts.withColumn("truth_keys", an.expected_keys(truth))
     return runs.join(facts, "problem_id", "left")
 
 
@@ -40,7 +46,8 @@ def score_runs(runs: DataFrame, final_only: bool = False, share: float = 0.75) -
 
     Needs problem_id, technique, run_index, success, response, ground_truth,
     elapsed_time, prompt_tokens, completion_tokens, total_tokens; ``problem``
-    is optional and lets plain arithmetic questions supply their own answer.
+    is optional and lets plain arithmetic questions supply their own answer, as
+    is ``truth_keys`` (``with_ground_truth``), which saves reading the answer per run.
     """
     metric = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("elapsed_time", "prompt_tokens", "completion_tokens", "total_tokens")}
     success = F.coalesce(F.col("success"), F.lit(False))
@@ -51,14 +58,15 @@ def score_runs(runs: DataFrame, final_only: bool = False, share: float = 0.75) -
     based = runs.withColumns({**metric, "success": success, "response": response, "_truth": truth})
     truth, response, success = F.col("_truth"), F.col("response"), F.col("success")
     efficiency = mx.efficiency(response, F.col("elapsed_time"), F.col("total_tokens"), F.col("prompt_tokens"), F.col("completion_tokens"), share)
+    keys = F.col("truth_keys") if "truth_keys" in runs.columns else None
     failed_key = F.concat(F.lit("error:run_"), F.col("run_index").cast("string"))
     scored = based.withColumns({
-        "accuracy": F.when(success, rounded(an.accuracy(response, truth, final_only), 3)).otherwise(0.0),
+        "accuracy": F.when(success, rounded(an.accuracy(response, truth, final_only, keys), 3)).otherwise(0.0),
         "efficiency": F.when(success, efficiency).otherwise(0.0),
         "normalized_output": F.when(success, an.output_key(response)).otherwise(failed_key),
         **{name: scorer(response, truth) for name, scorer in _SCORERS.items()},
     })
-    return scored.drop("_truth")
+    return scored.drop("_truth", "truth_keys")
 
 
 def normalise_payloads(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def benchmark(runs: DataFrame, problems: DataFrame, weights: dict[str, float]) -
     The scored runs are the costly step and feed everything else, so they are
     stored once.
     """
-    scored = durable(sc.score_runs(sc.with_ground_truth(runs, problems)))
+    scored = durable(sc.score_runs(sc.with_ground_truth(runs, problems, keys=True)))
     results = durable(rn.technique_results(scored, weights))
     return {"runs": scored, "results": results, "winners": rn.greedy_winner(results), "comparison": rn.comparison(results)}
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.functions import answers as an
+from gaugeline.operators import scoring as sco
 from gaugeline.functions import metrics as mx
 
 ACCURACY = [
@@ -95,3 +96,36 @@ def test_example_scores(spark):
     cols = {"accuracy": F.col("a"), "consistency": F.col("c"), "efficiency": F.col("e")}
     got = [round(r[0], 3) for r in df.select(mx.overall(cols, w)).collect()]
     assert got == [0.887, 0.75]
+
+
+MIXED = [
+    ("Final answer: 7", "7"), ("so x = 3 or x = 2", "2, 3"), ("step 12\nfinal answer: 1/2", "50%"), ("it gives 12\n9", "12"), ("the sum is: 0.5", "1/2"),
+    ("Answer: X ^2", "x^2"), ("ΑΣ b", "ας"), ("Σ", "σ"), ("3\n/4", "3/4"), ("therefore 5\nresult:", "5"), ("no number because", None), ("", "7"), (None, None), ("7!", "7"),
+]
+
+
+def test_both_accuracies_agree_with_each_alone(spark):
+    df = spark.createDataFrame(MIXED, "r string, e string")
+    r, e = F.col("r"), F.col("e")
+    got = df.select(an.accuracies(r, e).alias("both"), an.accuracy(r, e).alias("any"), an.accuracy(r, e, True).alias("final"), an.accuracy(r, e, F.col("e") == "7").alias("some"), "e").collect()
+    assert all((g.both["any"], g.both["final"]) == (g["any"], g.final) for g in got)
+    assert all(g.some == (g.final if g.e == "7" else g["any"]) for g in got if g.e)
+    assert all(g.final <= g["any"] for g in got)
+    assert [g["any"] for g in got][:5] == [1.0] * 5
+
+
+def test_tokens_never_cross_texts(spark):
+    """Candidates are scanned as one text; a line that begins with a slash makes no fraction with the one before."""
+    df = spark.createDataFrame([("answer: 3\nresult: / 4",)], "r string")
+    found = df.select(an.priority_candidates(F.col("r"))).first()[0]
+    assert "3" in found and not any(x.replace(" ", "") == "3/4" for x in found)
+
+
+def test_keys_per_problem_score_like_answers_per_run(spark):
+    rows = [(str(i), "t", 1, True, r, 1.0, 1, 1, 2) for i, (r, _) in enumerate(MIXED)] + [("sum", "t", 1, True, "Final answer: 5", 1.0, 1, 1, 2), ("none", "t", 1, True, "5", 1.0, 1, 1, 2)]
+    runs = spark.createDataFrame(rows, "problem_id string, technique string, run_index int, success boolean, response string, elapsed_time double, prompt_tokens int, completion_tokens int, total_tokens int")
+    problems = spark.createDataFrame([(str(i), "p", e) for i, (_, e) in enumerate(MIXED)] + [("sum", "What is 2 + 3?", None)], "problem_id string, problem string, answer string")
+    keyed, plain = (sco.score_runs(sco.with_ground_truth(runs, problems, keys=keys)) for keys in (True, False))
+    assert keyed.columns == plain.columns
+    assert sorted(keyed.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert keyed.where("problem_id = 'sum'").first()["accuracy"] == 1.0
