@@ -8,7 +8,8 @@ the plain patterns.
 
 Fixed kinds (they stay whatever their score): email; ip, four parts of at most 255; card, 14 to 19 digits that pass
 Luhn; phone, a plus sign and 10 to 15 digits. Further kinds, kept from a score of ``LEAST`` on: iban, confirmed by its
-mod-97 check, and ssn, three groups of 3, 2 and 4 digits that need a hint in the words before them.
+mod-97 check; ssn, three groups of 3, 2 and 4 digits; and secret, a key or token of 20 to 200 characters with letters and
+digits, confirmed by the entropy of its characters. The last two need a hint in the words before them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.basics import let
 
 # fixed values: kinds in the order of ties
-KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "secret"]
 BASE = KINDS[:4]
 # fixed values: the patterns of the kinds
 PATTERNS = {
@@ -31,6 +32,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+",
 }
 # fixed values: texts without a match of this cheaper pattern aren't searched for the kind
 GUARDS = {
@@ -40,9 +42,10 @@ GUARDS = {
     "phone": r"\+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
     "ssn": r"[0-9]-[0-9]{2}-[0-9]",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}",
 }
 # fixed values: score of a confirmed match, and words that raise it when they stand within NEAR characters before it
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.4}
 HINTS = {
     "email": r"mail|contact|write",
     "ip": r"\bip\b|address|server|host",
@@ -50,8 +53,11 @@ HINTS = {
     "phone": r"phone|call|tel\b|mobile|fax|anruf",
     "iban": r"iban|account|bank|konto|compte|cuenta",
     "ssn": r"ssn|social|security|\btax",
+    "secret": r"token|secret|passw|(?:api|access|private)[ _-]?key|bearer|credential",
 }
 NEAR, RAISE, LEAST = 40, 0.2, 0.5
+#: A secret's longest length, and the least entropy of its characters in bits.
+LONGEST, BITS = 200, 3.0
 SPAN = "struct<start:int,rank:int,kind:string,end:int,score:double>"
 
 
@@ -81,6 +87,16 @@ def _mod97(match: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def _entropy(match: Column) -> Column:
+    """Bits per character: the share of each different character times the logarithm of it."""
+
+    def add(bits: Column, c: Column) -> Column:
+        share = (F.length(match) - F.length(F.replace(match, c, F.lit("")))) / F.length(match)
+        return bits - share * F.log2(share)
+
+    return F.aggregate(F.filter(F.array_distinct(F.split(match, "")), lambda c: c != ""), F.lit(0.0), add)
+
+
 def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         parts = F.transform(F.split(match, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
@@ -92,6 +108,9 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(10, 15)
     if kind == "iban":
         return _mod97(match)
+    if kind == "secret":
+        mixed = match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+        return F.when((F.length(match) <= LONGEST) & mixed, _entropy(match) >= BITS).otherwise(False)
     return F.lit(True)
 
 

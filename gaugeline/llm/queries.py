@@ -35,8 +35,12 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["kind"].isin(pii.BASE))
     kinds = F.transform("pii", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    own = len(pii.BASE)
+    return found.select(
+        "doc_id", *counts[:own], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"),
+        *counts[own:], F.size("pii").cast("long").alias("n_spans"),
+    )
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

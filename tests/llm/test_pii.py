@@ -70,3 +70,24 @@ def test_query_equals_brute_force(spark, sf):
     assert all(r["base_sha256"] == base_digest(texts[r["doc_id"]]) for r in rows)
     assert sum(r["n_email"] + r["n_card"] + r["n_phone"] for r in rows) > 0
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_secrets_need_a_hint_letters_digits_and_entropy(spark, docs_of):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [
+        f'é token = "{key}" end', f"commit {key}", "token " + "ab" * 20, "token " + "a1" * 20, "secret: wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY==",
+        "token " + key * 6, "token " + key[:19], None, "", "x" * 300_000 + " token 1" + "y" * 300_000, f"password {key} and {key}",
+    ]
+    rows = pii.find_personal_data(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    found = [[(s.start, s.end) for s in r.pii if s.kind == "secret"] for r in rows]
+    assert found[0] == [(11, 51)] and found[4] == [(8, 50)] and found[10] == [(9, 49)]
+    assert not any(found[k] for k in (1, 2, 3, 5, 6, 7, 8, 9))
+    cleaned = pii.redact(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert cleaned[0].text == 'é token = "[removed]" end' and cleaned[1].text == texts[1]
+
+
+def test_query_counts_every_kind(spark, tmp_path, docs_of):
+    docs_of([(1, "a@b.c and 10.0.0.1, token 04dbebab91ab85687d33eeaaf9ac699e1188f962"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    one, none = op4_personal_data(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert (one.n_email, one.n_ip, one.n_card, one.n_phone, one.n_iban, one.n_ssn, one.n_secret, one.n_spans) == (1, 1, 0, 0, 0, 0, 1, 3)
+    assert (none.n_spans, none.spans) == (0, "")
