@@ -25,6 +25,8 @@ from gaugeline.llm.wordhash import hash_words, mix, stream
 EXACT, LANES, WIDTH = 16, 256, 3
 #: Texts that are hashed at a time, in bytes, about.
 BYTES = 1 << 20
+#: Code points of a text that range bounds are made of.
+BEGINNING = 64
 
 
 def _runs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +153,8 @@ def compared(docs: DataFrame) -> DataFrame:
     points replaced by the first as many of the next document, or all. Null texts are empty. Rows are documents of their
     own; other columns are ignored; an empty table gives an empty result.
 
-    The rows are sorted in ranges and walked once; the first and last document of each range are joined afterwards.
+    The rows are sorted in ranges and walked once; the first and last document of each range are joined afterwards. A doc_id
+    with many texts spreads over several ranges; only rows that agree in their first ``BEGINNING`` code points too don't.
     """
 
     def walk(batches):
@@ -176,7 +179,9 @@ def compared(docs: DataFrame) -> DataFrame:
             yield _batch({"place": [number], "kind": [2], "text": [held[1]], "doc_id": [held[0]]}, names)
 
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # texts of one doc_id, or of none, part by how they begin, which goes with their order
+    begins = F.substring("text", 1, BEGINNING).desc_nulls_last()
+    ranged = docs.select("doc_id", "text").repartitionByRange(order[0], begins).sortWithinPartitions(*order)
     rows = stored(ranged.mapInArrow(walk, f"place int, kind int, text string, {RESULT}"), "fingerprints")
 
     firsts = rows.where("kind = 1").select("place", F.coalesce("text", F.lit("")).alias("following"))

@@ -58,6 +58,14 @@ def test_ties_and_lone_documents(docs_of):
     assert mh.compared(docs_of([(1, "x")]).limit(0)).count() == 0
 
 
+def test_hot_and_missing_ids(docs_of):
+    rng = random.Random(6)
+    head = "same beginning " * 6
+    rows = [(7, prose(rng, 2)) for _ in range(150)] + [(None, "é" * rng.randrange(4) + prose(rng, 1)) for _ in range(150)] + [(3, head + prose(rng, 1)) for _ in range(60)]
+    got = mh.compared(docs_of(rows).repartition(6)).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == brute(rows)
+
+
 def test_long_repetitive_document():
     text = "w " * 70_000
     edited = text[:70_000] + prose(random.Random(5), 6000)[:70_000]
