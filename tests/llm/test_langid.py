@@ -1,3 +1,9 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from gaugeline.llm import langid
@@ -64,3 +70,75 @@ def test_numerals_are_no_letters(docs_of):
     rows = [(1, "½ ² ① Ⅷ 123"), (2, "".join(every)), (3, "½a"), (4, "Ⅷ 一"), (5, "_ 12 _")]
     got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.predict(docs_of(rows), model).collect()}
     assert got[1] == got[2] == got[5] == ("und", 0.0) and got[3][0] != "und" and got[4][0] != "und"
+
+
+def _plain_model(rows, words, grams):
+    """Log probabilities by plain counting: {kind: {item: {lang: log p}}}, kind 0 words, otherwise the n-gram's length."""
+    langs = sorted({lang for _, lang in rows})
+    counts = {lang: Counter() for lang in langs}
+    for text, lang in rows:
+        counts[lang].update(regex.findall(r"\p{L}+", text.lower()))
+    top = lambda c, most: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most])
+    known = {0: {lang: top(counts[lang], words) for lang in langs}}
+    for n in langid.LENGTHS:
+        known[n] = {}
+        for lang in langs:
+            found = Counter()
+            for word, times in known[0][lang].items():
+                marked = f"\x02{word}\x03"
+                for at in range(len(marked) - n + 1):
+                    found[marked[at : at + n]] += times
+            known[n][lang] = top(found, grams)
+    out = {}
+    for kind, by_lang in known.items():
+        items = set().union(*by_lang.values())
+        sums = {lang: sum(by_lang[lang].values()) + 0.5 * (len(items) + 1) for lang in langs}
+        out[kind] = {x: {lang: math.log((by_lang[lang].get(x, 0) + 0.5) / sums[lang]) for lang in langs} for x in items}
+    return langs, out
+
+
+def _plain_word(word, langs, model):
+    if word in model[0]:
+        return model[0][word]
+    marked, total, found = f"\x02{word}\x03", dict.fromkeys(langs, 0.0), 0
+    for at in range(len(marked)):
+        for step, n in enumerate(langid.LENGTHS, 1):
+            gram = marked[at : at + n]
+            if len(gram) == n and gram in model[n] and gram not in ("\x02", "\x03", "\x02\x03"):
+                total = {lang: total[lang] + model[n][gram][lang] - langid.STEP * step for lang in langs}
+                found += 1
+                break
+    return {lang: total[lang] / max(1, found) * max(1.0, len(word) / langid.LONGEST) for lang in langs}
+
+
+def _plain_prediction(text, langs, model):
+    words = regex.findall(r"\p{L}+", (text or "").lower())
+    if not words or not langs:
+        return "und", 0.0
+    each = {w: _plain_word(w, langs, model) for w in set(words)}
+    total = {lang: sum(each[w][lang] for w in words) for lang in langs}
+    most = max(total.values())
+    odds = {lang: math.exp(total[lang] - most) for lang in langs}
+    best = max(langs, key=lambda lang: odds[lang])
+    return best, odds[best] / sum(odds.values())
+
+
+@pytest.mark.parametrize("limits", [None, (40, 60)])
+def test_scores_equal_plain_counting(docs_of, monkeypatch, limits):
+    """Fit and scores against a version that counts in plain Python, also where the limits on words and n-grams bind."""
+    if limits:
+        monkeypatch.setattr(langid, "WORDS", limits[0])
+        monkeypatch.setattr(langid, "GRAMS", limits[1])
+    rng = random.Random(11)
+    letters = {"en": "etaoinshr th", "de": "enisratdhuü sch", "fr": "esaitnrulé ou"}
+    prose = lambda lang, n: "".join(rng.choice(letters[lang]) for _ in range(n))
+    train = [(k, prose(lang, rng.randrange(200)), lang) for k, lang in enumerate(sorted(letters) * 25)] + [(900, "", "en"), (901, None, "de"), (902, "x", None)]
+    asked = [(k, rng.choice(["", " ", "1 "]).join(prose(lang, rng.randrange(30)) for lang in rng.choices(sorted(letters), k=3))) for k in range(150)]
+    asked += [(500, None), (501, "½ 12"), (502, "Ж"), (503, prose("de", 300).replace(" ", "")), (504, "É" * 200), (505, "the the")]
+    langs, model = _plain_model([(t, lang) for _, t, lang in train if t is not None and lang], langid.WORDS, langid.GRAMS)
+    rows = langid.predict(docs_of(asked), langid.fit(docs_of(train), F.lit(True))).collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        want, share = _plain_prediction(r["text"], langs, model)
+        assert abs(r["lang_score"] - share) < 1e-9, r
+        assert r["lang_pred"] == want or share < 0.5 + 1e-9, r
