@@ -9,15 +9,17 @@ from gaugeline.functions import lexicon as lx
 from gaugeline.functions import text as tx
 from gaugeline.functions.basics import SPACE, let, literal_pattern, non_empty, strip
 
+# fixed values: how answers, numbers and their labels look
 LABEL = r"(?:final\s+answer|answer|result|solution)"
 LABEL_START = rf"(?i)\A\s*{LABEL}\s*[:\-=]\s*"
 TOKEN = (
     r"(?<![a-zA-Z])(?:[-+]?\d+(?:\.\d+)?%|[-+]?\d+(?:\.\d+)?\s*/\s*\d+(?:\.\d+)?|[-+]?\d+(?:\.\d+)?)(?![a-zA-Z!])"
 )
-ASCII = r"\A[\x00-\x7F]*\z"
 NUMERAL = r"\A[-+]?\d+(?:\.\d+)?\z"
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:\s*/\s*[-+]?\d+(?:\.\d+)?)?"
+
 EMPTY = "cast(array() as array<string>)"
+ASCII = r"\A[\x00-\x7F]*\z"
 #: Stands between texts that are scanned as one: no blank, sign, digit or letter.
 BETWEEN = "\x01"
 
@@ -301,7 +303,7 @@ def root_score(response: Column, roots: Column, coefficients: Column) -> Column:
 
 
 def simple_arithmetic(problem: Column) -> Column:
-    """Q15: ground truth of ``What is a op b`` and ``a op b = ?`` questions, as text."""
+    """Q15: ground truth of ``What is a op b`` and ``a op b =?`` questions, as text (no blank before the question mark)."""
     operand = r"([-+]?\d+\.?\d*)"
     text = strip(problem)
     asked = F.regexp_extract(text, r"(?i)\Awhat\s+is\s+([\d\s+\-*/().]+)[?\s]*\z", 1)
