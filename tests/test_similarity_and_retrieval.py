@@ -320,3 +320,17 @@ def test_prompts_and_registered_technique(spark):
     assert made[(1, "few_shot")].prompt.count("Q: ") == 3
     assert made[(1, "shout")].prompt == "SOLVE FOR X: 7X + 1 = 9."
     assert made[(2, "zero_shot")].prompt == "Solve the following math problem. \n\nQ: What is life\nA:"
+
+
+def test_long_texts_need_no_index_of_tokens(spark, monkeypatch):
+    rows = problems(40, 31)
+    df = spark.createDataFrame(rows, "id int, problem string")
+    table = df.select(F.col("id").alias("doc_id"), F.lit("d").alias("domain"), F.lit("b").alias("difficulty"), "problem", F.lit("t").alias("winner_technique"))
+    scored = spark.createDataFrame([(i, "t", (i * 7 % 11) / 10) for i, _ in rows], "doc_id int, technique string, overall double")
+    targets = table.selectExpr("doc_id target_id", "domain", "difficulty", "problem")
+    monkeypatch.setattr(sm, "LONG", 10**6)
+    want = sorted(sm.match_summary(sm.match_history(targets, table, scored)).collect())
+    monkeypatch.setattr(sm, "LONG", 0)
+    monkeypatch.setattr(sm, "PAIRS", 50)  # several steps in a task
+    assert sorted(sm.match_summary(sm.match_history(targets, table, scored)).collect()) == want
+    assert sm.match_work(targets, table, scored)["met_forms"] == 0
