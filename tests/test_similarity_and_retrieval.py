@@ -334,3 +334,50 @@ def test_long_texts_need_no_index_of_tokens(spark, monkeypatch):
     monkeypatch.setattr(sm, "PAIRS", 50)  # several steps in a task
     assert sorted(sm.match_summary(sm.match_history(targets, table, scored)).collect()) == want
     assert sm.match_work(targets, table, scored)["met_forms"] == 0
+
+
+def near_rows(n, seed):
+    """Problems with rare words, signatures, copies and texts that differ in spaces only; some with a vector."""
+    rng = random.Random(seed)
+    rows = []
+    for i, (_, text) in enumerate(problems(n, seed)):
+        text = f"{text} word{rng.randrange(n)}" if i % 3 == 0 else text
+        vector = [rng.uniform(-1, 1) for _ in range(3)] if i % 4 == 0 else None
+        rows.append((i, text, text.replace(" ", ""), str(i % 2), vector))
+    return rows
+
+
+@pytest.mark.parametrize("rare,vectors", [(0, False), (2, True), (10**6, False)])
+def test_nearest_of_forms_equals_all_pairs(spark, monkeypatch, rare, vectors):
+    monkeypatch.setattr(sm, "RARE", rare)
+    rows = near_rows(70, 21)
+    df = spark.createDataFrame(rows, "id int, problem string, canonical string, signature string, embedding array<float>")
+    df = df if vectors else df.drop("embedding")
+    made = sm.prepare(df, "problem", "bank").withColumns({"doc_id": F.col("id"), "pos": F.col("id"), "b_group": F.when(F.col("id") % 5 == 0, "g").otherwise("h")})
+    goals = sm.prepare(df, "problem", "bank").withColumns({
+        "target_key": F.col("id"), "a_group": F.when(F.col("id") % 2 == 0, "both").otherwise("one"), "skip_identical": F.col("id") % 3 != 1, "match_signature": F.col("id") % 7 == 0,
+    })
+    links = spark.createDataFrame([("both", "g"), ("both", "h"), ("one", "h")], "a_group string, b_group string")
+    table = made.select("id", *sm._hashed(made)).toPandas().sort_values("id")
+    score, place, whole = sm.scores(table, table), {i: k for k, i in enumerate(table["id"])}, {r[0]: r for r in rows}
+    got = {}
+    for r in sm.nearest(goals, made, links, 3).collect():
+        got.setdefault(r.target_key, []).append((r.place, r.doc_id, round(r.similarity, 9)))
+    for t in place:
+        met = [
+            d for d in place if (t % 2 == 0 or d % 5 != 0) and not (t % 3 != 1 and whole[d][2] == whole[t][2]) and not (t % 7 == 0 and whole[d][3] != whole[t][3])
+        ]
+        near = sorted((-round(score[place[t], place[d]], 12), d) for d in met)[:3]
+        assert [(d, s) for _, d, s in sorted(got.get(t, []))] == [(d, round(-s, 9)) for s, d in near]
+
+
+def test_nearest_compares_far_fewer_than_all_pairs(spark, monkeypatch):
+    """Ten times the rows from one template with a word of their own: what is compared grows far less than a hundredfold."""
+    parts, work = sm._parts, []
+    monkeypatch.setattr(sm, "_parts", lambda a, b, *ids: (work.append(a.count() * b.count()), parts(a, b, *ids))[1])
+    for n in (60, 600):
+        df = spark.range(n).selectExpr("id", "concat('Solve for x: ', id % 5, 'x = row', id) problem")
+        made = sm.prepare(df, "problem", "bank").withColumns({"doc_id": F.col("id"), "pos": F.col("id"), "canonical": F.col("id").cast("string"), "signature": F.lit(""), "b_group": F.lit("g")})
+        goals = made.withColumns({"target_key": F.col("id"), "a_group": F.lit("g"), "skip_identical": F.lit(True), "match_signature": F.lit(False)})
+        assert sm.nearest(goals, made, None, 2).count() == 2 * n
+    assert work[1] <= 20 * work[0]
