@@ -381,3 +381,20 @@ def test_nearest_compares_far_fewer_than_all_pairs(spark, monkeypatch):
         goals = made.withColumns({"target_key": F.col("id"), "a_group": F.lit("g"), "skip_identical": F.lit(True), "match_signature": F.lit(False)})
         assert sm.nearest(goals, made, None, 2).count() == 2 * n
     assert work[1] <= 20 * work[0]
+
+
+def test_cosines_of_odd_vectors(spark, monkeypatch):
+    """All parts, with vectors that are null, hold a null, are zero or shorter."""
+    from gaugeline.functions import pairs as pr
+
+    monkeypatch.setattr(sm, "QUERIES", 3)
+    monkeypatch.setattr(sm, "VECTORS", 4)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(12)] + [(12, None), (13, [1.0, None, 1.0, 0.0]), (14, [0.0] * 4), (15, [1.0, 2.0]), (16, [2.0, 1.0]), (17, [])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    asked = df.withColumnRenamed("vec_id", "query_id")
+    got = {(r.query_id, r.vec_id): r.cosine for r in sm.cosines(asked, df).collect()}
+    both = asked.withColumnRenamed("embedding", "a").crossJoin(df).where("query_id <> vec_id")
+    want = {(r.query_id, r.vec_id): r.c for r in both.select("query_id", "vec_id", pr.cosine(F.col("a"), F.col("embedding")).alias("c")).collect()}
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (c is None) and (c is None or got[k] == pytest.approx(c, abs=1e-12)) for k, c in want.items())
