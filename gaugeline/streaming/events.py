@@ -6,6 +6,7 @@ that may be streaming.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +19,9 @@ from gaugeline.functions.basics import exact_sum, non_empty, rounded, strip
 from gaugeline.session import scratch_path
 from gaugeline.sources.history_store import KEY, upsert_history
 
+#: Groups of examples that share one state. A stream keeps its number for the life of its checkpoint.
+BUCKETS = 4096
+
 EVENT = (
     "event_id string, session string, seq long, type string, technique string, run_index int, content string, "
     "error string, done_reason string, prompt_eval_count long, eval_count long, ts timestamp"
@@ -229,36 +233,69 @@ def running_consistency(runs: DataFrame) -> DataFrame:
 
 
 class _ExpiringExamples(StatefulProcessor):
-    """One row when an example starts and one when its time is over."""
+    """One row when an example starts and one when its time is over, for the examples of one bucket.
+
+    The state is one value, the end of each example, and one timer at the earliest of them, so a bucket is read and written
+    once a batch however many examples it has.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.end = handle.getValueState("end", "until long")
+        self.ends = handle.getValueState("ends", "ends binary, timer long")
+
+    def _read(self) -> tuple[dict, int | None]:
+        known = self.ends.get()
+        return (pickle.loads(known[0]), known[1]) if known else ({}, None)
+
+    def _rows(self, ids: list, state: str, ends: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"example_id": ids, "state": state, "expires_ms": ends})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        until = max(int(frame["expires_ms"].max()) for frame in rows)
-        known = self.end.get()[0] if self.end.exists() else None
-        if known is None or until > known:
-            if known is not None:
-                self.handle.deleteTimer(known)
-            self.end.update((until,))
-            self.handle.registerTimer(until)
-        if known is None:
-            yield pd.DataFrame({"example_id": [key[0]], "state": ["added"], "expires_ms": [until]})
+        ends, timer = self._read()
+        came: dict = {}
+        for frame in rows:
+            latest = frame.groupby("example_id", dropna=False)["expires_ms"].max() if key[0] >= 0 else pd.Series([frame["expires_ms"].max()], index=[None], dtype=float)
+            for example, until in zip(latest.index.tolist(), latest.tolist(), strict=True):
+                came[example] = until if example not in came or not came[example] >= until else came[example]
+        came = {example: int(until) for example, until in came.items()}
+        added = [example for example in came if example not in ends]
+        ends.update({example: until for example, until in came.items() if example not in ends or until > ends[example]})
+        earliest = min(ends.values())
+        if earliest != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(earliest)
+        self.ends.update((pickle.dumps(ends), earliest))
+        if added:
+            yield self._rows(added, "added", [came[example] for example in added])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.end.clear()
-        yield pd.DataFrame({"example_id": [key[0]], "state": ["expired"], "expires_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
+        ends, _ = self._read()
+        passed, own = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        over = [example for example, until in ends.items() if until < passed or until <= own]
+        made = self._rows(over, "expired", [ends.pop(example) for example in over])
+        if ends:
+            earliest = min(ends.values())
+            self.handle.registerTimer(earliest)
+            self.ends.update((pickle.dumps(ends), earliest))
+        else:
+            self.ends.clear()
+        if over:
+            yield made
 
     def close(self) -> None:
         pass
 
 
 def expiring_examples(examples: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Life of user examples by event time. Needs example_id, created_at (timestamp), expires_at (timestamp)."""
+    """Life of user examples by event time. Needs example_id, created_at (timestamp), expires_at (timestamp).
+
+    The examples are dealt to BUCKETS by their id; examples without an id are one.
+    """
     kind = dict(examples.dtypes)["example_id"]
+    bucket = F.when(F.col("example_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("example_id"), F.lit(BUCKETS)).cast("int")).alias("bucket")
     timed = examples.withWatermark("created_at", delay).withColumn("expires_ms", F.unix_millis("expires_at"))
-    return timed.select("example_id", "created_at", "expires_ms").groupBy("example_id").transformWithStateInPandas(
+    return timed.select(bucket, "example_id", "created_at", "expires_ms").groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_ExpiringExamples(), outputStructType=f"example_id {kind}, state string, expires_ms long", outputMode="Append", timeMode="EventTime"
     )
 

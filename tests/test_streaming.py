@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,59 @@ def test_token_state_for_any_arrival(spark, tmp_path):
     want = ev.assemble_responses(parts[0].unionByName(parts[1]), keys)
     got = spark.read.parquet(sink).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 5
+
+
+class FakeState:
+    """A value, map and timers in one process, which counts the calls that would leave it."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers, self.calls = None, {}, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def getExpiryTimeInMs(self):
+        return self.fired
+
+
+def test_examples_of_a_bucket_share_one_state():
+    """A thousand examples cost a few state calls; each starts once, ends at its latest end, and may start again."""
+    state = FakeState()
+    bucket = ev._ExpiringExamples()
+    bucket.init(state)
+    came = pd.DataFrame({"example_id": [i % 1000 for i in range(2000)], "expires_ms": [5000 + i for i in range(2000)]})
+    added = pd.concat(bucket.handleInputRows((1,), iter([came[:700], came[700:]]), state))
+    assert sorted(added["example_id"]) == list(range(1000)) and set(added["state"]) == {"added"}
+    assert state.calls <= 4 and state.timers == {6000}
+    assert list(bucket.handleInputRows((1,), iter([pd.DataFrame({"example_id": [0, 1], "expires_ms": [9000, 100]})]), state)) == []
+    assert state.timers == {6001}
+    state.watermark, state.fired = 6100, 6001
+    state.timers.discard(6001)
+    over = pd.concat(bucket.handleExpiredTimer((1,), state, state))
+    assert list(zip(over["example_id"], over["expires_ms"], strict=True)) == [(i, 6000 + i) for i in range(1, 100)] and set(over["state"]) == {"expired"}
+    assert state.timers == {6100}
+    again = pd.concat(bucket.handleInputRows((1,), iter([pd.DataFrame({"example_id": [5], "expires_ms": [9500]})]), state))
+    assert again["example_id"].tolist() == [5]
