@@ -21,6 +21,8 @@ from gaugeline.sources.history_store import KEY, upsert_history
 
 #: Groups of examples that share one state. A stream keeps its number for the life of its checkpoint.
 BUCKETS = 4096
+#: Answers of one (problem, technique) whose counters are read and written together.
+FEW = 256
 
 EVENT = (
     "event_id string, session string, seq long, type string, technique string, run_index int, content string, "
@@ -143,73 +145,81 @@ class _RunningConsistency(StatefulProcessor):
     Runs wait in the state until all runs before them have come, so they count in the order of ``run_index`` whatever the
     order of arrival. A row without a run_index says that no missing run will come: what waits counts. A run that comes
     after a later one has counted is late and counts when it comes.
+
+    The first FEW answers are one value with the totals, so that most keys are read and written once; further ones have a
+    counter each.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "runs long, best long, next int, waiting long, counts binary, more boolean")
         self.counts = handle.getMapState("counts", "output string", "n long")
-        self.totals = handle.getValueState("totals", "runs long, best long, next int, waiting long")
         self.waiting = handle.getMapState("waiting", "run_index int, copy long", "output string")
 
-    def _counted(self, key, frame: pd.DataFrame, late: bool, runs: int, best: int) -> tuple[pd.DataFrame, int, int]:
-        """The result of runs in their order, after ``runs`` earlier ones of which the most frequent answer had ``best``."""
-        output = frame["normalized_output"]
-        # each answer's state is read once and written once a batch
-        before = {o: self.counts.getValue((o,))[0] if self.counts.containsKey((o,)) else 0 for o in output.unique()}
-        seen = frame.groupby("normalized_output", dropna=False).cumcount() + 1 + output.map(before)
-        for o, n in output.value_counts(dropna=False).items():
-            self.counts.updateValue((o,), (before[o] + int(n),))
-        matching = seen.cummax().clip(lower=best)
-        made = pd.DataFrame({
-            "problem_id": key[0], "technique": key[1], "run_index": frame["run_index"].astype("int32").to_numpy(),
-            "runs_used": range(runs + 1, runs + 1 + len(frame)), "matching_runs": matching.to_numpy(), "late": late,
-        })
-        return made, runs + len(frame), int(matching.iloc[-1])
-
-    def _held(self) -> pd.DataFrame:
-        rows = [(k[0], k[1], v[0]) for k, v in self.waiting.iterator()]
-        return pd.DataFrame(rows, columns=["run_index", "copy", "normalized_output"]).sort_values(["run_index", "copy"])
+    def _before(self, output: str | None) -> int:
+        if output in self.few or not self.more:
+            return self.few.get(output, 0)
+        return self.counts.getValue((output,))[0] if self.counts.containsKey((output,)) else 0
+
+    def _counted(self, rows: list[tuple[int, str | None]], late: bool) -> None:
+        """Counts runs in their order; a further answer's state is read once and written once."""
+        changed: dict[str | None, int] = {}
+        for index, output in rows:
+            n = changed[output] = (changed[output] if output in changed else self._before(output)) + 1
+            self.runs, self.best = self.runs + 1, max(self.best, n)
+            self.made.append((index, self.runs, self.best, late))
+        for output, n in changed.items():
+            if output in self.few or len(self.few) < FEW:
+                self.few[output] = n
+            else:
+                self.counts.updateValue((output,), (n,))
+                self.more = True
+
+    def _held(self) -> list[tuple[int, str | None]]:
+        rows = [(k[0], v[0]) for k, v in sorted(((tuple(k), tuple(v)) for k, v in self.waiting.iterator()), key=lambda x: x[0])]
+        self.waiting.clear()
+        self.n_waiting = 0
+        return rows
+
+    def _result(self, key) -> Iterator[pd.DataFrame]:
+        if self.made:
+            index, used, matching, late = zip(*self.made, strict=True)
+            yield pd.DataFrame({"problem_id": key[0], "technique": key[1], "run_index": index, "runs_used": used, "matching_runs": matching, "late": late})
+            self.made = []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        runs, best, following, waiting = self.totals.get() if self.totals.exists() else (0, 0, 1, 0)
+        known = self.totals.get()
+        self.runs, self.best, following, self.n_waiting, counts, self.more = tuple(known) if known else (0, 0, 1, 0, None, False)
+        self.few = pickle.loads(counts) if counts else {}
+        self.made: list[tuple[int, int, int, bool]] = []
         closed = False
         for frame in rows:  # Arrow batches of bounded size
-            closed = closed or bool(frame["run_index"].isna().any())
-            frame = frame[frame["run_index"].notna()].sort_values("run_index", kind="stable")
-            late, ahead = frame[frame["run_index"] < following], frame[frame["run_index"] >= following]
-            if len(late):
-                made, runs, best = self._counted(key, late, True, runs, best)
-                yield made
-            if not len(ahead):
-                continue
-            if int(ahead["run_index"].iloc[0]) > following:
-                waiting = self._wait(ahead, waiting)
-                continue
-            if waiting:
-                ahead = pd.concat([self._held(), ahead]).sort_values("run_index", kind="stable")
-                self.waiting.clear()
-                waiting = 0
-            index = ahead["run_index"].to_numpy()
-            # the stretch without a gap from the next run on; a run that comes twice counts twice
-            gaps = (index[1:] - index[:-1] > 1).nonzero()[0]
-            end = int(gaps[0]) + 1 if len(gaps) else len(index)
-            made, runs, best = self._counted(key, ahead.iloc[:end], False, runs, best)
-            yield made
-            following = int(index[end - 1]) + 1
-            if end < len(index):
-                waiting = self._wait(ahead.iloc[end:], waiting)
-        if closed and waiting:
+            came = [(i, o if isinstance(o, str) else None) for i, o in zip(frame["run_index"].tolist(), frame["normalized_output"].tolist(), strict=True)]
+            numbered = sorted(((int(i), o) for i, o in came if i == i and i is not None), key=lambda x: x[0])
+            closed = closed or len(numbered) < len(came)
+            self._counted([r for r in numbered if r[0] < following], True)
+            ahead = [r for r in numbered if r[0] >= following]
+            if ahead and ahead[0][0] > following:
+                self._wait(ahead)
+            elif ahead:
+                if self.n_waiting:
+                    ahead = sorted(self._held() + ahead, key=lambda x: x[0])
+                # the stretch without a gap from the next run on; a run that comes twice counts twice
+                end = next((k for k in range(1, len(ahead)) if ahead[k][0] - ahead[k - 1][0] > 1), len(ahead))
+                self._counted(ahead[:end], False)
+                following = ahead[end - 1][0] + 1
+                self._wait(ahead[end:])
+            yield from self._result(key)
+        if closed and self.n_waiting:
             held = self._held()
-            self.waiting.clear()
-            made, runs, best = self._counted(key, held, False, runs, best)
-            yield made
-            following, waiting = int(held["run_index"].iloc[-1]) + 1, 0
-        self.totals.update((runs, best, following, waiting))
-
-    def _wait(self, frame: pd.DataFrame, waiting: int) -> int:
-        for index, output in zip(frame["run_index"], frame["normalized_output"], strict=True):
-            self.waiting.updateValue((int(index), waiting), (output,))
-            waiting += 1
-        return waiting
+            self._counted(held, False)
+            following = held[-1][0] + 1
+            yield from self._result(key)
+        self.totals.update((self.runs, self.best, following, self.n_waiting, pickle.dumps(self.few), self.more))
+
+    def _wait(self, rows: list[tuple[int, str | None]]) -> None:
+        for index, output in rows:
+            self.waiting.updateValue((index, self.n_waiting), (output,))
+            self.n_waiting += 1
 
     def close(self) -> None:
         pass

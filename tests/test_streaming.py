@@ -188,3 +188,17 @@ def test_examples_of_a_bucket_share_one_state():
     assert state.timers == {6100}
     again = pd.concat(bucket.handleInputRows((1,), iter([pd.DataFrame({"example_id": [5], "expires_ms": [9500]})]), state))
     assert again["example_id"].tolist() == [5]
+
+
+def test_few_answers_are_one_state_value():
+    """Twenty runs of a key in any order cost two state calls and equal plain counting."""
+    state = FakeState()
+    step = ev._RunningConsistency()
+    step.init(state)
+    answers = [f"num:{i % 3}" if i % 4 else None for i in range(20)]
+    order = sorted(range(20), key=lambda i: i * 7 % 20)
+    frame = pd.DataFrame({"run_index": [i + 1 for i in order], "normalized_output": [answers[i] for i in order]})
+    made = pd.concat(step.handleInputRows(("p", "t"), iter([frame]), None))
+    best = [max(answers[: i + 1].count(a) for a in set(answers[: i + 1])) for i in range(20)]
+    assert made["run_index"].tolist() == list(range(1, 21)) and made["matching_runs"].tolist() == best
+    assert state.calls == 2
