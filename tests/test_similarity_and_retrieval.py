@@ -322,20 +322,6 @@ def test_prompts_and_registered_technique(spark):
     assert made[(2, "zero_shot")].prompt == "Solve the following math problem. \n\nQ: What is life\nA:"
 
 
-def test_long_texts_need_no_index_of_tokens(spark, monkeypatch):
-    rows = problems(40, 31)
-    df = spark.createDataFrame(rows, "id int, problem string")
-    table = df.select(F.col("id").alias("doc_id"), F.lit("d").alias("domain"), F.lit("b").alias("difficulty"), "problem", F.lit("t").alias("winner_technique"))
-    scored = spark.createDataFrame([(i, "t", (i * 7 % 11) / 10) for i, _ in rows], "doc_id int, technique string, overall double")
-    targets = table.selectExpr("doc_id target_id", "domain", "difficulty", "problem")
-    monkeypatch.setattr(sm, "LONG", 10**6)
-    want = sorted(sm.match_summary(sm.match_history(targets, table, scored)).collect())
-    monkeypatch.setattr(sm, "LONG", 0)
-    monkeypatch.setattr(sm, "PAIRS", 50)  # several steps in a task
-    assert sorted(sm.match_summary(sm.match_history(targets, table, scored)).collect()) == want
-    assert sm.match_work(targets, table, scored)["met_forms"] == 0
-
-
 def near_rows(n, seed):
     """Problems with rare words, signatures, copies and texts that differ in spaces only; some with a vector."""
     rng = random.Random(seed)
@@ -383,6 +369,20 @@ def test_nearest_compares_far_fewer_than_all_pairs(spark, monkeypatch):
     assert work[1] <= 20 * work[0]
 
 
+def test_long_texts_need_no_index_of_tokens(spark, monkeypatch):
+    rows = problems(40, 31)
+    df = spark.createDataFrame(rows, "id int, problem string")
+    table = df.select(F.col("id").alias("doc_id"), F.lit("d").alias("domain"), F.lit("b").alias("difficulty"), "problem", F.lit("t").alias("winner_technique"))
+    scored = spark.createDataFrame([(i, "t", (i * 7 % 11) / 10) for i, _ in rows], "doc_id int, technique string, overall double")
+    targets = table.selectExpr("doc_id target_id", "domain", "difficulty", "problem")
+    monkeypatch.setattr(sm, "LONG", 10**6)
+    want = sorted(sm.match_summary(sm.match_history(targets, table, scored)).collect())
+    monkeypatch.setattr(sm, "LONG", 0)
+    monkeypatch.setattr(sm, "PAIRS", 50)  # several steps in a task
+    assert sorted(sm.match_summary(sm.match_history(targets, table, scored)).collect()) == want
+    assert sm.match_work(targets, table, scored)["met_forms"] == 0
+
+
 def test_cosines_of_odd_vectors(spark, monkeypatch):
     """All parts, with vectors that are null, hold a null, are zero or shorter."""
     from gaugeline.functions import pairs as pr
@@ -398,3 +398,13 @@ def test_cosines_of_odd_vectors(spark, monkeypatch):
     want = {(r.query_id, r.vec_id): r.c for r in both.select("query_id", "vec_id", pr.cosine(F.col("a"), F.col("embedding")).alias("c")).collect()}
     assert got.keys() == want.keys()
     assert all((got[k] is None) == (c is None) and (c is None or got[k] == pytest.approx(c, abs=1e-12)) for k, c in want.items())
+
+
+def test_intents_are_dealt_out_and_scored_by_label(spark, sf):
+    from workload import matching as wm
+
+    made = wm.intents(spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[: plan.index("Relation")]
+    assert "part#" in join and "array_intersect" not in plan
+    assert made.where("id = other_id or id % 100 <> 0").count() == 0
