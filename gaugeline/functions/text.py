@@ -74,7 +74,7 @@ def _numeral(value: Column) -> Column:
 
 def difficulty_label(value: Column, numeric: Column | None = None) -> Column:
     """Canonical difficulty; ``numeric`` marks rows whose source value was a number."""
-    words = alias(non_empty(label(value)), lx.DIFFICULTY_ALIASES)
+    words = let(non_empty(label(value)), lambda v: alias(v, lx.DIFFICULTY_ALIASES))
     if numeric is None:
         return words
     return F.when(numeric, _numeral(value)).otherwise(words)
@@ -82,31 +82,44 @@ def difficulty_label(value: Column, numeric: Column | None = None) -> Column:
 
 def difficulty_level(value: Column) -> Column:
     """Level 1-3 of a canonical difficulty label or of a number in text form."""
-    number = value.try_cast("double")
-    return (
-        F.when(value == "basic", F.lit(1.0))
-        .when(value == "intermediate", F.lit(2.0))
-        .when(value == "advanced", F.lit(3.0))
-        .when(number <= 0, F.lit(None).cast("double"))
-        .when(number <= 3, number)
-        .when(number.isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(3.0), 1.0 + (number - 1.0) / 2.0)))
-    )
+
+    def scaled(number: Column) -> Column:
+        return (
+            F.when(number <= 0, F.lit(None).cast("double"))
+            .when(number <= 3, number)
+            .when(number.isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(3.0), 1.0 + (number - 1.0) / 2.0)))
+        )
+
+    def level(text: Column) -> Column:
+        return (
+            F.when(text == "basic", F.lit(1.0))
+            .when(text == "intermediate", F.lit(2.0))
+            .when(text == "advanced", F.lit(3.0))
+            .otherwise(let(text.try_cast("double"), scaled))
+        )
+
+    return let(value, level)
 
 
 def level_label(level: Column) -> Column:
     """Difficulty label of a level."""
-    return F.when(level <= 1.5, "basic").when(level <= 2.5, "intermediate").when(level.isNotNull(), "advanced")
+    return let(level, lambda x: F.when(x <= 1.5, "basic").when(x <= 2.5, "intermediate").when(x.isNotNull(), "advanced"))
 
 
 def bank_difficulty(value: Column) -> Column:
-    """P6/P9 for bank files: extra aliases first, then labels and numeric scales."""
-    known = difficulty_label(alias(non_empty(label(value)), lx.DIFFICULTY_ALIASES_BANK))
-    number = value.try_cast("double")
-    return (
-        F.when(known.isin(*lx.DIFFICULTIES), known)
-        .when(number > 0, level_label(difficulty_level(number.cast("string"))))
-        .otherwise(level_label(difficulty_level(known)))
-    )
+    """P6/P9 for bank files: extra aliases first, then labels and numeric scales.
+
+    Every step is used several times by the next, so each is bound once: written out, the steps multiply to an expression
+    that is too large to be compiled.
+    """
+    aliased = let(non_empty(label(value)), lambda v: alias(v, lx.DIFFICULTY_ALIASES_BANK))
+
+    def judge(known: Column) -> Column:
+        number = value.try_cast("double")
+        level = F.when(number > 0, difficulty_level(number.cast("string"))).otherwise(difficulty_level(known))
+        return F.when(known.isin(*lx.DIFFICULTIES), known).otherwise(level_label(level))
+
+    return let(difficulty_label(aliased), judge)
 
 
 def anchor_priority(value: Column) -> Column:

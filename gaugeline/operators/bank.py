@@ -106,11 +106,13 @@ def retag_difficulties(bank: DataFrame) -> DataFrame:
 def regroup(bank: DataFrame, path: str) -> DataFrame:
     """Write the bank by subject and target difficulty, every entry relabelled; returns the retagged rows.
 
-    Entries are JSON lines below ``subject=…/bucket=…``, so a bucket is read without the others.
+    Entries are JSON lines below ``subject=…/bucket=…``, so a bucket is read without the others. Rows are dealt by bucket
+    before they are written, large ones over several tasks: otherwise every task opens a file in every bucket.
     """
     retagged = retag_difficulties(bank)
     made = retagged.withColumns({"difficulty": F.col("target"), "bucket": F.col("target")}).drop("source_bucket", "target", "relabelled", "moved")
-    made.write.mode("overwrite").partitionBy("subject", "bucket").json(path)
+    dealt = made.hint("rebalance", F.col("subject"), F.col("bucket"))
+    dealt.write.mode("overwrite").partitionBy("subject", "bucket").json(path)
     return retagged
 
 

@@ -137,3 +137,26 @@ def test_stitching_many_chunks(spark):
     start = time.time()
     long = spark.range(100_000).selectExpr("1 call", "id seq", "concat('part ', id, ' of the answer, ') text")
     assert bk.stitch(long, "call", "seq", "text").selectExpr("length(response) n").first().n > 1_000_000 and time.time() - start < 60
+
+
+def test_the_difficulty_of_a_bank_is_read_once(spark):
+    texts = ["Hard", "", None, "interm", "2", "odd", " EASY ", "-1", "7", "2.5", "nan", "expert"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    got = [r[0] for r in df.select(tx.bank_difficulty(F.col("d"))).collect()]
+    assert got == ["advanced", None, None, "intermediate", "intermediate", None, "basic", "basic", "advanced", "intermediate", "advanced", "advanced"]
+    # written out, the steps repeat the label 100 times and more, which no compiler of the plan takes
+    bank = df.selectExpr("'x + 1' as problem", "'algebra' as subject", "d as difficulty", "d as bucket")
+    plan = bk.bucket_report(bk.retag_difficulties(bank))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 16
+
+
+def test_a_regrouped_bank_has_few_files(spark):
+    rows = spark.range(0, 400, 1, 8).selectExpr(
+        "id", "'x + 1' as problem", "concat('s', id % 2) as subject", "element_at(array('easy', 'medium', 'hard'), cast(id % 3 + 1 as int)) as difficulty", "'' as bucket"
+    )
+    path = scratch_path(spark, "regrouped")
+    bk.regroup(rows, path)
+    back = spark.read.json(path)
+    assert back.count() == 400 and back.select("subject", "bucket").distinct().count() == 6
+    assert back.where("difficulty <> bucket").count() == 0
+    assert len(back.inputFiles()) == 6  # 8 tasks wrote 48
