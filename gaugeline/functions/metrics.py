@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugeline.functions.basics import rounded
+from gaugeline.functions.basics import let, rounded
 from gaugeline.functions.text import word_count
 
 METRICS = ("accuracy", "consistency", "efficiency")
@@ -48,9 +48,9 @@ def conciseness_score(words: Column) -> Column:
 
 def efficiency(response: Column, seconds: Column, total: Column, prompt: Column, completion: Column, share: float = 0.75) -> Column:
     """Q5: .4 time + .3 tokens + .3 conciseness."""
-    words = word_count(response)
     used = blended_tokens(completion, total, prompt, share)
-    score = time_score(seconds) * 0.4 + token_score(used, words) * 0.3 + conciseness_score(words) * 0.3
+    # every bucket asks for the words, so they are counted once
+    score = let(word_count(response), lambda words: time_score(seconds) * 0.4 + token_score(used, words) * 0.3 + conciseness_score(words) * 0.3)
     return rounded(score, 3)
 
 

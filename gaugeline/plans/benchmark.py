@@ -11,16 +11,18 @@ from gaugeline.operators import routing as rt
 from gaugeline.operators import runs as rn
 from gaugeline.operators import scoring as sc
 from gaugeline.operators import similarity as sm
-from gaugeline.session import durable
+from gaugeline.session import durable, shuffle_width
 
 
 def benchmark(runs: DataFrame, problems: DataFrame, weights: dict[str, float]) -> dict[str, DataFrame]:
     """Recorded runs to scored runs, technique results, winners and comparison.
 
     The scored runs are the costly step and feed everything else, so they are
-    stored once.
+    stored once. The joined rows are few bytes but much work each: they are dealt
+    out evenly before they are scored, as AQE merges partitions by their bytes.
     """
-    scored = durable(sc.score_runs(sc.with_ground_truth(runs, problems, keys=True)))
+    joined = sc.with_ground_truth(runs, problems, keys=True)
+    scored = durable(sc.score_runs(joined.repartition(shuffle_width(joined.sparkSession))))
     results = durable(rn.technique_results(scored, weights))
     return {"runs": scored, "results": results, "winners": rn.greedy_winner(results), "comparison": rn.comparison(results)}
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from gaugeline.functions import metrics as mx
 from gaugeline.functions.metrics import normalise_weights
 from gaugeline.plans import benchmark as bm
 
@@ -27,3 +28,22 @@ def test_runs_to_route(spark):
     history = scores.select(F.col("problem_id").alias("doc_id"), "technique", "overall")
     row = bm.route(targets, documents, history).first()
     assert (row.history_source, row.best_technique) == ("db_profile_rules", "few_shot")
+
+
+def test_all_tasks_score_the_runs(spark):
+    runs = spark.range(0, 400, 1, 1).selectExpr(
+        "'p' as problem_id", "'zero_shot' as technique", "cast(id as int) as run_index", "true as success", "concat('Answer: ', id % 5) as response",
+        "2.0D as elapsed_time", "10 as prompt_tokens", "30 as completion_tokens", "40 as total_tokens",
+    )
+    problems = spark.createDataFrame([("p", None, "3")], "problem_id string, problem string, answer string")
+    made = bm.benchmark(runs, problems, normalise_weights())
+    assert made["runs"].count() == 400 and made["runs"].agg(F.sum("accuracy")).first()[0] == 80.0
+    assert len(made["runs"].inputFiles()) > 1
+
+
+def test_words_are_counted_once_per_response(spark):
+    row = spark.createDataFrame([("a b c", 2.0, 40, 10, 30), (None, 0.0, 0, 0, 0), (" ", 40.0, 5, 5, 0)], "response string, s double, t int, p int, c int")
+    made = row.select(mx.efficiency(F.col("response"), F.col("s"), F.col("t"), F.col("p"), F.col("c")).alias("e"))
+    # 0.4 * time + 0.3 * tokens + 0.3 * conciseness
+    assert [r.e for r in made.collect()] == [0.79, 0.5, 0.495]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
