@@ -408,3 +408,53 @@ def test_intents_are_dealt_out_and_scored_by_label(spark, sf):
     join = plan[: plan.index("Relation")]
     assert "part#" in join and "array_intersect" not in plan
     assert made.where("id = other_id or id % 100 <> 0").count() == 0
+
+
+@pytest.mark.parametrize("parts", [(3, 4), (1024, 2048)])
+def test_pair_layers_equal_the_pair_functions(spark, monkeypatch, parts):
+    """All pairs of a group, part by part, with odd vectors, null texts, keys that repeat or are null."""
+    from gaugeline.functions import pairs as pr
+    from gaugeline.functions import text as tx
+    from gaugeline.functions.basics import rounded
+
+    monkeypatch.setattr(sm, "QUERIES", parts[0])
+    monkeypatch.setattr(sm, "VECTORS", parts[1])
+    rng = random.Random(5)
+    odd = [None, [1.0, None, 1.0, 0.0], [0.0] * 4, [1.0, 2.0], [2.0, 1.0], [], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0]]
+    texts = problems(40, 5) + [(40, None), (41, ""), (None, "Solve for x: 2x = 4."), (42, "Solve for x: 2x = 4."), (42, "Solve for x: 2x = 4.")]
+    vector = lambda k: [rng.uniform(-1, 1) for _ in range(4)] if k % 3 else odd[k // 3 % len(odd)]
+    rows = [(i, ["a", "b", None][k % 7 // 3], text, vector(k)) for k, (i, text) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, group string, problem string, embedding array<float>")
+    df = tg.with_feature_tags(df, "problem", "history", "tags").withColumn("tokens", tx.tokens(F.col("problem"), lx.STOP_WORDS_HISTORY)).drop("problem")
+    asked, others = df.where("id % 2 = 0"), df.withColumnRenamed("id", "other_id")
+    made = sm.pair_layers(asked, others)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "array_intersect" not in plan and "i#" in plan
+
+    side = lambda d, name: d.select(*[F.col(c).alias(f"{name}_{c}") for c in d.columns])
+    both = side(asked, "a").join(side(others, "b"), F.expr("a_group = b_group and a_id <> b_other_id"))
+    keys = [F.col(c) for c in ("a_tags", "b_tags", "a_type_key", "b_type_key")]
+    cosine = F.when(F.expr("a_embedding is not null and b_embedding is not null"), pr.cosine(F.col("a_embedding"), F.col("b_embedding")))
+    lexical, feature, mismatch = pr.jaccard(F.col("a_tokens"), F.col("b_tokens")), pr.feature_similarity(*keys), pr.type_mismatch(*keys)
+    both = both.withColumns({"lexical": lexical, "feature": feature, "type_mismatch": mismatch, "cosine": cosine})
+    want = both.select("a_id", "b_other_id", rounded(F.col("lexical"), 6), rounded(F.col("feature"), 6), "type_mismatch", rounded(pr.hybrid(F.col("lexical"), F.col("feature"), F.col("type_mismatch"), F.col("cosine")), 6))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_array_rounding_equals_rounded(spark):
+    from gaugeline.functions.basics import rounded
+
+    rng = random.Random(6)
+    values = [-1.0, 0.0, 1.0, 1 / 128, 3 / 128, 0.12345649995, 0.123456499949, 0.1234565] + [rng.randint(0, 10**6) / 10**6 + rng.choice([-1, 0, 1]) * 10.0 ** rng.randint(-12, -9) + 5e-7 for _ in range(500)] + [rng.random() for _ in range(500)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    want = [r.r for r in df.orderBy("k").select(rounded(F.col("v"), 6).alias("r")).collect()]
+    assert sm._rounded(np.array(values)).tolist() == want
+
+
+def test_pair_scores_are_taken_part_by_part(spark, sf):
+    from workload import matching as wm
+
+    made = wm.pair_scores(spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "aggregate(" not in plan
+    assert made.where("id = other_id or id % 100 <> 0").count() == 0
