@@ -458,3 +458,22 @@ def test_pair_scores_are_taken_part_by_part(spark, sf):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "aggregate(" not in plan
     assert made.where("id = other_id or id % 100 <> 0").count() == 0
+
+
+def test_routing_labels_each_problem_once(spark, sf, monkeypatch):
+    from workload import matching as wm
+
+    seen = []
+    tagged = sm.with_feature_tags
+    monkeypatch.setattr(sm, "with_feature_tags", lambda *args: seen.append(args) or tagged(*args))
+    _, ranked = wm.rankings(spark, sf)
+    assert len(seen) == 1 and ranked.count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_labelled_sides_match_as_texts_do(spark):
+    texts = [*problems(30, 9), (30, None), (31, " ")]
+    docs = spark.createDataFrame([(i, "d", "e", p, "few_shot" if i % 2 else None, i % 3 > 0) for i, p in texts], "doc_id int, domain string, difficulty string, problem string, winner_technique string, has_ground_truth boolean")
+    targets = docs.select(F.col("doc_id").alias("target_id"), "domain", "difficulty", "problem")
+    scored = docs.select("doc_id", F.lit("few_shot").alias("technique"), (F.col("doc_id") / 40).alias("overall"))
+    rows = lambda *sides: sorted(map(repr, sm.match_history(*sides, scored, require_ground_truth=True).collect()))
+    assert rows(sm.labelled(targets, "problem"), sm.labelled(docs, "problem")) == rows(targets, docs)
